@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 SIZES = (4, 5)
 BITS = 18
 #: At most about so many labelled rows of each class are learned from.
-SAMPLE_PER_CLASS = 3000
+SAMPLE_PER_CLASS = 1500
 PIECE = 1 << 20
 
 
@@ -58,16 +58,20 @@ def train(texts: list[str], toxic: list[int], bits: int = BITS, sizes: tuple[int
     if not len(y) or y.min() == y.max():
         rate = (y.sum() + 0.5) / (len(y) + 1.0)
         return Model(np.zeros(1 << bits, np.float32), float(np.log(rate / (1 - rate))), bits, sizes)
-    rows = [np.unique(np.concatenate([*features(t, bits, sizes), np.empty(0, np.int64)])).astype(np.int32) for t in texts]
-    cols, size = np.concatenate(rows), 1 << bits
+    size = 1 << bits
+    rows, held = [], np.zeros((2, size), np.int32)
+    for t, label in zip(texts, toxic):
+        rows.append(np.unique(np.concatenate([*features(t, bits, sizes), np.empty(0, np.int64)])).astype(np.int32))
+        held[int(label > 0)][rows[-1]] += 1
+    n1 = int(y.sum())
+    ratio = np.log(((alpha + held[1]) / (n1 + 2 * alpha)) / ((alpha + held[0]) / (len(y) - n1 + 2 * alpha))).astype(np.float32)
+    # Rare features, and those that tell little (their scaled value is near zero), are left out.
+    ratio[(held.sum(0) < least_df) | (np.abs(ratio) <= 0.5)] = 0
+    for k, r in enumerate(rows):
+        rows[k] = r[ratio[r] != 0]
     row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
-    df = np.bincount(cols, minlength=size)
-    p = alpha + np.bincount(cols, weights=y[row], minlength=size)
-    q = alpha + df - (p - alpha)
-    ratio = np.where(df >= least_df, np.log((p / (y.sum() + 2 * alpha)) / (q / (len(y) - y.sum() + 2 * alpha))), 0.0)
-    # Features that tell little are dropped from the fit, as their scaled value is near zero.
-    use = np.abs(ratio[cols]) > 0.5
-    cols, row = cols[use], row[use]
+    cols = np.concatenate(rows)
+    del rows
     value = ratio[cols]
     weight = np.zeros(size)
     bias = 0.0
