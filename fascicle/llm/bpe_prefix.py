@@ -27,7 +27,9 @@ from pyspark.sql import functions as F
 from fascicle.llm.common import per_process
 
 #: Entries kept in each of the match and chunk tables of a process.
-TABLE = 300_000
+TABLE = 700_000
+#: Token pairs whose validity is remembered.
+PAIRS = 400_000
 
 
 class Vocabulary:
@@ -45,6 +47,14 @@ class Vocabulary:
                 self.joined[pair] = r
         # Tokens that no merge sequence makes never occur, except as a whole match.
         self.usable = {t: r for t, r in self.rank.items() if len(t) == 1 or r in self.halves}
+        self.apart_known: dict[tuple[int, int], bool] = {}
+        import ahocorasick
+
+        # Bytes stand as the 256 first characters; each end of a text yields its tokens, longest first.
+        self.endings = ahocorasick.Automaton()
+        for t, r in self.usable.items():
+            self.endings.add_word(t.decode("latin-1"), (len(t), r))
+        self.endings.make_automaton()
 
     def _last_merge(self, token: bytes, below: int) -> tuple[int, int] | None:
         """The two tokens whose merge makes this one, by merging with lower ranks only."""
@@ -63,7 +73,16 @@ class Vocabulary:
         return self.rank[parts[0]], self.rank[parts[1]]
 
     def apart(self, left: int, right: int) -> bool:
-        """Whether merging the bytes of both tokens leaves exactly the two.
+        """Whether merging the bytes of both tokens leaves exactly the two (remembered, bounded)."""
+        known = self.apart_known.get((left, right))
+        if known is None:
+            if len(self.apart_known) >= PAIRS:
+                self.apart_known.clear()
+            known = self.apart_known[left, right] = self._apart(left, right)
+        return known
+
+    def _apart(self, left: int, right: int) -> bool:
+        """As apart.
 
         Undoes the merges next to the boundary, latest first. If at some point the two tokens
         at the boundary have a merge that comes before the one undone last, BPE would have joined
@@ -93,15 +112,22 @@ class PrefixEncoder:
         self.append(data)
 
     def append(self, more: bytes) -> None:
+        done, apart = len(self.data), self.v.apart
         self.data += more
-        for end in range(len(self.last), len(self.data) + 1):
-            self.last.append(self._ending(end))
+        last = self.last
+        last += [-1] * len(more)
+        # Tokens that end in the new bytes may start in the old ones.
+        at = max(0, done - self.v.longest + 1)
+        for end, (n, r) in self.v.endings.iter(self.data[at:].decode("latin-1")):
+            end += at + 1
+            if end > done and last[end] < 0 and (n == end or apart(last[end - n], r)):
+                last[end] = r
 
     def _ending(self, end: int) -> int:
-        usable, last, data, apart = self.v.usable, self.last, self.data, self.v.apart
+        """The one token that is a suffix of the prefix and stays apart from what ends the rest."""
         for n in range(min(end, self.v.longest), 0, -1):
-            r = usable.get(data[end - n : end])
-            if r is not None and (n == end or apart(last[end - n], r)):
+            r = self.v.usable.get(self.data[end - n : end])
+            if r is not None and (n == end or self.v.apart(self.last[end - n], r)):
                 return r
         raise ValueError("a byte has no token")
 
@@ -139,26 +165,26 @@ class Tokenizer:
         import regex
 
         self.v, self.find = Vocabulary(lines), regex.compile(pattern).findall
-        self.matches: dict[str, list[int]] = {}
-        self.chunks: dict[str, list[int] | None] = {}
+        self.matches: dict[str, tuple[int, ...]] = {}
+        self.chunks: dict[str, tuple[int, ...] | None] = {}
 
-    def match_ids(self, match: str) -> list[int]:
+    def match_ids(self, match: str) -> tuple[int, ...]:
         ids = self.matches.get(match)
         if ids is None:
             raw = match.encode()
             whole = self.v.rank.get(raw)
-            ids = [whole] if whole is not None else PrefixEncoder(self.v, raw).ids()
+            ids = (whole,) if whole is not None else tuple(PrefixEncoder(self.v, raw).ids())
             if len(self.matches) >= TABLE:
                 self.matches.clear()
             if len(match) <= 64:
                 self.matches[match] = ids
         return ids
 
-    def chunk_ids(self, chunk: str) -> list[int] | None:
+    def chunk_ids(self, chunk: str) -> tuple[int, ...] | None:
         """Ids of a chunk that starts at white space or the text's start; None if it ends in it."""
         ids = None
         if not chunk[-1:].isspace():
-            ids = [i for m in self.find(chunk) for i in self.match_ids(m)]
+            ids = tuple(chain.from_iterable(map(self.match_ids, self.find(chunk))))
         if len(self.chunks) >= TABLE:
             self.chunks.clear()
         if len(chunk) <= 64:
@@ -172,19 +198,16 @@ class Tokenizer:
         the space as its first character, so chunks cut before them are encoded apart. A text with longer
         runs of white space is matched as a whole.
         """
-        if not text:
-            return []
         if "\0" not in text:
-            parts, known = [], self.chunks
-            for c in text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0"):
-                ids = known.get(c, parts)
-                if ids is parts:
-                    ids = self.chunk_ids(c) if c else []
-                if ids is None:
-                    break
-                parts.append(ids)
-            else:
-                return list(chain.from_iterable(parts))
+            chunks = text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
+            try:
+                try:
+                    return list(chain.from_iterable(map(self.chunks.__getitem__, chunks)))
+                except KeyError:
+                    known = self.chunks
+                    return list(chain.from_iterable([known[c] if c in known else self.chunk_ids(c) for c in chunks]))
+            except TypeError:  # some chunk ends in white space
+                pass
         return [i for m in self.find(text) for i in self.match_ids(m)]
 
     def decode(self, ids: list[int]) -> bytes:
