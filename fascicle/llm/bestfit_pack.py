@@ -9,6 +9,10 @@ a lost task is repeated from its own input and gives the same rows.
 
 from __future__ import annotations
 
+import os
+import re
+from array import array
+from itertools import chain
 from zlib import crc32
 
 import pyarrow as pa
@@ -22,7 +26,7 @@ CAPACITY = 4096
 OPEN = 256
 END = 1
 #: Chunks whose ids a process remembers.
-TABLE = 400_000
+TABLE = 700_000
 
 
 class Packer:
@@ -57,37 +61,60 @@ class Packer:
         return b, self.capacity - f
 
 
+#: Letters and digits whose form no normaliser changes but for case, then ASCII marks.
+WORD = re.compile("([0-9A-Za-zÀ-ÖØ-öø-ɏ]+)([!-/:-@\\[-`{-~]*)")
+
+
 class Encoder:
-    """Ids of a text as little-endian bytes: chunks between spaces, each encoded once a process.
+    """Ids of texts as little-endian bytes: chunks between spaces, each encoded once a process.
 
     The tokenizer drops white space, and neither its normaliser nor its matches cross a space or a
-    newline, so the ids of a text are those of its chunks.
+    newline, so the ids of a text are those of its chunks. A match holds letters or marks but never
+    both, so a word and the marks behind it are encoded apart; ASCII words are lower-cased first, as
+    the tokenizer would. What texts add to the tables is encoded in one batch call.
     """
 
     def __init__(self, spec: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks share a machine's cores
         from tokenizers import Tokenizer
 
         self.t = Tokenizer.from_str(spec)
         self.t.encode_special_tokens = True
         self.known: dict[str, bytes] = {"": b""}
-
-    def encode(self, text: str) -> bytes:
-        chunks = text.replace("\n", " ").split(" ")
-        new = [c for c in dict.fromkeys(chunks) if c not in self.known]
-        extra = {}
-        if new:
-            if len(self.known) + len(new) > TABLE:
-                self.known = {"": b""}
-                new = list(dict.fromkeys(chunks))
-            from array import array
-
-            for c in new:
-                ids = array("I", self.t.encode(c, add_special_tokens=False).ids).tobytes()
-                (self.known if len(c) <= 64 else extra)[c] = ids
-        known = self.known
-        if extra:
-            return b"".join([known[c] if c in known else extra[c] for c in chunks])
-        return b"".join(map(known.__getitem__, chunks))
+        self.parts: dict[str, bytes] = {"": b""}
+
+    def _split(self, chunk: str) -> tuple[str, str]:
+        m = WORD.fullmatch(chunk)
+        if not m:
+            return chunk, ""
+        return (m[1].lower() if m[1].isascii() else m[1]), m[2]
+
+    def _learn(self, new: list[str]) -> None:
+        cut = [self._split(c) for c in new]
+        if len(self.parts) > TABLE:
+            self.parts = {"": b""}
+        parts = self.parts
+        ask = [p for p in dict.fromkeys(chain.from_iterable(cut)) if p not in parts]
+        for p, e in zip(ask, self.t.encode_batch_fast(ask, add_special_tokens=False)):
+            parts[p] = array("I", e.ids).tobytes()
+        for c, (a, z) in zip(new, cut):
+            self.known[c] = parts[a] + parts[z]
+        for p in ask:
+            if len(p) > 64:
+                del parts[p]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        chunks = [t.replace("\n", " ").split(" ") for t in texts]
+        if len(self.known) > TABLE:
+            self.known = {"": b""}
+        new = set().union(*chunks).difference(self.known)
+        self._learn(sorted(new))
+        find = self.known.__getitem__
+        out = [b"".join(map(find, c)) for c in chunks]
+        for c in new:
+            if len(c) > 64:
+                del self.known[c]
+        return out
 
 
 def pack(docs: DataFrame, spec: str, capacity: int = CAPACITY, open_bins: int = OPEN, end: int = END, text: str = "text", key: str = "doc_id", tokens: bool = False) -> DataFrame:
@@ -101,6 +128,17 @@ def pack(docs: DataFrame, spec: str, capacity: int = CAPACITY, open_bins: int =
     kind = docs.schema[key].dataType.simpleString()
     names = [key, "piece", "start", "length", "ids_crc32", "sequence_id", "offset", *(["ids"] if tokens else [])]
 
+    def encoded(encoder, column, tail):
+        """Ids of each text; a few hundred texts, or one long one, are in memory as chunks at a time."""
+        part, size = [], 0
+        for t in column:
+            part.append(t.as_py() or "")
+            size += len(part[-1])
+            if size > 1 << 20:
+                yield from (x + tail for x in encoder.encode(part))
+                part, size = [], 0
+        yield from (x + tail for x in encoder.encode(part))
+
     def run(batches):
         spec = shared.value
         encoder = per_process(("pack", len(spec), hash(spec)), lambda: Encoder(spec))
@@ -108,8 +146,7 @@ def pack(docs: DataFrame, spec: str, capacity: int = CAPACITY, open_bins: int =
         tail = end.to_bytes(4, "little")
         for b in batches:
             rows, of = [], []
-            for k, t in enumerate(b.column(1).to_pylist()):
-                ids = encoder.encode(t or "") + tail
+            for k, ids in enumerate(encoded(encoder, b.column(1), tail)):
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     bin_, offset = packer.place(len(part) // 4)
