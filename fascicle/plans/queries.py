@@ -281,4 +281,4 @@ def queries():
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return q08_bm25_topk(spark, sf_dir)
+    return q12_hybrid_rrf(spark, sf_dir)
