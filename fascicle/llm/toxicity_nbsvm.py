@@ -17,11 +17,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SIZES = (4, 5)
+SIZES = (5,)
 BITS = 18
 #: At most about so many labelled rows of each class are learned from.
 SAMPLE_PER_CLASS = 1500
 PIECE = 1 << 20
+FOLDS = 3
 
 
 def features(text: str, bits: int = BITS, sizes: tuple[int, ...] = SIZES):
@@ -52,29 +53,19 @@ class Model:
         return float(flags @ self.weights) + self.bias
 
 
-def train(texts: list[str], toxic: list[int], bits: int = BITS, sizes: tuple[int, ...] = SIZES, alpha: float = 1.0, l2: float = 1.0, rounds: int = 60, least_df: int = 3) -> Model:
-    """Fit on labelled texts. One class only (or none): a constant model of that class's rate."""
-    y = np.asarray(toxic, np.float64)
-    if not len(y) or y.min() == y.max():
-        rate = (y.sum() + 0.5) / (len(y) + 1.0)
-        return Model(np.zeros(1 << bits, np.float32), float(np.log(rate / (1 - rate))), bits, sizes)
-    size = 1 << bits
-    rows, held = [], np.zeros((2, size), np.int32)
-    for t, label in zip(texts, toxic):
-        rows.append(np.unique(np.concatenate([*features(t, bits, sizes), np.empty(0, np.int64)])).astype(np.int32))
-        held[int(label > 0)][rows[-1]] += 1
+def _fit(rows: list[np.ndarray], y: np.ndarray, size: int, alpha: float, l2: float, rounds: int, least_df: int) -> tuple[np.ndarray, float]:
+    """(weights, bias): log-count ratios, then logistic regression on the scaled features (Adam)."""
+    held = np.zeros((2, size), np.int32)
+    for r, label in zip(rows, y):
+        held[int(label)][r] += 1
     n1 = int(y.sum())
     ratio = np.log(((alpha + held[1]) / (n1 + 2 * alpha)) / ((alpha + held[0]) / (len(y) - n1 + 2 * alpha))).astype(np.float32)
     # Rare features, and those that tell little (their scaled value is near zero), are left out.
     ratio[(held.sum(0) < least_df) | (np.abs(ratio) <= 0.5)] = 0
-    for k, r in enumerate(rows):
-        rows[k] = r[ratio[r] != 0]
-    row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
-    cols = np.concatenate(rows)
-    del rows
+    rows = [r[ratio[r] != 0] for r in rows]
+    row, cols = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows]), np.concatenate(rows)
     value = ratio[cols]
-    weight = np.zeros(size)
-    bias = 0.0
+    weight, bias = np.zeros(size), 0.0
     m, v, mb, vb = np.zeros(size), np.zeros(size), 0.0, 0.0
     balance = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
     for k in range(1, rounds + 1):
@@ -85,7 +76,42 @@ def train(texts: list[str], toxic: list[int], bits: int = BITS, sizes: tuple[int
         step = 0.02 * np.sqrt(1 - 0.99**k) / (1 - 0.9**k)
         weight -= step * m / (np.sqrt(v) + 1e-9)
         bias -= step * mb / (np.sqrt(vb) + 1e-9)
-    return Model((weight * ratio).astype(np.float32), float(bias), bits, sizes)
+    return (weight * ratio).astype(np.float32), float(bias)
+
+
+def train(texts: list[str], toxic: list[int], rate: float | None = None, bits: int = BITS, sizes: tuple[int, ...] = SIZES, alpha: float = 1.0, l2: float = 30.0, rounds: int = 60, least_df: int = 3) -> Model:
+    """Fit on labelled texts. One class only (or none): a constant model of that class's rate.
+
+    The score 0.5 is put where logits of texts that a fold's model did not see split the classes
+    with the fewest errors, if label 1 has the share `rate` (by default the sample's).
+    """
+    y = (np.asarray(toxic) > 0).astype(np.float64)
+    if not len(y) or y.min() == y.max():
+        share = (y.sum() + 0.5) / (len(y) + 1.0)
+        return Model(np.zeros(1 << bits, np.float32), float(np.log(share / (1 - share))), bits, sizes)
+    rows = [np.unique(np.concatenate([*features(t, bits, sizes), np.empty(0, np.int64)])).astype(np.int32) for t in texts]
+    fit = lambda pick: _fit([rows[k] for k in pick], y[pick], 1 << bits, alpha, l2, rounds, least_df)
+    every, fold = np.arange(len(y)), np.zeros(len(y), int)
+    for label in (0, 1):
+        own = np.flatnonzero(y == label)
+        fold[own] = np.arange(len(own)) % FOLDS
+    shift = 0.0
+    if y.sum() >= 2 * FOLDS <= len(y) - y.sum():
+        z = np.zeros(len(y))
+        for f in range(FOLDS):
+            w, b = fit(every[fold != f])
+            for k in every[fold == f]:
+                z[k] = w[rows[k]].sum() + b
+        share = y.mean() if rate is None else rate
+        cost = np.where(y > 0, share / y.sum(), (1 - share) / (len(y) - y.sum()))
+        order = np.argsort(z, kind="stable")
+        # Errors where the first k of the order count as clean.
+        errors = np.concatenate(([0], np.cumsum(np.where(y[order] > 0, cost[order], 0)))) + np.concatenate((np.cumsum(np.where(y[order] > 0, 0, cost[order])[::-1])[::-1], [0]))
+        least = np.flatnonzero(errors <= errors.min() + 1e-12)
+        k = int(least[len(least) // 2])
+        shift = (z[order][max(k - 1, 0)] + z[order][min(k, len(z) - 1)]) / 2
+    weights, bias = fit(every)
+    return Model(weights, bias - float(shift), bits, sizes)
 
 
 def sample_ids(rows: DataFrame, by: str, key: str, bound: int) -> DataFrame:
@@ -117,7 +143,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, t
     # Bounded by per_class, so the broadcast is safe at any size of the corpus.
     rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id", "__toxic").agg(F.min("text").alias("text")).collect()
     rows.sort(key=lambda r: r["doc_id"])
-    return train([r["text"] or "" for r in rows], [r["__toxic"] for r in rows])
+    rate = known.agg(F.avg("__toxic")).first()[0]
+    return train([r["text"] or "" for r in rows], [r["__toxic"] for r in rows], rate)
 
 
 def score(text: Column, model: Model) -> Column:
