@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fascicle.functions.text import format_chunk, strip
+from fascicle.sources.tables import spread
 
 MAX_WORDS, OVERLAP_WORDS = 200, 20
 _SENTENCE = re.compile("[^.!?]+(?:[.!?]+(?:[\"”']+)?[ ]*|$)")
@@ -92,7 +93,7 @@ def chunk_articles(articles: DataFrame, max_words: int = MAX_WORDS, overlap_word
     """
     total_pages = F.col("totalPages") if "totalPages" in articles.columns else F.lit(None).cast("int")
     body = F.when(strip(F.coalesce("body", F.lit(""))) == "", F.col("heading")).otherwise(F.col("body"))
-    cut = articles.withColumn("pieces", packed(body, max_words, overlap_words)).withColumn("chunkTotal", F.size("pieces"))
+    cut = spread(articles).withColumn("pieces", packed(body, max_words, overlap_words)).withColumn("chunkTotal", F.size("pieces"))
     cut = cut.select("*", F.posexplode("pieces").alias("at", "piece"))
     d = F.col("date")
     content = format_chunk(F.col("heading"), F.col("piece"), F.col("at") + 1, F.col("chunkTotal"), d)

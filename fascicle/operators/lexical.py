@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from fascicle.functions.filters import compile_filter
 from fascicle.functions.text import gate_tokens, lexical_text, lexical_tokens, tokens
+from fascicle.sources.tables import spread
 
 K1, B = 1.2, 0.75
 RARE_RATIO = 0.01
@@ -27,29 +28,38 @@ class LexicalIndex:
     stats: DataFrame
 
 
+def _runs(sorted_tokens: Column) -> Column:
+    """array<struct<token, tf>> of sorted tokens: a run of equal tokens is one token's frequency."""
+
+    def of(t: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(t) - 1), lambda i: (i == 0) | (F.get(t, i) != F.get(t, i - 1)))
+        each = lambda s: F.transform(s, lambda i, k: F.struct(F.get(t, i).alias("token"), (F.coalesce(F.get(s, k + 1), F.size(t)) - i).alias("tf")))
+        return F.when(F.size(t) > 0, F.get(F.transform(F.array(starts), each), F.lit(0)))
+
+    return F.get(F.transform(F.array(sorted_tokens), of), F.lit(0))
+
+
 def term_frequencies(chunks: DataFrame, strip_header: bool = False) -> DataFrame:
     """chunk_id, token, tf, length. chunks: chunk_id, page_content, heading.
 
-    Counting happens inside the row, so no shuffle is needed for term frequencies: sorted tokens of
-    one chunk form runs.
+    Counting happens inside the row, so term frequencies need no shuffle.
     """
     t = F.array_sort(tokens(lexical_text(F.col("page_content"), F.col("heading"), strip_header)))
-    return (
-        chunks.select("chunk_id", t.alias("t")).select("chunk_id", F.size("t").alias("length"), F.explode("t").alias("token"))
-        .groupBy("chunk_id", "token").agg(F.count("*").cast("int").alias("tf"), F.first("length").alias("length"))
-    )
+    rows = spread(chunks.select("chunk_id", "page_content", "heading")).select("chunk_id", t.alias("t"))
+    return rows.select("chunk_id", F.size("t").alias("length"), F.inline(_runs(F.col("t")))).select("chunk_id", "token", "tf", "length")
 
 
 def build_index(chunks: DataFrame, rare_ratio: float | None = RARE_RATIO, strip_header: bool = False) -> LexicalIndex:
     """Index of chunks. rare_ratio prunes tokens whose df / n is not below it (None keeps all)."""
     tf = term_frequencies(chunks, strip_header)
     length = F.size(tokens(lexical_text(F.col("page_content"), F.col("heading"), strip_header)))
-    docs = chunks.select("chunk_id", length.alias("length"))
+    docs = spread(chunks.select("chunk_id", "page_content", "heading")).select("chunk_id", length.alias("length"))
     stats = docs.agg(F.count("*").alias("n"), F.coalesce(F.avg(F.greatest("length", F.lit(1))), F.lit(1.0)).alias("avg_length")).select(F.lit(INDEX_VERSION).alias("version"), "n", "avg_length", F.lit(rare_ratio).cast("double").alias("rare_ratio"))
     df = tf.groupBy("token").agg(F.count("*").alias("df"))
     if rare_ratio is not None:
-        # stats is one row: the cross join is a broadcast of two numbers.
-        df = df.crossJoin(F.broadcast(stats.select("n"))).where(F.col("df") < rare_ratio * F.greatest("n", F.lit(1))).drop("n")
+        # One row: the cross join is a broadcast of one number, counted without reading texts.
+        n = chunks.agg(F.greatest(F.count("*"), F.lit(1)).alias("n"))
+        df = df.crossJoin(F.broadcast(n)).where(F.col("df") < rare_ratio * F.col("n")).drop("n")
     postings = tf.join(df, "token").select("token", "chunk_id", "tf", "df", "length")
     return LexicalIndex(docs, postings, stats)
 

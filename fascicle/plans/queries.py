@@ -9,7 +9,7 @@ from fascicle.functions import dates, text
 from fascicle.functions.filters import SECTIONS, coerce_columns, compile_filter
 from fascicle.operators import calendar, chunking, curation, layout, lexical, retrieval, stores
 from fascicle.sources import corpus
-from fascicle.sources.tables import health
+from fascicle.sources.tables import health, spread
 
 QUESTION = "What did the erthe andre say about thanea onthe in 2024?"
 TOPICS = [(0, "erthe ingth andre of the"), (1, "thanea onthe reporting"), (2, "erst 2024 tionhe ingst")]
@@ -107,7 +107,7 @@ def q14_late_materialise(spark, d):
 
 
 def q15_pack_sentences(spark, d):
-    c = corpus.chunks(spark, d).select("chunk_id", F.posexplode(chunking.packed(F.col("page_content"))).alias("at", "piece"))
+    c = spread(corpus.chunks(spark, d).select("chunk_id", "page_content")).select("chunk_id", F.posexplode(chunking.packed(F.col("page_content"))).alias("at", "piece"))
     return c.select("chunk_id", "at", text.word_count(F.col("piece")).alias("n_words"), F.sha2("piece", 256).alias("digest"))
 
 

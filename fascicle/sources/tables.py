@@ -12,6 +12,19 @@ PDF_LIMIT = 50 * 1024 * 1024
 TEXT_COLUMNS = ("chunk_id", "page_content", "source", "date", "dateInt", "pageNumber", "section", "heading", "chunkIndex", "chunkTotal")
 
 
+#: Tables estimated below this are dealt over all cores before heavy row work.
+SMALL_BYTES = 256 * 1024 * 1024
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores if it is small: a small file has few row groups and would keep one core busy.
+
+    The size is the optimizer's estimate; larger tables have enough splits and are left alone.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= SMALL_BYTES else df
+
+
 def list_files(spark: SparkSession, folder: str, pattern: str = "*.pdf") -> DataFrame:
     """path, modificationTime, length of the files of a folder or bucket; contents are not read."""
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder).select("path", "modificationTime", "length")
