@@ -214,6 +214,9 @@ def simhash_groups(docs: DataFrame, size: int = SHINGLE, text: str = "text", key
     linked = prints.join(roots.withColumnRenamed("id", "fp"), "fp")
     named = linked.join(linked.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "component_id")
     named = prints.join(named, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
+    # Cut here, so that the join below has plain shuffles on both sides: one print may hold a third
+    # of all documents, and adaptive execution splits only such joins.
+    named = durable(named)
     return own.join(named, "fp", "left").select(
         F.col("__key").alias(key), "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
