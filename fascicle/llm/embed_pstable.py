@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fascicle.llm.common import connected_components, durable
+from fascicle.llm.simhash_vptree import _forest
 
 THRESHOLD = 0.9
 WIDTH = 2.0
@@ -45,7 +46,9 @@ def buckets(x: np.ndarray) -> np.ndarray:
     a = rng.standard_normal((x.shape[1], TABLES * PROJECTIONS))
     b = rng.uniform(0, WIDTH, TABLES * PROJECTIONS)
     q = np.floor((x @ a + b) / WIDTH).astype(np.int64).astype(np.uint64).reshape(len(x), TABLES, PROJECTIONS)
-    h = np.full((len(x), TABLES), np.uint64(x.shape[1]), np.uint64) * np.uint64(TABLES) + np.arange(TABLES, dtype=np.uint64)
+    # The table's salt is spread over all bits first: small numbers alone would meet across tables.
+    salt = (np.uint64(x.shape[1] * TABLES) + np.arange(TABLES, dtype=np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+    h = np.tile(salt ^ (salt >> np.uint64(32)), (len(x), 1))
     for k in range(PROJECTIONS):
         h = (h ^ q[:, :, k]) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(29)
@@ -67,8 +70,6 @@ def _hash(batches):
 
 def _bucket_links(x, node, n, part, tab, cross, threshold):
     """Counts and spanning links of one bucket (or pair of its parts)."""
-    from fascicle.llm.simhash_vptree import _forest
-
     links, ii, jj = np.zeros(len(x), np.int64), [], []
     for at in range(0, len(x), 512):
         g = x[at : at + 512] @ x.T
@@ -121,7 +122,7 @@ def _compare(threshold):
             if not b.num_rows:
                 continue
             t = pa.Table.from_batches([b])
-            keys = np.stack([t.column(c).to_numpy() for c in ("bucket", "i", "j")], axis=1)
+            keys = np.stack([t.column(c).to_numpy() for c in ("bucket", "tab", "i", "j")], axis=1)
             cuts = [0, *(np.flatnonzero((np.diff(keys, axis=0) != 0).any(axis=1)) + 1).tolist(), len(keys)]
             for lo, hi in zip(cuts[:-1], cuts[1:]):
                 k = tuple(keys[lo])
@@ -160,7 +161,7 @@ def embedding_groups(vectors: DataFrame, threshold: float = THRESHOLD, split: in
         dealt = dealt.withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")}).drop("other", "parts")
     else:
         dealt = hashed.withColumns({c: F.lit(0) for c in ("part", "i", "j")})
-    dealt = dealt.withColumn("single", F.lit(single)).repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    dealt = dealt.withColumn("single", F.lit(single)).repartition("bucket", "i", "j").sortWithinPartitions("bucket", "tab", "i", "j")
     found = durable(dealt.mapInArrow(_compare(threshold), "a long, b long, links long"))
     links = found.where("links is not null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     roots = connected_components(found.where("b is not null").select("a", "b")).select(F.col("id").alias("node"), "root")

@@ -174,6 +174,20 @@ def test_embeddings_against_brute_force(spark, sf):
     assert embed_pstable.embedding_groups(df.where("false")).count() == 0
 
 
+def test_link_counts_in_clusters(spark):
+    """Groups of near copies of many sizes: counts are exact, no pair counts once a table."""
+    rng = np.random.default_rng(11)
+    centre = np.repeat(embed_pstable.unit(rng.standard_normal((60, 64))), rng.integers(1, 90, 60), axis=0)
+    x = embed_pstable.unit(centre + 0.02 * rng.standard_normal(centre.shape))
+    want = (x @ x.T >= 0.9).sum(1) - 1
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    for split in (4096, 16):
+        got = embed_pstable.embedding_groups(df, split=split).toPandas().set_index("vec_id")["n_links"].loc[range(len(x))].to_numpy()
+        assert got.sum() >= 0.999 * want.sum() and (got <= want).all()
+    h = embed_pstable.buckets(x)
+    assert all(len(np.intersect1d(h[:, a], h[:, b])) == 0 for a in range(20) for b in range(a))
+
+
 def test_recall_at_the_threshold():
     rng = np.random.default_rng(1)
     a = embed_pstable.unit(rng.standard_normal((2000, 64)))
