@@ -87,7 +87,7 @@ RULES = (
     Rule("too_few_words", lambda m: m["n_words"] < 20),
     Rule("repeated_windows", lambda m: 100 * m["n_repeat_words"] > 30 * m["n_words"]),
     Rule("symbols", lambda m: 100 * m["n_symbols"] > 30 * m["n_words"]),
-    Rule("duplicate_lines", lambda m: 100 * m["n_dup_lines"] > 30 * m["n_lines"]),
+    Rule("duplicate_lines", lambda m: (m["n_dup_lines"] > 2) & (100 * m["n_dup_lines"] > 30 * m["n_lines"])),
     Rule("word_length", lambda m: (m["word_chars"] > 25 * m["n_words"]) | (m["word_chars"] < 2 * m["n_words"])),
     Rule("shouting", lambda m: 100 * m["n_upper"] > 60 * m["word_chars"]),
 )

@@ -123,7 +123,7 @@ rep AS (SELECT r, count(DISTINCT p + k) AS n FROM twice, range(8) AS x(k) GROUP
 m AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
   CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, len(l) AS n_lines, length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_upper FROM d LEFT JOIN rep USING (r))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed,
-  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words OR 100 * n_symbols > 30 * n_words OR 100 * n_dup_lines > 30 * n_lines OR word_chars > 25 * n_words OR word_chars < 2 * n_words OR 100 * n_upper > 60 * word_chars) AS kept
+  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words OR 100 * n_symbols > 30 * n_words OR (n_dup_lines > 2 AND 100 * n_dup_lines > 30 * n_lines) OR word_chars > 25 * n_words OR word_chars < 2 * n_words OR 100 * n_upper > 60 * word_chars) AS kept
 FROM m"""
 
 CHAT_SQL = r"""
