@@ -37,27 +37,29 @@ VANTAGE = 0x9E3779B97F4A7C15
 BLOCK = 2048
 
 
-def simhash(raw: bytes, size: int = SHINGLE) -> int:
-    """Signed 64-bit fingerprint of UTF-8 bytes; 0 where there is no word.
+def shingle_hashes(raw: bytes, size: int = SHINGLE) -> np.ndarray:
+    """XXH64 (seed 42) of each word shingle of UTF-8 bytes, repeats included; empty where there is no word.
 
     Words are runs of anything but ASCII white space; A-Z count as a-z. Fewer words than a
-    shingle holds make one shingle. Repeated shingles count each time.
+    shingle holds make one shingle.
     """
     from functools import partial
 
     from xxhash import xxh64_intdigest
 
     words = raw.lower().split()
-    if not words:
-        return 0
     digest, text = partial(xxh64_intdigest, seed=42), b" ".join(words)
     if len(words) <= size:
-        h = np.array([digest(text)], dtype=np.uint64)
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        starts = np.concatenate(([0], ends[:-1] + 1))
-        n = len(words) - size + 1
-        h = np.fromiter((digest(text[a:b]) for a, b in zip(starts[:n].tolist(), ends[size - 1 :].tolist())), np.uint64, n)
+        return np.array([digest(text)] if words else [], dtype=np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    n = len(words) - size + 1
+    return np.fromiter((digest(text[a:b]) for a, b in zip(starts[:n].tolist(), ends[size - 1 :].tolist())), np.uint64, n)
+
+
+def simhash(raw: bytes, size: int = SHINGLE) -> int:
+    """Signed 64-bit fingerprint of UTF-8 bytes; 0 where there is no word. Repeated shingles count each time."""
+    h = shingle_hashes(raw, size)
     counts = np.zeros(64, np.int64)
     for k in range(0, len(h), 65536):
         counts += np.unpackbits(h[k : k + 65536].view(np.uint8), bitorder="little").reshape(-1, 64).sum(0, dtype=np.int64)
@@ -220,15 +222,3 @@ def simhash_groups(docs: DataFrame, size: int = SHINGLE, text: str = "text", key
     return own.join(named, "fp", "left").select(
         F.col("__key").alias(key), "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
-
-
-def keep_first(docs: DataFrame, size: int = SHINGLE, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The columns of docs for one document of each group: the one with the smallest key.
-
-    Repeated keys: one row stays (the smallest text), as repeated rows are copies of each other.
-    """
-    groups = simhash_groups(docs, size, text, key)
-    heads = groups.select(F.col("component_id").alias("__head")).distinct()
-    kept = docs.join(heads, docs[key].eqNullSafe(F.col("__head")), "left_semi")
-    return kept.dropDuplicates([key])
-

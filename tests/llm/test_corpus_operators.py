@@ -12,7 +12,7 @@ import pytest
 from conftest import rows_of, table_views
 from pyspark.sql import functions as F
 
-from fascicle.llm import bestfit_pack, bpe_prefix, chat_format, embed_pstable, langid_bloom, license_join, quality_cascade, simhash_vptree, toxicity_nbsvm, url_reputation
+from fascicle.llm import bestfit_pack, bpe_prefix, chat_format, embed_pstable, langid_bloom, license_join, quality_cascade, simhash_similar, simhash_vptree, toxicity_nbsvm, url_reputation
 from fascicle.llm import queries as q
 from fascicle.llm.common import connected_components
 
@@ -88,8 +88,8 @@ def test_simhash_against_brute_force(spark, sf, odd, none):
         want = sorted((d is None, d, f"{f:016x}", first[c] if first[c] < 1 << 60 else None) for c, (d, f) in zip(comp, rows))
         got = sorted((r["doc_id"] is None, r["doc_id"], r["fingerprint"], r["component_id"]) for r in simhash_vptree.simhash_groups(docs).collect())
         assert got == want
-    assert simhash_vptree.simhash_groups(none).count() == 0 and simhash_vptree.keep_first(none).count() == 0
-    kept = simhash_vptree.keep_first(odd)
+    assert simhash_vptree.simhash_groups(none).count() == 0 and simhash_similar.keep_first(none).count() == 0
+    kept = simhash_similar.keep_first(odd)
     assert kept.columns == odd.columns and kept.where("text = 'same text here for all of us'").count() == 1
 
 
@@ -322,6 +322,30 @@ def test_packer_is_best_fit_and_bounded():
     assert p.open == 2 and p.place(3) == (1, 6)
 
 
+def similar_pairs(texts, least=0.8):
+    """Brute force: positions, in the order of ids, of texts whose 5-word shingle sets agree by `least`."""
+    sets, holds = [], defaultdict(set)
+    for k, (_, t) in enumerate(sorted(texts.items())):
+        w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+        sets.append({tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if w else set())
+        for x in sets[-1]:
+            holds[x].add(k)
+    near = {(i, j) for s in holds.values() for i in s for j in s if i < j}
+    return [(i, j) for i, j in near if len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j])]
+
+
+def test_spanning_forest_joins_what_brute_force_joins():
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 63, (40, 2), dtype=np.uint64)
+    rows = np.concatenate([base] + [base ^ (np.uint64(1) << rng.integers(0, 64, base.shape).astype(np.uint64)) for _ in range(12)])
+    for n in (2, 50, len(rows)):
+        p = rows[rng.permutation(len(rows))[:n]]
+        d = np.bitwise_count(p[:, None] ^ p).sum(2)
+        want = components(n, [tuple(x) for x in np.argwhere(np.triu(d <= simhash_similar.REACH, 1)).tolist()])
+        a, b = simhash_similar.spanning(p[:, 0].copy(), p[:, 1].copy())
+        assert components(n, list(zip(a.tolist(), b.tolist()))) == want and len(a) == n - len(set(want))
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as c
 
@@ -338,10 +362,9 @@ def test_pipeline_stages(spark):
         elif name == "quality":
             assert all(slow_measures(t)[0] >= 20 for t in kept.values())
         else:
-            prints = {d: slow_simhash(t, 5) for d, t in before.items()}
+            comp = components(len(before), similar_pairs(before))
             ids = sorted(before)
-            comp = components(len(ids), [(i, j) for i in range(len(ids)) for j in range(i) if bin(prints[ids[i]] ^ prints[ids[j]]).count("1") <= 4])
-            assert sorted(kept) == sorted({ids[x] for x in comp})
+            assert sorted(kept) == sorted({ids[x] for x in comp}) and len(kept) < len(before)
         docs = spark.createDataFrame(out.collect(), out.schema)
     packed = c.run(spark, sf)
     assert {r["doc_id"] for r in packed.select("doc_id").distinct().collect()} == {r["doc_id"] for r in docs.collect()}
