@@ -334,6 +334,11 @@ def similar_pairs(texts, least=0.8):
     return [(i, j) for i, j in near if len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j])]
 
 
+def test_similar_stage_keeps_rows_without_a_key(spark):
+    docs = spark.createDataFrame([(None, "first of two"), (None, "second of two"), (None, "first of two"), (1, "a third"), (2, "a third")], "doc_id long, text string")
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in simhash_similar.keep_first(docs).collect()) == [(0, "first of two"), (0, "second of two"), (1, "a third")]
+
+
 def test_spanning_forest_joins_what_brute_force_joins():
     rng = np.random.default_rng(5)
     base = rng.integers(0, 1 << 63, (40, 2), dtype=np.uint64)
