@@ -351,6 +351,22 @@ def test_spanning_forest_joins_what_brute_force_joins():
         assert components(n, list(zip(a.tolist(), b.tolist()))) == want and len(a) == n - len(set(want))
 
 
+def test_similar_pairs_among_shared_boilerplate(spark):
+    """A large group just under the similarity, with pairs just over it: no closer-looking path may hide a pair."""
+    rng = np.random.default_rng(11)
+    words = lambda n: [f"w{x}" for x in rng.integers(0, 1 << 40, n)]
+    notice, texts = words(300), {}
+    for k in range(0, 600, 2):
+        own = words(46)
+        texts[k] = " ".join(notice + own)
+        texts[k + 1] = " ".join(notice + (own[:14] + words(32) if k < 200 else words(46)))
+    want, docs = similar_pairs(texts), spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert len(want) == 100
+    _, roots = simhash_similar.similar_roots(docs)
+    got = {(r["root"], r["id"]) for r in roots.collect() if r["id"] != r["root"]}
+    assert got <= set(want) and len(got) >= 0.95 * len(want)
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as c
 
