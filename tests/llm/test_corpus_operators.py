@@ -188,6 +188,15 @@ def test_link_counts_in_clusters(spark):
     assert all(len(np.intersect1d(h[:, a], h[:, b])) == 0 for a in range(20) for b in range(a))
 
 
+def test_rows_without_an_id_link(spark):
+    """Two vectors joined only through a row without an id, and a pair that has no id at all."""
+    at = lambda d, k=0: [float(c) for c in np.eye(8)[k] * np.cos(np.radians(d)) + np.eye(8)[k + 1] * np.sin(np.radians(d))]
+    rows = [(7, at(0)), (None, at(16)), (9, at(32)), (None, at(0, 4)), (None, at(5, 4)), (3, at(0, 6))]
+    got = embed_pstable.embedding_groups(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    want = [(3, 0, 3, True), (7, 1, 7, True), (9, 1, 7, False), (None, 1, None, True), (None, 1, None, True), (None, 2, 7, True)]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
 def test_recall_at_the_threshold():
     rng = np.random.default_rng(1)
     a = embed_pstable.unit(rng.standard_normal((2000, 64)))
