@@ -1,9 +1,10 @@
 """The corpus operators against brute force, library results, round trips and held-out labels."""
 
 import hashlib
+import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
@@ -308,27 +309,61 @@ def test_packing(spark, sf, odd, none):
 
     spec = q.tokenizer_file("word_bpe_49k.json").decode()
     ref = Tokenizer.from_str(spec)
-    ref.encode_special_tokens = True
-    docs = q.read(spark, sf, "documents").select("doc_id", "text").unionByName(odd.select((F.col("doc_id") + 100_000).alias("doc_id"), "text").where("doc_id is not null").distinct())
+    extra = spark.createDataFrame([(7, "see <|endoftext|> and <|startoftext|>x"), (8, "I\u0307- \u0130- J\u030c, don't")], "doc_id long, text string")
+    docs = q.read(spark, sf, "documents").select("doc_id", "text").unionByName(odd.select("doc_id", "text")).unionByName(extra)
+    want = Counter()
+    for r in docs.collect():
+        ids = [*ref.encode(r["text"] or "", add_special_tokens=False).ids, 1]
+        for k, at in enumerate(range(0, len(ids), 4096)):
+            part = np.array(ids[at : at + 4096], "<u4").tobytes()
+            want[r["doc_id"], k, at, len(part) // 4, zlib.crc32(part), part] += 1
     got = bestfit_pack.pack(docs, spec, tokens=True).toPandas()
-    ids = {r["doc_id"]: [*ref.encode(r["text"] or "", add_special_tokens=False).ids, 1] for r in docs.collect()}
-    for d, g in got.sort_values("piece").groupby("doc_id"):
-        assert np.frombuffer(b"".join(g["ids"]), "<u4").tolist() == ids[d] and (g["length"].iloc[:-1] == 4096).all()
-        assert g["start"].tolist() == list(range(0, len(ids[d]), 4096))
-        assert all(zlib.crc32(x) == c for x, c in zip(g["ids"], g["ids_crc32"]))
-    assert set(got["doc_id"]) == set(ids)
+    have = Counter(zip([None if d != d else int(d) for d in got["doc_id"]], *(got[c].tolist() for c in ("piece", "start", "length", "ids_crc32")), map(bytes, got["ids"])))
+    assert have == want
     for _, g in got.sort_values("offset").groupby("sequence_id"):
         assert g["offset"].tolist() == [0, *g["length"].cumsum().tolist()[:-1]] and g["length"].sum() <= 4096
     assert got["sequence_id"].nunique() <= got["length"].sum() / 4096 * 1.15 + 8
     assert bestfit_pack.pack(none, spec).count() == 0
 
 
+def test_segments_encode_as_the_whole_text(monkeypatch):
+    """Random strings of characters that normalise, compose or match oddly, against unmodified library calls."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    spec, rng = q.tokenizer_file("word_bpe_49k.json").decode(), random.Random(4)
+    ref, own = Tokenizer.from_str(spec), bestfit_pack.Encoder(spec)
+    odd = [*"abcXYZiIjJ0129 '  \n\t.,-<|>=~", *map(chr, (0x338, 0x301, 0x307, 0x30C, 0x130, 0x131, 0x212A, 0x1E9E, 0xDF, 0xE9, 0xC9, 0xD7, 0xF7, 0xA0, 0x2028, 0x85, 0x1C, 0x4E2D, 0x3A3, 0xB2, 0x1F0, 0xAA, 0x200D, 0)), "'s", "'re", "don't", " <|endoftext|> "]
+    for _ in range(60):
+        texts = ["".join(rng.choices(odd, k=rng.randint(0, 12))) for _ in range(300)] + ["".join(chr(rng.randint(1, 0x250)) for _ in range(8)) for _ in range(50)]
+        assert [x.tolist() for x in own.encode(pa.array(texts))] == [e.ids for e in ref.encode_batch(texts, add_special_tokens=False)]
+    monkeypatch.setattr(bestfit_pack, "TABLE", 50)  # tables that are cleared all the time
+    assert [x.tolist() for x in own.encode(pa.array(texts))] == [e.ids for e in ref.encode_batch(texts, add_special_tokens=False)]
+    monkeypatch.setattr(bestfit_pack, "STEP", 40)
+    long = "a long text, in parts " * 9 + "\n" + "x" * 90
+    assert [i for p in bestfit_pack.parts(long.encode()) for i in own.encode(pa.array([p]))[0].tolist()] == ref.encode(long, add_special_tokens=False).ids
+    assert own.encode(pa.array([None, "", "a"]))[2].tolist() == ref.encode("a", add_special_tokens=False).ids
+    plain, ref.encode_special_tokens = bestfit_pack.Encoder(spec, special_as_text=True), True
+    assert plain.encode(pa.array(["<|endoftext|>"]))[0].tolist() == ref.encode("<|endoftext|>", add_special_tokens=False).ids
+
+
 def test_packer_is_best_fit_and_bounded():
-    p = bestfit_pack.Packer(10, 2)
-    assert [p.place(n) for n in (6, 7, 3, 4)] == [(0, 0), (1, 0), (1, 7), (0, 6)]
-    p = bestfit_pack.Packer(10, 2)
-    p.place(5), p.place(6), p.place(7)  # three open bins: the fullest (7) closes
-    assert p.open == 2 and p.place(3) == (1, 6)
+    """Against a plain list of open bins: least space that fits, of equals the one filled last; the fullest closes."""
+    rng = np.random.default_rng(2)
+    for most in (1, 2, 16):
+        p, bins, made = bestfit_pack.Packer(50, most), [], 0
+        for n in rng.integers(1, 51, 3000).tolist():
+            fits = [k for k, (free, _) in enumerate(bins) if free >= n]
+            if fits:
+                free, b = bins.pop(min(fits, key=lambda k: (bins[k][0], -k)))
+            else:
+                free, b, made = 50, made, made + 1
+            assert p.place(n) == (b, 50 - free)
+            if free > n:
+                bins.append((free - n, b))
+            if len(bins) > most:
+                bins.pop(min(range(len(bins)), key=lambda k: (bins[k][0], -k)))
+        assert p.made == made and p.open <= most
 
 
 def similar_pairs(texts, least=0.8):
