@@ -1,17 +1,23 @@
 """License scan: exact set-similarity containment join, native expressions only.
 
-A text block is a window of BLOCK consecutive words, one every BLOCK / 2 words. A block matches a
-template if it holds at least THRESHOLD of the template's distinct tokens.
-
-Join. Tokens are ordered by their document frequency over the whole corpus, rarest first. 
-block that shares a tokens' worth of a template of n tokens must hold one of its first
-n - a + 1 tokens in that order (prefix filter) and at least a tokens (length filter); a match at
-position i of the template and j of the block leaves min(n - i, size - j) tokens at most
-(positional filter). Survivors are counted exactly. The same filters run on the whole document
-first, so only documents that can hold a matching block are cut into blocks.
-
-The template index is bounded by the templates, not by the corpus, and is carried in the plan;
-the corpus is never shuffled but for one count of template tokens, so hot sources cannot skew it.
+A text block is a window of BLOCK consecutive words, at any start. A block matches a template if it
+holds at least THRESHOLD of the template's distinct tokens.
+
+Join. Template tokens are ordered by their document frequency over the whole corpus, rarest first.
+A block that shares `a` tokens with a template of n tokens, as a match needs, holds one of the
+template's first n - a + 1 tokens in that order (prefix filter) and at least a tokens (length
+filter). An index maps each such token to its templates and its place there; a match at place i of
+the template and j of the block leaves min(n - i, size - j) tokens at most (positional filter).
+Pairs that pass are counted exactly.
+
+Only texts that hold an indexed token are cut into blocks, and only blocks that start at a
+template token count, as any other block holds no more than the next one that does. Blocks with
+the same tokens are one. The index is bounded by the templates, not by the corpus: it is built from
+literals and broadcast. Texts are never shuffled; what is shuffled is a row for each match of a
+text that holds an indexed token, by a number of the text's own, so hot sources cannot skew it.
+
+Finding an indexed token and counting frequencies takes a substring search for each token, so the
+cost of a text grows with the number of template tokens (a few dozen templates).
 """
 
 from __future__ import annotations
@@ -21,7 +27,7 @@ from math import ceil
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fascicle.llm.common import ascii_lower, let
+from fascicle.llm.common import durable, let
 
 WORD = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 GAP = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
@@ -44,94 +50,119 @@ TEMPLATES = (
 )
 
 
-def words_of(text: Column) -> Column:
-    """Words of the text with A-Z lower-cased; null counts as empty."""
-    t = F.regexp_replace(ascii_lower(F.coalesce(text, F.lit(""))), f"^{GAP}|{GAP}$", "")
-    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, GAP))
+def spaced_words(text: Column) -> Column:
+    """' w1 w2 ' of the text's words with A-Z lower-cased, each between single spaces; '  ' where there is none.
+
+    lower() also changes letters beyond ASCII, which no template holds; the Kelvin sign, the only
+    one that it makes an ASCII letter, is replaced first.
+    """
+    t = F.lower(F.replace(F.coalesce(text, F.lit("")), F.lit("\u212a"), F.lit("\u212b")))
+    return F.concat(F.lit(" "), F.btrim(F.regexp_replace(t, GAP, " ")), F.lit(" "))
+
+
+def holds(spaced: Column, words: str) -> Column:
+    return F.contains(spaced, F.lit(f" {words} "))
 
 
 def token_order(docs: DataFrame, templates=TEMPLATES, text: str = "text") -> list[str]:
     """The templates' tokens by document frequency over all of docs, rarest first, ties by token.
 
-    Only template tokens are counted and shuffled, so the result is bounded by the templates.
+    One row of counts a task is shuffled.
     """
     vocabulary = sorted({w for _, t in templates for w in t.split()})
-    some = F.array_intersect(words_of(F.col(text)), F.array(*map(F.lit, vocabulary)))
-    counts = dict(docs.select(F.explode(some).alias("w")).groupBy("w").count().collect())
-    return sorted(vocabulary, key=lambda w: (counts.get(w, 0), w))
+    spaced = docs.select(spaced_words(F.col(text)).alias("s"))
+    counts = spaced.agg(*(F.count_if(holds(F.col("s"), w)) for w in vocabulary)).first()
+    return sorted(vocabulary, key=lambda w: (counts[vocabulary.index(w)], w))
 
 
-def containment(tokens: Column, template: list[str], threshold: float) -> tuple[Column, Column]:
-    """(may match, share of the template held) for tokens: ranked, rarest first, distinct.
+def blocks(words: Column, order: list[str], prefix: list[int], block: int = BLOCK) -> Column:
+    """Distinct token sets of the blocks that hold a token of `prefix`, as ranks in `order`, rarest first."""
+    vocabulary = F.array(*map(F.lit, order))
+    ranked = F.transform(words, lambda w, i: F.struct(i.alias("at"), (F.array_position(vocabulary, w) - 1).cast("int").alias("rank")))
+    places = F.filter(ranked, lambda x: x["rank"] >= 0)
+
+    def cut(places: Column) -> Column:
+        def one(x: Column, k: Column) -> Column:
+            inside = F.filter(F.slice(places, k + 1, F.lit(block)), lambda y: y["at"] < x["at"] + block)
+            return F.array_sort(F.array_distinct(F.transform(inside, lambda y: y["rank"])))
+
+        return F.array_distinct(F.filter(F.transform(places, one), lambda b: F.arrays_overlap(b, F.array(*map(F.lit, prefix)))))
+
+    return let(places, cut)
 
-    template: its tokens in the same order.
-    """
-    n = len(template)
-    least = ceil(threshold * n - 1e-9)
-    index = F.array(*map(F.lit, template))
-    may = F.lit(False)
-    for i, w in enumerate(template[: n - least + 1]):
-        at = F.array_position(tokens, F.lit(w))  # from 1; 0 where it is absent
-        may = may | ((at > 0) & (F.least(F.lit(n - i), F.size(tokens) - at + 1) >= least))
-    may = (F.size(tokens) >= least) & may
-    share = F.size(F.array_intersect(tokens, index)) / F.lit(float(n))
-    return may, F.when(may, F.when(share >= least / n, share).otherwise(0.0)).otherwise(0.0)
+
+def matches(texts: DataFrame, order: list[str], templates=TEMPLATES, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
+    """row, labels (array), share (the largest): for each row of texts(row, words) with a matching block."""
+    rank, index = {w: k for k, w in enumerate(order)}, []
+    for label, t in templates:
+        tokens = sorted({rank[w] for w in t.split()})
+        least = ceil(threshold * len(tokens) - 1e-9)
+        index += [(token, i, label, tokens, least) for i, token in enumerate(tokens[: len(tokens) - least + 1])]
+    prefix = sorted({token for token, *_ in index})
+    rows = F.array(*(F.struct(F.lit(t).alias("token"), F.lit(i).alias("i"), F.lit(label).alias("label"), F.array(*map(F.lit, tokens)).alias("tokens"), F.lit(least).alias("least")) for t, i, label, tokens, least in index))
+    # One row for each prefix token of a template: bounded by the templates.
+    index = texts.sparkSession.range(1).select(F.inline(rows))
+    cut = texts.select("row", F.explode(blocks(F.col("words"), order, prefix, block)).alias("b"))
+    cut = cut.select("row", "b", F.posexplode("b").alias("j", "token"))
+    pairs = cut.join(F.broadcast(index), "token")
+    pairs = pairs.where((F.size("b") >= F.col("least")) & (F.least(F.size("tokens") - F.col("i"), F.size("b") - F.col("j")) >= F.col("least")))
+    both = F.size(F.array_intersect("b", "tokens"))
+    found = pairs.where(both >= F.col("least")).select("row", "label", (both / F.size("tokens").cast("double")).alias("share"))
+    return found.groupBy("row").agg(F.collect_set("label").alias("labels"), F.max("share").alias("share"))
+
+
+def places(spaced: Column, phrase: str) -> Column:
+    """struct(n, first, last) of the places of a phrase, words from 0; null where it has none."""
+    own = phrase.split()
+    # Each word gets a space of its own on both sides, so adjacent places never share one.
+    apart = F.replace(spaced, F.lit(" "), F.lit("  "))
+    count = lambda part: F.size(F.filter(F.split(part, " +"), lambda w: w != "")).cast("long")
+
+    def of(parts: Column) -> Column:
+        last = count(spaced) - len(own) - count(F.element_at(parts, -1))
+        return F.struct((F.size(parts) - 1).cast("long").alias("n"), count(F.get(parts, F.lit(0))).alias("first"), last.alias("last"))
+
+    return F.when(holds(spaced, phrase), let(F.split(apart, f" {'  '.join(own)} "), of))
 
 
 def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, text: str = "text", key: str = "doc_id") -> DataFrame:
     """key, n_words, n_base, first_word, last_word, base_labels, labels, score for each row of docs.
 
     score: 1 where a base phrase stands, else the largest containment found (0 where none reaches
-    the threshold). Null and empty texts have no word. Repeated rows each get their result.
+    the threshold). Null and empty texts have no word. Repeated rows, and rows with a null key, each
+    get their result; an empty table gives no row. Equal frequencies are ordered by token, which
+    never changes a result. Columns but the key and the text are not read.
     """
     order = token_order(docs, templates, text)
     rank = {w: k for k, w in enumerate(order)}
-    ordered = [(label, sorted(set(t.split()), key=rank.get)) for label, t in templates]
-    vocabulary = F.array(*map(F.lit, order))
-    ranked = lambda words: F.array_intersect(vocabulary, words)  # noqa: E731  in the order of the first array
-
-    def best(words: Column, label: str) -> Column:
-        """Largest containment of the label's templates in any block of the document."""
-
-        def of(template: list[str]) -> Column:
-            n_words = F.size(words)
-            starts = F.sequence(F.lit(1), F.greatest(n_words - BLOCK // 2, F.lit(1)), F.lit(BLOCK // 2))
-            shares = F.transform(starts, lambda s: let(ranked(F.slice(words, s, F.lit(BLOCK))), lambda b: containment(b, template, threshold)[1]))
-            may, _ = containment(F.col("__tokens"), template, threshold)
-            return F.when(may, F.array_max(shares)).otherwise(0.0)
-
-        return F.greatest(F.lit(0.0), *(of(t) for name, t in ordered if name == label)) if sum(name == label for name, _ in ordered) else F.lit(0.0)
-
-    out = docs.select(F.col(key).alias("__key"), words_of(F.col(text)).alias("__words"))
-    out = out.select("*", ranked(F.col("__words")).alias("__tokens"))
-    # Each word has a space of its own on both sides, so adjacent places never share one.
-    spaced = F.concat(F.lit(" "), F.array_join("__words", "  "), F.lit(" "))
-    n_words = lambda part: ((F.length(part) - F.length(F.replace(part, F.lit(" "), F.lit("")))) / 2).cast("long")
-
-    def places(phrase: str) -> Column:
-        """struct(n, first, last) of the places of a phrase; null where it has none."""
-        own = phrase.split()
-
-        def of(parts: Column) -> Column:
-            last = F.size("__words") - len(own) - n_words(F.element_at(parts, -1))
-            return F.when(F.size(parts) > 1, F.struct((F.size(parts) - 1).cast("long").alias("n"), n_words(F.get(parts, F.lit(0))).alias("first"), last.cast("long").alias("last")))
-
-        every = F.array_contains("__words", own[0])
-        for w in own[1:]:
-            every = F.array_contains("__words", w) & every
-        return F.when(every, let(F.split(spaced, f" {'  '.join(own)} "), of))
-
-    found = {p: places(p) for p, _ in PHRASES}
-    hit = {f"__p{k}": found[p] for k, (p, _) in enumerate(PHRASES)}
-    labels = sorted({name for name, _ in ordered})
-    out = out.select("__key", F.size("__words").cast("long").alias("n_words"), *(c.alias(n) for n, c in hit.items()), *(best(F.col("__words"), name).alias(f"__b{k}") for k, name in enumerate(labels)))
-    base = lambda field: [F.col(f"__p{k}.{field}") for k in range(len(PHRASES))]
-    base_labels = F.array(*(F.when(F.col(f"__p{k}.n") > 0, name) for k, (_, name) in enumerate(PHRASES)))
-    all_labels = F.concat(base_labels, F.array(*(F.when(F.col(f"__b{k}") > 0, name) for k, name in enumerate(labels))))
-    text_of = lambda a: F.array_join(F.array_sort(F.array_distinct(F.array_compact(a))), ",")
-    n_base = sum((F.coalesce(c, F.lit(0)) for c in base("n")), F.lit(0)).cast("long")
-    return out.select(
-        F.col("__key").alias(key), "n_words", n_base.alias("n_base"), F.least(*base("first")).alias("first_word"), F.greatest(*base("last")).alias("last_word"),
-        text_of(base_labels).alias("base_labels"), text_of(all_labels).alias("labels"),
-        F.when(n_base > 0, 1.0).otherwise(F.greatest(*(F.col(f"__b{k}") for k in range(len(labels))))).alias("score"),
+    prefix = set()
+    for _, t in templates:
+        tokens = sorted(set(t.split()), key=rank.get)
+        prefix.update(tokens[: len(tokens) - ceil(threshold * len(tokens) - 1e-9) + 1])
+    s = F.col("s")
+    # One search for each indexed token or phrase; the words of other texts are only counted.
+    some = F.lit(False)
+    for w in [*sorted(prefix), *(p for p, _ in PHRASES)]:
+        some = some | holds(s, w)
+    n_words = F.when(s == "  ", F.lit(0)).otherwise(F.octet_length(s) - F.octet_length(F.replace(s, F.lit(" "), F.lit(""))) - 1).cast("long")
+    own = docs.select(F.col(key).alias("__key"), spaced_words(F.col(text)).alias("s"))
+    own = durable(own.select("__key", n_words.alias("n_words"), F.when(some, s).alias("s"), F.monotonically_increasing_id().alias("row")))
+
+    rest = own.where("s is null").select(
+        "__key", "n_words", F.lit(0).cast("long").alias("n_base"), F.lit(None).cast("long").alias("first_word"), F.lit(None).cast("long").alias("last_word"),
+        F.lit("").alias("base_labels"), F.lit("").alias("labels"), F.lit(0.0).alias("score"),
+    )
+
+    found = own.where("s is not null")
+    hits = matches(found.select("row", F.split(F.btrim("s"), " ").alias("words")), order, templates, threshold)
+    found = found.select("*", *(places(s, p).alias(f"p{k}") for k, (p, _) in enumerate(PHRASES))).join(hits, "row", "left")
+    field = lambda name: [F.col(f"p{k}.{name}") for k in range(len(PHRASES))]
+    base_labels = F.array(*(F.when(F.col(f"p{k}").isNotNull(), label) for k, (_, label) in enumerate(PHRASES)))
+    listed = lambda a: F.array_join(F.array_sort(F.array_distinct(F.array_compact(a))), ",")
+    n_base = sum((F.coalesce(c, F.lit(0)) for c in field("n")), F.lit(0)).cast("long")
+    found = found.select(
+        "__key", "n_words", n_base.alias("n_base"), F.least(*field("first")).alias("first_word"), F.greatest(*field("last")).alias("last_word"),
+        listed(base_labels).alias("base_labels"), listed(F.concat(base_labels, F.coalesce("labels", F.array()))).alias("labels"),
+        F.when(n_base > 0, 1.0).otherwise(F.coalesce("share", F.lit(0.0))).alias("score"),
     )
+    return rest.unionByName(found).withColumnRenamed("__key", key)
