@@ -6,13 +6,12 @@ the n-gram, so one look-up answers for every language at once. A text's n-grams
 for each language; each is corrected for that filter's false-positive rate, and the largest
 corrected share decides.
 
-Learning takes a bounded, documented sample (see fit); the table has 2**BITS slots whatever the
-corpus. Up to 64 languages.
+Learning takes a bounded, documented sample (see fit); a table has 2**BITS slots whatever the
+corpus. A mask holds 64 languages; beyond that there is one table for each 64.
 """
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from dataclasses import dataclass
 
@@ -21,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fascicle.llm.toxicity_nbsvm import sample_ids
+from fascicle.llm.toxicity_nbsvm import LONGEST, sample_ids
 
 SIZES = (3, 4)
 HASHES = 3
@@ -30,9 +29,13 @@ BITS = 16
 GRAMS = 1200
 #: About so many documents of each language are learned from.
 SAMPLE_PER_LANG = 600
+#: At most about so many in all, each of LONGEST bytes at most.
+SAMPLE = 6000
+#: Values of lang that are learned: those with the most documents, so that dirty values cannot grow the model.
+MOST_LANGS = 256
+MASK = 64
 PIECE = 1 << 20
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
 
 
 def gram_hashes(text: str, sizes: tuple[int, ...] = SIZES):
@@ -52,26 +55,29 @@ def gram_hashes(text: str, sizes: tuple[int, ...] = SIZES):
 @dataclass
 class Model:
     langs: list[str]
-    table: np.ndarray
+    tables: list[np.ndarray]
     false_rate: np.ndarray
     sizes: tuple[int, ...] = SIZES
 
-    def masks(self, h: np.ndarray) -> np.ndarray:
-        """For each n-gram, the bitmask of all languages whose filter holds it."""
-        return np.bitwise_and.reduce([self.table[slot(h, k)] for k in range(HASHES)])
+    def masks(self, h: np.ndarray) -> list[np.ndarray]:
+        """For each n-gram, the bitmasks of all languages whose filter holds it, one a table."""
+        slots = [slot(h, k) for k in range(HASHES)]
+        return [np.bitwise_and.reduce([t[s] for s in slots]) for t in self.tables]
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if not text or not self.langs or not LETTER.search(text):
+        """(language, its corrected share of n-grams); of equal shares the language first by name."""
+        if not text or not self.langs or not any(map(str.isalpha, text)):
             return UNKNOWN, 0.0
         hits, total = np.zeros(len(self.langs)), 0
         for h in gram_hashes(text, self.sizes):
-            mask = self.masks(h)
             total += len(h)
-            if len(self.langs) <= 8:
-                seen = np.bincount(mask, minlength=1 << len(self.langs))
-                hits += [seen[(np.arange(len(seen)) >> k & 1) > 0].sum() for k in range(len(self.langs))]
-            else:
-                hits += [np.count_nonzero(mask >> self.table.dtype.type(k) & self.table.dtype.type(1)) for k in range(len(self.langs))]
+            for at, mask in zip(range(0, len(self.langs), MASK), self.masks(h)):
+                n = min(MASK, len(self.langs) - at)
+                if n <= 8:
+                    seen = np.bincount(mask, minlength=1 << n)
+                    hits[at : at + n] += [seen[(np.arange(len(seen)) >> k & 1) > 0].sum() for k in range(n)]
+                else:
+                    hits[at : at + n] += [np.count_nonzero(mask >> mask.dtype.type(k) & mask.dtype.type(1)) for k in range(n)]
         true = np.clip((hits - self.false_rate * total) / (1 - self.false_rate), 0, total)
         best = int(np.argmax(true))
         return self.langs[best], float(true[best] / total)
@@ -86,35 +92,39 @@ def train(texts: list[str], langs: list[str], sizes: tuple[int, ...] = SIZES, gr
 
     Frequency counts the documents that hold an n-gram.
     """
-    names = sorted(set(langs))
-    if len(names) > 64:
-        raise ValueError(f"{len(names)} languages; a mask holds 64")
-    kind = np.dtype(f"u{next(b for b in (1, 2, 4, 8) if 8 * b >= len(names))}")
-    table = np.zeros(1 << BITS, kind)
-    for k, name in enumerate(names):
-        for n in sizes:
-            counts: Counter[int] = Counter()
-            for t, lang in zip(texts, langs):
-                if lang == name:
-                    for h in gram_hashes(t, (n,)):
-                        counts.update(np.unique(h).tolist())
-            top = sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:grams]
-            h = np.array([x[0] for x in top], np.uint64)
-            for j in range(HASHES):
-                table[slot(h, j)] |= kind.type(1 << k)
-    fill = np.array([np.count_nonzero(table >> kind.type(k) & kind.type(1)) for k in range(len(names))]) / len(table)
-    return Model(names, table, np.minimum(fill**HASHES, 0.99), sizes)
+    names, by = sorted(set(langs)), {}
+    for t, lang in zip(texts, langs):
+        by.setdefault(lang, []).append(t)
+    tables, fill = [], []
+    for at in range(0, len(names), MASK):
+        own = names[at : at + MASK]
+        kind = np.dtype(f"u{next(b for b in (1, 2, 4, 8) if 8 * b >= len(own))}")
+        table = np.zeros(1 << BITS, kind)
+        for k, name in enumerate(own):
+            for n in sizes:
+                counts: Counter[int] = Counter()
+                for t in by[name]:
+                    seen = [np.unique(h) for h in gram_hashes(t, (n,))]
+                    counts.update(np.unique(np.concatenate(seen)).tolist() if len(seen) > 1 else seen[0].tolist() if seen else [])
+                top = sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:grams]
+                h = np.array([x[0] for x in top], np.uint64)
+                for j in range(HASHES):
+                    table[slot(h, j)] |= kind.type(1 << k)
+        tables.append(table)
+        fill += [np.count_nonzero(table >> kind.type(k) & kind.type(1)) / len(table) for k in range(len(own))]
+    return Model(names, tables, np.minimum(np.array(fill) ** HASHES, 0.99), sizes)
 
 
 def fit(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG, train_fold: Column | None = None) -> Model:
     """Learn from documents with a language. Null languages and texts are ignored.
 
     per_lang bounds the sample: about so many ids of each language, chosen by a hash of the id;
-    of repeated ids the smallest text counts.
+    of repeated ids the smallest text counts. MOST_LANGS bounds the languages. An empty table gives
+    a model that answers und.
     """
-    known = docs.where("lang is not null and doc_id is not null")
+    known = docs.where("lang is not null and doc_id is not null").where(F.octet_length(F.coalesce("text", F.lit(""))) <= LONGEST)
     known = known.where(train_fold) if train_fold is not None else known
-    ids = sample_ids(known.select("doc_id", "lang"), "lang", "doc_id", per_lang).distinct()
+    ids = sample_ids(known.select("doc_id", "lang"), "lang", "doc_id", per_lang, MOST_LANGS, SAMPLE).distinct()
     # Bounded by per_lang for each language, so the broadcast is safe at any size of the corpus.
     rows = known.select("doc_id", "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text")).collect()
     rows = sorted((r for r in rows if r["text"]), key=lambda r: (r["doc_id"], r["lang"]))
@@ -122,7 +132,10 @@ def fit(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG, train_fold: Column | N
 
 
 def predict(text: Column, model: Model) -> Column:
-    """struct(lang_pred, score) for each whole text; und for null texts and texts without a letter."""
+    """struct(lang_pred, score) for each whole text; und for null texts and texts without a letter.
+
+    A letter is what Unicode calls one. Repeated rows get equal results; no other column is read.
+    """
 
     @F.arrow_udf("lang_pred string, score double")
     def of(a: pa.Array) -> pa.Array:

@@ -21,6 +21,8 @@ SIZES = (5,)
 BITS = 18
 #: At most about so many labelled rows of each class are learned from.
 SAMPLE_PER_CLASS = 1500
+#: Longer texts (bytes) are scored but not learned from, so that the sample is bounded in bytes too.
+LONGEST = 1 << 16
 PIECE = 1 << 20
 FOLDS = 3
 
@@ -114,13 +116,15 @@ def train(texts: list[str], toxic: list[int], rate: float | None = None, bits: i
     return Model(weights, bias - float(shift), bits, sizes)
 
 
-def sample_ids(rows: DataFrame, by: str, key: str, bound: int) -> DataFrame:
+def sample_ids(rows: DataFrame, by: str, key: str, bound: int, most: int = 256, total: int = 1 << 30) -> DataFrame:
     """About `bound` keys at most of each value of `by`, chosen by a hash of the key.
 
     Counts every row; the thresholds follow from the counts, so the sample does not depend on
-    how the table is split, and what it returns is bounded by the parameter.
+    how the table is split, and what it returns is bounded by the parameters. Of more than
+    `most` values those with the most rows count, of equals the first; all share `total`.
     """
-    counts = rows.groupBy(by).count().collect()  # one row a class
+    counts = rows.groupBy(by).count().orderBy(F.desc("count"), by).limit(most).collect()
+    bound = min(bound, total // max(len(counts), 1))
     share = F.lit(0.0)
     for r in counts:
         share = F.when(F.col(by).eqNullSafe(F.lit(r[by])), F.lit(min(1.0, bound / r["count"]))).otherwise(share)
@@ -134,21 +138,27 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, t
     labels: doc_id, toxic (0 or 1). Rows with a null id or label are ignored; of conflicting
     labels of one id the toxic one counts; of repeated ids in docs the smallest text counts.
     train_fold: a Column on labels that is true for rows that may be learned from.
-    per_class bounds the sample: about so many ids of each class reach the driver.
+    per_class bounds the sample: about so many ids of each class reach the driver, without texts
+    of more than LONGEST bytes. Without rows of both classes (an empty table too) the model is
+    constant.
     """
     known = labels.where("doc_id is not null and toxic is not null")
     known = known.where(train_fold) if train_fold is not None else known
     known = known.groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("__toxic"))
     ids = sample_ids(known, "__toxic", "doc_id", per_class)
     # Bounded by per_class, so the broadcast is safe at any size of the corpus.
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id", "__toxic").agg(F.min("text").alias("text")).collect()
+    short = docs.select("doc_id", "text").where(F.octet_length(F.coalesce("text", F.lit(""))) <= LONGEST)
+    rows = short.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "__toxic").agg(F.min("text").alias("text")).collect()
     rows.sort(key=lambda r: r["doc_id"])
     rate = known.agg(F.avg("__toxic")).first()[0]
     return train([r["text"] or "" for r in rows], [r["__toxic"] for r in rows], rate)
 
 
 def score(text: Column, model: Model) -> Column:
-    """Probability of label 1 for each whole text; null counts as empty."""
+    """Probability of label 1 for each whole text; null counts as empty.
+
+    Repeated rows get equal scores; no other column is read.
+    """
 
     @F.arrow_udf("double")
     def of(a: pa.Array) -> pa.Array:
