@@ -58,8 +58,8 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = read(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
-    said = "</s>[INST] ok [/INST]"
-    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    said = "'</s>[INST] ok [/INST]'"
+    extra = spark.sql(f"SELECT * FROM VALUES (-7L, 0L, 'user', {said}), (-7L, 1L, 'assistant', {said}) AS t(conv_id, turn, role, text)")
     return chat_format.digest(chat_format.format_conversations(turns.unionByName(extra)))
 
 
@@ -74,16 +74,16 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _license_sql() -> str:
-    """Brute force: every block of every text against every template."""
+    """Brute force: the block at every word of every text that holds enough tokens, against every template."""
     templates = ", ".join(f"({k}, '{label}', {sorted(set(t.split()))}, {ceil(license_join.THRESHOLD * len(set(t.split())) - 1e-9)})" for k, (label, t) in enumerate(license_join.TEMPLATES))
     phrases = ", ".join(f"('{label}', {p.split()}, {len(p.split())})" for p, label in license_join.PHRASES)
-    half = license_join.BLOCK // 2
     return f"""
 WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w FROM documents),
 t(k, label, tokens, need) AS (VALUES {templates}),
 p(label, tokens, n) AS (VALUES {phrases}),
-b AS (SELECT doc_id, list_slice(w, s, s + {license_join.BLOCK - 1}) AS block FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {half}, 1) + 1, {half})) AS s FROM d WHERE list_has_any(w, ['license', 'redistribution', 'permission']))),
-m AS (SELECT doc_id, label, max(len(list_intersect(list_distinct(block), tokens)) / len(tokens)) AS share FROM b, t WHERE len(list_intersect(list_distinct(block), tokens)) >= need GROUP BY ALL),
+c AS (SELECT DISTINCT doc_id, w FROM d, t WHERE len(list_intersect(list_distinct(w), t.tokens)) >= need),
+b AS (SELECT doc_id, list_distinct(list_slice(w, s, s + {license_join.BLOCK - 1})) AS block FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS s FROM c)),
+m AS (SELECT doc_id, label, max(len(list_intersect(block, t.tokens)) / len(t.tokens)) AS share FROM b, t WHERE len(list_intersect(block, t.tokens)) >= need GROUP BY ALL),
 a AS (SELECT doc_id, label, pos - 1 AS pos FROM (SELECT doc_id, w, p.label, p.tokens, p.n, unnest(range(1, len(w) - p.n + 2)) AS pos FROM d, p WHERE list_contains(w, p.tokens[1])) WHERE list_slice(w, pos, pos + n - 1) = tokens),
 base AS (SELECT doc_id, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM a GROUP BY doc_id),
 every_label AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM a UNION SELECT doc_id, label FROM m) GROUP BY doc_id),
@@ -96,21 +96,35 @@ FROM d LEFT JOIN base USING (doc_id) LEFT JOIN every_label USING (doc_id) LEFT J
 def _url_sql() -> str:
     fits = sorted(url_reputation.RULES, key=lambda r: -len(r[1] + r[2]))
     when = lambda value: "CASE " + " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{value((v, h, p))}'" for v, h, p in fits) + " END"
-    k, second = url_reputation.STRENGTH, "|".join(url_reputation.SECOND_LEVEL)
+    u, second = url_reputation, "|".join(url_reputation.SECOND_LEVEL)
+    strength = lambda n, bad, prior, table: (
+        f"(SELECT coalesce(1 / greatest(1 / {u.MOST + 1}::DOUBLE, least(over_ / room, 1 / {u.LEAST + 1}::DOUBLE)) - 1, {u.USUAL}::DOUBLE) FROM (SELECT sum({n} * ({bad} / {n} - {prior}) * ({bad} / {n} - {prior}) - {prior} * (1 - {prior})) AS over_, nullif(greatest(sum({prior} * (1 - {prior}) * ({n} - 1)), 0), 0) AS room FROM {table} WHERE {n} > 0))"
+    )
+    soft = lambda t: f"(greatest({t}, 0) + ln(1 + exp(-abs({t}))))"
+    t = f"(cut + deviation * SIGN * {u.STEP}::DOUBLE * k)"
+    side = f"list_sum(list_transform(range(0, {u.REACH + 1}), lambda k: CASE WHEN k IN (0, {u.REACH}) THEN 1.0::DOUBLE WHEN k % 2 = 1 THEN 4 ELSE 2 END * exp(a * ({t} - mode) - (a + b) * ({soft(t)} - {soft('mode')}))))"
+    above, below = side.replace("SIGN", "1"), side.replace("SIGN", "-1")
     return f"""
 WITH u AS (SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
 o AS (SELECT doc_id AS page_id, max(1 - quality) AS bad FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
 h0 AS (SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS bad, regexp_replace(regexp_replace(host, '^.*@', ''), '(:[0-9]*)?\\.*$', '') AS bare FROM u LEFT JOIN o USING (page_id) GROUP BY host),
-h AS (SELECT host, n, bad, CASE WHEN regexp_matches(bare, '^[0-9]+(\\.[0-9]+){{3}}$') THEN bare ELSE coalesce(nullif(regexp_extract(bare, '([^.]+\\.(?:(?:{second})\\.[a-z]{{2}}|[^.]+))$', 1), ''), bare) END AS domain,
+h AS (SELECT host, n::DOUBLE AS n, bad::DOUBLE AS bad, CASE WHEN regexp_matches(bare, '^[0-9]+(\\.[0-9]+){{3}}$') THEN bare ELSE coalesce(nullif(regexp_extract(bare, '([^.]+\\.(?:(?:{second})\\.[a-z]{{2}}|[^.]+))$', 1), ''), bare) END AS domain,
   CASE WHEN regexp_matches(bare, '^[0-9]+(\\.[0-9]+){{3}}$') THEN '' WHEN regexp_matches(bare, '(^|\\.)({second})\\.[a-z]{{2}}$') THEN regexp_extract(bare, '((?:{second})\\.[a-z]{{2}})$', 1) ELSE regexp_extract(bare, '([^.]*)$', 1) END AS suffix FROM h0),
 d AS (SELECT domain, suffix, sum(n) AS dn, sum(bad) AS db FROM h GROUP BY ALL),
 s AS (SELECT suffix, sum(dn) AS sn, sum(db) AS sb FROM d GROUP BY ALL),
-w AS (SELECT (coalesce(sum(sb), 0) + 0.5::DOUBLE) / (coalesce(sum(sn), 0) + 1.0::DOUBLE) AS base FROM s),
-sr AS (SELECT suffix, (sb + {k}::DOUBLE * base) / (sn + {k}::DOUBLE) AS s_rate FROM s, w),
-dr AS (SELECT domain, suffix, (db + {k}::DOUBLE * s_rate) / (dn + {k}::DOUBLE) AS d_rate FROM d JOIN sr USING (suffix)),
-r AS (SELECT host, (bad + {k}::DOUBLE * d_rate) / (n + {k}::DOUBLE) AS rate, n + {k}::DOUBLE AS total FROM h JOIN dr USING (domain, suffix))
+w AS (SELECT coalesce(sum(sb), 0) AS wb, coalesce(sum(sn), 0) AS wn FROM s),
+sp AS (SELECT s.*, (wb - sb + 0.5::DOUBLE) / (wn - sn + 1.0::DOUBLE) AS s_prior FROM s, w),
+ss AS (SELECT {strength("sn", "sb", "s_prior", "sp")} AS k),
+dp AS (SELECT d.*, (sb - db + k * s_prior) / (sn - dn + k) AS d_prior FROM d JOIN sp USING (suffix), ss),
+ds AS (SELECT {strength("dn", "db", "d_prior", "dp")} AS k),
+hp AS (SELECT h.host, n, bad, (db - bad + k * d_prior) / (dn - n + k) AS h_prior FROM h JOIN dp USING (domain, suffix), ds),
+hs AS (SELECT {strength("n", "bad", "h_prior", "hp")} AS k),
+ab AS (SELECT host, bad + k * h_prior + 0.5::DOUBLE AS a, n - bad + k * (1 - h_prior) + 0.5::DOUBLE AS b FROM hp, hs),
+z AS (SELECT host, a, b, ln(a / b) AS mode, sqrt(1 / a + 1 / b) AS deviation, ln({u.LIMIT / (1 - u.LIMIT)}::DOUBLE) AS cut FROM ab),
+x AS (SELECT *, {above} AS above, {below} AS below FROM z),
+r AS (SELECT host, CASE WHEN cut - mode < -8 * deviation THEN 1 WHEN cut - mode > 8 * deviation THEN 0 ELSE above / (above + below) END AS over_ FROM x)
 SELECT page_id, host, path, {when(lambda r: r[1] + r[2])} AS rule,
-  coalesce({when(lambda r: r[0])}, CASE WHEN host <> '' AND rate - {url_reputation.Z}::DOUBLE * sqrt(rate * (1 - rate) / (total + 1)) > {url_reputation.LIMIT} THEN 'block' ELSE 'allow' END) AS verdict
+  coalesce({when(lambda r: r[0])}, CASE WHEN host <> '' AND over_ >= {u.CONFIDENCE} THEN 'block' ELSE 'allow' END) AS verdict
 FROM u LEFT JOIN r USING (host)"""
 
 

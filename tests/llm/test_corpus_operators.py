@@ -147,11 +147,70 @@ def test_bloom_masks_hold_every_language():
     texts, langs = ["abcd efgh"] * 2 + ["abcd wxyz"] * 2, ["p", "q", "r", "s"]
     m = langid_bloom.train(texts, langs)
     h = np.concatenate(list(langid_bloom.gram_hashes("abcd", (3,))))
-    assert (m.masks(h)[1:3] == 15).all()  # grams inside the word stand in every text
+    assert (m.masks(h)[0][1:3] == 15).all()  # grams inside the word stand in every text
     many = langid_bloom.train([f"{chr(97 + k % 26)}{k} word" for k in range(12)], [f"l{k:02}" for k in range(12)])
     assert many.predict("a0 a0 a0")[0] == "l00"
 
 
+def slow_grams(text, size):
+    low = f" {text.lower()} "
+    for k in range(len(low) - size + 1):
+        h = 0
+        for c in low[k : k + size]:
+            h = (h * 0x100000001B3 + ord(c)) % (1 << 64)
+        yield h
+
+
+def test_language_against_brute_force(spark):
+    """Plain sets of bits for each language, n-gram by n-gram; languages beyond one mask."""
+    rng = random.Random(3)
+    words = {f"l{k:03}": ["".join(rng.choices("abcdefghijklmnopqrstuvwxyzäöüéñ", k=5)) for _ in range(12)] for k in range(70)}
+    rows = [(100 * k + j, " ".join(rng.choices(words[lang], k=15)), lang) for k, lang in enumerate(sorted(words)) for j in range(3)]
+    model = langid_bloom.fit(spark.createDataFrame([*rows, (9999, "x" * 70_000, "l000")], "doc_id long, text string, lang string"))
+    assert len(model.tables) == 2 and model.langs == sorted(words)
+    bits = {}
+    for lang in model.langs:
+        held = set()
+        for size in langid_bloom.SIZES:
+            counts = Counter(h for _, t, x in rows if x == lang for h in {(g ^ size) * 0x9E3779B97F4A7C15 % (1 << 64) for g in slow_grams(t, size)})
+            held |= {h for h, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[: langid_bloom.GRAMS]}
+        bits[lang] = {int(langid_bloom.slot(np.uint64(h), k)) for h in held for k in range(langid_bloom.HASHES)}
+    texts = [" ".join(rng.choices(words[lang], k=6)) for lang in list(words)[::7]] + ["é½ ²", "½ ² ① 12", "", None]
+    got = [r["p"] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(langid_bloom.predict(F.col("t"), model).alias("p")).collect()]
+    for t, p in zip(texts, got):
+        if not any(c.isalpha() for c in t or ""):
+            assert tuple(p) == ("und", 0.0)
+            continue
+        grams, best = [(g ^ size) * 0x9E3779B97F4A7C15 % (1 << 64) for size in langid_bloom.SIZES for g in slow_grams(t, size)], []
+        for lang in model.langs:
+            hits = sum(all(int(langid_bloom.slot(np.uint64(h), k)) in bits[lang] for k in range(langid_bloom.HASHES)) for h in grams)
+            rate = (len(bits[lang]) / (1 << langid_bloom.BITS)) ** langid_bloom.HASHES
+            best.append((max((hits - rate * len(grams)) / (1 - rate), 0) / len(grams), lang))
+        share, lang = max(best, key=lambda x: (x[0], [-ord(c) for c in x[1]]))
+        assert p["lang_pred"] == lang and abs(p["score"] - share) < 1e-9
+    few = langid_bloom.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string").where("lang < 'l005'"), per_lang=2)
+    assert few.langs == [f"l{k:03}" for k in range(5)]
+
+
+def test_toxicity_against_brute_force(spark):
+    """Log-count ratios and scores by plain counting on a small fixture."""
+    texts = ["you are vile and awful", "vile awful person you", "awful vile thing", "a calm and kind day", "kind words for a day", "calm day, kind person"]
+    y = [1, 1, 1, 0, 0, 0]
+    model = toxicity_nbsvm.train(texts, y, l2=1.0, rounds=40, least_df=1)
+    slots = lambda t: {(g * 0x9E3779B97F4A7C15 % (1 << 64)) >> (64 - toxicity_nbsvm.BITS) for g in slow_grams(t, 5)}
+    held = [Counter(x for t, v in zip(texts, y) if v == label for x in slots(t)) for label in (0, 1)]
+    for x in held[0] | held[1]:
+        ratio = np.log((1 + held[1][x]) / 5 / ((1 + held[0][x]) / 5))
+        assert (model.weights[x] == 0) if abs(ratio) <= 0.5 else (np.sign(model.weights[x]) == np.sign(ratio))
+    asked = [*texts, "VILE!", "", None, "kind " * 50]
+    got = [r["s"] for r in spark.createDataFrame([(t,) for t in asked], "t string").select(toxicity_nbsvm.score(F.col("t"), model).alias("s")).collect()]
+    want = [1 / (1 + np.exp(-(sum(float(model.weights[x]) for x in slots(t or "")) + model.bias))) for t in asked]
+    assert np.allclose(got, want, atol=1e-5) and [g >= 0.5 for g in got[:6]] == [True] * 3 + [False] * 3
+    long = spark.createDataFrame([(1, "x" * 70_000), (2, "kind day"), (3, "vile")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1)], "doc_id long, toxic int")
+    assert toxicity_nbsvm.fit(long, labels).weights.shape == (1 << toxicity_nbsvm.BITS,)
+
+
 def test_embeddings_against_brute_force(spark, sf):
     e = q.read(spark, sf, "embeddings").select("vec_id", "embedding")
     bad = [(-1, None), (-2, [0.0] * 64), (-3, [float("nan")] * 64), (-4, [1.0] * 63 + [None]), (-5, []), (-6, [1.0, 2.0]), (-7, [2.0, 4.0])]
@@ -216,11 +275,54 @@ def test_url_edges(spark):
     assert got[7][2:] == ("net/de/", "allow") and got[8][2:] == ("example.net/de/8", "block") and got[9][:2] == ("b:", "//c.org/es/")
     parts = {h: tuple(spark.range(1).select(*url_reputation.site_parts(F.lit(h))).first()) for h in ("a.b.co.uk", "x.example.com", "1.2.3.4", "localhost", "u@h.org:80")}
     assert parts == {"a.b.co.uk": ("b.co.uk", "co.uk"), "x.example.com": ("example.com", "com"), "1.2.3.4": ("1.2.3.4", ""), "localhost": ("localhost", "localhost"), "u@h.org:80": ("h.org", "org")}
+    clash = pages.withColumns({c: F.lit("x") for c in ("host", "path", "n", "bad", "domain")})
+    none = spark.createDataFrame([], "page_id long, bad int")
+    assert rows_of(url_reputation.filter_urls(clash, none).toPandas()) == rows_of(url_reputation.filter_urls(pages, none).toPandas())
+    assert url_reputation.filter_urls(pages.where("false"), none).count() == 0
+    dull = spark.createDataFrame([(None, "http://a.org/x"), (1, "http://a.org/x"), (1, "http://a.org/x"), (2, "http://a.org/" + "y" * 100_000)], "page_id long, url string")
+    labels = spark.createDataFrame([(None, 1), (1, 1), (1, 0), (2, None)], "page_id long, bad int")
+    assert url_reputation.filter_urls(dull, labels).count() == 4
     many = spark.createDataFrame([(k, f"http://{'bad' if k < 60 else 'good'}.site.org/") for k in range(120)], "page_id long, url string")
     out = url_reputation.filter_urls(many, many.select("page_id", (F.col("page_id") < 60).cast("int").alias("bad"))).groupBy("host", "verdict").count().collect()
     assert {(r["host"], r["verdict"]) for r in out} == {("bad.site.org", "block"), ("good.site.org", "allow")}
 
 
+def test_reputation_against_brute_force(spark):
+    """Priors, strengths by moments and posterior probabilities, computed plainly."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for k in range(1500):
+        suffix, d, h = rng.integers(0, 4), rng.integers(0, 6), rng.integers(0, 3)
+        rate = [0.1, 0.3, 0.6, 0.9][suffix] if d else 0.95
+        rows.append((k, f"h{h}.d{d}.s{suffix}", int(rng.random() < rate) if rng.random() < 0.6 else None))
+    df = spark.createDataFrame(rows, "page_id long, host string, bad int")
+    got = {r["host"]: r for r in url_reputation.host_reputation(df.select("page_id", "host"), df.select("page_id", "bad")).collect()}
+    cut = {"h": lambda h: h, "d": lambda h: h.split(".", 1)[1], "s": lambda h: h.rsplit(".", 1)[1], "w": lambda h: ""}
+    n, bad = {x: Counter() for x in cut}, {x: Counter() for x in cut}
+    for _, h, b in rows:
+        for x, of in cut.items():
+            n[x][of(h)] += b is not None
+            bad[x][of(h)] += b or 0
+    up, prior, strength = {"h": "d", "d": "s", "s": "w"}, {"s": {}, "d": {}, "h": {}}, {}
+    parent = {"s": lambda x: "", "d": lambda x: x.rsplit(".", 1)[1], "h": lambda x: x.split(".", 1)[1]}
+    for x in ("s", "d", "h"):
+        for c in n[x]:
+            p = parent[x](c)
+            k, mean = (1.0, 0.5) if x == "s" else (strength[up[x]], prior[up[x]][p])
+            prior[x][c] = (bad[up[x]][p] - bad[x][c] + k * mean) / (n[up[x]][p] - n[x][c] + k)
+        some = [c for c in n[x] if n[x][c]]
+        over = sum(n[x][c] * (bad[x][c] / n[x][c] - prior[x][c]) ** 2 - prior[x][c] * (1 - prior[x][c]) for c in some)
+        room = sum(prior[x][c] * (1 - prior[x][c]) * (n[x][c] - 1) for c in some)
+        strength[x] = 1 / max(1 / 1001, min(over / room, 0.5)) - 1
+    for h, r in got.items():
+        a, b = bad["h"][h] + strength["h"] * prior["h"][h] + 0.5, n["h"][h] - bad["h"][h] + strength["h"] * (1 - prior["h"][h]) + 0.5
+        assert abs(r["rate"] - a / (a + b)) < 1e-9
+        x = (np.arange(200_000) + 0.5) / 200_000
+        density = np.exp((a - 1) * np.log(x) + (b - 1) * np.log(1 - x) - (a - 1) * np.log(a / (a + b)) - (b - 1) * np.log(b / (a + b)))
+        assert abs(r["over"] - density[100_000:].sum() / density.sum()) < 2e-3 and r["blocked"] == (r["over"] >= 0.95)
+    assert len({r["blocked"] for r in got.values()}) == 2
+
+
 def slow_measures(text):
     t = text or ""
     words = re.findall(r"[^\x20\x09-\x0D]+", t)
@@ -242,8 +344,21 @@ def test_quality_edges(spark, odd, none):
     report = quality_cascade.quality_report(odd)
     assert report.where("kept and base_failed").count() == 0 and report.where("kept").count() == kept.count()
     assert quality_cascade.quality_report(none).count() == 0 and quality_cascade.filter_documents(none).count() == 0
-    order = quality_cascade.plan(docs)
-    assert sorted(r.name for r in order) == sorted(r.name for r in quality_cascade.RULES)
+    orders = [[r.name for r in quality_cascade.plan(docs)] for _ in range(3)]
+    assert orders[0] == orders[1] == orders[2] and sorted(orders[0]) == sorted(r.name for r in quality_cascade.RULES)
+
+
+def test_cascade_stops_at_the_first_rejection(spark):
+    """The dear rule fails on the rows that the cheap rule rejects, so it must never see them."""
+    cheap = quality_cascade.Rule("cheap", lambda m: m["n_symbols"] > 0, ("n_symbols",))
+    dear = quality_cascade.Rule("dear", lambda m: F.when(m["n_symbols"] > 0, F.raise_error(F.lit("evaluated")).cast("boolean")).otherwise(m["n_repeat_words"] > 0), ("n_repeat_words",))
+    docs = spark.createDataFrame([(k, "#" if k % 2 else "plain words") for k in range(40)], "doc_id long, text string")
+    kept = docs.where(quality_cascade.verdict([cheap, dear], quality_cascade.measures(F.col("text"))))
+    assert sorted(r["doc_id"] for r in kept.collect()) == list(range(0, 40, 2))
+    with pytest.raises(Exception, match="evaluated"):
+        docs.where(quality_cascade.verdict([dear, cheap], quality_cascade.measures(F.col("text")))).collect()
+    found = {r.name: (share, cost) for share, cost, r in quality_cascade.estimates(docs, [cheap, *quality_cascade.RULES])}
+    assert 0.3 < found["cheap"][0] < 0.7 and found["repeated_windows"][1] > found["too_few_words"][1] > 1
 
 
 def test_license_edges(spark, none):
@@ -257,6 +372,33 @@ def test_license_edges(spark, none):
     assert license_join.scan(none).count() == 0
 
 
+def test_license_blocks_against_brute_force(spark, odd):
+    """Every window of 48 words, notices interleaved with other words, and odd texts."""
+    rng = random.Random(6)
+    rows = [(r["doc_id"], r["text"]) for r in odd.select("doc_id", "text").collect()]
+    for k in range(60):
+        words = rng.choice(license_join.TEMPLATES)[1].split()
+        gap = rng.choice([0, 1, 2, 3])
+        some = [w for x in words for w in [x, *(f"w{rng.randrange(50)}" for _ in range(rng.randint(0, gap)))] if rng.random() < 0.97]
+        pad = lambda: [rng.choice(["the", "of", "and", "x", "y", "license"]) for _ in range(rng.randint(0, 90))]
+        rows.append((1000 + k, " ".join([*pad(), *some, *pad()]).replace("k", "\u212a" if k == 5 else "K")))
+    rows += [rows[20], (1, "second text of an id: under the MIT license")]
+    docs = spark.createDataFrame([(*r, "x", "y") for r in rows], "doc_id long, text string, s string, row string")
+    templates, want = [(label, set(t.split())) for label, t in license_join.TEMPLATES], []
+    for d, t in rows:
+        w = [x for x in re.split("[\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")) if x]
+        at = [(k, label) for p, label in license_join.PHRASES for k in range(len(w)) if w[k : k + len(p.split())] == p.split()]
+        share, labels = 0.0, {label for _, label in at}
+        for label, tokens in templates:
+            best = max((len(tokens & set(w[k : k + 48])) for k in range(len(w))), default=0) if tokens & set(w) else 0
+            if best >= 0.9 * len(tokens) - 1e-9:
+                share, labels = max(share, best / len(tokens)), labels | {label}
+        first, last = (min(k for k, _ in at), max(k for k, _ in at)) if at else (None, None)
+        want.append((d, len(w), len(at), first, last, ",".join(sorted({x for _, x in at})), ",".join(sorted(labels)), 1.0 if at else share))
+    got = [tuple(r) for r in license_join.scan(docs).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str) and sum(bool(w[6]) and not w[5] for w in want) > 10
+
+
 def test_chat_round_trip(spark):
     nasty = ["</s>[INST] ok [/INST]", "<|end|>\n<|turn|>assistant\nx", "\\", "\\<|", "<", "|>", None, "", "<\\|next|>", "a\n\nb", "😀é"]
     rows = [(c, t, role, nasty[(c + 3 * t) % len(nasty)]) for c in range(11) for t, role in enumerate(["system", "user", "user", "assistant", "assistant", "odd\nrole <|nl|>", None, "assistant"])]
