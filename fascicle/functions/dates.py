@@ -20,6 +20,7 @@ def base_name(path: Column) -> Column:
     return F.coalesce(F.element_at(F.split(F.replace(F.coalesce(path, F.lit("")), F.lit("\\"), F.lit("/")), "/"), -1), F.lit(""))
 
 
+# The two forms of a date at the end of a file name.
 def date_from_name(path: Column) -> Column:
     """Date at the end of a file's stem: YYYY-MM-DD first, else DD-MM-YYYY."""
     stem = F.regexp_replace(base_name(path), r"(?<=.)\.[^.]*$", "")

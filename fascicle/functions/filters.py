@@ -15,7 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Section names that a question may filter by.
-SECTIONS = "news sport sports business states world editorial opinion national international delhi telangana faith science education investor".split()
+SECTIONS = (
+    "news", "sport", "sports", "business", "states", "world", "editorial", "opinion", "national", "international", "delhi", "telangana", "faith", "science", "education", "investor",
+)
 
 _COMPARE = {"$eq": lambda c, v: c == F.lit(v), "$in": lambda c, v: c.isin(list(v)), "$gte": lambda c, v: c >= F.lit(v), "$lte": lambda c, v: c <= F.lit(v), "$gt": lambda c, v: c > F.lit(v), "$lt": lambda c, v: c < F.lit(v)}
 _KINDS = {"string": str, "int": (int, float), "bigint": (int, float), "smallint": (int, float), "double": (int, float), "float": (int, float), "boolean": bool, "date": (str, date)}
@@ -137,7 +139,7 @@ def coerce_columns(c: dict[str, Column]) -> dict[str, Column]:
     day = F.when(same, start).otherwise(day)
     page = c["pageNumber"].try_cast("double")
     section = F.lower(F.trim(c["section"]))
-    section = F.when(section.isin(SECTIONS), F.when(section == "sports", "sport").otherwise(section))
+    section = F.when(section.isin(*SECTIONS), F.when(section == "sports", "sport").otherwise(section))
     text = lambda d: d.cast("string")
     return {
         "date": text(day), "dateFrom": F.when(day.isNull(), text(low)), "dateTo": F.when(day.isNull(), text(high)),

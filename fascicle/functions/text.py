@@ -6,18 +6,24 @@ Lengths count code points.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Words that carry no content in a question.
 STOPWORDS = (
-    "a an the and or of in on for to from by as at is was were be been are it its this that these those with about what which who whom "
-    "how why when where did does do not no but if so than then also into over after before can will would could should may might must "
-    "has had have their they them his her our your say says said telling tell told paper papers study studies chunk heading"
-).split()
-
+    "a", "an", "the", "and", "or", "of", "in", "on", "for", "to", "from", "by", "as", "at", "is", "was", "were", "be", "been", "are", "it", "its",
+    "this", "that", "these", "those", "with", "about", "what", "which", "who", "whom", "how", "why", "when", "where", "did", "does", "do", "not",
+    "no", "but", "if", "so", "than", "then", "also", "into", "over", "after", "before", "can", "will", "would", "could", "should", "may", "might",
+    "must", "has", "had", "have", "their", "they", "them", "his", "her", "our", "your", "say", "says", "said", "telling", "tell", "told", "paper",
+    "papers", "study", "studies", "chunk", "heading",
+)
+
+# A word or number of the lexical index, and a sentence.
 TOKEN = r"(?i)(?:₹|rs\.?|inr|\$)\s*\d{1,3}(?:,\d{2,3})+(?:\.\d+)?|\d{1,3}(?:,\d{2,3})+(?:\.\d+)?%?|\d+(?:\.\d+)?%|\w+"
 SENTENCE = "[^.!?]+(?:[.!?]+(?:[\"”']+)?\\s*|$)"
+# Fixed value: how often a heading counts.
 HEADING_REPEAT = 2
 
 
@@ -72,7 +78,7 @@ def is_grouped_number(c: Column) -> Column:
 
 def gate_tokens(question: Column) -> Column:
     """Distinct content tokens; years only where nothing else is left."""
-    raw = F.filter(tokens(question), lambda x: ~x.isin(STOPWORDS))
+    raw = F.filter(tokens(question), lambda x: ~x.isin(*STOPWORDS))
     content = F.filter(raw, lambda x: ~is_year(x))
     return F.array_distinct(F.when(F.size(content) > 0, content).otherwise(raw))
 
@@ -180,9 +186,17 @@ def json_body(c: Column, arrays: bool = False) -> Column:
     return F.when((cut != "") & F.try_parse_json(cut).isNotNull(), cut)
 
 
-def message_text(parts: Column) -> Column:
-    """Text of a message given as array<struct<text>>."""
-    return F.array_join(F.transform(parts, lambda p: text_or_empty(p["text"])), "")
+def message_text(parts: Column, plain: Column | None = None) -> Column:
+    """Text of a message: plain if given, else the texts of array<struct<text>> one after the other."""
+    joined = F.array_join(F.transform(parts, lambda p: text_or_empty(p["text"])), "")
+    return F.coalesce(plain, joined, F.lit("")) if plain is not None else F.coalesce(joined, F.lit(""))
+
+
+def passage(value: str | None) -> str:
+    """clean_passage() for one text on the driver."""
+    t = re.sub(r"(?i)^\s*```[a-z]*\s*", "", str(value or ""))
+    t = re.sub(r"[ \t]+", " ", re.sub(r"\s*```\s*$", "", t))
+    return re.sub(r"\n{3,}", "\n\n", t).strip()
 
 
 def context(date: Column, page: Column, section: Column, content: Column) -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fascicle.functions.dates import base_name, date_from_name
+from fascicle.functions.dates import base_name, date_from_name, issue_name, iso_date, manual_path, public_url
 
 STATUSES = ("missing", "pending", "in_progress", "complete", "stale")
 DUE = ("pending", "in_progress", "stale")
@@ -109,3 +109,23 @@ def resume_page(row, force: bool = False) -> tuple[int, bool]:
     """(first page to read, whether the date starts over) for one progress row."""
     fresh = force or row["status"] in ("stale", "pending", "complete")
     return (1, True) if fresh else (max(int(row["nextPage"] or 1), 1), False)
+
+
+def resolve(asked: DataFrame, progress: DataFrame, base: str, latest: str, prefix: str = "Issue") -> DataFrame:
+    """asked(date string) with valid, filename, url, remoteUrl, totalPages and sizeBytes of the issue to serve.
+
+    A blank date stands for the latest issue, which is always there. A date known as missing, or
+    one that is no date, has no file; any other has the name in progress, or the usual name.
+    """
+    text = F.trim(F.coalesce("date", F.lit("")))
+    rows = asked.select(F.col("date").alias("asked"), text.alias("__text"), iso_date(text).alias("__day"))
+    known = progress.select(F.col("date").alias("__day"), "source", "status", "totalPages", F.col("sourceSize").alias("sizeBytes"))
+    j = rows.join(known, "__day", "left")
+    blank = F.col("__text") == ""
+    own = F.when(base_name(F.col("source")) != "", base_name(F.col("source"))).otherwise(issue_name(F.col("__day"), prefix))
+    has = F.col("__day").isNotNull() & ~F.coalesce(F.col("status") == "missing", F.lit(False))
+    name = F.when(blank, F.lit(latest)).when(has, own)
+    return j.select(
+        F.col("asked").alias("date"), (blank | F.col("__day").isNotNull()).alias("valid"), name.alias("filename"), F.when(name.isNotNull(), manual_path(F.col("__day"))).alias("url"),
+        public_url(base, name).alias("remoteUrl"), F.when(has, F.col("totalPages")).alias("totalPages"), F.when(has, F.col("sizeBytes")).alias("sizeBytes"),
+    )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from itertools import chain
 
 from pyspark.sql import Column, DataFrame
@@ -11,18 +12,50 @@ from fascicle.functions.text import strip, text_or_empty, word_count
 
 # The sections an article may end in, in their order.
 SECTIONS = ("Front Page", "National", "Regional", "Edit", "Op-Ed", "Business", "Foreign", "Sports", "Science")
-# Other names of each section.
-ALIASES = {
-    "Front Page": "front page, frontpage, front, main, main page",
-    "National": "national, india, news, education",
-    "Regional": "regional, states, state, city, delhi, telangana, chennai, faith",
-    "Edit": "edit, editorial, editorials",
-    "Op-Ed": "op ed, oped, op-ed, opinion, opinions, viewpoint",
-    "Business": "business, economy, economics, investor",
-    "Foreign": "foreign, world, international",
-    "Sports": "sports, sport",
-    "Science": "science, science technology, environment, climate, ecology, technology",
-}
+# Other names of the sections.
+ALIASES = (
+    ("front page", "Front Page"),
+    ("frontpage", "Front Page"),
+    ("front", "Front Page"),
+    ("main", "Front Page"),
+    ("main page", "Front Page"),
+    ("national", "National"),
+    ("india", "National"),
+    ("news", "National"),
+    ("regional", "Regional"),
+    ("states", "Regional"),
+    ("state", "Regional"),
+    ("city", "Regional"),
+    ("delhi", "Regional"),
+    ("telangana", "Regional"),
+    ("chennai", "Regional"),
+    ("edit", "Edit"),
+    ("editorial", "Edit"),
+    ("editorials", "Edit"),
+    ("op ed", "Op-Ed"),
+    ("oped", "Op-Ed"),
+    ("op-ed", "Op-Ed"),
+    ("opinion", "Op-Ed"),
+    ("opinions", "Op-Ed"),
+    ("viewpoint", "Op-Ed"),
+    ("business", "Business"),
+    ("economy", "Business"),
+    ("economics", "Business"),
+    ("investor", "Business"),
+    ("foreign", "Foreign"),
+    ("world", "Foreign"),
+    ("international", "Foreign"),
+    ("sports", "Sports"),
+    ("sport", "Sports"),
+    ("science", "Science"),
+    ("science technology", "Science"),
+    ("education", "National"),
+    ("environment", "Science"),
+    ("climate", "Science"),
+    ("ecology", "Science"),
+    ("technology", "Science"),
+    ("faith", "Regional"),
+)
 RELEVANCE = ("high", "medium", "low")
 
 
@@ -30,7 +63,7 @@ def normalize_section(section: Column, fallback: Column | str = "National") -> C
     """One of SECTIONS for any label; unknown labels take the fallback."""
     raw = strip(text_or_empty(section))
     key = strip(F.regexp_replace(F.lower(raw), r"[\s_-]+", " "))
-    names = F.create_map(*map(F.lit, chain.from_iterable((a, name) for name, all_ in ALIASES.items() for a in all_.split(", "))))
+    names = F.create_map(*map(F.lit, chain.from_iterable(ALIASES)))
     fallback = F.lit(fallback) if isinstance(fallback, str) else fallback
     return F.when(raw.isin(*SECTIONS), raw).otherwise(F.coalesce(F.try_element_at(names, key), fallback))
 
@@ -71,27 +104,62 @@ def curate(prepared: DataFrame, verdicts: DataFrame) -> DataFrame:
     )
 
 
-def curate_pages(prepared: DataFrame, client) -> DataFrame:
-    """One client call for each page, pages in parallel.
+VERDICT_SCHEMA = "source string, pageNumber int, `index` int, keep boolean, section string, examRelevance string, title string, summary string, refinedBody string, examTags array<string>, reason string, error string"
+# Answers of a client that are worth another try.
+RETRYABLE = r"429|Too Many Requests|fetch failed|ECONNRESET|ETIMEDOUT|Empty AI|not JSON"
+RETRY_STATUS = (429, 500, 502, 503, 504)
+
+
+def is_retryable(error: Exception) -> bool:
+    status = getattr(error, "status", None) or getattr(getattr(error, "response", None), "status", None)
+    return status in RETRY_STATUS or bool(re.search(RETRYABLE, str(error), re.I))
+
+
+def page_verdicts(prepared: DataFrame, client, attempts: int = 3, wait: float = 2.0) -> DataFrame:
+    """Verdicts of one client call for each page, pages in parallel (VERDICT_SCHEMA).
 
     client(list of article dicts) -> list of verdict dicts with an index; it must be picklable. A
-    page whose call fails keeps nothing, so one bad answer never fails the job.
+    call that fails in a way that may pass is tried again with doubling waits. A page whose call
+    fails for good gives one row without an index that holds the error, so an outage can be told
+    from a page without relevant articles and never fails the job.
     """
-    schema = "source string, pageNumber int, `index` int, keep boolean, section string, examRelevance string, title string, summary string, refinedBody string, examTags array<string>, reason string"
+    names = [c.split()[0].strip("`") for c in VERDICT_SCHEMA.split(", ")]
 
     def page(pdf):
+        import time
+
         import pandas as pd
 
-        names = ["keep", "section", "examRelevance", "title", "summary", "refinedBody", "examTags", "reason"]
         pdf = pdf.sort_values("index")
-        try:
-            out = [v for v in client(pdf.to_dict("records")) if v.get("index") in set(pdf["index"])]
-        except Exception:  # noqa: BLE001  any failure of an injected client counts as "nothing kept"
-            out = []
-        rows = [[pdf["source"].iloc[0], pdf["pageNumber"].iloc[0], v["index"], *(v.get(n) for n in names)] for v in out]
-        return pd.DataFrame(rows, columns=["source", "pageNumber", "index", *names])
+        key, known = [pdf["source"].iloc[0], pdf["pageNumber"].iloc[0]], set(pdf["index"])
+        for k in range(attempts):
+            try:
+                found = [v for v in client(pdf.to_dict("records")) if v.get("index") in known]
+                rows = [[*key, v["index"], *(v.get(n) for n in names[3:-1]), None] for v in found]
+                break
+            except Exception as e:  # noqa: BLE001  an injected client may raise anything
+                rows = [[*key, None, *[None] * (len(names) - 4), str(e)[:400]]]
+                if k == attempts - 1 or not is_retryable(e):
+                    break
+                time.sleep(wait * 2**k)
+        return pd.DataFrame(rows, columns=names).astype({"index": "Int32"})
+
+    return prepared.groupBy("source", "pageNumber").applyInPandas(page, VERDICT_SCHEMA)
+
+
+def curate_pages(prepared: DataFrame, client, attempts: int = 3, wait: float = 2.0) -> DataFrame:
+    """Kept articles by one client call a page; pages that failed keep nothing (see page_verdicts)."""
+    return curate(prepared, page_verdicts(prepared, client, attempts, wait).where("error is null"))
 
-    return curate(prepared, prepared.groupBy("source", "pageNumber").applyInPandas(page, schema))
+
+def curation_report(prepared: DataFrame, kept: DataFrame, verdicts: DataFrame | None = None) -> DataFrame:
+    """One row for each page of prepared: raw, kept and dropped articles, and the page's error if its call failed."""
+    out = prepared.groupBy("source", "pageNumber").agg(F.count("*").alias("raw"))
+    out = out.join(kept.groupBy("source", "pageNumber").agg(F.count("*").alias("kept")), ["source", "pageNumber"], "left")
+    out = out.select("source", "pageNumber", "raw", F.coalesce("kept", F.lit(0)).alias("kept")).withColumn("dropped", F.col("raw") - F.col("kept"))
+    if verdicts is None:
+        return out.withColumn("error", F.lit(None).cast("string"))
+    return out.join(verdicts.where("error is not null").select("source", "pageNumber", "error"), ["source", "pageNumber"], "left")
 
 
 def section_counts(articles: DataFrame, by_count: bool = False) -> DataFrame:
@@ -117,32 +185,62 @@ def discover_counts(articles: DataFrame) -> DataFrame:
     return out.where((F.col("count") > 0) | (F.col("section") == SECTIONS[0])).orderBy("ord").drop("ord")
 
 
+def listing(relevance_ranked: bool = False, pages: bool = True) -> list[Column]:
+    """Order of article lists: relevance descending, page, newest first, id.
+
+    Relevance sorts as text (medium, low, high) unless it is to rank as high, medium, low.
+    """
+    by = F.array_position(F.array(*map(F.lit, RELEVANCE)), F.col("examRelevance")) if relevance_ranked else F.desc("examRelevance")
+    return [by, *([F.asc("pageNumber")] if pages else []), F.desc("createdAt"), F.asc("id")]
+
+
 def front_page(articles: DataFrame) -> DataFrame:
-    """Front-page articles; where there are none, page 1 with high or medium relevance."""
+    """Front-page articles in list order; where there are none, page 1 with high or medium relevance,
+    most relevant and newest first."""
     front = articles.where(F.col("section") == SECTIONS[0])
     some = front.limit(1).select(F.lit(True).alias("__some"))
     page1 = articles.where((F.col("pageNumber") == 1) & F.col("examRelevance").isin("high", "medium"))
-    # `some` has at most one row, so the anti join is a broadcast of one flag.
-    return front.unionByName(page1.join(F.broadcast(some), F.lit(True), "left_anti"))
-
+    # `some` has at most one row, so the anti join is a broadcast of one flag. Page 1 is constant in its rows.
+    return front.unionByName(page1.join(F.broadcast(some), F.lit(True), "left_anti")).orderBy(*listing())
 
-def search(articles: DataFrame, section: str | None = None, relevance: str | None = None, q: str | None = None, limit: int = 50, skip: int = 0, rank_relevance: bool = False) -> DataFrame:
-    """A page of articles: relevance descending, page, creation, id.
 
-    Relevance sorts as text by default (medium, low, high); rank_relevance puts high first. q is a
-    regular expression over title, summary and tags, without regard to case.
-    """
+def matching(articles: DataFrame, section: str | None = None, relevance: str | None = None, q: str | None = None) -> DataFrame:
+    """Articles of a section and relevance whose title, summary or a tag q matches: a regular
+    expression without regard to case."""
     c = F.lit(True)
     if section:
         c = c & (F.col("section") == section)
     if relevance:
         c = c & (F.col("examRelevance") == relevance)
-    if q:
-        hit = lambda x: F.coalesce(x.rlike(f"(?i){q}"), F.lit(False))
+    if q and q.strip():
+        hit = lambda x: F.coalesce(x.rlike(f"(?i){q.strip()}"), F.lit(False))
         c = c & (hit(F.col("title")) | hit(F.col("summary")) | F.coalesce(F.exists("examTags", hit), F.lit(False)))
-    by = F.array_position(F.array(*map(F.lit, RELEVANCE)), F.col("examRelevance")) if rank_relevance else F.desc("examRelevance")
-    limit = min(max(int(limit or 50), 1), 100)
-    return articles.where(c).orderBy(by, "pageNumber", "createdAt", "id").offset(max(int(skip or 0), 0)).limit(limit)
+    return articles.where(c)
+
+
+def search(articles: DataFrame, section: str | None = None, relevance: str | None = None, q: str | None = None, limit: int = 50, skip: int = 0, rank_relevance: bool = False) -> DataFrame:
+    """A page of matching articles in list order, each with its ordinal in the whole list (from 0) and
+    the list's total. An empty page has no row; total() still counts."""
+    from pyspark.sql import Window as W
+
+    found, skip = matching(articles, section, relevance, q), max(int(skip or 0), 0)
+    order = listing(rank_relevance)
+    page = found.orderBy(*order).offset(skip).limit(min(max(int(limit or 50), 1), 100))
+    # 100 rows at most, numbered in one task; the total is one row.
+    page = page.withColumn("ordinal", (F.row_number().over(W.orderBy(*order)) - 1 + skip).cast("long"))
+    return page.crossJoin(F.broadcast(total(articles, section, relevance, q))).orderBy("ordinal")
+
+
+def total(articles: DataFrame, section: str | None = None, relevance: str | None = None, q: str | None = None) -> DataFrame:
+    """One row: total, the number of matching articles."""
+    return matching(articles, section, relevance, q).agg(F.count("*").alias("total"))
+
+
+def discover_section(articles: DataFrame, section: str) -> DataFrame:
+    """All articles of one section, which must be one of SECTIONS, in list order."""
+    if section not in SECTIONS:
+        raise ValueError(f"use one of {', '.join(SECTIONS)}")
+    return matching(articles, section).orderBy(*listing())
 
 
 def by_source(articles: DataFrame, source: str | None = None) -> DataFrame:
@@ -150,8 +248,29 @@ def by_source(articles: DataFrame, source: str | None = None) -> DataFrame:
     return found.orderBy("pageNumber", "createdAt", "id")
 
 
+def public_articles(articles: DataFrame) -> DataFrame:
+    """What readers may see of articles, with defaults for what is absent."""
+    have = dict(articles.dtypes)
+    given = lambda c, kind, default=None: F.coalesce(F.col(c), default) if c in have and default is not None else F.col(c) if c in have else (default if default is not None else F.lit(None).cast(kind))
+    none = F.array().cast("array<string>")
+    return articles.select(
+        F.col("id").cast("string").alias("id"), "title", "section", "examRelevance", given("summary", "string", F.lit("")).alias("summary"), given("refinedBody", "string").alias("refinedBody"),
+        given("examTags", "array<string>", none).alias("examTags"), "pageNumber", given("wordCount", "int", F.lit(0)).alias("wordCount"), "source", given("createdAt", "timestamp").alias("createdAt"), given("updatedAt", "timestamp").alias("updatedAt"),
+    )
+
+
 def without_pages_from(articles: DataFrame, source: str, page: int | None = None) -> DataFrame:
     """What stays when a source is curated again from a page on (or entirely)."""
     gone = F.col("source") == source
     gone = gone & (F.col("pageNumber") >= page) if page is not None else gone
     return articles.where(~F.coalesce(gone, F.lit(False)))
+
+
+def resume(articles: DataFrame, source: str, run: dict | None = None, start: int | None = None, resumed: bool = True) -> tuple[int, DataFrame]:
+    """(first page to curate, the articles that stay) of a source.
+
+    run is a saved run (sources.progress). A start page wins over the run's next page. A resumed
+    run keeps what lies before its first page; a fresh one starts over.
+    """
+    page = max(int(start or (run or {}).get("nextPage") or 1), 1) if resumed else max(int(start or 1), 1)
+    return page, without_pages_from(articles, source, page if resumed and page > 1 else None)

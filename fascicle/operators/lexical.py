@@ -1,15 +1,18 @@
 """The rare-token inverted index and BM25 over it.
 
-The index is three tables: lex_docs(chunk_id, length), lex_postings(token, chunk_id, tf, df) and
-lex_stats (one row). Tokens are pre-aggregated to one row a chunk and token before the
-document-frequency shuffle; postings can be bucketed by token for repeated queries.
+The index is three tables: lex_docs(chunk_id, length), lex_postings(token, chunk_id, tf, df, length)
+and lex_stats (one row). Terms are counted inside the row. Document frequencies are the only
+aggregate over all tokens, and it is combined before the shuffle. Tokens too common for the index
+are dropped by a broadcast before postings move, so no key of that shuffle holds more than the
+rare share of all chunks. Saved postings are sorted by token, so a question's tokens prune the scan.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fascicle.functions.filters import compile_filter
@@ -18,6 +21,8 @@ from fascicle.sources.tables import spread
 
 K1, B = 1.2, 0.75
 RARE_RATIO = 0.01
+#: Common tokens up to so many are broadcast (about 100 tokens a kilobyte).
+COMMON_ROWS = 200_000
 INDEX_VERSION = 3
 
 
@@ -40,48 +45,81 @@ def _runs(sorted_tokens: Column) -> Column:
 
 
 def term_frequencies(chunks: DataFrame, strip_header: bool = False) -> DataFrame:
-    """chunk_id, token, tf, length. chunks: chunk_id, page_content, heading.
+    """chunk_id, token, tf, length, first (true for one token of a chunk). chunks: chunk_id, page_content, heading.
 
-    Counting happens inside the row, so term frequencies need no shuffle.
+    Counting happens inside the row, so term frequencies need no shuffle. A chunk without a token
+    has one row with a null token.
     """
     t = F.array_sort(tokens(lexical_text(F.col("page_content"), F.col("heading"), strip_header)))
     rows = spread(chunks.select("chunk_id", "page_content", "heading")).select("chunk_id", t.alias("t"))
-    return rows.select("chunk_id", F.size("t").alias("length"), F.inline(_runs(F.col("t")))).select("chunk_id", "token", "tf", "length")
+    runs = rows.select("chunk_id", F.size("t").alias("length"), F.posexplode_outer(_runs(F.col("t"))).alias("at", "run"))
+    return runs.select("chunk_id", "run.token", "run.tf", "length", (F.coalesce("at", F.lit(0)) == 0).alias("first"))
 
 
 def build_index(chunks: DataFrame, rare_ratio: float | None = RARE_RATIO, strip_header: bool = False) -> LexicalIndex:
-    """Index of chunks. rare_ratio prunes tokens whose df / n is not below it (None keeps all)."""
+    """Index of chunks. rare_ratio prunes tokens whose df / n is not below it (None keeps all).
+
+    A token is common if more than rare_ratio * n chunks hold it, so there are at most (mean
+    distinct tokens of a chunk) / rare_ratio of them, whatever the corpus: they are counted and
+    broadcast while under COMMON_ROWS, and joined by a shuffle beyond.
+    """
     tf = term_frequencies(chunks, strip_header)
-    length = F.size(tokens(lexical_text(F.col("page_content"), F.col("heading"), strip_header)))
-    docs = spread(chunks.select("chunk_id", "page_content", "heading")).select("chunk_id", length.alias("length"))
-    stats = docs.agg(F.count("*").alias("n"), F.coalesce(F.avg(F.greatest("length", F.lit(1))), F.lit(1.0)).alias("avg_length")).select(F.lit(INDEX_VERSION).alias("version"), "n", "avg_length", F.lit(rare_ratio).cast("double").alias("rare_ratio"))
-    df = tf.groupBy("token").agg(F.count("*").alias("df"))
+    sums = tf.groupBy("token").agg(F.count("token").alias("df"), F.sum(F.when(F.col("first"), F.greatest("length", F.lit(1)))).alias("lengths"), F.count_if("first").alias("chunks"))
+    stats = sums.agg(F.coalesce(F.sum("chunks"), F.lit(0)).alias("n"), F.coalesce(F.sum("lengths") / F.sum("chunks"), F.lit(1.0)).alias("avg_length"))
+    stats = stats.select(F.lit(INDEX_VERSION).alias("version"), "n", "avg_length", F.lit(rare_ratio).cast("double").alias("rare_ratio"))
+    docs = tf.where("first").select("chunk_id", "length")
+    known = tf.where("token is not null").select("token", "chunk_id", "tf", "length")
+    df = sums.where("token is not null").select("token", "df")
     if rare_ratio is not None:
-        # One row: the cross join is a broadcast of one number, counted without reading texts.
-        n = chunks.agg(F.greatest(F.count("*"), F.lit(1)).alias("n"))
-        df = df.crossJoin(F.broadcast(n)).where(F.col("df") < rare_ratio * F.col("n")).drop("n")
-    postings = tf.join(df, "token").select("token", "chunk_id", "tf", "df", "length")
+        n = chunks.count()  # from file footers where chunks is a table
+        common = df.where(F.col("df") >= rare_ratio * max(n, 1)).select("token").collect() if n else []
+        if len(common) <= COMMON_ROWS:
+            common = F.broadcast(chunks.sparkSession.createDataFrame(common, "token string"))
+        else:
+            common = df.where(F.col("df") >= rare_ratio * n).select("token")
+        known = known.join(common, "token", "left_anti")
+    # Rows of a token meet once, for its frequency and for the sorted table.
+    postings = known.select("token", "chunk_id", "tf", F.count("*").over(Window.partitionBy("token")).alias("df"), "length")
     return LexicalIndex(docs, postings, stats)
 
 
-def save_index(index: LexicalIndex, path: str, collection: str, day=None, start=None, end=None, buckets: int | None = None) -> None:
-    """Three Parquet tables under path; the stats row says what the index covers."""
+def save_index(index: LexicalIndex, path: str, collection: str, day=None, start=None, end=None) -> None:
+    """Three Parquet tables under path; the stats row says what the index covers and is written last."""
     index.docs.write.mode("overwrite").parquet(f"{path}/lex_docs")
-    index.postings.repartition(*([buckets] if buckets else []), "token").sortWithinPartitions("token").write.mode("overwrite").parquet(f"{path}/lex_postings")
+    index.postings.repartitionByRange("token").sortWithinPartitions("token").write.mode("overwrite").parquet(f"{path}/lex_postings")
     named = {"collection": collection, "date": day, "date_from": start, "date_to": end}
     index.stats.select("*", *(F.lit(v).cast("string").alias(k) for k, v in named.items()), F.current_timestamp().alias("built_at")).write.mode("overwrite").parquet(f"{path}/lex_stats")
 
 
-def load_index(spark, path: str, collection: str) -> LexicalIndex | None:
-    """The saved index; None where its version or collection is another one.
+#: Loaded indexes of this process, by application, path and collection.
+_LOADED: dict[tuple[str, str, str], LexicalIndex] = {}
+
+
+def load_index(spark: SparkSession, path: str, collection: str, fresh: bool = False) -> LexicalIndex | None:
+    """The saved index; None where there is none, or its version or collection is another one.
 
-    A missing path raises, as a query without its index would be wrong without notice.
+    A process validates an index once; `fresh` does so again, as after a new save.
     """
-    stats = spark.read.parquet(f"{path}/lex_stats")
-    row = stats.first()
-    if row is None or row["version"] != INDEX_VERSION or row["collection"] != collection:
-        return None
-    return LexicalIndex(spark.read.parquet(f"{path}/lex_docs"), spark.read.parquet(f"{path}/lex_postings"), stats)
+    key = (spark.sparkContext.applicationId, path, collection)
+    if fresh:
+        _LOADED.pop(key, None)
+    if key not in _LOADED:
+        try:
+            stats = spark.read.parquet(f"{path}/lex_stats")
+            row = stats.first()
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" in (e.getCondition() or "") or "UNABLE_TO_INFER_SCHEMA" in (e.getCondition() or ""):
+                return None
+            raise
+        if row is None or row["version"] != INDEX_VERSION or row["collection"] != collection:
+            return None
+        _LOADED[key] = LexicalIndex(spark.read.parquet(f"{path}/lex_docs"), spark.read.parquet(f"{path}/lex_postings"), stats)
+    return _LOADED[key]
+
+
+def forget_indexes() -> None:
+    """Drop what load_index remembers."""
+    _LOADED.clear()
 
 
 def idf(df: Column, n: Column) -> Column:
@@ -93,6 +131,12 @@ def bm25(tf: Column, df: Column, length: Column, n: Column, avg_length: Column)
     return idf(df, n) * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * F.greatest(length, F.lit(1)) / F.greatest(avg_length, F.lit(1.0))))
 
 
+def of_tokens(index: LexicalIndex, asked: DataFrame) -> DataFrame:
+    """Postings of the tokens of asked(token, ...): a handful, so they are literals that reach the scan."""
+    found = sorted({r["token"] for r in asked.select("token").distinct().collect()})
+    return index.postings.where(F.col("token").isin(found) if found else F.lit(False))
+
+
 def bm25_topk(index: LexicalIndex, topics: DataFrame, k: int, filter=None, metadata: DataFrame | None = None) -> DataFrame:
     """topic_id, chunk_id, bm25, rank: the k best chunks for each of topics(topic_id, search).
 
@@ -100,7 +144,7 @@ def bm25_topk(index: LexicalIndex, topics: DataFrame, k: int, filter=None, metad
     filter narrows postings through metadata(chunk_id, ...); n and the average length stay global.
     """
     asked = topics.select("topic_id", F.explode(lexical_tokens(F.col("search"))).alias("token")).distinct()
-    hits = index.postings.join(F.broadcast(asked), "token")
+    hits = of_tokens(index, asked).join(F.broadcast(asked), "token")
     if filter:
         hits = hits.join(metadata.where(compile_filter(filter, metadata)).select("chunk_id"), "chunk_id", "left_semi")
     hits = hits.crossJoin(F.broadcast(index.stats.select("n", "avg_length")))
@@ -113,9 +157,7 @@ def rank_topk(scored: DataFrame, by: str, k: int) -> DataFrame:
 
     A filter on row_number, so only k rows a topic and partition are shuffled.
     """
-    from pyspark.sql import Window as W
-
-    order = W.partitionBy("topic_id").orderBy(F.desc(by), F.asc("chunk_id"))
+    order = Window.partitionBy("topic_id").orderBy(F.desc(by), F.asc("chunk_id"))
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
@@ -126,7 +168,7 @@ def gate(topics: DataFrame, index: LexicalIndex, ratio: float = RARE_RATIO) -> D
     built without pruning, or from a pruned one where common tokens are missing (no-match).
     """
     asked = topics.select("topic_id", F.posexplode(gate_tokens(F.col("search"))).alias("ord", "token"))
-    df = index.postings.join(F.broadcast(asked.select("token").distinct()), "token", "left_semi").groupBy("token").agg(F.count("*").alias("df"))
+    df = of_tokens(index, asked).groupBy("token").agg(F.count("*").alias("df"))
     out = asked.join(df, "token", "left").crossJoin(F.broadcast(index.stats.select("n")))
     df = F.coalesce("df", F.lit(0))
     status = F.when(df == 0, "no-match").when(df < ratio * F.greatest("n", F.lit(1)), "selected").otherwise("common")

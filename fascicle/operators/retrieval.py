@@ -58,8 +58,15 @@ def rrf(semantic: DataFrame, lexical: DataFrame, weights: DataFrame, k: int, rrf
 
 
 def fill_content(ranked: DataFrame, chunks: DataFrame, columns=("page_content",)) -> DataFrame:
-    """Late materialisation: texts are read for ranked ids only; an id without a chunk keeps its row."""
-    return chunks.select("chunk_id", *columns).join(F.broadcast(ranked), "chunk_id", "right")
+    """Late materialisation: texts are read for ranked ids only; an id without a chunk keeps its row.
+
+    ranked is k rows a topic. They are computed once, on the driver, and their ids reach the
+    scan of chunks as literals, which skips row groups that hold none.
+    """
+    rows = ranked.collect()
+    ids = sorted({r["chunk_id"] for r in rows if r["chunk_id"] is not None})
+    found = chunks.where(F.col("chunk_id").isin(ids) if ids else F.lit(False)).select("chunk_id", *columns)
+    return found.join(F.broadcast(chunks.sparkSession.createDataFrame(rows, ranked.schema)), "chunk_id", "right")
 
 
 def hybrid(chunks: DataFrame, vectors: DataFrame, index: LexicalIndex | None, topics: DataFrame, queries: DataFrame, k: int, filter=None) -> DataFrame:
@@ -98,6 +105,22 @@ def layout_order(df: DataFrame) -> list[Column]:
     return [zero("dateInt"), zero("pageNumber"), heading, zero("chunkIndex"), *([F.col("chunk_id")] if "chunk_id" in have else [])]
 
 
+def layout_positions(chunks: DataFrame) -> DataFrame:
+    """chunks with `position`, their place (from 0) in layout order over the whole table.
+
+    Rows are numbered within their date, and dates are offset by the rows before them, so no
+    task holds more than an issue; the offsets are one row a date.
+    """
+    from pyspark.sql import Window as W
+
+    day = layout_order(chunks)[0].alias("__day")
+    dates = chunks.groupBy(day).agg(F.count("*").alias("__n"))
+    dates = dates.select("__day", (F.sum("__n").over(W.orderBy("__day")) - F.col("__n")).alias("__before"))
+    within = F.row_number().over(W.partitionBy(layout_order(chunks)[0]).orderBy(*layout_order(chunks)[1:])) - 1
+    placed = chunks.withColumns({"__within": within, "__day": layout_order(chunks)[0]}).join(dates, "__day")
+    return placed.withColumn("position", F.col("__before") + F.col("__within")).drop("__day", "__within", "__before")
+
+
 def get_by_filter(chunks: DataFrame, filter) -> DataFrame:
     """All chunks of a filter in layout order; a filter is required, as the result is unbounded."""
     if not filter:

@@ -7,6 +7,7 @@ the current session, user or summary is an aggregate over them.
 from __future__ import annotations
 
 import json
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -15,6 +16,9 @@ from pyspark.sql import functions as F
 from fascicle.functions.text import collapse, strip, text_or_empty, title_from_question
 
 LOG_DAYS = 14
+# What stands for an absent answer and title.
+NO_ANSWER = "(No answer)"
+NEW_CHAT = "New chat"
 # Metadata keys that are redacted, without regard to case.
 SECRET_KEYS = ("authorization", "idtoken", "accesstoken", "refreshtoken", "password", "secret", "cookie", "jwt", "credential")
 
@@ -22,10 +26,11 @@ SECRET_KEYS = ("authorization", "idtoken", "accesstoken", "refreshtoken", "passw
 def sessions(messages: DataFrame) -> DataFrame:
     """One row a session from messages(sessionId, userId, role, content, createdAt, messageId).
 
-    Title: first question; preview: last message, 200 characters at most.
+    Title: first question; preview: last message that says something, 200 characters at most.
     """
-    first = F.min_by(F.when(F.col("role") == "user", F.col("content")), F.when(F.col("role") == "user", F.struct("createdAt", "messageId")))
-    last = F.max_by("content", F.struct("createdAt", "messageId"))
+    at = F.struct("createdAt", "messageId")
+    first = F.min_by(F.when(F.col("role") == "user", F.col("content")), F.when(F.col("role") == "user", at))
+    last = F.max_by("content", F.when(F.coalesce(F.col("content") != NO_ANSWER, F.lit(True)), at))
     return messages.groupBy("sessionId", "userId").agg(title_from_question(first).alias("title"), F.substring(collapse(last), 1, 200).alias("preview"), F.count("*").alias("messageCount"), F.max("createdAt").alias("lastMessageAt"))
 
 
@@ -38,10 +43,70 @@ def session_messages(messages: DataFrame, session, user) -> DataFrame:
     return messages.where((F.col("sessionId") == session) & (F.col("userId") == user)).orderBy("createdAt", "messageId")
 
 
-def turn_rows(spark, session, user, question: str, answer: str, sources: list, at, first_id: int) -> DataFrame:
-    """The two rows that a question and its answer append to messages."""
-    rows = [(session, user, "user", question, None, at, first_id), (session, user, "assistant", answer, json.dumps(sources), at, first_id + 1)]
-    return spark.createDataFrame(rows, "sessionId string, userId string, role string, content string, sources string, createdAt timestamp, messageId long")
+MESSAGE_SCHEMA = "sessionId string, userId string, role string, content string, sources string, meta string, createdAt timestamp, messageId long"
+
+
+def append_turn(messages: DataFrame, user: str, question: str, answer: str | None, sources: list[dict] | None, at, session: str | None = None, meta: dict | None = None) -> tuple[DataFrame, str, bool]:
+    """(the two rows to append, the session's id, whether it is new) for a question and its answer.
+
+    A session that is named must be the user's own; without a name a new one begins. Title,
+    preview, count and time of the session follow from its messages (see sessions).
+    """
+    if not user:
+        raise PermissionError("a user is required to keep a chat")
+    if not str(question or "").strip():
+        raise ValueError("a question is required")
+    own = messages.where((F.col("sessionId") == session) & (F.col("userId") == user)) if session else None
+    last = own.agg(F.max("messageId")).first()[0] if session else 0
+    if last is None:
+        raise LookupError("no such session of this user")
+    name = session or uuid.uuid4().hex
+    rows = [
+        (name, user, "user", str(question).strip(), None, None, at, last + 1),
+        (name, user, "assistant", str(answer or "").strip() or NO_ANSWER, json.dumps(short_sources(sources)), json.dumps(meta) if meta else None, at, last + 2),
+    ]
+    return messages.sparkSession.createDataFrame(rows, MESSAGE_SCHEMA), name, session is None
+
+
+def short_sources(sources: list[dict] | None) -> list[dict]:
+    """compact_sources() for one answer's sources on the driver."""
+    return [
+        {"id": s.get("id"), "heading": s.get("heading") or "", "pageNumber": s.get("pageNumber"), "date": s.get("date"), "section": s.get("section") or "", "excerpt": str(s.get("excerpt") or "")[:400]}
+        for s in (sources or [])[:20]
+    ]
+
+
+def _or(df: DataFrame, name: str, kind: str, *others) -> Column:
+    """The column, else the first of others that is there and not null; null of its kind otherwise."""
+    have = [F.col(o) if isinstance(o, str) and o in df.columns else o for o in (name, *others) if not isinstance(o, str) or o in df.columns]
+    return (F.coalesce(*have) if have else F.lit(None)).cast(kind).alias(name)
+
+
+def _said(df: DataFrame, name: str, default: Column | None = None) -> Column:
+    """A string column in which empty counts as absent."""
+    there = F.when(F.col(name) != "", F.col(name)) if name in df.columns else F.lit(None).cast("string")
+    return (F.coalesce(there, default) if default is not None else there).alias(name)
+
+
+def public_sessions(all_sessions: DataFrame) -> DataFrame:
+    """What a session's owner sees of it, with defaults for what is absent."""
+    s = all_sessions
+    return s.select(F.col("sessionId").cast("string").alias("id"), _said(s, "title", F.lit(NEW_CHAT)), _said(s, "preview", F.lit("")), _or(s, "messageCount", "long", F.lit(0)), _or(s, "lastMessageAt", "timestamp", "updatedAt", "createdAt"), _or(s, "createdAt", "timestamp"), _or(s, "updatedAt", "timestamp"))
+
+
+def public_messages(messages: DataFrame) -> DataFrame:
+    """What a session's owner sees of its messages."""
+    m = messages
+    return m.select(F.col("messageId").cast("string").alias("id"), F.col("sessionId").cast("string").alias("sessionId"), "role", "content", _said(m, "sources"), _said(m, "meta"), _or(m, "createdAt", "timestamp"))
+
+
+def public_users(users: DataFrame) -> DataFrame:
+    """What users see of their account, with defaults for what is absent."""
+    u = users
+    return u.select(
+        _or(u, "id", "string", "googleId"), F.col("googleId").alias("sub"), "googleId", _said(u, "email"), _or(u, "emailVerified", "boolean", F.lit(False)), _said(u, "name"), _said(u, "picture"), _said(u, "provider", F.lit("google")),
+        F.when(F.col("loginCount") > 0, F.col("loginCount")).otherwise(1).cast("long").alias("loginCount"), _or(u, "lastLoginAt", "timestamp"), _or(u, "createdAt", "timestamp"), _or(u, "updatedAt", "timestamp"),
+    )
 
 
 def latest_summaries(summaries: DataFrame) -> DataFrame:
@@ -95,21 +160,29 @@ def retained(logs: DataFrame, now: Column, days: int = LOG_DAYS) -> DataFrame:
     return logs.where(F.col("createdAt") > now - F.make_dt_interval(F.lit(days)))
 
 
-def sanitize(value, depth: int = 0):
-    """Metadata without secrets: lists of 40, strings of 500, four levels, 24000 characters at most."""
-    if value is None:
-        return None
-    if depth > 4:
-        return "[…]"
-    if isinstance(value, list):
-        return [sanitize(v, depth + 1) for v in value[:40]]
-    if isinstance(value, str):
-        return value if len(value) <= 500 else value[:500] + "…"
-    if not isinstance(value, dict):
-        return value
-    out = {k: "[redacted]" if k.lower() in SECRET_KEYS else sanitize(v, depth + 1) for k, v in value.items()}
-    text = json.dumps(out, ensure_ascii=False, separators=(",", ":"))
-    return {"truncated": True, "preview": text[:400]} if len(text) > 24000 else out
+# Limits of stored metadata.
+META_DEPTH, META_ITEMS, META_STRING, META_JSON, META_PREVIEW = 4, 40, 500, 24_000, 400
+
+
+def compact(value) -> str:
+    return json.dumps(value, ensure_ascii=False, separators=(",", ":"))
+
+
+def sanitize(value, room: int = META_DEPTH):
+    """Metadata without secrets, cut to the limits; `room` is how many levels may still follow."""
+    match value:
+        case dict() | list() | str() if room < 0:
+            return "[…]"
+        case str():
+            return value[:META_STRING] + "…" * (len(value) > META_STRING)
+        case list():
+            return [sanitize(v, room - 1) for v in value[:META_ITEMS]]
+        case dict():
+            kept = {k: sanitize(v, room - 1) for k, v in value.items() if k.lower() not in SECRET_KEYS}
+            whole = {k: kept.get(k, "[redacted]") for k in value}
+            long = len(text := compact(whole)) > META_JSON
+            return {"truncated": True, "preview": text[:META_PREVIEW]} if long else whole
+    return "[…]" if room < 0 and value is not None else value
 
 
 def sanitized(meta: Column) -> Column:
@@ -119,7 +192,7 @@ def sanitized(meta: Column) -> Column:
     def of(a: pa.Array) -> pa.Array:
         def one(x):
             try:
-                return json.dumps(sanitize(json.loads(x)), ensure_ascii=False, separators=(",", ":"))
+                return compact(sanitize(json.loads(x)))
             except (TypeError, ValueError):
                 return None
 

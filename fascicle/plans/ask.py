@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 from hashlib import blake2b
 
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fascicle.functions.filters import build_filter, coerce_filters, empty_filters
-from fascicle.functions.text import context, parse_chunk
+from fascicle.functions.text import context, parse_chunk, passage as cleaned
 from fascicle.operators.lexical import LexicalIndex
 from fascicle.operators.retrieval import MAX_TOPICS, fill_content, get_by_filter, hybrid, merge_topics
 
@@ -115,6 +115,8 @@ class Engine:
     index: LexicalIndex | None
     embed: Callable[[list[str]], list[list[float]]]
     llm: Callable[[str], str] | None = None
+    #: Writes answers: writer(prompt, temperature=, max_tokens=) -> text, or an iterable of pieces of it.
+    writer: Callable[..., str | Iterable[str]] | None = None
 
     @property
     def spark(self) -> SparkSession:
@@ -134,7 +136,7 @@ class Engine:
             passage = ""
             if t["vague"] and not tree and self.llm:
                 try:
-                    passage = str(self.llm(f"passage: {t['search']}") or "").strip()
+                    passage = cleaned(self.llm(f"passage: {t['search']}"))
                 except Exception:  # noqa: BLE001  without a passage the topic itself is embedded
                     passage = ""
             route = "hyde+hybrid" if passage else route
@@ -149,6 +151,19 @@ class Engine:
         parsed = parse_chunk(F.col("page_content"), F.col("heading"))
         return found.select("chunk_id", parsed.alias("p"), "pageNumber", "date", "section").select("chunk_id", "p.*", "pageNumber", "date", "section")
 
+    def write(self, prompt: str, mode: str, on_event=lambda e: None) -> str:
+        """An answer with the mode's temperature and length; in a streamed mode each piece is an event."""
+        if not self.writer:
+            return self.llm(prompt)
+        cfg = MODES[mode]
+        out = self.writer(prompt, temperature=cfg["temperature"], max_tokens=cfg["max_tokens"])
+        pieces = []
+        for piece in [out] if isinstance(out, str) else out:
+            pieces.append(piece)
+            if cfg["stream"] and piece:
+                on_event({"type": "token", "text": piece})
+        return "".join(pieces)
+
     def ask(self, question: str, k=None, mode=None, turbo=None, summary: str = "", on_event=lambda e: None) -> dict:
         """Answer and sources of a question. At most k rows a topic reach the driver unless the
         question asks for a whole page or section."""
@@ -160,7 +175,7 @@ class Engine:
         rows = found.withColumn("context", context(F.col("date"), F.col("pageNumber"), F.col("section"), F.col("page_content"))).collect()
         on_event({"type": "status", "step": "answer"})
         text = "\n\n".join(r["context"] for r in rows)
-        answer = self.llm(f"answer ({name}): {d.standalone}\n\n{text}") if self.llm else (rows[0]["page_content"][:200] if rows else "")
+        answer = self.write(f"answer ({name}): {d.standalone}\n\n{text}", name, on_event) if self.writer or self.llm else (rows[0]["page_content"][:200] if rows else "")
         result = {"answer": answer, "mode": name, "route": route, "topics": d.topics, "filters": d.filters, "ids": [r["chunk_id"] for r in rows]}
         on_event({"type": "result", **result})
         on_event({"type": "done"})

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import chain
-
 from fascicle.functions.filters import SECTIONS
 from fascicle.functions.text import STOPWORDS, TOKEN
 from fascicle.operators import curation
@@ -67,12 +65,14 @@ merged AS (SELECT chunk_id, topic_id, row_number() OVER (ORDER BY topic_id, rank
 
 
 _ARTICLES = f"""
-articles AS (SELECT doc_id AS id, CAST(doc_id % 16 + 1 AS INTEGER) AS "pageNumber", substr(text, 1, 60) AS title, ({_CURATED})[CAST(doc_id % 9 AS INTEGER) + 1] AS section, CASE doc_id % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS "examRelevance",
-  substr(text, 1, 120) AS summary, [lang, source] AS tags FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1))"""
+articles AS (SELECT doc_id AS id, CAST(doc_id % 16 + 1 AS INTEGER) AS "pageNumber", lang || ' article ' || doc_id AS title, ({_CURATED})[CAST(doc_id % 9 AS INTEGER) + 1] AS section, CASE q.quality WHEN 1 THEN 'high' WHEN 0 THEN 'low' ELSE 'medium' END AS "examRelevance",
+  text AS summary, [lang, source] AS tags, 1767225600 + (doc_id * 7919) % 86400 AS created FROM documents LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id) AS q USING (doc_id))"""
 
 _PROGRESS = """
-found AS (SELECT CAST(CAST(ts AS DATE) + INTERVAL 2 YEAR AS DATE) AS date, count(*) AS n FROM events WHERE event_type = 'signup' GROUP BY 1 HAVING count(*) % 3 <> 0),
-old AS (SELECT date, n, CASE WHEN day(date) % 2 = 0 THEN n ELSE 1 END AS size, CASE WHEN day(date) % 4 < 2 THEN 'complete' ELSE 'in_progress' END AS status FROM found WHERE n % 2 = 0),
+days AS (SELECT CAST(DATE '2026-01-01' + CAST(2 * date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS INTEGER) AS DATE) AS date, count(*) AS n, count(*) FILTER (event_type = 'view') AS view, count(*) FILTER (event_type = 'signup') AS signup, count(*) FILTER (event_type = 'error') AS error,
+  count(*) FILTER (event_type = 'click') AS click, count(*) FILTER (event_type = 'purchase') AS purchase FROM events GROUP BY 1),
+found AS (SELECT date, n FROM days),
+old AS (SELECT date, n, CASE WHEN click > view THEN n ELSE 1 END AS size, CASE WHEN purchase > view THEN 'complete' ELSE 'in_progress' END AS status FROM days WHERE error > signup),
 spine AS (SELECT CAST(unnest(generate_series(DATE '2026-01-01', (SELECT greatest(DATE '2026-02-10', max(date)) FROM found), INTERVAL 1 DAY)) AS DATE) AS date),
 progress AS (SELECT s.date, f.n AS size, CASE WHEN f.n IS NULL THEN 'missing' WHEN o.status IS NULL THEN 'pending' WHEN o.size = f.n THEN o.status ELSE 'stale' END AS status,
   CASE WHEN f.n IS NOT NULL THEN CASE WHEN o.size = f.n THEN 4 ELSE 1 END END AS next_page, CASE WHEN f.n IS NOT NULL THEN CASE WHEN o.size = f.n THEN 7 ELSE 0 END END AS "vectorCount", CASE WHEN o.size = f.n THEN 16 END AS "totalPages"
@@ -81,14 +81,21 @@ progress AS (SELECT s.date, f.n AS size, CASE WHEN f.n IS NULL THEN 'missing' WH
 
 def _section_case(raw: str, otherwise: str = "'National'") -> str:
     key = rf"trim(regexp_replace(lower({raw}), '[\s_-]+', ' ', 'g'))"
-    pairs = chain.from_iterable(((a, name) for a in names.split(", ")) for name, names in curation.ALIASES.items())
-    return f"CASE {key} " + " ".join(f"WHEN '{a}' THEN '{name}'" for a, name in pairs) + f" ELSE {otherwise} END"
+    return f"CASE {key} " + " ".join(f"WHEN '{a}' THEN '{name}'" for a, name in curation.ALIASES) + f" ELSE {otherwise} END"
 
 
 _COLLAPSE = r"trim(regexp_replace({}, '\s+', ' ', 'g'))"
 _SENTENCES = "list_filter(list_transform(regexp_extract_all(" + _COLLAPSE.format("page_content") + """, '[^.!?]+(?:[.!?]+(?:["”'']+)?\\s*|$)'), lambda x: trim(x)), lambda x: x <> '')"""
 
 
+_CURATION = rf"""
+p AS (SELECT *, regexp_replace(array_to_string(list_slice(string_split(page_content, ' '), 1, 3), ' '), '^\s+|\s+$', '', 'g') AS h FROM chunks),
+e AS (SELECT *, CASE WHEN h <> '' AND instr(page_content, h) > 0 THEN substr(page_content, 1, instr(page_content, h) - 1) || substr(page_content, instr(page_content, h) + length(h)) ELSE page_content END AS body FROM p),
+prepared AS (SELECT * FROM e WHERE h <> '' AND NOT regexp_matches(h, '^page\s*\d+\s+other text$', 'i') AND NOT regexp_matches(h, '^letters?\s+to\s+the\s+editor$', 'i') AND length({_COLLAPSE.format("body")}) >= 50),
+v AS (SELECT prepared.*, CASE chunk_id % 4 WHEN 0 THEN 'high' WHEN 1 THEN 'low' WHEN 2 THEN 'none' ELSE 'odd' END AS rel, regexp_replace(page_content, '^\s+|\s+$', '', 'g') AS refined FROM prepared JOIN labels ON doc_id = chunk_id WHERE quality = 1),
+kept AS (SELECT heading AS source, "pageNumber", substr(h, 1, 240) AS title, 'Op-Ed' AS section, CASE WHEN rel = 'high' THEN 'high' ELSE 'medium' END AS "examRelevance", 'a' AS tags, refined FROM v WHERE rel <> 'none' AND NOT (rel = 'low' AND length(refined) < 200) AND length(refined) >= 80)"""
+
+
 def oracle_sql() -> dict[str, str]:
     flat = _COLLAPSE.format("page_content")
     return {
@@ -96,7 +103,7 @@ def oracle_sql() -> dict[str, str]:
         "q02_filter_eq_in_range": f"""WITH {_CHUNKS} SELECT chunk_id, date, "pageNumber", section FROM chunks WHERE (date = '2026-01-05' AND section IN ('news', 'World', 'states', 'sport')) OR ("dateInt" >= 20260110 AND "dateInt" < 20260112 AND "pageNumber" > 3 AND "pageNumber" <= 9)""",
         "q03_date_parts": f"""WITH {_CHUNKS}, r AS (SELECT chunk_id, try_cast(CASE WHEN chunk_id % 10 = 0 THEN '2026-02-30' ELSE date END AS DATE) AS d FROM chunks)
             SELECT chunk_id, d IS NOT NULL AS valid, CAST(year(d) * 10000 + month(d) * 100 + day(d) AS BIGINT) AS date_int, CAST(CAST(d + INTERVAL 3 DAY AS DATE) AS VARCHAR) AS plus3 FROM r""",
-        "q04_layout_order": f"""WITH {_CHUNKS} SELECT chunk_id, "dateInt", "pageNumber", heading FROM chunks ORDER BY "dateInt", "pageNumber", heading, chunk_id LIMIT 50""",
+        "q04_layout_order": f"""WITH {_CHUNKS} SELECT chunk_id, "dateInt", "pageNumber", heading, row_number() OVER (ORDER BY "dateInt", "pageNumber", heading, chunk_id) - 1 AS position FROM chunks""",
         "q05_filtered_get": f"""WITH {_CHUNKS} SELECT chunk_id, "dateInt", "pageNumber", heading FROM chunks WHERE "pageNumber" = 7 AND "dateInt" <= 20260120""",
         "q06_inverted_index": f"WITH {_INDEX} SELECT token, chunk_id, tf, df FROM postings",
         "q07_rare_tokens": f"WITH {_INDEX} SELECT token, df FROM rare",
@@ -114,32 +121,53 @@ def oracle_sql() -> dict[str, str]:
             SELECT chunk_id, heading, CAST("pageNumber" AS BIGINT) AS chunk_index, CAST("pageNumber" + 2 AS BIGINT) AS chunk_total, CASE WHEN length(f) <= 220 THEN f ELSE trim(substr(f, 1, 220)) || '…' END AS excerpt FROM c""",
         "q18_word_count": f"WITH {_CHUNKS} SELECT chunk_id, CAST(len(list_filter(string_split({flat}, ' '), lambda x: x <> '')) AS BIGINT) AS n_words FROM chunks",
         "q19_section_counts": f"WITH {_ARTICLES} SELECT section, count(*) AS count FROM articles GROUP BY section",
-        "q20_article_page": f"""WITH {_ARTICLES} SELECT id, section, "examRelevance", "pageNumber" FROM articles WHERE regexp_matches(title, '^[a-m].*th', 'i') OR regexp_matches(summary, '^[a-m].*th', 'i') OR len(list_filter(tags, lambda x: regexp_matches(x, '^[a-m].*th', 'i'))) > 0 ORDER BY "examRelevance" DESC, "pageNumber", id LIMIT 20 OFFSET 5""",
+        "q20_article_page": f"""WITH {_ARTICLES}, found AS (SELECT * FROM articles WHERE regexp_matches(title, '^[a-m][^\\n]*th|_2', 'i') OR regexp_matches(summary, '^[a-m][^\\n]*th|_2', 'i') OR len(list_filter(tags, lambda x: regexp_matches(x, '^[a-m][^\\n]*th|_2', 'i'))) > 0)
+            SELECT id, section, "examRelevance", "pageNumber", created, ordinal, total FROM (SELECT *, row_number() OVER (ORDER BY "examRelevance" DESC, "pageNumber", created DESC, id) - 1 AS ordinal, count(*) OVER () AS total FROM found) WHERE ordinal BETWEEN 5 AND 24""",
         "q21_sessions": rf"""WITH m AS (SELECT conv_id, role, text, turn FROM conversations WHERE role <> 'system'), t AS (SELECT conv_id, {_COLLAPSE.format("coalesce(arg_min(text, turn) FILTER (role = 'user'), '')")} AS q, {_COLLAPSE.format("arg_max(text, turn)")} AS p, count(*) AS n, max(turn) AS last FROM m GROUP BY conv_id)
             SELECT conv_id AS "sessionId", 'u' || (conv_id % 7) AS "userId", CASE WHEN q = '' THEN 'New chat' WHEN length(q) > 60 THEN substr(q, 1, 57) || '…' ELSE q END AS title, CAST(least(length(p), 200) AS BIGINT) AS preview_chars, n AS "messageCount", 1767225600 + conv_id * 3600 + last * 60 AS last_at FROM t""",
-        "q22_last_summary": """WITH m AS (SELECT conv_id AS s, substr(text, 1, 40) AS summary, ((conv_id * 1000 + turn) * 7) % 11 AS c FROM conversations WHERE role = 'assistant') SELECT s AS "sessionId", summary, c AS "summaryAtCount" FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY c DESC, summary DESC) AS r FROM m) WHERE r = 1""",
-        "q23_log_search": """SELECT event_id AS id, event_type AS level, 'u' || user_id AS source, event_type || ' ' || props AS message FROM events WHERE event_type = 'error' AND regexp_matches(event_type || ' ' || props, '"k": 1', 'i') ORDER BY ts DESC, event_id DESC LIMIT 50""",
+        "q22_last_summary": """WITH m AS (SELECT conv_id AS s, text AS summary, ((conv_id * 1000 + turn) * 7) % 11 AS c FROM conversations WHERE role = 'assistant') SELECT s AS "sessionId", substr(summary, 1, 2000) AS summary, c AS "summaryAtCount" FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY c DESC, summary DESC) AS r FROM m) WHERE r = 1""",
+        "q23_log_search": """SELECT event_id AS id, event_type AS level, 'u' || user_id AS source, event_type || ' ' || props AS message, row_number() OVER (ORDER BY ts DESC, event_id DESC) AS ordinal FROM events WHERE event_type = 'error' AND regexp_matches(event_type || ' ' || props, '"k": 1', 'i') ORDER BY ordinal LIMIT 50""",
         "q24_log_counts": "SELECT event_type AS level, count(*) AS n FROM events WHERE ts > TIMESTAMP '2024-01-11 00:00:00' GROUP BY 1",
         "q25_normalize_section": f"WITH {_CHUNKS}, r AS (SELECT CASE chunk_id % 5 WHEN 0 THEN 'Op_Ed' WHEN 1 THEN upper(section) ELSE ' ' || section END AS raw FROM chunks) SELECT {_section_case('raw')} AS section, count(*) AS n FROM r GROUP BY 1",
-        "q26_curation_gate": rf"""WITH {_CHUNKS}, p AS (SELECT *, regexp_replace(substr(page_content, 1, 30), '^\s+|\s+$', '', 'g') AS h FROM chunks), e AS (SELECT *, CASE WHEN h <> '' AND instr(page_content, h) > 0 THEN substr(page_content, 1, instr(page_content, h) - 1) || substr(page_content, instr(page_content, h) + length(h)) ELSE page_content END AS body FROM p),
-            v AS (SELECT e.*, CASE chunk_id % 4 WHEN 0 THEN 'high' WHEN 1 THEN 'low' WHEN 2 THEN 'none' ELSE 'odd' END AS rel, regexp_replace(substr(page_content, 1, 300), '^\s+|\s+$', '', 'g') AS refined FROM e JOIN labels ON doc_id = chunk_id WHERE quality = 1 AND h <> '' AND length({_COLLAPSE.format("body")}) >= 50)
-            SELECT heading AS source, "pageNumber", h AS title, 'Op-Ed' AS section, CASE WHEN rel = 'high' THEN 'high' ELSE 'medium' END AS "examRelevance", 'a' AS tags, CAST(len(list_filter(string_split({_COLLAPSE.format("refined")}, ' '), lambda x: x <> '')) AS BIGINT) AS "wordCount" FROM v WHERE rel <> 'none' AND NOT (rel = 'low' AND length(refined) < 200) AND length(refined) >= 80""",
+        "q26_curation_gate": rf"""WITH {_CHUNKS}, {_CURATION} SELECT source, "pageNumber", title, section, "examRelevance", tags, least(length(refined), 800) AS summary_chars, CAST(len(list_filter(string_split({_COLLAPSE.format("refined")}, ' '), lambda x: x <> '')) AS BIGINT) AS "wordCount", sha256(refined) AS body FROM kept""",
         "q27_calendar_spine": f'WITH {_PROGRESS} SELECT CAST(date AS VARCHAR) AS date, status, CAST(next_page AS BIGINT) AS next_page, CAST("vectorCount" AS BIGINT) AS "vectorCount" FROM progress',
         "q28_status_counts": f"WITH {_PROGRESS} SELECT s AS status, count(date) AS count FROM (SELECT unnest(['missing', 'pending', 'in_progress', 'complete', 'stale']) AS s) LEFT JOIN progress ON s = status GROUP BY s",
-        "q29_file_batch": f"WITH {_PROGRESS} SELECT CAST(date AS VARCHAR) AS date, status FROM (SELECT date, status FROM progress WHERE status IN ('pending', 'in_progress', 'stale') AND date >= DATE '2026-01-03' ORDER BY date LIMIT 5)",
+        "q29_file_batch": f"WITH {_PROGRESS} SELECT CAST(date AS VARCHAR) AS date, status, row_number() OVER (ORDER BY date) AS ordinal FROM (SELECT date, status FROM progress WHERE status IN ('pending', 'in_progress', 'stale') AND date >= DATE '2026-01-03' ORDER BY date LIMIT 5)",
         "q30_filename_dates": f"""WITH {_CHUNKS} SELECT chunk_id, CASE chunk_id % 4 WHEN 0 THEN 'Issue-' || strftime(CAST(date AS DATE), '%d-%m-%Y') || '.pdf' WHEN 1 THEN date || '.PDF' WHEN 2 THEN 'x-31-02-2026.pdf' ELSE 'notes.pdf' END AS name, CASE WHEN chunk_id % 4 < 2 THEN date END AS date FROM chunks""",
         "q31_coerce_filters": f"""WITH {_CHUNKS}, r AS (SELECT *, CASE WHEN chunk_id % 6 = 0 THEN NULL ELSE date END AS e FROM chunks)
             SELECT chunk_id, CASE WHEN e = '2026-01-15' THEN e END AS date, CASE WHEN e IS NULL THEN '2026-01-15' WHEN e <> '2026-01-15' THEN least(e, '2026-01-15') END AS "dateFrom", CASE WHEN e <> '2026-01-15' THEN greatest(e, '2026-01-15') END AS "dateTo",
             CASE WHEN chunk_id % 3 <> 0 THEN "pageNumber" END AS "pageNumber", CASE WHEN section = 'sports' THEN 'sport' ELSE section END AS section, chunk_id % 2 = 0 AS whole FROM r""",
         "q32_json_repair": f"WITH {_CHUNKS} SELECT chunk_id, CASE WHEN chunk_id % 3 <> 0 THEN CAST(chunk_id AS VARCHAR) END AS a, chunk_id % 3 <> 0 AS valid FROM chunks",
         "q35_log_stream_equals_batch": "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_type AS level, count(*) AS n FROM events GROUP BY ALL",
-        "q36_front_page": f"""WITH {_ARTICLES} SELECT id, "examRelevance", "pageNumber" FROM articles WHERE section <> 'Front Page' AND "pageNumber" = 1 AND "examRelevance" IN ('high', 'medium')""",
-        "q37_discover_counts": f"WITH {_ARTICLES} SELECT section, count(*) AS count FROM articles WHERE section <> 'Front Page' GROUP BY section UNION ALL SELECT 'Front Page', 0",
-        "q38_archive": f"""WITH {_PROGRESS}, s AS (SELECT date, 's-' || CAST(date AS VARCHAR) AS filename FROM found WHERE n % 5 < 3), h AS (SELECT date, size, "totalPages" FROM progress WHERE status <> 'missing')
-            SELECT CAST(date AS VARCHAR) AS date, coalesce(filename, 'Issue-' || strftime(date, '%d-%m-%Y') || '.pdf') AS filename, CAST(CASE WHEN filename IS NULL THEN size ELSE 9 END AS BIGINT) AS "sizeBytes", CAST("totalPages" AS BIGINT) AS "totalPages" FROM h FULL JOIN s USING (date)""",
-        "q39_user_upsert": """WITH o AS (SELECT user_id, min(ts) AS at FROM events WHERE event_id < 50 GROUP BY 1), n AS (SELECT user_id, max(ts) AS at, count(*) AS c FROM events WHERE event_id % 7 = 0 GROUP BY 1)
-            SELECT CAST(user_id AS VARCHAR) AS "googleId", 'u' || user_id || '@x' AS email, CASE WHEN o.at IS NOT NULL THEN 'p' END AS picture, CAST(CASE WHEN o.at IS NULL THEN 0 ELSE 5 END + coalesce(c, 0) AS BIGINT) AS "loginCount", epoch_us(greatest(o.at, n.at)) AS last_at FROM o FULL JOIN n USING (user_id)""",
+        "q36_front_page": f"""WITH {_ARTICLES}, routes AS (SELECT 'own' AS route, *, section AS s FROM articles UNION ALL SELECT 'fallback', *, CASE section WHEN 'Front Page' THEN 'National' ELSE section END FROM articles),
+            have AS (SELECT DISTINCT route FROM routes WHERE s = 'Front Page')
+            SELECT route, id, "examRelevance", "pageNumber", row_number() OVER (PARTITION BY route ORDER BY "examRelevance" DESC, "pageNumber", created DESC, id) AS ordinal FROM routes
+            WHERE CASE WHEN route IN (SELECT route FROM have) THEN s = 'Front Page' ELSE "pageNumber" = 1 AND "examRelevance" IN ('high', 'medium') END""",
+        "q37_discover_counts": f"WITH {_ARTICLES}, n AS (SELECT section, count(*) AS count FROM articles GROUP BY section) SELECT * FROM n UNION ALL SELECT 'Front Page', 0 WHERE NOT EXISTS (FROM n WHERE section = 'Front Page')",
+        "q38_archive": f"""WITH {_PROGRESS}, s AS (SELECT date, 's-' || CAST(date AS VARCHAR) AS filename FROM days WHERE click > purchase), h AS (SELECT date, size, "totalPages" FROM progress WHERE status <> 'missing')
+            SELECT CAST(date AS VARCHAR) AS date, coalesce(filename, 'Issue-' || strftime(date, '%d-%m-%Y') || '.pdf') AS filename, CAST(CASE WHEN filename IS NULL THEN size ELSE 9 END AS BIGINT) AS "sizeBytes", CAST("totalPages" AS BIGINT) AS "totalPages", row_number() OVER (ORDER BY date DESC) AS ordinal FROM h FULL JOIN s USING (date)""",
+        "q39_user_upsert": """WITH o AS (SELECT user_id, max(ts) AS at, count(*) AS c FROM events WHERE ts < TIMESTAMP '2024-01-16' GROUP BY 1), n AS (SELECT user_id, max(ts) AS at, count(*) AS c, max(event_type) FILTER (event_type = 'signup') AS name FROM events WHERE ts >= TIMESTAMP '2024-01-16' GROUP BY 1)
+            SELECT CAST(user_id AS VARCHAR) AS "googleId", 'u' || user_id || '@x' AS email, coalesce(n.name, CASE WHEN o.at IS NOT NULL THEN 'old' END) AS name, CASE WHEN o.at IS NOT NULL THEN 'p' END AS picture, coalesce(o.c, 0) + coalesce(n.c, 0) AS "loginCount", epoch_us(greatest(o.at, n.at)) AS last_at FROM o FULL JOIN n USING (user_id)""",
         "q40_health": "SELECT count(*) > 0 AS ok, count(*) AS vectors FROM embeddings",
         "q41_section_report": f"WITH {_ARTICLES} SELECT section, count(*) AS count FROM articles GROUP BY section",
         "q42_sanitized_meta": """SELECT event_id, '{"JWT":"[redacted]","props":' || to_json(props) || ',"list":[1,2]}' AS meta FROM events""",
+        "q43_scalar_texts": rf"""WITH {_CHUNKS}, t AS (SELECT *, regexp_replace(page_content, '^\s+|\s+$', '', 'g') AS own, chr(10) || page_content || chr(10) || chr(10) || chr(10) || chr(10) || 'end ' || chr(9) || ' x' AS fenced FROM chunks)
+            SELECT chunk_id, sha256(regexp_replace(regexp_replace(regexp_replace(lower(page_content), '[^a-z\s]', ' ', 'g'), '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g')) AS normal, sha256(regexp_replace(regexp_replace(regexp_replace(fenced, '[ \t]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')) AS passage,
+            '‘A title’' AS heading, sha256('date ' || date || ' | page ' || "pageNumber" || ' | section ' || section || chr(10) || page_content) AS context, sha256('Page 3 other text' || CASE WHEN own = '' THEN '' ELSE chr(10) || own END) AS lexical FROM t""",
+        "q44_filtered_bm25": f"""WITH {_INDEX}, {_asked(TOPICS)}, {_bm25(10).replace("postings JOIN lexical USING (token)", 'postings JOIN lexical USING (token) JOIN chunks USING (chunk_id)').replace("WHERE TRUE", 'WHERE "pageNumber" <= 6')} SELECT CAST(topic_id AS INTEGER) AS topic_id, chunk_id, round(bm25, 6) AS bm25, rank FROM lex""",
+        "q45_topic_weights": f"""WITH {_INDEX}, {_asked(TOPICS)}, {_WEIGHTS}, first AS (SELECT topic_id, arg_min(token, (df, ord, token)) AS token, min(df) AS df FROM gated GROUP BY topic_id) SELECT CAST(topic_id AS INTEGER) AS topic_id, token, df, open, round(w_sem, 6) AS w_sem, round(1 - w_sem, 6) AS w_lex FROM weights LEFT JOIN first USING (topic_id)""",
+        "q46_get_by_ids": f"WITH {_CHUNKS} SELECT chunk_id, date, section FROM chunks WHERE chunk_id IN (SELECT item_id * 3 FROM benchmark WHERE item_id > 0)",
+        "q47_discover_files": f"""WITH {_CHUNKS}, f AS (SELECT DISTINCT chunk_id % 4 AS k, date, "dateInt" AS seen, CASE chunk_id % 4 WHEN 0 THEN 'in/x-' || strftime(CAST(date AS DATE), '%d-%m-%Y') || '.pdf' WHEN 1 THEN 'in/' || date || '.PDF' END AS path FROM chunks)
+            SELECT date, max(path) AS source, CAST(max(seen) AS BIGINT) * 1000 AS mtime FROM f WHERE k < 2 GROUP BY date UNION ALL SELECT NULL, 'notes.pdf', count(DISTINCT seen) FROM f WHERE k = 3 HAVING count(*) > 0""",
+        "q48_resolve_issue": f"""WITH {_PROGRESS}, a AS (SELECT CAST(date AS VARCHAR) AS date, status, size, "totalPages", status <> 'missing' AS has, true AS valid FROM progress UNION ALL VALUES ('', NULL, NULL, NULL, false, true), ('2026-02-30', NULL, NULL, NULL, false, false), ('today', NULL, NULL, NULL, false, false), ('2031-05-06', NULL, NULL, NULL, true, true)),
+            n AS (SELECT *, CASE WHEN date = '' THEN 'latest.pdf' WHEN has THEN 'Issue-' || strftime(CAST(date AS DATE), '%d-%m-%Y') || '.pdf' END AS filename FROM a)
+            SELECT date, valid, filename, CASE WHEN filename IS NOT NULL THEN '/api/manual' || CASE WHEN date = '' THEN '' ELSE '?date=' || date END END AS url, 'https://store.example/issues/' || filename AS "remoteUrl", CAST(CASE WHEN has THEN "totalPages" END AS BIGINT) AS "totalPages", CASE WHEN has THEN size END AS "sizeBytes" FROM n""",
+        "q49_calendar_summary": f"""WITH {_PROGRESS} SELECT coalesce(bool_and(status = 'complete') FILTER (status <> 'missing'), false) AS complete, CAST(sum("vectorCount") AS BIGINT) AS "vectorCount", string_agg(CAST(date AS VARCHAR), ',' ORDER BY date) FILTER (status = 'missing') AS missing FROM progress""",
+        "q50_curation_report": f"""WITH {_CHUNKS}, {_CURATION}, r AS (SELECT heading AS source, "pageNumber", count(*) AS raw FROM prepared GROUP BY ALL), k AS (SELECT source, "pageNumber", count(*) AS kept FROM kept GROUP BY ALL) SELECT source, "pageNumber", raw, coalesce(kept, 0) AS kept, raw - coalesce(kept, 0) AS dropped FROM r LEFT JOIN k USING (source, "pageNumber")""",
+        "q51_public_sessions": rf"""WITH m AS (SELECT conv_id, role, text, turn FROM conversations WHERE role <> 'system'), t AS (SELECT conv_id, {_COLLAPSE.format("coalesce(arg_min(text, turn) FILTER (role = 'user'), '')")} AS q, {_COLLAPSE.format("arg_max(text, turn)")} AS p, count(*) AS n FROM m GROUP BY conv_id)
+            SELECT CAST(conv_id AS VARCHAR) AS id, CASE WHEN q = '' THEN 'New chat' WHEN length(q) > 60 THEN substr(q, 1, 57) || '…' ELSE q END AS title, least(length(p), 200) AS chars, n FROM t UNION ALL SELECT CAST(conv_id * 1000 + turn AS VARCHAR), role, length(text), 1 FROM m""",
+        "q52_compact_sources": f"""WITH {_CHUNKS}, s AS (SELECT *, row_number() OVER (PARTITION BY date, "pageNumber" ORDER BY chunk_id) - 1 AS place FROM chunks) SELECT date, "pageNumber", place AS "at", chunk_id AS id, CASE WHEN chunk_id % 2 = 0 THEN heading ELSE '' END AS heading, least(length(page_content), 400) AS chars FROM s WHERE place < 20""",
+        "q53_recent_sessions": rf"""WITH m AS (SELECT conv_id, role, text, turn FROM conversations WHERE role <> 'system' AND conv_id % 7 = 3), t AS (SELECT conv_id, {_COLLAPSE.format("coalesce(arg_min(text, turn) FILTER (role = 'user'), '')")} AS q, conv_id * 3600 + max(turn) * 60 AS last FROM m GROUP BY conv_id)
+            SELECT conv_id AS "sessionId", CASE WHEN q = '' THEN 'New chat' WHEN length(q) > 60 THEN substr(q, 1, 57) || '…' ELSE q END AS title, row_number() OVER (ORDER BY last DESC, conv_id) AS ordinal FROM t ORDER BY ordinal LIMIT 100""",
+        "q54_public_articles": f"WITH {_ARTICLES} SELECT CAST(id AS VARCHAR) AS id, title, section, length(summary) AS chars, CAST(len(tags) AS BIGINT) AS tags, CAST(0 AS BIGINT) AS \"wordCount\", created FROM articles",
     }

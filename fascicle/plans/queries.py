@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from fascicle.functions import dates, text
 from fascicle.functions.filters import SECTIONS, coerce_columns, compile_filter
 from fascicle.operators import calendar, chunking, curation, layout, lexical, retrieval, stores
 from fascicle.sources import corpus
-from fascicle.sources.tables import health, spread
+from fascicle.sources.tables import health, shared_folder, spread
 
 QUESTION = "What did the erthe andre say about thanea onthe in 2024?"
 TOPICS = [(0, "erthe ingth andre of the"), (1, "thanea onthe reporting"), (2, "erst 2024 tionhe ingst")]
@@ -43,8 +45,8 @@ def q03_date_parts(spark, d):
 
 
 def q04_layout_order(spark, d):
-    c = corpus.chunks(spark, d)
-    return c.orderBy(*retrieval.layout_order(c)).select("chunk_id", "dateInt", "pageNumber", "heading").limit(50)
+    """The whole table in layout order; the order is the column `position`."""
+    return retrieval.layout_positions(corpus.chunks(spark, d)).select("chunk_id", "dateInt", "pageNumber", "heading", F.col("position").cast("long").alias("position"))
 
 
 def q05_filtered_get(spark, d):
@@ -60,9 +62,18 @@ def q07_rare_tokens(spark, d):
     return lexical.build_index(corpus.chunks(spark, d)).postings.groupBy("token").agg(F.max("df").alias("df"))
 
 
+def _index(spark, d):
+    """The saved index of a corpus, built by the first query of an application that asks for it."""
+    path = f"{shared_folder(spark)}/lexical-{spark.sparkContext.applicationId}-{hashlib.md5(d.encode()).hexdigest()}"
+    index = lexical.load_index(spark, path, d)
+    if index is None:
+        lexical.save_index(lexical.build_index(corpus.chunks(spark, d)), path, d)
+        index = lexical.load_index(spark, path, d, fresh=True)
+    return index
+
+
 def q08_bm25_topk(spark, d):
-    index = lexical.build_index(corpus.chunks(spark, d))
-    out = lexical.bm25_topk(index, _topics(spark, [(0, QUESTION)]), 10)
+    out = lexical.bm25_topk(_index(spark, d), _topics(spark, [(0, QUESTION)]), 10)
     return out.select("chunk_id", F.round("bm25", 6).alias("bm25"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -85,7 +96,7 @@ def q11_fusion_weights(spark, d):
 
 def _hybrid(spark, d, rows, k=10, tree=None):
     chunks = corpus.chunks(spark, d)
-    index = lexical.build_index(chunks)
+    index = _index(spark, d)
     topics = _topics(spark, rows)
     return chunks, retrieval.hybrid(chunks, corpus.vectors(spark, d), index, topics, _query_vectors(spark, d, len(rows)), k, tree)
 
@@ -130,7 +141,9 @@ def q19_section_counts(spark, d):
 
 
 def q20_article_page(spark, d):
-    return curation.search(corpus.curated(spark, d), q="^[a-m].*th", limit=20, skip=5).select("id", "section", "examRelevance", "pageNumber")
+    """Page two of a search over titles, whole summaries and tags, with ordinals and the total."""
+    found = curation.search(corpus.curated(spark, d), q="^[a-m][^\\n]*th|_2", limit=20, skip=5)
+    return found.select("id", "section", "examRelevance", "pageNumber", F.unix_seconds("createdAt").alias("created"), "ordinal", "total")
 
 
 def q21_sessions(spark, d):
@@ -139,12 +152,16 @@ def q21_sessions(spark, d):
 
 
 def q22_last_summary(spark, d):
-    m = corpus.messages(spark, d).where("role = 'assistant'").select("sessionId", F.substring("content", 1, 40).alias("summary"), ((F.col("messageId") * 7) % 11).alias("summaryAtCount"))
+    """Every assistant message stands for a summary write; the writes come in no order."""
+    m = corpus.messages(spark, d).where("role = 'assistant'").select("sessionId", F.col("content").alias("summary"), ((F.col("messageId") * 7) % 11).alias("summaryAtCount"))
     return stores.latest_summaries(m)
 
 
 def q23_log_search(spark, d):
-    return stores.search_logs(corpus.logs(spark, d), level="error", q='"k": 1', limit=50).select("id", "level", "source", "message")
+    from pyspark.sql import Window as W
+
+    found = stores.search_logs(corpus.logs(spark, d), level="error", q='"k": 1', limit=50)
+    return found.select("id", "level", "source", "message", F.row_number().over(W.orderBy(F.desc("createdAt"), F.desc("id"))).cast("long").alias("ordinal"))
 
 
 def q24_log_counts(spark, d):
@@ -157,27 +174,42 @@ def q25_normalize_section(spark, d):
     return corpus.chunks(spark, d).groupBy(curation.normalize_section(raw).alias("section")).agg(F.count("*").alias("n"))
 
 
-def q26_curation_gate(spark, d):
+def _curation(spark, d):
+    """(prepared articles, verdicts): whole texts, headed by their first three words; the quality label is the verdict."""
     c = corpus.chunks(spark, d)
-    prepared = curation.eligible(c.select(F.col("heading").alias("source"), "pageNumber", F.col("chunk_id").alias("index"), F.substring("page_content", 1, 30).alias("heading"), F.col("page_content").alias("text"), "section"))
+    title = F.substring_index("page_content", " ", 3)
+    prepared = curation.eligible(c.select(F.col("heading").alias("source"), "pageNumber", F.col("chunk_id").alias("index"), title.alias("heading"), F.col("page_content").alias("text"), "section"))
     labels = corpus.read(spark, d, "labels").where("doc_id is not null").select("doc_id", (F.col("quality") == 1).alias("keep"))
     relevance = F.when(F.col("doc_id") % 4 == 0, "HIGH").when(F.col("doc_id") % 4 == 1, "low").when(F.col("doc_id") % 4 == 2, "none").otherwise("odd")
-    v = c.join(labels, c.chunk_id == labels.doc_id).select(
-        F.col("heading").alias("source"), "pageNumber", F.col("chunk_id").alias("index"), "keep", F.lit("op ed").alias("section"), relevance.alias("examRelevance"), F.lit("").alias("title"), F.lit(" s ").alias("summary"), F.substring("page_content", 1, 300).alias("refinedBody"), F.array(F.lit("A "), F.lit("")).alias("examTags"), F.lit(None).cast("string").alias("reason")
+    verdicts = c.join(labels, c.chunk_id == labels.doc_id).select(
+        F.col("heading").alias("source"), "pageNumber", F.col("chunk_id").alias("index"), "keep", F.lit("op ed").alias("section"), relevance.alias("examRelevance"), F.lit("").alias("title"), F.col("page_content").alias("summary"), F.col("page_content").alias("refinedBody"), F.array(F.lit("A "), F.lit("")).alias("examTags"), F.lit(None).cast("string").alias("reason")
     )
-    return curation.curate(prepared, v).select("source", "pageNumber", "title", "section", "examRelevance", F.array_join("examTags", ",").alias("tags"), F.col("wordCount").cast("long").alias("wordCount"))
+    return prepared, verdicts
+
+
+def q26_curation_gate(spark, d):
+    kept = curation.curate(*_curation(spark, d))
+    return kept.select("source", "pageNumber", "title", "section", "examRelevance", F.array_join("examTags", ",").alias("tags"), F.length("summary").cast("long").alias("summary_chars"), F.col("wordCount").cast("long").alias("wordCount"), F.sha2("refinedBody", 256).alias("body"))
+
+
+def _days(spark, d):
+    """Every day of events as a day of the calendar (each second one has no file), with counts of event types."""
+    e = corpus.read(spark, d, "events")
+    n = lambda kind: F.count_if(F.col("event_type") == kind).alias(kind)
+    day = F.date_add(F.lit("2026-01-01").cast("date"), F.datediff(F.to_date("ts"), F.lit("2024-01-01")) * 2)
+    return e.groupBy(day.alias("date")).agg(F.count("*").alias("n"), *(n(k) for k in ("view", "signup", "error", "click", "purchase")))
 
 
 def _found(spark, d):
-    e = corpus.read(spark, d, "events").where("event_type = 'signup'")
-    day = F.add_months(F.to_date("ts"), 24)
-    return e.groupBy(day.alias("date")).agg(F.count("*").alias("n")).where("n % 3 <> 0").select("date", F.concat(F.lit("in/Issue-"), F.date_format("date", "dd-MM-yyyy"), F.lit(".pdf")).alias("source"), F.lit(1.0).cast("double").alias("sourceMtimeMs"), F.col("n").alias("sourceSize"))
+    return _days(spark, d).select("date", F.concat(F.lit("in/Issue-"), F.date_format("date", "dd-MM-yyyy"), F.lit(".pdf")).alias("source"), F.lit(1.0).cast("double").alias("sourceMtimeMs"), F.col("n").alias("sourceSize"))
 
 
 def _progress(spark, d):
-    found = _found(spark, d)
-    old = found.where("sourceSize % 2 = 0").select("date", "source", "sourceMtimeMs", F.when(F.dayofmonth("date") % 2 == 0, F.col("sourceSize")).otherwise(F.lit(1)).cast("long").alias("sourceSize"), F.when(F.dayofmonth("date") % 4 < 2, "complete").otherwise("in_progress").alias("status"), F.lit(16).alias("totalPages"), F.lit(4).alias("nextPage"), F.lit(7).cast("long").alias("vectorCount"))
-    return calendar.sync(old, found, "2026-01-01", "2026-02-10")
+    """Days with more errors than sign-ups have a history; with more clicks than views their file has not changed."""
+    size = F.when(F.col("click") > F.col("view"), F.col("n")).otherwise(F.lit(1)).cast("long")
+    status = F.when(F.col("purchase") > F.col("view"), "complete").otherwise("in_progress")
+    old = _days(spark, d).where("error > signup").select("date", F.concat(F.lit("in/Issue-"), F.date_format("date", "dd-MM-yyyy"), F.lit(".pdf")).alias("source"), F.lit(1.0).cast("double").alias("sourceMtimeMs"), size.alias("sourceSize"), status.alias("status"), F.lit(16).alias("totalPages"), F.lit(4).alias("nextPage"), F.lit(7).cast("long").alias("vectorCount"))
+    return calendar.sync(old, _found(spark, d), "2026-01-01", "2026-02-10")
 
 
 def q27_calendar_spine(spark, d):
@@ -189,7 +221,10 @@ def q28_status_counts(spark, d):
 
 
 def q29_file_batch(spark, d):
-    return calendar.batch(_progress(spark, d), limit=5, start="2026-01-03")[0].select(F.col("date").cast("string").alias("date"), "status")
+    from pyspark.sql import Window as W
+
+    queue = calendar.batch(_progress(spark, d), limit=5, start="2026-01-03")[0]
+    return queue.select(F.col("date").cast("string").alias("date"), "status", F.row_number().over(W.orderBy("date")).cast("long").alias("ordinal"))
 
 
 def q30_filename_dates(spark, d):
@@ -244,23 +279,37 @@ def q35_log_stream_equals_batch(spark, d):
 
 
 def q36_front_page(spark, d):
-    return curation.front_page(corpus.curated(spark, d).where("section <> 'Front Page'")).select("id", "examRelevance", "pageNumber")
+    """Both routes over all articles: the front page, and its fallback where no article is on one."""
+    from pyspark.sql import Window as W
+
+    a = corpus.curated(spark, d)
+    none = a.withColumn("section", F.when(F.col("section") == "Front Page", "National").otherwise(F.col("section")))
+    route = lambda df, name: curation.front_page(df).select("id", "examRelevance", "pageNumber", "createdAt", F.lit(name).alias("route"))
+    both = route(a, "own").unionByName(route(none, "fallback"))
+    # One list a route: what a landing page shows.
+    order = W.partitionBy("route").orderBy(*curation.listing())
+    return both.select("route", "id", "examRelevance", "pageNumber", F.row_number().over(order).cast("long").alias("ordinal"))
 
 
 def q37_discover_counts(spark, d):
-    return curation.discover_counts(corpus.curated(spark, d).where("section <> 'Front Page'"))
+    return curation.discover_counts(corpus.curated(spark, d))
 
 
 def q38_archive(spark, d):
-    stored = _found(spark, d).where("sourceSize % 5 < 3").select("date", F.concat(F.lit("s-"), F.col("date").cast("string")).alias("filename"), F.lit(9).cast("long").alias("sizeBytes"))
-    return calendar.archive(_progress(spark, d), stored).select(F.col("date").cast("string").alias("date"), "filename", "sizeBytes", F.col("totalPages").cast("long").alias("totalPages"))
+    from pyspark.sql import Window as W
+
+    stored = _days(spark, d).where("click > purchase").select("date", F.concat(F.lit("s-"), F.col("date").cast("string")).alias("filename"), F.lit(9).cast("long").alias("sizeBytes"))
+    out = calendar.archive(_progress(spark, d), stored)
+    return out.select(F.col("date").cast("string").alias("date"), "filename", "sizeBytes", F.col("totalPages").cast("long").alias("totalPages"), F.row_number().over(W.orderBy(F.desc("date"))).cast("long").alias("ordinal"))
 
 
 def q39_user_upsert(spark, d):
-    e = corpus.read(spark, d, "events").select(F.col("user_id").cast("string").alias("googleId"), F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit("@x")).alias("email"), F.when(F.col("event_id") % 2 == 0, F.col("event_type")).alias("name"), F.lit(None).cast("string").alias("picture"), F.col("ts").cast("timestamp").alias("at"), "event_id")
-    old = e.where("event_id < 50").groupBy("googleId").agg(F.min("email").alias("email"), F.lit("old").alias("name"), F.lit("p").alias("picture"), F.min("at").alias("lastLoginAt"), F.lit(5).cast("long").alias("loginCount"))
-    out = stores.upsert_users(old, e.where("event_id % 7 = 0"))
-    return out.select("googleId", "email", "picture", "loginCount", F.unix_micros("lastLoginAt").alias("last_at"))
+    """All events are sign-ins: those before the 16th are in the stored table, the others are upserted."""
+    e = corpus.read(spark, d, "events").select(F.col("user_id").cast("string").alias("googleId"), F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit("@x")).alias("email"), F.when(F.col("event_type") == "signup", F.col("event_type")).alias("name"), F.lit(None).cast("string").alias("picture"), F.col("ts").cast("timestamp").alias("at"))
+    cut = F.lit("2024-01-16 00:00:00").cast("timestamp")
+    old = e.where(F.col("at") < cut).groupBy("googleId").agg(F.min("email").alias("email"), F.lit("old").alias("name"), F.lit("p").alias("picture"), F.max("at").alias("lastLoginAt"), F.count("*").alias("loginCount"))
+    out = stores.upsert_users(old, e.where(F.col("at") >= cut))
+    return out.select("googleId", "email", "name", "picture", "loginCount", F.unix_micros("lastLoginAt").alias("last_at"))
 
 
 def q40_health(spark, d):
@@ -276,6 +325,96 @@ def q42_sanitized_meta(spark, d):
     return corpus.read(spark, d, "events").select("event_id", stores.sanitized(meta).alias("meta"))
 
 
+def q43_scalar_texts(spark, d):
+    """Normalised text, cleaned passage, tidied heading and lexical text of whole texts, as digests."""
+    c = corpus.chunks(spark, d)
+    sha = lambda x: F.sha2(x, 256)
+    fenced = F.concat(F.lit("```text\n"), "page_content", F.lit("\n\n\n\nend \t x\n```"))
+    heading = F.concat(F.lit("‘A title’ of. The 1234567 "), "heading")
+    return c.select(
+        "chunk_id", sha(text.normalize(F.col("page_content"))).alias("normal"), sha(text.clean_passage(fenced)).alias("passage"), text.cleanup_heading(heading).alias("heading"),
+        sha(text.context(F.col("date"), F.col("pageNumber"), F.col("section"), F.col("page_content"))).alias("context"), sha(text.lexical_text(F.col("page_content"), F.lit("Page 3 other text"))).alias("lexical"),
+    )
+
+
+def q44_filtered_bm25(spark, d):
+    """BM25 under a metadata filter: df, n and lengths stay global."""
+    chunks = corpus.chunks(spark, d)
+    out = lexical.bm25_topk(_index(spark, d), _topics(spark), 10, {"pageNumber": {"$lte": 6}}, chunks)
+    return out.select("topic_id", "chunk_id", F.round("bm25", 6).alias("bm25"), F.col("rank").cast("long").alias("rank"))
+
+
+def q45_topic_weights(spark, d):
+    """The gate of three topics and the fusion weights that follow."""
+    out = lexical.topic_weights(lexical.gate(_topics(spark), _index(spark, d)))
+    return out.select("topic_id", "token", "df", "open", F.round("w_sem", 6).alias("w_sem"), F.round("w_lex", 6).alias("w_lex"))
+
+
+def q46_get_by_ids(spark, d):
+    """Chunks of every question's numbers, null and unknown ones among them."""
+    ids = corpus.read(spark, d, "benchmark").select(F.when(F.col("item_id") > 0, F.col("item_id") * 3).alias("chunk_id"))
+    return retrieval.get_by_ids(corpus.chunks(spark, d), ids.unionByName(ids)).select("chunk_id", "date", "section")
+
+
+def q47_discover_files(spark, d):
+    """One issue a date from a listing with both name forms, odd names and other kinds of files."""
+    c = corpus.chunks(spark, d)
+    day = F.col("date").cast("date")
+    name = F.when(F.col("chunk_id") % 4 == 0, F.concat(F.lit("in/x-"), F.date_format(day, "dd-MM-yyyy"), F.lit(".pdf"))).when(F.col("chunk_id") % 4 == 1, F.concat(F.lit("in/"), "date", F.lit(".PDF"))).when(F.col("chunk_id") % 4 == 2, F.concat(F.lit("in/"), "date", F.lit(".txt"))).otherwise(F.lit("in/notes.pdf"))
+    files = c.select(name.alias("path"), F.timestamp_seconds(F.col("dateInt")).alias("modificationTime"), F.lit(10).cast("long").alias("length")).distinct()
+    found, skipped = calendar.discover(files)
+    named = skipped.groupBy("name").agg(F.count("*").alias("n"))
+    return found.select(F.col("date").cast("string").alias("date"), "source", F.col("sourceMtimeMs").cast("long").alias("mtime")).unionByName(named.select(F.lit(None).cast("string").alias("date"), F.col("name").alias("source"), F.col("n").cast("long").alias("mtime")))
+
+
+def q48_resolve_issue(spark, d):
+    """The file to serve for every day of the calendar, a blank date and things that are no date."""
+    asked = _progress(spark, d).select(F.col("date").cast("string").alias("date"))
+    odd = spark.sql("SELECT * FROM VALUES (''), ('2026-02-30'), ('today'), ('2031-05-06') AS t(date)")
+    return calendar.resolve(asked.unionByName(odd), _progress(spark, d), "https://store.example/issues", "latest.pdf").select("date", "valid", "filename", "url", "remoteUrl", F.col("totalPages").cast("long").alias("totalPages"), "sizeBytes")
+
+
+def q49_calendar_summary(spark, d):
+    """Whether all present files are complete, the vectors, and the missing dates."""
+    return calendar.summary(_progress(spark, d)).select("complete", "vectorCount", F.array_join(F.transform("missing", lambda x: x.cast("string")), ",").alias("missing"))
+
+
+def q50_curation_report(spark, d):
+    """Raw, kept and dropped articles of each page."""
+    prepared, verdicts = _curation(spark, d)
+    return curation.curation_report(prepared, curation.curate(prepared, verdicts)).select("source", "pageNumber", "raw", "kept", "dropped")
+
+
+def q51_public_sessions(spark, d):
+    """Sessions and messages as their owner sees them."""
+    m = corpus.messages(spark, d)
+    s = stores.public_sessions(stores.sessions(m)).select("id", "title", F.length("preview").cast("long").alias("chars"), F.col("messageCount").cast("long").alias("n"))
+    return s.unionByName(stores.public_messages(m).select("id", F.col("role").alias("title"), F.length("content").cast("long").alias("chars"), F.lit(1).cast("long").alias("n")))
+
+
+def q52_compact_sources(spark, d):
+    """The first sources of an answer that drew on every chunk of a page, with short excerpts."""
+    c = corpus.chunks(spark, d)
+    one = F.struct("chunk_id", F.when(F.col("chunk_id") % 2 == 0, F.col("heading")).alias("heading"), "pageNumber", "date", "section", F.col("page_content").alias("excerpt"))
+    pages = c.groupBy("date", "pageNumber").agg(F.slice(F.array_sort(F.collect_list(one)), 1, 40).alias("sources"))
+    out = pages.select("date", "pageNumber", F.posexplode(stores.compact_sources(F.col("sources"))).alias("at", "s"))
+    return out.select("date", "pageNumber", F.col("at").cast("long").alias("at"), "s.id", "s.heading", F.length("s.excerpt").cast("long").alias("chars"))
+
+
+def q53_recent_sessions(spark, d):
+    """A user's sessions, newest first, and the messages of all sessions in order."""
+    from pyspark.sql import Window as W
+
+    s = stores.recent_sessions(stores.sessions(corpus.messages(spark, d)), "u3", 100)
+    return s.select("sessionId", "title", F.row_number().over(W.orderBy(F.desc("lastMessageAt"), "sessionId")).cast("long").alias("ordinal"))
+
+
+def q54_public_articles(spark, d):
+    """Article cards of every article: defaults stand where a field is absent."""
+    out = curation.public_articles(corpus.curated(spark, d))
+    return out.select("id", "title", "section", F.length("summary").cast("long").alias("chars"), F.size("examTags").cast("long").alias("tags"), F.col("wordCount").cast("long").alias("wordCount"), F.unix_seconds("createdAt").alias("created"))
+
+
 def queries():
     return {name: f for name, f in globals().items() if name[0] == "q" and name[1:3].isdigit()}
 

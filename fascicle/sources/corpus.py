@@ -38,13 +38,14 @@ def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def curated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Curated articles from labelled documents."""
+    """Curated articles: every document, with its whole text as summary. The quality label gives the
+    relevance: high, low, or medium where there is none."""
     from fascicle.operators.curation import SECTIONS as NAMES
 
     section = F.element_at(F.array(*map(F.lit, NAMES)), (F.col("doc_id") % 9).cast("int") + 1)
-    relevance = F.when(F.col("doc_id") % 3 == 0, "high").when(F.col("doc_id") % 3 == 1, "medium").otherwise("low")
-    d = read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels").where("quality = 1").select("doc_id").distinct(), "doc_id")
-    return d.select(
-        F.col("doc_id").alias("id"), F.concat("source", F.lit(".pdf")).alias("source"), ((F.col("doc_id") % 16).cast("int") + 1).alias("pageNumber"), F.substring("text", 1, 60).alias("title"), section.alias("section"), relevance.alias("examRelevance"),
-        F.substring("text", 1, 120).alias("summary"), F.array("lang", "source").alias("examTags"), F.timestamp_seconds(F.lit(1767225600) + F.col("doc_id")).alias("createdAt"),
+    labels = read(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    relevance = F.when(F.col("quality") == 1, "high").when(F.col("quality") == 0, "low").otherwise("medium")
+    return read(spark, sf_dir, "documents").join(labels, "doc_id", "left").select(
+        F.col("doc_id").alias("id"), F.concat("source", F.lit(".pdf")).alias("source"), ((F.col("doc_id") % 16).cast("int") + 1).alias("pageNumber"), F.concat("lang", F.lit(" article "), F.col("doc_id").cast("string")).alias("title"), section.alias("section"), relevance.alias("examRelevance"),
+        F.col("text").alias("summary"), F.array("lang", "source").alias("examTags"), F.timestamp_seconds(F.lit(1767225600) + (F.col("doc_id") * 7919) % 86400).alias("createdAt"),
     )

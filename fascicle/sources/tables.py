@@ -25,6 +25,22 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= SMALL_BYTES else df
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    A local session without it gets a temporary folder; on a cluster its absence is an error, as
+    files in a machine's own folder would be lost to the others.
+    """
+    import tempfile
+
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="fascicle-")
+
+
 def list_files(spark: SparkSession, folder: str, pattern: str = "*.pdf") -> DataFrame:
     """path, modificationTime, length of the files of a folder or bucket; contents are not read."""
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder).select("path", "modificationTime", "length")
@@ -56,15 +72,19 @@ def read_items(spark: SparkSession, folder: str, parse) -> DataFrame:
 
 def write_chunks(chunks: DataFrame, path: str) -> None:
     """Write chunks partitioned by date. Only the dates in chunks are replaced, so writing a date
-    again is idempotent and also deletes its old chunks."""
-    chunks.repartition("date").sortWithinPartitions("pageNumber", "chunkIndex").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(path)
+    again is idempotent and also deletes its old chunks.
+
+    The rebalance hint lets adaptive execution cut a large date into several tasks.
+    """
+    dealt = chunks.hint("rebalance", F.col("date"))
+    dealt.sortWithinPartitions("date", "pageNumber", "chunkIndex").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(path)
 
 
-def embed_chunks(chunks: DataFrame, embed, batch: int = 24, attempts: int = 12, wait: float = 8.0) -> DataFrame:
+def embed_chunks(chunks: DataFrame, embed, batch: int = 24, attempts: int = 12, wait: float = 8.0, pause: float = 0.0) -> DataFrame:
     """chunk_id, embedding by an injected embed(list of texts) -> list of vectors.
 
-    Calls take `batch` texts and are retried with doubling waits; a call that keeps failing fails
-    its task, which Spark retries.
+    Calls take `batch` texts, `pause` seconds apart, and are retried with doubling waits; a call
+    that keeps failing fails its task, which Spark retries. chunk_id keeps its type.
     """
 
     def run(batches):
@@ -75,9 +95,11 @@ def embed_chunks(chunks: DataFrame, embed, batch: int = 24, attempts: int = 12,
         for pdf in batches:
             for at in range(0, len(pdf), batch):
                 part = pdf.iloc[at : at + batch]
+                if at and pause:
+                    time.sleep(pause)
                 for k in range(attempts):
                     try:
-                        out = embed(part["page_content"].tolist())
+                        out = embed(part["page_content"].fillna("").tolist())
                         break
                     except Exception:
                         if k == attempts - 1:
@@ -85,7 +107,26 @@ def embed_chunks(chunks: DataFrame, embed, batch: int = 24, attempts: int = 12,
                         time.sleep(wait * 2**k)
                 yield pd.DataFrame({"chunk_id": part["chunk_id"].to_numpy(), "embedding": [list(map(float, v)) for v in out]})
 
-    return chunks.select("chunk_id", "page_content").mapInPandas(run, "chunk_id string, embedding array<float>")
+    kind = chunks.schema["chunk_id"].dataType.simpleString()
+    return chunks.select("chunk_id", "page_content").mapInPandas(run, f"chunk_id {kind}, embedding array<float>")
+
+
+#: Scans that are kept in memory, by the plan they come from.
+_KEPT: dict[str, DataFrame] = {}
+
+
+def cached_scan(chunks: DataFrame, filter=None) -> DataFrame:
+    """scan() kept in executors' memory and disk until clear_scans()."""
+    found = scan(chunks, filter)
+    key = f"{found.sparkSession.sparkContext.applicationId}:{found.semanticHash()}"
+    if key not in _KEPT:
+        _KEPT[key] = found.persist()
+    return _KEPT[key]
+
+
+def clear_scans() -> None:
+    while _KEPT:
+        _KEPT.popitem()[1].unpersist()
 
 
 def scan(chunks: DataFrame, filter=None) -> DataFrame:
@@ -93,22 +134,38 @@ def scan(chunks: DataFrame, filter=None) -> DataFrame:
     return chunks.where(compile_filter(filter, chunks)).select(*[c for c in TEXT_COLUMNS if c in chunks.columns])
 
 
+def _hadoop(spark: SparkSession, path: str):
+    """(file system, path) of the Java side, so that any store works."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
 def drop_dates(spark: SparkSession, path: str, dates: list[str]) -> None:
     """Delete whole date partitions."""
-    from py4j.java_gateway import java_import
-
-    java_import(spark._jvm, "org.apache.hadoop.fs.Path")
     for d in dates:
-        at = spark._jvm.Path(f"{path}/date={d}")
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        fs, at = _hadoop(spark, f"{path}/date={d}")
+        fs.delete(at, True)
 
 
 def drop_table(spark: SparkSession, path: str, protected: tuple[str, ...] = ()) -> None:
     """Delete a table's folder; protected names are refused."""
     if path.rstrip("/").rsplit("/", 1)[-1] in protected:
         raise ValueError(f"{path} is protected")
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    fs, at = _hadoop(spark, path)
+    fs.delete(at, True)
+
+
+def open_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The table at path, created empty where there is none."""
+    fs, at = _hadoop(spark, path)
+    if not fs.exists(at):
+        spark.createDataFrame([], schema).write.parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
+def append(rows: DataFrame, path: str) -> None:
+    """Add rows to a table."""
+    rows.write.mode("append").parquet(path)
 
 
 def health(chunks: DataFrame) -> DataFrame:
@@ -117,6 +174,15 @@ def health(chunks: DataFrame) -> DataFrame:
 
 
 def replace_copy(articles: DataFrame, path: str) -> DataFrame:
-    """Copy a table over another and return its rows by section."""
-    articles.write.mode("overwrite").parquet(path)
-    return articles.sparkSession.read.parquet(path).groupBy("section").agg(F.count("*").alias("count"))
+    """Copy a table over another and return its rows by section.
+
+    The copy is written beside the old table and then takes its place, so articles may come from it.
+    """
+    spark, new = articles.sparkSession, f"{path.rstrip('/')}.new"
+    articles.write.mode("overwrite").parquet(new)
+    (fs, old), (_, made) = _hadoop(spark, path), _hadoop(spark, new)
+    fs.delete(old, True)
+    if not fs.rename(made, old):
+        raise OSError(f"{new} could not be moved to {path}")
+    spark.catalog.refreshByPath(path)
+    return spark.read.parquet(path).groupBy("section").agg(F.count("*").alias("count"))
