@@ -22,18 +22,129 @@ def per_process(key, build):
     return store[key]
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the cluster's shared folder.
+#: Folders that stand in for a shared one, by application.
+_FOLDERS: dict[str, str] = {}
+
 
-    The folder is spark.checkpoint.dir of the session; only where that is unset (tests, a
-    laptop) a temporary folder stands in.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir of the session.
+
+    A local session without it (tests, a laptop) gets a temporary folder; on a cluster its absence
+    is an error, as files in a machine's own folder would be lost to the others.
     """
+    sc = spark.sparkContext
+    folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if folder:
+        return folder.rstrip("/")
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    if sc.applicationId not in _FOLDERS:
+        _FOLDERS[sc.applicationId] = tempfile.mkdtemp(prefix="fascicle-")
+    return _FOLDERS[sc.applicationId]
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the cluster's shared folder."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="fascicle-checkpoint-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+#: One of so many members of a sample tells which keys are hot; lists of hot keys up to BROADCAST_ROWS are broadcast.
+SAMPLE_RATE = 32
+BROADCAST_ROWS = 50_000
+
+
+def sampled(rows: DataFrame, member: str) -> DataFrame:
+    """Rows of about one member in SAMPLE_RATE, chosen by a hash of the member."""
+    return rows.where(F.pmod(F.xxhash64(F.col(member), F.lit(11)), F.lit(SAMPLE_RATE)) == 0)
+
+
+def deal(rows: DataFrame, sample: DataFrame, key: str, member: str, split: int) -> DataFrame:
+    """rows with part, i and j: members of a key beyond `split` rows are dealt to pairs (i, j) of parts.
+
+    A part holds about `split` members of the key, and a task works on one key, i and j: all pairs of
+    part i where i = j, else the pairs between parts i and j. So any two members of a key meet once,
+    and no task holds more than about two parts, however hot the key. `sample` is what rows is made
+    of sampled() members; it only decides how a key is dealt, never which members meet.
+    """
+    n = F.col("count") * SAMPLE_RATE
+    hot = durable(sample.groupBy(key).count().where(n > split).select(key, F.ceil(n / split).cast("int").alias("parts")))
+    n_hot = hot.count()
+    if not n_hot:
+        return rows.withColumns({c: F.lit(0) for c in ("part", "i", "j")})
+    dealt = rows.join(F.broadcast(hot) if n_hot <= BROADCAST_ROWS else hot, key, "left")
+    part = F.pmod(F.xxhash64(F.col(member), F.lit(13)), F.coalesce("parts", F.lit(1)))
+    dealt = dealt.withColumn("part", part.cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
+    return dealt.withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")}).drop("other", "parts")
+
+
+def runs(batches, keys: list[str]):
+    """(table, cuts): rows sorted by keys as tables that hold whole runs of equal keys, from cut to cut."""
+    import numpy as np
+    import pyarrow as pa
+
+    rest = None
+
+    def cuts(t):
+        new = np.zeros(t.num_rows, bool)
+        new[:1] = True
+        for k in keys:
+            c = t.column(k).to_numpy()
+            new[1:] |= c[1:] != c[:-1]
+        return np.flatnonzero(new)
+
+    for b in batches:
+        if b.num_rows:
+            t = pa.Table.from_batches([b])
+            t = (pa.concat_tables([rest, t]) if rest is not None else t).combine_chunks()
+            at = cuts(t)
+            if len(at) > 1:
+                yield t.slice(0, int(at[-1])).combine_chunks(), at
+            rest = t.slice(int(at[-1]))
+        del b
+    if rest is not None:
+        t = rest.combine_chunks()
+        yield t, np.append(cuts(t), t.num_rows)
+    # The worker serves later stages too, and what the pool keeps counts as the executor's.
+    del rest
+    pa.default_memory_pool().release_unused()
+
+
+def forest(a, b, n: int):
+    """Indices of links (a[k], b[k]) that span their components over n nodes; earlier links win.
+
+    Links inside a known component are dropped a block at a time, so that dense links cost little.
+    """
+    import numpy as np
+
+    root, kept, at, size = np.arange(n), [], 0, 256
+    while at < len(a):
+        x, y = root[a[at : at + size]], root[b[at : at + size]]
+        new = np.flatnonzero(x != y)
+        if len(new):
+            parent = {}
+
+            def find(v):
+                while v in parent:
+                    up = parent[v]
+                    parent[v] = parent.get(up, up)
+                    v = up
+                return v
+
+            for k, u, v in zip(new.tolist(), x[new].tolist(), y[new].tolist()):
+                u, v = find(u), find(v)
+                if u != v:
+                    parent[max(u, v)] = min(u, v)
+                    kept.append(at + k)
+            move = np.arange(n)
+            move[list(parent)] = [find(v) for v in parent]
+            root = move[root]
+        at, size = at + size, min(2 * size, 1 << 16)
+    return np.array(kept, np.int64)
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z to a-z and nothing else (lower() would change other scripts)."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -1,36 +1,56 @@
 """Embedding near-duplicates by Euclidean p-stable hashing with exact cosine checks.
 
 Normalised vectors are projected on Gaussian directions (2-stable), shifted, and quantised by
-WIDTH; PROJECTIONS quantised values together name a bucket, in TABLES independent tables. Vectors
-of one bucket are compared exactly in double precision.
+WIDTH; the quantised values of a table's projections together name a bucket.
 
-Recall: unit vectors at cosine 0.9 are 0.447 apart and share one quantised value with probability
-0.82, a bucket with 0.14 and one of 20 buckets with 0.95; nearer pairs are found more often.
+Scale. Projections and tables follow from the number of distinct vectors (see shape): a bucket
+holds about MEET unrelated vectors at any size, and the tables find a pair at the threshold with
+probability RECALL. So compared pairs for each vector stay flat as the corpus grows; what grows is
+the number of tables, by the corpus to the power 0.27 or so.
 
-Exact copies collapse to one vector first. A bucket beyond SPLIT vectors is dealt out as pairs of
-parts, each a task of its own, so no task holds more than 2 * SPLIT vectors of a bucket. A pair
-found in several tables counts in the first only. Links inside a bucket come back as counts and a
-spanning forest, never as all pairs.
+Two passes over the same buckets. The first shuffles 128-bit sketches (signs of projections) and
+marks vectors with a partner whose sketch is close enough for the threshold; it may mark too many,
+and misses a pair with a probability under 1e-6. The second shuffles the marked vectors alone and
+compares them exactly in double precision.
+
+Exact copies collapse to one vector first. A hot bucket is dealt out to pairs of parts, so no task
+holds more than two parts of a bucket. A pair found in several tables counts in the first only.
+Links inside a bucket come back as counts and a spanning forest, never as all pairs.
 """
 
 from __future__ import annotations
 
+from math import ceil, erfc, exp, log, pi, sqrt
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fascicle.llm.common import connected_components, durable
-from fascicle.llm.simhash_vptree import _forest
+from fascicle.llm.common import connected_components, deal, durable, forest, runs, sampled
 
 THRESHOLD = 0.9
-WIDTH = 2.0
-PROJECTIONS = 10
-TABLES = 20
+WIDTH = 2.5
+#: Unrelated vectors that a bucket holds besides a vector, and the chance to find a pair at the threshold.
+MEET = 16
+RECALL = 0.97
 SPLIT = 4096
 SEED = 20240521
-#: More hot buckets than this are joined by a shuffle instead of a broadcast.
-BROADCAST_ROWS = 50_000
+#: Words of 64 bits in a sketch, and deviations by which a pair's sketches may differ beyond the mean.
+WORDS = 2
+SLACK = 5.0
+
+
+def same_value(cosine: float, width: float = WIDTH) -> float:
+    """Probability that unit vectors of a cosine share one quantised value."""
+    r = width / sqrt(2 - 2 * cosine)
+    return 1 - erfc(r / sqrt(2)) - 2 / (sqrt(2 * pi) * r) * (1 - exp(-r * r / 2))
+
+
+def shape(rows: int, threshold: float = THRESHOLD) -> tuple[int, int]:
+    """(projections a table, tables) for so many distinct vectors."""
+    k = max(4, ceil(log(max(rows, 1) / MEET) / -log(same_value(0.0)))) if rows > MEET else 4
+    return k, ceil(log(1 - RECALL) / log(1 - same_value(min(threshold, 0.999999)) ** k))
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -40,97 +60,154 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def buckets(x: np.ndarray) -> np.ndarray:
-    """(rows, TABLES) 63-bit bucket names of unit vectors; the dimension is part of a name."""
-    rng = np.random.default_rng([SEED, x.shape[1]])
-    a = rng.standard_normal((x.shape[1], TABLES * PROJECTIONS))
-    b = rng.uniform(0, WIDTH, TABLES * PROJECTIONS)
-    q = np.floor((x @ a + b) / WIDTH).astype(np.int64).astype(np.uint64).reshape(len(x), TABLES, PROJECTIONS)
-    # The table's salt is spread over all bits first: small numbers alone would meet across tables.
-    salt = (np.uint64(x.shape[1] * TABLES) + np.arange(TABLES, dtype=np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
-    h = np.tile(salt ^ (salt >> np.uint64(32)), (len(x), 1))
-    for k in range(PROJECTIONS):
-        h = (h ^ q[:, :, k]) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(29)
-    return (h >> np.uint64(1)).astype(np.int64)
+class Hash:
+    """Bucket names and sketches of unit vectors of one dimension."""
+
+    def __init__(self, dim: int, projections: int, tables: int):
+        rng = np.random.default_rng([SEED, dim])
+        self.dim, self.projections, self.tables = dim, projections, tables
+        self.planes = rng.standard_normal((dim, 64 * WORDS))
+        self.a = rng.standard_normal((dim, tables * projections))
+        self.b = rng.uniform(0, WIDTH, tables * projections)
+
+    def buckets(self, x: np.ndarray, tables: int | None = None) -> np.ndarray:
+        """(rows, tables) 63-bit names; dimension and table are part of a name."""
+        t = self.tables if tables is None else tables
+        n = t * self.projections
+        q = np.floor((x @ self.a[:, :n] + self.b[:n]) / WIDTH).astype(np.int64).astype(np.uint64).reshape(len(x), t, self.projections)
+        # The table's salt is spread over all bits first: small numbers alone would meet across tables.
+        salt = (np.uint64(self.dim * 4096) + np.arange(t, dtype=np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+        h = np.tile(salt ^ (salt >> np.uint64(32)), (len(x), 1))
+        for k in range(self.projections):
+            h = (h ^ q[:, :, k]) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+        return (h >> np.uint64(1)).astype(np.int64)
 
+    def sketch(self, x: np.ndarray) -> np.ndarray:
+        return np.packbits(x @ self.planes > 0, axis=1, bitorder="little").view("<i8")
 
-def _hash(batches):
+
+def reach(threshold: float) -> int:
+    """Bits in which the sketches of a pair at the threshold may differ."""
+    p = np.arccos(min(threshold, 1.0)) / np.pi
+    n = 64 * WORDS
+    return int(np.ceil(n * p + SLACK * np.sqrt(n * p * (1 - p)))) + 1
+
+
+def _by_dimension(batches, names: list[str]):
+    """(the named columns, raw rows, dimension) of the rows of each dimension in a batch, some thousands at a time."""
     for b in batches:
-        node, n, vec = b.column("node"), b.column("n"), b.column("embedding")
+        vec = b.column("embedding")
         lengths = np.diff(vec.offsets.to_numpy())
-        for dim in np.unique(lengths):
-            pick = np.flatnonzero(lengths == dim)
-            x = np.stack([np.asarray(vec[int(i)].values) for i in pick])
-            h = buckets(unit(x))
-            raw = pa.array([r.tobytes() for r in np.ascontiguousarray(x, np.float64 if x.dtype == np.float64 else np.float32)], pa.binary())
-            for t in range(TABLES):
-                yield pa.RecordBatch.from_arrays([pa.array(h[:, t]), pa.array(np.full(len(pick), t, np.int32)), node.take(pa.array(pick)), n.take(pa.array(pick)), raw], ["bucket", "tab", "node", "n", "raw"])
+        for dim in np.unique(lengths).tolist():
+            every = np.flatnonzero(lengths == dim)
+            for at in range(0, len(every), 4096):
+                pick = pa.array(every[at : at + 4096])
+                flat = vec.take(pick).flatten().to_numpy(zero_copy_only=False)
+                yield [b.column(c).take(pick) for c in names], flat.reshape(-1, dim), dim
+
+
+def _sketches(projections: int, tables: int):
+    def run(batches):
+        made = {}
+        for (node,), x, dim in _by_dimension(batches, ["node"]):
+            h = made.setdefault(dim, Hash(dim, projections, tables))
+            u = unit(x)
+            names, s = h.buckets(u), h.sketch(u)
+            for t in range(tables):
+                yield pa.RecordBatch.from_arrays([pa.array(names[:, t]), node, *(pa.array(s[:, w]) for w in range(WORDS))], ["bucket", "node", *(f"s{w}" for w in range(WORDS))])
+
+    return run
+
+
+def _vectors(projections: int, tables: int):
+    def run(batches):
+        made = {}
+        for (node, n), x, dim in _by_dimension(batches, ["node", "n"]):
+            names = made.setdefault(dim, Hash(dim, projections, tables)).buckets(unit(x))
+            raw = pa.array([r.tobytes() for r in x], pa.binary())
+            for t in range(tables):
+                cols = [pa.array(names[:, t]), node, n, pa.array(np.full(len(x), t, np.int32)), pa.array(np.full(len(x), dim, np.int32)), raw]
+                yield pa.RecordBatch.from_arrays(cols, ["bucket", "node", "n", "tab", "dim", "raw"])
+
+    return run
+
+
+def near_sketches(s: np.ndarray, part: np.ndarray, cross: bool, most: int) -> np.ndarray:
+    """Rows with another row (of the other part, where cross) within `most` bits."""
+    hit = np.zeros(len(s), bool)
+    for at in range(0, len(s), 512):
+        d = sum(np.bitwise_count(s[at : at + 512, None, w] ^ s[None, :, w]).astype(np.int16) for w in range(s.shape[1]))
+        close = d <= most
+        if cross:
+            close &= part[at : at + 512, None] != part
+        else:
+            close[np.arange(len(close)), np.arange(at, at + len(close))] = False
+        hit[at : at + 512] |= close.any(1)
+    return np.flatnonzero(hit)
 
 
-def _bucket_links(x, node, n, part, tab, cross, threshold):
-    """Counts and spanning links of one bucket (or pair of its parts)."""
+def _mark(most: int):
+    def run(batches):
+        for t, cuts in runs(batches, ["bucket", "i", "j"]):
+            s = np.stack([t.column(f"s{w}").to_numpy().view(np.uint64) for w in range(WORDS)], axis=1)
+            part, i, j = (t.column(c).to_numpy() for c in ("part", "i", "j"))
+            found = [near_sketches(s[a:b], part[a:b], i[a] != j[a], most) + a for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()) if b - a > 1]
+            found = np.concatenate(found) if found else np.empty(0, np.int64)
+            if len(found):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(t.column("node").to_numpy()[found]))], ["node"])
+
+    return run
+
+
+def bucket_links(x, node, n, part, earlier: Hash | None, tab: int, cross: bool, threshold: float):
+    """(nodes, their link counts, link ends a, link ends b) of one bucket, or of a pair of its parts.
+
+    Pairs that share a bucket of a table before `tab` are left to that one.
+    """
     links, ii, jj = np.zeros(len(x), np.int64), [], []
     for at in range(0, len(x), 512):
-        g = x[at : at + 512] @ x.T
-        i, j = np.nonzero(g >= threshold)
+        i, j = np.nonzero(x[at : at + 512] @ x.T >= threshold)
         i = i + at
         keep = (i < j) & (part[i] != part[j]) if cross else i < j
         i, j = i[keep], j[keep]
         if len(i) and tab:
             used, at_used = np.unique(np.concatenate((i, j)), return_inverse=True)
-            sig = buckets(x[used])[:, :tab]
+            names = earlier.buckets(x[used], tab)
             a, b = at_used[: len(i)], at_used[len(i) :]
             new = np.ones(len(i), bool)
             for k in range(0, len(i), 8192):
-                new[k : k + 8192] = ~(sig[a[k : k + 8192]] == sig[b[k : k + 8192]]).any(axis=1)
+                new[k : k + 8192] = ~(names[a[k : k + 8192]] == names[b[k : k + 8192]]).any(axis=1)
             i, j = i[new], j[new]
         if len(i):
             np.add.at(links, i, n[j])
             np.add.at(links, j, n[i])
-            k = _forest(i, j, len(x))
+            k = forest(i, j, len(x))
             ii.append(i[k])
             jj.append(j[k])
     some = np.flatnonzero(links)
     a, b = (np.concatenate(v) if v else np.empty(0, np.int64) for v in (ii, jj))
-    k = _forest(a, b, len(x)) if len(a) else np.empty(0, np.int64)
+    k = forest(a, b, len(x))
     return node[some], links[some], node[a[k]], node[b[k]]
 
 
-def _compare(threshold):
+def _compare(projections: int, tables: int, threshold: float, kind):
     def run(batches):
-        held, key = [], None
-
-        def flush():
-            if sum(t.num_rows for t in held) < 2:
-                return
-            t = pa.concat_tables(held)
-            tab, cross = t.column("tab")[0].as_py(), t.column("i")[0].as_py() != t.column("j")[0].as_py()
-            raw = t.column("raw").to_pylist()
-            dim = {len(r) for r in raw}
-            if len(dim) > 1:
-                return  # two dimensions met under one name by chance; they never link
-            kind = np.float32 if t.column("single")[0].as_py() else np.float64
-            x = unit(np.frombuffer(b"".join(raw), kind).reshape(len(raw), -1))
-            node, links, a, b = _bucket_links(x, t.column("node").to_numpy(), t.column("n").to_numpy(), t.column("part").to_numpy(), tab, cross, threshold)
-            if len(node):
-                yield pa.RecordBatch.from_arrays([pa.array(node), pa.nulls(len(node), pa.int64()), pa.array(links)], ["a", "b", "links"])
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(len(a), pa.int64())], ["a", "b", "links"])
-
-        for b in batches:
-            if not b.num_rows:
-                continue
-            t = pa.Table.from_batches([b])
-            keys = np.stack([t.column(c).to_numpy() for c in ("bucket", "tab", "i", "j")], axis=1)
-            cuts = [0, *(np.flatnonzero((np.diff(keys, axis=0) != 0).any(axis=1)) + 1).tolist(), len(keys)]
-            for lo, hi in zip(cuts[:-1], cuts[1:]):
-                k = tuple(keys[lo])
-                if k != key:
-                    yield from flush()
-                    held, key = [], k
-                held.append(t.slice(lo, hi - lo))
-        yield from flush()
+        made = {}
+        for t, cuts in runs(batches, ["bucket", "tab", "dim", "i", "j"]):
+            node, n, part, tab, dim, i, j = (t.column(c).to_numpy() for c in ("node", "n", "part", "tab", "dim", "i", "j"))
+            raw = t.column("raw").combine_chunks()
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                if b - a < 2:
+                    continue
+                d = int(dim[a])
+                h = made.setdefault(d, Hash(d, projections, tables))
+                x = unit(np.frombuffer(b"".join(raw.slice(a, b - a).to_pylist()), kind).reshape(b - a, d))
+                some, count, u, v = bucket_links(x, node[a:b], n[a:b], part[a:b], h, int(tab[a]), i[a] != j[a], threshold)
+                if len(some):
+                    yield pa.RecordBatch.from_arrays([pa.array(some), pa.nulls(len(some), pa.int64()), pa.array(count)], ["a", "b", "links"])
+                if len(u):
+                    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.nulls(len(u), pa.int64())], ["a", "b", "links"])
 
     return run
 
@@ -141,7 +218,8 @@ def embedding_groups(vectors: DataFrame, threshold: float = THRESHOLD, split: in
     A vector that is null, empty, zero, or holds a null or non-finite component links with nothing
     and is kept. Vectors of different lengths never link. Repeated rows count as copies of each
     other; an id identifies a vector, so rows of one id share a component. A row with a null id
-    links like any other and is kept; a component without any id is null.
+    links like any other and is kept; a component without any id is null. An empty table gives no
+    row. Other columns are not read.
     """
     single = dict(vectors.dtypes)["embedding"] == "array<float>"
     e = F.col("embedding")
@@ -151,20 +229,19 @@ def embedding_groups(vectors: DataFrame, threshold: float = THRESHOLD, split: in
     kinds = durable(rows.where("good").groupBy("k1", "k2").agg(F.min("vec_id").alias("first"), F.count("*").alias("n"), F.any_value("embedding").alias("embedding")))
     # A vector that no row gives an id takes part under a node of its own and never names a component.
     kinds = kinds.withColumn("node", F.coalesce("first", F.xxhash64("k1", "k2")))
-    hashed = kinds.select("node", "n", "embedding").mapInArrow(_hash, "bucket long, tab int, node long, n long, raw binary")
-    hashed = durable(hashed)
-    hot = durable(hashed.groupBy("bucket").count().where(F.col("count") > split).select("bucket", F.ceil(F.col("count") / split).cast("int").alias("parts")))
-    n_hot = hot.count()
-    if n_hot:
-        part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-        dealt = hashed.join(F.broadcast(hot) if n_hot <= BROADCAST_ROWS else hot, "bucket", "left")
-        dealt = dealt.withColumn("part", F.coalesce(part, F.lit(0)))
-        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
-        dealt = dealt.withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")}).drop("other", "parts")
-    else:
-        dealt = hashed.withColumns({c: F.lit(0) for c in ("part", "i", "j")})
-    dealt = dealt.withColumn("single", F.lit(single)).repartition("bucket", "i", "j").sortWithinPartitions("bucket", "tab", "i", "j")
-    found = durable(dealt.mapInArrow(_compare(threshold), "a long, b long, links long"))
+    k, tables = shape(kinds.count(), threshold)
+
+    def dealt(rows, make, schema):
+        made = rows.mapInArrow(make, schema)
+        return deal(made, sampled(rows, "node").mapInArrow(make, schema).select("bucket"), "bucket", "node", split)
+
+    sketched = dealt(kinds.select("node", "embedding"), _sketches(k, tables), "bucket long, node long, " + ", ".join(f"s{w} long" for w in range(WORDS)))
+    marked = sketched.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(_mark(reach(threshold)), "node long")
+    marked = durable(marked.distinct())
+    near = durable(kinds.join(marked, "node", "left_semi").select("node", "n", "embedding"))
+    found = dealt(near, _vectors(k, tables), "bucket long, node long, n long, tab int, dim int, raw binary")
+    found = found.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "tab", "dim", "i", "j")
+    found = durable(found.mapInArrow(_compare(k, tables, threshold, np.float32 if single else np.float64), "a long, b long, links long"))
     links = found.where("links is not null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     roots = connected_components(found.where("b is not null").select("a", "b")).select(F.col("id").alias("node"), "root")
     names = roots.join(kinds.select("node", "first"), "node").groupBy("root").agg(F.min("first").alias("name"))

@@ -3,20 +3,23 @@
 Fingerprint: 64 bits over word shingles hashed by XXH64 (seed 42).
 
 Join. Two fingerprints within RADIUS bits differ in at most RADIUS // 3 bits of one of three
-fixed slices of the fingerprint (pigeonhole). Each slice has a vantage-point tree. A level of
-the tree measures the Hamming distance from the node's vantage point on the level's own window
-of bits and branches into one child for each distance. Windows do not overlap, so by the
-triangle inequality the distance differences, summed over the levels, never exceed the
-distance of two fingerprints on the slice. A fingerprint therefore lives in the shard (leaf) of
-its own distances and needs to visit only shards whose summed difference is within the slice's
-radius; everything else is pruned. Of two overlapping shards only the one with smaller
-distances visits the larger, so that each pair meets once a tree. Inside a shard, pairs are
-checked exactly on all 64 bits.
-
-Scale: a fingerprint is replicated a constant number of times (about 27); exact copies collapse
-to one fingerprint before the join; a shard is streamed block by block and returns a spanning
-forest of its links, so large groups of near copies cost no quadratic output. Components come from
-distributed star contraction; nothing that grows with the corpus reaches the driver.
+fixed slices of the fingerprint (pigeonhole). Each slice has a vantage-point tree. A node looks at
+a window of two bits of its own and measures the Hamming distances from two vantage points there,
+which branch into one child for each pair of distances. By the triangle inequality the largest
+difference of the distances to one vantage point is a lower bound of two fingerprints' distance on
+the window, and as windows do not overlap, the bounds of a path add up to a lower bound of their
+distance on the slice. A fingerprint lives in the shard (leaf) of its own distances and must visit
+only leaves whose summed bound is within the slice's radius; every other branch is pruned. Of two
+such leaves only the one with smaller distances visits the other, so that each pair meets once a
+tree. Inside a shard, pairs are checked exactly on all 64 bits.
+
+Scale. Trees grow with the corpus: a leaf holds about LEAF fingerprints until the slice's bits are
+used up (2**21 leaves a tree), so compared pairs for each fingerprint stay flat up to some 10**9 of them and a
+fingerprint is in 3 to 35 shards. Exact copies collapse to one fingerprint before the join. A shard
+beyond SPLIT is dealt out to pairs of parts, so no task holds more than two parts however skewed
+the fingerprints are. A shard returns a spanning forest of its links, so large groups of near
+copies cost no quadratic output. Components come from distributed star contraction; nothing that
+grows with the corpus reaches the driver.
 """
 
 from __future__ import annotations
@@ -26,15 +29,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fascicle.llm.common import connected_components, durable
+from fascicle.llm.common import connected_components, deal, durable, forest, runs, sampled
 
 SHINGLE = 4
 RADIUS = 4
 SLICES = ((0, 21), (21, 21), (42, 22))
-WINDOW = 2
-#: Vantage points of the levels, read bit by bit along each slice.
+#: Most bits of a slice that a tree uses.
+DEPTH = 21
+#: Fingerprints that a leaf holds on average, and beyond how many a shard is split.
+LEAF = 16
+SPLIT = 4096
+#: First vantage points of the windows, read bit by bit along each slice; the second differs in the window's first bit.
 VANTAGE = 0x9E3779B97F4A7C15
-BLOCK = 2048
+BLOCK = 512
 
 
 def shingle_hashes(raw: bytes, size: int = SHINGLE) -> np.ndarray:
@@ -76,129 +83,112 @@ def fingerprint(text: Column, size: int = SHINGLE) -> Column:
     return of(text)
 
 
-def _tree_shards(fp: np.ndarray, tree: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, shard) of every shard that each fingerprint belongs to or visits in one tree."""
-    start, width = SLICES[tree]
-    reach = RADIUS // len(SLICES)
-    home = np.full(len(fp), tree, np.int64)
-    levels = []
-    for at in range(start, start + width, WINDOW):
-        bits = min(WINDOW, start + width - at)
-        mask = np.uint64(((1 << bits) - 1) << at)
-        d = np.bitwise_count((fp ^ np.uint64(VANTAGE)) & mask).astype(np.int64)
-        levels.append((bits, d))
-        home = home * (WINDOW + 1) + d
-    rows, shards = [np.arange(len(fp))], [home]
-    # Shards further out by up to `reach` in total; the partner's tree walk covers the others.
-    weights = [(WINDOW + 1) ** (len(levels) - 1 - k) for k in range(len(levels))]
-    if reach >= 1:
-        for (bits, d), w in zip(levels, weights):
-            can = np.flatnonzero(d < bits)
-            rows.append(can)
-            shards.append(home[can] + w)
-    if reach > 1:
-        raise ValueError("trees are built for a slice radius of 0 or 1")
+def depth(rows: int) -> int:
+    """Bits of a slice that a tree uses for so many fingerprints."""
+    return int(min(DEPTH, max(2, np.ceil(np.log2(max(rows, 1) / LEAF)))))
+
+
+def branch(fp: np.ndarray, at: int, bits: int) -> np.ndarray:
+    """The child (0 to 3) of each fingerprint at the node that looks at `bits` bits from `at`.
+
+    Children are numbered by the distances (d, e) from the two vantage points: (0, 1), (1, 0), (1, 2) and (2, 1);
+    a window of one bit has (0, 1) and (1, 0).
+    """
+    mask = np.uint64(((1 << bits) - 1) << at)
+    first = np.uint64(VANTAGE)
+    d = np.bitwise_count((fp ^ first) & mask).astype(np.int64)
+    e = np.bitwise_count((fp ^ first ^ np.uint64(1 << at)) & mask).astype(np.int64)
+    return d + (e == 2) + (d == 2)
+
+
+#: Distances (d, e) of each child, and for each the larger children whose triangle bound is 1.
+CHILDREN = ((0, 1), (1, 0), (1, 2), (2, 1))
+NEXT = tuple(tuple(k for k in range(c + 1, 4) if max(abs(x - y) for x, y in zip(CHILDREN[c], CHILDREN[k])) == 1) for c in range(4))
+
+
+def tree_shards(fp: np.ndarray, tree: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, shard) of every shard that each fingerprint lives in or visits in one tree."""
+    if RADIUS // len(SLICES) != 1:
+        raise ValueError("trees are built for a slice radius of 1")
+    start, home, levels = SLICES[tree][0], np.full(len(fp), tree, np.int64), []
+    for at in range(start, start + bits, 2):
+        width = min(2, start + bits - at)
+        child = branch(fp, at, width)
+        levels.append((child, 1 << width))
+        home = home * 4 + child
+    rows, shards, weight = [np.arange(len(fp))], [home], 1
+    for child, n in reversed(levels):
+        # One window may differ by one bit and the others by none.
+        for c in range(n):
+            own = np.flatnonzero(child == c)
+            for k in NEXT[c]:
+                if k < n:
+                    rows.append(own)
+                    shards.append(home[own] + (k - c) * weight)
+        weight *= 4
     return np.concatenate(rows), np.concatenate(shards)
 
 
-def _replicate(batches):
-    for b in batches:
-        fp = b.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
-        for tree, _ in enumerate(SLICES):
-            rows, shards = _tree_shards(fp, tree)
-            home = np.zeros(len(rows), bool)
-            home[: len(fp)] = True
-            yield pa.RecordBatch.from_arrays([pa.array(shards), pa.array(fp[rows].view(np.int64)), pa.array(home)], ["shard", "fp", "home"])
-
-
-def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
-    """Indices of links that span the components of links (a[k], b[k]) over n nodes."""
-    parent = list(range(n))
-    kept = []
-    for k, (x, y) in enumerate(zip(a.tolist(), b.tolist())):
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        while parent[y] != y:
-            parent[y] = parent[parent[y]]
-            y = parent[y]
-        if x != y:
-            parent[max(x, y)] = min(x, y)
-            kept.append(k)
-    return np.array(kept, np.int64)
-
-
-def shard_links(fp: np.ndarray, home: np.ndarray, radius: int = RADIUS):
-    """Links (x, y) that span all pairs within radius of a resident and any other in a shard.
-
-    A vantage walk: members already linked to the walked component leave the pool, so a dense
-    group of m near copies costs about m comparisons a component and not m squared.
+def _replicate(bits: int):
+    def run(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 8192):
+                fp = b.column("fp").slice(at, 8192).to_numpy(zero_copy_only=False).view(np.uint64)
+                for tree, _ in enumerate(SLICES):
+                    rows, shards = tree_shards(fp, tree, bits)
+                    home = np.arange(len(rows)) < len(fp)
+                    yield pa.RecordBatch.from_arrays([pa.array(shards), pa.array(fp[rows].view(np.int64)), pa.array(home)], ["shard", "fp", "home"])
+
+    return run
+
+
+def shard_links(fp: np.ndarray, home: np.ndarray, part: np.ndarray | None = None, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+    """Links (x, y) that span all pairs within radius of a resident and any other of a shard.
+
+    part: where given, pairs of different parts only. Every pair is looked at, a block of residents at a time.
     """
-    if len(fp) <= 1:
-        return
-    if len(fp) <= BLOCK:
-        own = np.flatnonzero(home)
-        close = np.bitwise_count(fp[own][:, None] ^ fp[None, :]) <= radius
+    own, ii, jj = np.flatnonzero(home), [], []
+    for at in range(0, len(own), BLOCK):
+        rows = own[at : at + BLOCK]
+        close = np.bitwise_count(fp[rows][:, None] ^ fp) <= radius
+        close &= ~home | (rows[:, None] < np.arange(len(fp)))  # two residents meet once
+        if part is not None:
+            close &= part[rows][:, None] != part
         i, j = np.nonzero(close)
-        i = own[i]
-        pick = i != j
-        i, j = i[pick], j[pick]
         if len(i):
-            k = _forest(i, j, len(fp)) if len(i) > 1 else slice(None)
-            yield fp[i[k]], fp[j[k]]
-        return
-    # A visitor can only link residents: after a resident walks, what it reached joins its component.
-    left = np.arange(len(fp))
-    while len(left):
-        seed, left = left[0], left[1:]
-        queue = [seed]
-        while queue:
-            x = queue.pop()
-            near = np.bitwise_count(fp[left] ^ fp[x]) <= radius
-            if near.any():
-                hit, left = left[near], left[~near]
-                yield np.repeat(fp[x], len(hit)), fp[hit]
-                queue.extend(hit.tolist())
+            k = forest(rows[i], j, len(fp))
+            ii.append(rows[i][k])
+            jj.append(j[k])
+    if not ii:
+        return np.empty(0, np.uint64), np.empty(0, np.uint64)
+    i, j = np.concatenate(ii), np.concatenate(jj)
+    k = forest(i, j, len(fp))
+    return fp[i[k]], fp[j[k]]
 
 
 def _walk(batches):
-    """Rows come sorted by shard; one shard at a time is in memory."""
-    rest = None
-
-    def links(t):
-        shard = t.column("shard").to_numpy()
+    """Rows come sorted by shard and parts; a run of equal ones is in memory at a time."""
+    for t, cuts in runs(batches, ["shard", "i", "j"]):
         fp = t.column("fp").to_numpy().view(np.uint64)
-        home = t.column("home").to_numpy(zero_copy_only=False)
-        cuts = np.concatenate(([0], np.flatnonzero(np.diff(shard)) + 1, [len(shard)])) if len(shard) else [0]
-        out = []
-        for lo, hi in zip(cuts[:-1], cuts[1:]):
-            if hi - lo > 1:
-                out.extend(shard_links(fp[lo:hi], home[lo:hi]))
+        home, part, i, j = (t.column(c).to_numpy(zero_copy_only=False) for c in ("home", "part", "i", "j"))
+        some = [(a, b) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()) if b - a > 1]
+        out = [shard_links(fp[a:b], home[a:b], part[a:b] if i[a] != j[a] else None) for a, b in some]
+        out = [x for x in out if len(x[0])]
         if out:
             a, b = (np.concatenate(x).view(np.int64) for x in zip(*out))
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    for b in batches:
-        if not b.num_rows:
-            continue
-        t = pa.Table.from_batches([b])
-        t = pa.concat_tables([rest, t]).combine_chunks() if rest is not None else t
-        shard = t.column("shard").to_numpy()
-        cut = int(np.searchsorted(shard, shard[-1]))
-        if cut:
-            yield from links(t.slice(0, cut).combine_chunks())
-        rest = t.slice(cut)
-    if rest is not None:
-        yield from links(rest.combine_chunks())
-
-
-def fingerprint_links(prints: DataFrame) -> DataFrame:
+
+def fingerprint_links(prints: DataFrame, split: int = SPLIT) -> DataFrame:
     """Spanning links (a, b) of all pairs of distinct fingerprints within RADIUS bits.
 
-    prints: one row a fingerprint (fp long).
+    prints: one row a fingerprint (fp long); they are counted first.
     """
-    shards = prints.select("fp").mapInArrow(_replicate, "shard long, fp long, home boolean")
-    return shards.repartition("shard").sortWithinPartitions("shard").mapInArrow(_walk, "a long, b long")
+    prints = prints.select("fp")
+    make, schema = _replicate(depth(prints.count())), "shard long, fp long, home boolean"
+    sample = sampled(prints, "fp").mapInArrow(make, schema).select("shard")
+    shards = deal(prints.mapInArrow(make, schema), sample, "shard", "fp", split)
+    return shards.repartition("shard", "i", "j").sortWithinPartitions("shard", "i", "j").mapInArrow(_walk, "a long, b long")
 
 
 def simhash_groups(docs: DataFrame, size: int = SHINGLE, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -206,7 +196,8 @@ def simhash_groups(docs: DataFrame, size: int = SHINGLE, text: str = "text", key
 
     One row for each row of docs. Null and empty texts have fingerprint 0 and link like any other;
     repeated rows share a fingerprint and so a component; the smallest key of a component names it
-    (null keys are ignored there). Further columns of docs are not read.
+    (null keys are ignored there). An empty table gives no row. Texts of any length are hashed
+    whole. Further columns of docs are not read.
     """
     own = docs.select(F.col(key).alias("__key"), fingerprint(F.col(text), size).alias("fp"))
     own = durable(own)

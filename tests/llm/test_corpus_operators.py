@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from fascicle.llm import bestfit_pack, bpe_prefix, chat_format, embed_pstable, langid_bloom, license_join, quality_cascade, simhash_similar, simhash_vptree, toxicity_nbsvm, url_reputation
 from fascicle.llm import queries as q
-from fascicle.llm.common import connected_components
+from fascicle.llm.common import connected_components, forest
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, fp int, word string, score string, n_words string"
 ODD = [None, "", " \n\t ", "one", "a b c", "Ünï cödé テキスト 😀 [x] </s>", "x" * 50_000, "word " * 30_000, "same text here for all of us", "same text here for all of us", "\0 nul  two  spaces\r\n", "#*$%&|<>" * 40]
@@ -80,8 +80,7 @@ def slow_simhash(text, size):
 
 def test_simhash_against_brute_force(spark, sf, odd, none):
     for docs in (q.read(spark, sf, "documents"), odd):
-        rows = [(r["doc_id"], slow_simhash(r["text"], 4)) for r in docs.select("doc_id", "text").where("length(text) < 40000 or text is null").collect()]
-        docs = docs.where("length(text) < 40000 or text is null")
+        rows = [(r["doc_id"], slow_simhash(r["text"], 4)) for r in docs.select("doc_id", "text").collect()]
         comp = components(len(rows), [(i, j) for i in range(len(rows)) for j in range(i) if bin(rows[i][1] ^ rows[j][1]).count("1") <= 4])
         first = defaultdict(lambda: 1 << 60)
         for c, (d, _) in zip(comp, rows):
@@ -110,11 +109,41 @@ def test_vptree_finds_every_near_pair(spark):
     assert all(bin((a ^ b) & (2**64 - 1)).count("1") <= 4 for a, b in got)
     assert components(len(fp), [(at[a], at[b]) for a, b in got]) == want
     assert len(got) < 60 * len(fp)
+    # Every shard far above the bound: dealt to pairs of parts, the same links come out.
+    for split in (4, 100):
+        got = [(r["a"], r["b"]) for r in simhash_vptree.fingerprint_links(df, split).collect()]
+        assert components(len(fp), [(at[a], at[b]) for a, b in got]) == want
     big = np.unique(np.concatenate((tight, base)).astype(np.uint64))
-    out = [x for pair in simhash_vptree.shard_links(big, np.ones(len(big), bool)) for x in zip(*pair)]
-    at = {int(x): k for k, x in enumerate(big)}
     close = [(i, int(j)) for i in range(len(big)) for j in np.flatnonzero(np.bitwise_count(big[:i] ^ big[i]) <= 4)]
-    assert components(len(big), [(at[int(a)], at[int(b)]) for a, b in out]) == components(len(big), close)
+    at = {int(x): k for k, x in enumerate(big)}
+    out = simhash_vptree.shard_links(big, np.ones(len(big), bool))
+    assert components(len(big), [(at[int(a)], at[int(b)]) for a, b in zip(*out)]) == components(len(big), close)
+
+
+def test_trees_prune_by_the_triangle_bound_and_grow_with_the_corpus():
+    """Shards meet every pair within one bit of a slice exactly once, and compared pairs stay flat."""
+    rng = np.random.default_rng(9)
+    for bits in (2, 5, 8, 21):
+        x = rng.integers(0, 1 << 63, 400, dtype=np.uint64)
+        y = x.copy()
+        flips = rng.integers(-1, 21, len(x))
+        y[flips >= 0] ^= np.uint64(1) << flips[flips >= 0].astype(np.uint64)
+        rows, shards = simhash_vptree.tree_shards(np.concatenate((x, y)), 0, bits)
+        home, of = shards[:800], defaultdict(set)
+        for r, s in zip(rows.tolist(), shards.tolist()):
+            of[r].add(s)
+        for k in range(400):
+            meets = (home[k] in of[k + 400]) + (home[k + 400] in of[k]) - (home[k] == home[k + 400])
+            assert meets == 1
+        assert all(len(v) <= bits + 1 for v in of.values())
+    compared = []
+    for n in (20_000, 200_000):
+        fp = rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, n, dtype=np.uint64)
+        rows, shards = simhash_vptree.tree_shards(fp, 1, simhash_vptree.depth(n))
+        counts = np.unique(shards, return_counts=True)[1]
+        compared.append((counts * counts).sum() / n)
+        assert counts.max() < 2000
+    assert compared[1] < 2 * compared[0]
 
 
 def test_toxicity_held_out(spark, odd, none):
@@ -244,8 +273,10 @@ def test_link_counts_in_clusters(spark):
     for split in (4096, 16):
         got = embed_pstable.embedding_groups(df, split=split).toPandas().set_index("vec_id")["n_links"].loc[range(len(x))].to_numpy()
         assert got.sum() >= 0.999 * want.sum() and (got <= want).all()
-    h = embed_pstable.buckets(x)
-    assert all(len(np.intersect1d(h[:, a], h[:, b])) == 0 for a in range(20) for b in range(a))
+    h = embed_pstable.Hash(64, *embed_pstable.shape(len(x))).buckets(x)
+    assert all(len(np.intersect1d(h[:, a], h[:, b])) == 0 for a in range(h.shape[1]) for b in range(a))
+    other = embed_pstable.Hash(32, *embed_pstable.shape(len(x))).buckets(x[:, :32])
+    assert not len(np.intersect1d(h, other))
 
 
 def test_rows_without_an_id_link(spark):
@@ -258,12 +289,27 @@ def test_rows_without_an_id_link(spark):
 
 
 def test_recall_at_the_threshold():
+    """Pairs just over the threshold share a bucket, at the shape of any corpus size; unrelated ones rarely do."""
     rng = np.random.default_rng(1)
     a = embed_pstable.unit(rng.standard_normal((2000, 64)))
     o = rng.standard_normal((2000, 64))
     o = embed_pstable.unit(o - (o * a).sum(1, keepdims=True) * a)
     b = 0.9001 * a + np.sqrt(1 - 0.9001**2) * o
-    assert (embed_pstable.buckets(a) == embed_pstable.buckets(b)).any(axis=1).mean() >= 0.9
+    for rows in (300, 50_000, 5_000_000):
+        k, tables = embed_pstable.shape(rows)
+        h = embed_pstable.Hash(64, k, tables)
+        ha, hb, ho = h.buckets(a), h.buckets(b), h.buckets(o)
+        assert (ha == hb).any(axis=1).mean() >= 0.95
+        assert (ha == ho).mean() * rows <= 2 * embed_pstable.MEET
+        assert (h.buckets(a, 3) == ha[:, :3]).all()
+    bits = np.unpackbits((h.sketch(a) ^ h.sketch(b)).view(np.uint8), axis=1).sum(1)
+    assert bits.max() <= embed_pstable.reach(0.9) < 50
+
+
+def test_vectors_with_clashing_columns(spark):
+    rows = [(k, [1.0, k / 100], "x", 1) for k in range(5)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, node string, bucket int")
+    assert rows_of(embed_pstable.embedding_groups(df).toPandas()) == rows_of(embed_pstable.embedding_groups(df.select("vec_id", "embedding")).toPandas())
 
 
 def test_url_edges(spark):
@@ -520,21 +566,40 @@ def similar_pairs(texts, least=0.8):
     return [(i, j) for i, j in near if len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j])]
 
 
-def test_similar_stage_keeps_rows_without_a_key(spark):
-    docs = spark.createDataFrame([(None, "first of two"), (None, "second of two"), (None, "first of two"), (1, "a third"), (2, "a third")], "doc_id long, text string")
-    assert sorted((r["doc_id"] or 0, r["text"]) for r in simhash_similar.keep_first(docs).collect()) == [(0, "first of two"), (0, "second of two"), (1, "a third")]
+def test_similar_stage_tells_rows_apart_by_text(spark):
+    """Rows without a key, and rows that share one, are decided by their texts."""
+    near = " ".join(f"word{k}" for k in range(200))
+    docs = [(None, "first of two"), (None, "second of two"), (None, "first of two"), (1, "a third"), (2, "a third"), (7, "one text of seven"), (7, "another text of the id seven"), (7, "one text of seven"), (None, near), (9, near + " more")]
+    got = simhash_similar.keep_first(spark.createDataFrame([(*r, "x") for r in docs], "doc_id long, text string, __r0 string"))
+    want = [(None, "first of two"), (None, "second of two"), (1, "a third"), (7, "one text of seven"), (7, "another text of the id seven"), (9, near + " more")]
+    assert got.columns == ["doc_id", "text", "__r0"] and sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == sorted(want, key=str)
 
 
-def test_spanning_forest_joins_what_brute_force_joins():
+def test_candidates_and_their_forest():
     rng = np.random.default_rng(5)
     base = rng.integers(0, 1 << 63, (40, 2), dtype=np.uint64)
     rows = np.concatenate([base] + [base ^ (np.uint64(1) << rng.integers(0, 64, base.shape).astype(np.uint64)) for _ in range(12)])
-    for n in (2, 50, len(rows)):
-        p = rows[rng.permutation(len(rows))[:n]]
-        d = np.bitwise_count(p[:, None] ^ p).sum(2)
-        want = components(n, [tuple(x) for x in np.argwhere(np.triu(d <= simhash_similar.REACH, 1)).tolist()])
-        a, b = simhash_similar.spanning(p[:, 0].copy(), p[:, 1].copy())
-        assert components(n, list(zip(a.tolist(), b.tolist()))) == want and len(a) == n - len(set(want))
+    p = rows[rng.permutation(len(rows))]
+    cuts = np.array([0, 1, 3, 100, 101, len(p)])
+    part, cross = rng.integers(0, 2, len(p)), np.zeros(len(p), bool)
+    cross[3:100] = True
+    d = np.bitwise_count(p[:, None] ^ p).sum(2)
+    run = np.searchsorted(cuts, np.arange(len(p)), "right")
+    ok = np.triu(d <= simhash_similar.REACH, 1) & (run[:, None] == run) & ~(cross & (part[:, None] == part))
+    i, j, bits = simhash_similar.close_pairs(p[:, 0].copy(), p[:, 1].copy(), cuts, part, cross)
+    assert sorted(zip(i.tolist(), j.tolist(), bits.tolist())) == [(a, b, int(d[a, b])) for a, b in np.argwhere(ok).tolist()]
+    k = forest(i, j, len(p))
+    want = components(len(p), list(zip(i.tolist(), j.tolist())))
+    assert components(len(p), list(zip(i[k].tolist(), j[k].tolist()))) == want and len(k) == len(p) - len(set(want))
+
+
+def test_forest_drops_every_link_inside_a_component():
+    rng = np.random.default_rng(6)
+    a, b = rng.integers(0, 500, (2, 60_000))
+    for n in (0, 1, 300, 60_000):
+        k = forest(a[:n], b[:n], 500)
+        want = components(500, list(zip(a[:n].tolist(), b[:n].tolist())))
+        assert components(500, list(zip(a[k].tolist(), b[k].tolist()))) == want and len(k) == 500 - len(set(want))
 
 
 def test_similar_pairs_among_shared_boilerplate(spark):
@@ -548,9 +613,13 @@ def test_similar_pairs_among_shared_boilerplate(spark):
         texts[k + 1] = " ".join(notice + (own[:14] + words(32) if k < 200 else words(46)))
     want, docs = similar_pairs(texts), spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     assert len(want) == 100
-    _, roots = simhash_similar.similar_roots(docs)
-    got = {(r["root"], r["id"]) for r in roots.collect() if r["id"] != r["root"]}
-    assert got <= set(want) and len(got) >= 0.95 * len(want)
+    for split in (simhash_similar.SPLIT, 40):  # with 40, most shards are dealt to pairs of parts
+        prints, roots = simhash_similar.similar_roots(docs, split=split)
+        key, groups = {r["node"]: r["first"]["key"] for r in prints.collect()}, defaultdict(set)
+        for r in roots.collect():
+            groups[r["root"]].add(key[r["node"]])
+        got = {tuple(sorted(g)) for g in groups.values() if len(g) > 1}
+        assert got <= set(want) and len(got) >= 0.95 * len(want)
 
 
 def test_pipeline_stages(spark):
