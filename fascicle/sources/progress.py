@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 from datetime import date, datetime, timezone
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 from fascicle.operators.calendar import FIELDS, PROGRESS_SCHEMA
@@ -38,6 +39,10 @@ def load_json(spark: SparkSession, path: str) -> dict | None:
     stream = fs.open(at)
     try:
         raw = bytes(stream.readAllBytes())
+    except Py4JJavaError as e:
+        if "ChecksumException" in e.java_exception.getClass().getName():
+            return None  # damaged on disk
+        raise
     finally:
         stream.close()
     try:
