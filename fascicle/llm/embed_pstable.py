@@ -32,7 +32,7 @@ from fascicle.llm.common import connected_components, deal, durable, forest, run
 THRESHOLD = 0.9
 WIDTH = 2.5
 #: Unrelated vectors that a bucket holds besides a vector, and the chance to find a pair at the threshold.
-MEET = 16
+MEET = 256
 RECALL = 0.97
 SPLIT = 4096
 SEED = 20240521
@@ -49,7 +49,7 @@ def same_value(cosine: float, width: float = WIDTH) -> float:
 
 def shape(rows: int, threshold: float = THRESHOLD) -> tuple[int, int]:
     """(projections a table, tables) for so many distinct vectors."""
-    k = max(4, ceil(log(max(rows, 1) / MEET) / -log(same_value(0.0)))) if rows > MEET else 4
+    k = max(4, ceil(log(max(rows, MEET) / MEET) / -log(same_value(0.0))))
     return k, ceil(log(1 - RECALL) / log(1 - same_value(min(threshold, 0.999999)) ** k))
 
 
@@ -70,13 +70,13 @@ class Hash:
         self.a = rng.standard_normal((dim, tables * projections))
         self.b = rng.uniform(0, WIDTH, tables * projections)
 
-    def buckets(self, x: np.ndarray, tables: int | None = None) -> np.ndarray:
-        """(rows, tables) 63-bit names; dimension and table are part of a name."""
-        t = self.tables if tables is None else tables
-        n = t * self.projections
-        q = np.floor((x @ self.a[:, :n] + self.b[:n]) / WIDTH).astype(np.int64).astype(np.uint64).reshape(len(x), t, self.projections)
+    def buckets(self, x: np.ndarray, first: int = 0, stop: int | None = None) -> np.ndarray:
+        """(rows, tables) 63-bit names in the tables from first to stop; dimension and table are part of a name."""
+        stop = self.tables if stop is None else stop
+        n = slice(first * self.projections, stop * self.projections)
+        q = np.floor((x @ self.a[:, n] + self.b[n]) / WIDTH).astype(np.int64).astype(np.uint64).reshape(len(x), stop - first, self.projections)
         # The table's salt is spread over all bits first: small numbers alone would meet across tables.
-        salt = (np.uint64(self.dim * 4096) + np.arange(t, dtype=np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+        salt = (np.uint64(self.dim * 4096) + np.arange(first, stop, dtype=np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
         h = np.tile(salt ^ (salt >> np.uint64(32)), (len(x), 1))
         for k in range(self.projections):
             h = (h ^ q[:, :, k]) * np.uint64(0x9E3779B97F4A7C15)
@@ -160,25 +160,54 @@ def _mark(most: int):
     return run
 
 
-def bucket_links(x, node, n, part, earlier: Hash | None, tab: int, cross: bool, threshold: float):
+#: Earlier tables whose names are compared at a time.
+STEP = 4
+
+
+def unmet(h: Hash, x: np.ndarray, tab: int, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (i, j) of rows that share no bucket of a table before `tab`."""
+    for first in range(0, tab, STEP):
+        if not len(i):
+            break
+        used = np.zeros(len(x), bool)
+        used[i] = used[j] = True
+        at = np.cumsum(used) - 1
+        names = h.buckets(x[used], first, min(first + STEP, tab))
+        new = np.ones(len(i), bool)
+        for k in range(0, len(i), 65536):
+            new[k : k + 65536] = ~(names[at[i[k : k + 65536]]] == names[at[j[k : k + 65536]]]).any(axis=1)
+        i, j = i[new], j[new]
+    return i, j
+
+
+def met(h: Hash, x: np.ndarray, tab: int) -> np.ndarray:
+    """Whether a row is in the largest group of rows that share a bucket of one of the first tables before `tab`."""
+    core = np.zeros(len(x), bool)
+    if tab and len(x) >= 64:
+        names = h.buckets(x, 0, min(STEP, tab))
+        for t in range(names.shape[1]):
+            value, count = np.unique(names[:, t], return_counts=True)
+            if count.max() > core.sum():
+                core = names[:, t] == value[count.argmax()]
+    return core
+
+
+def bucket_links(x, node, n, part, h: Hash | None, tab: int, cross: bool, threshold: float):
     """(nodes, their link counts, link ends a, link ends b) of one bucket, or of a pair of its parts.
 
-    Pairs that share a bucket of a table before `tab` are left to that one.
+    Pairs that share a bucket of a table before `tab` are left to that one; a large group of them
+    is not even multiplied, so a dense group costs its square once and not once a table.
     """
-    links, ii, jj = np.zeros(len(x), np.int64), [], []
-    for at in range(0, len(x), 512):
-        i, j = np.nonzero(x[at : at + 512] @ x.T >= threshold)
-        i = i + at
-        keep = (i < j) & (part[i] != part[j]) if cross else i < j
-        i, j = i[keep], j[keep]
-        if len(i) and tab:
-            used, at_used = np.unique(np.concatenate((i, j)), return_inverse=True)
-            names = earlier.buckets(x[used], tab)
-            a, b = at_used[: len(i)], at_used[len(i) :]
-            new = np.ones(len(i), bool)
-            for k in range(0, len(i), 8192):
-                new[k : k + 8192] = ~(names[a[k : k + 8192]] == names[b[k : k + 8192]]).any(axis=1)
-            i, j = i[new], j[new]
+    links, ii, jj, core = np.zeros(len(x), np.int64), [], [], met(h, x, tab)
+    own = np.flatnonzero(~core)
+    for at in range(0, len(own), 512):
+        rows = own[at : at + 512]
+        i, j = np.nonzero(x[rows] @ x.T >= threshold)
+        i = rows[i]
+        keep = (i < j) | core[j]
+        if cross:
+            keep &= part[i] != part[j]
+        i, j = unmet(h, x, tab, i[keep], j[keep])
         if len(i):
             np.add.at(links, i, n[j])
             np.add.at(links, j, n[i])
