@@ -96,6 +96,41 @@ v AS (SELECT prepared.*, CASE chunk_id % 4 WHEN 0 THEN 'high' WHEN 1 THEN 'low'
 kept AS (SELECT heading AS source, "pageNumber", substr(h, 1, 240) AS title, 'Op-Ed' AS section, CASE WHEN rel = 'high' THEN 'high' ELSE 'medium' END AS "examRelevance", 'a' AS tags, refined FROM v WHERE rel <> 'none' AND NOT (rel = 'low' AND length(refined) < 200) AND length(refined) >= 80)"""
 
 
+def _pack_sentences(most: int, again: int) -> str:
+    """The packing of sentences as a fold: one step of the recursion takes each text's next sentence."""
+    size = lambda x: f"len(string_split({x}, ' '))"
+    words = lambda held: f"coalesce(list_sum(list_transform({held}, lambda y: {size('y')})), 0)"
+    ended = lambda x: f"""regexp_matches({x}, '[.!?]["”'']?$')"""
+    suffix = lambda held, k: f"list_slice({held}, len({held}) - {k} + 1, len({held}))"
+    take = lambda held: suffix(held, f"(1 + len(list_filter(range(1, len({held})), lambda k: {words(suffix(held, 'k'))} < {again})))")
+    none = "CAST([] AS VARCHAR[])"
+    return f"""
+sent AS (SELECT chunk_id, unnest(s) AS s, generate_subscripts(s, 1) AS i FROM (SELECT chunk_id, CASE WHEN len(s) = 0 AND flat <> '' THEN [flat] ELSE s END AS s FROM (SELECT chunk_id, {_SENTENCES} AS s, {_COLLAPSE.format("page_content")} AS flat FROM chunks))),
+sums AS (SELECT chunk_id, sum({size("s")}) AS total, max(i) AS n, string_agg(s, ' ' ORDER BY i) AS whole FROM sent GROUP BY chunk_id),
+fold AS (SELECT chunk_id, CAST(0 AS BIGINT) AS i, n, {none} AS held, {none} AS made FROM sums WHERE total > {most}
+  UNION ALL SELECT chunk_id, i + 1, n, CASE WHEN alone THEN CASE WHEN {ended("s")} THEN [s] ELSE {none} END WHEN spill THEN CASE WHEN {words("kept")} + {size("s")} > {most} THEN {none} ELSE kept END || [s] ELSE held || [s] END,
+    CASE WHEN alone THEN made || [s] WHEN spill THEN made || [array_to_string(list_slice(held, 1, stop), ' ')] ELSE made END
+  FROM (SELECT *, {take("source")} || list_slice(held, stop + 1, len(held)) AS kept
+    FROM (SELECT *, CASE WHEN len(list_filter(list_slice(held, 1, stop), lambda y: {ended("y")})) > 0 THEN list_filter(list_slice(held, 1, stop), lambda y: {ended("y")}) ELSE list_slice(held, 1, stop) END AS source
+      FROM (SELECT f.*, t.s, len(held) = 0 AND {size("t.s")} > {most} AS alone, len(held) > 0 AND {words("held")} + {size("t.s")} > {most} AS spill,
+          coalesce(list_max(list_filter(range(2, len(held) + 1), lambda k: {ended("held[k]")})), 1) AS stop FROM fold AS f JOIN sent AS t ON t.chunk_id = f.chunk_id AND t.i = f.i + 1)))),
+packed AS (SELECT chunk_id, [whole] AS pieces FROM sums WHERE total <= {most}
+  UNION ALL SELECT chunk_id, CASE WHEN len(held) > 0 AND (len(made) = 0 OR array_to_string(held, ' ') <> made[-1]) THEN made || [array_to_string(held, ' ')] ELSE made END FROM fold WHERE i = n)"""
+
+
+#: Lines of the test pages: each item is a line of its own, as rows lie 24 points apart.
+_PAGE_LINES = r"""
+runs AS (SELECT page_id, unnest(r) AS run, generate_subscripts(r, 1) - 1 AS item FROM (SELECT page_id, regexp_extract_all(coalesce(html, ''), '(?is)<(?:h[1-3]|p|li)[^>]*>[^<]{3,}') AS r FROM pages)),
+items AS (SELECT page_id, item, regexp_replace(regexp_replace(regexp_replace(run, '^<[^>]*>', ''), '\s+', ' ', 'g'), '^ | $', '', 'g') AS text, CASE WHEN regexp_matches(run, '^<h', 'i') THEN 18.0::DOUBLE ELSE 9.0::DOUBLE END AS size FROM runs),
+own AS (SELECT *, 40 + size * length(text) * 0.42::DOUBLE AS x1, row_number() OVER (PARTITION BY page_id ORDER BY item) - 1 AS line_no FROM items
+  WHERE text <> '' AND NOT regexp_matches(text, '^saturday,|^https?://|^vol\.|^\s*([incmyk]\s*)+$|^\d{1,3}$', 'i') AND NOT starts_with(lower(text), 'www.')),
+centres AS (SELECT page_id, list_sort(list((40 + x1) / 2) FILTER (size BETWEEN 7.5 AND 11)) AS c FROM own GROUP BY page_id),
+cuts AS (SELECT page_id, CASE WHEN coalesce(len(c), 0) < 30 THEN [] ELSE list_filter(list_transform(range(1, len(c)), lambda k: CASE WHEN c[k + 1] - c[k] >= 45 THEN (c[k] + c[k + 1]) / 2 END), lambda v: v IS NOT NULL) END AS cut FROM centres),
+edges AS (SELECT page_id, [0.0::DOUBLE] || CAST(cut AS DOUBLE[]) || [601.0::DOUBLE] AS e FROM cuts),
+spans AS (SELECT page_id, list_filter(list_transform(range(1, len(e)), lambda k: [e[k], e[k + 1]]), lambda v: v[2] - v[1] > 50) AS spans FROM edges),
+lines AS (SELECT own.*, coalesce(list_position(list_transform(spans, lambda v: (40 + x1) / 2 >= v[1] AND (40 + x1) / 2 < v[2]), true), len(spans)) - 1 AS col FROM own JOIN spans USING (page_id))"""
+
+
 def oracle_sql() -> dict[str, str]:
     flat = _COLLAPSE.format("page_content")
     return {
@@ -170,4 +205,7 @@ def oracle_sql() -> dict[str, str]:
         "q53_recent_sessions": rf"""WITH m AS (SELECT conv_id, role, text, turn FROM conversations WHERE role <> 'system' AND conv_id % 7 = 3), t AS (SELECT conv_id, {_COLLAPSE.format("coalesce(arg_min(text, turn) FILTER (role = 'user'), '')")} AS q, conv_id * 3600 + max(turn) * 60 AS last FROM m GROUP BY conv_id)
             SELECT conv_id AS "sessionId", CASE WHEN q = '' THEN 'New chat' WHEN length(q) > 60 THEN substr(q, 1, 57) || '…' ELSE q END AS title, row_number() OVER (ORDER BY last DESC, conv_id) AS ordinal FROM t ORDER BY ordinal LIMIT 100""",
         "q54_public_articles": f"WITH {_ARTICLES} SELECT CAST(id AS VARCHAR) AS id, title, section, length(summary) AS chars, CAST(len(tags) AS BIGINT) AS tags, CAST(0 AS BIGINT) AS \"wordCount\", created FROM articles",
+        "q15_pack_sentences": f"""WITH RECURSIVE {_CHUNKS}, {_pack_sentences(200, 20)}, p AS (SELECT chunk_id, unnest(pieces) AS piece, generate_subscripts(pieces, 1) - 1 AS place FROM packed)
+            SELECT chunk_id, CAST(place AS INTEGER) AS "at", CAST(len(string_split(piece, ' ')) AS INTEGER) AS n_words, sha256(piece) AS digest FROM p""",
+        "q34_line_segments": f"""WITH {_PAGE_LINES} SELECT CAST(page_id + 1 AS INTEGER) AS "pageNumber", CAST(line_no AS INTEGER) AS line_no, text, CAST(col AS INTEGER) AS col FROM lines""",
     }
