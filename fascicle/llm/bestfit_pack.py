@@ -26,8 +26,8 @@ CAPACITY = 4096
 OPEN = 256
 END = 1
 #: Segments whose ids a process remembers, and bytes of text that it cuts at a time.
-TABLE = 1_500_000
-STEP = 4 << 20
+TABLE = 500_000
+STEP = 2 << 20
 
 
 class Packer:

@@ -158,6 +158,24 @@ class PrefixEncoder:
         return out[::-1]
 
 
+#: One character of each kind that a pattern may tell apart.
+KINDS = "aZé中7½.,'’-_#\u0301😀\u200d"
+
+
+def cuts_at_spaces(find) -> bool:
+    """Whether texts may be cut before single spaces and newlines, as far as probes of all kinds of characters show.
+
+    Probes put up to two characters of every kind on both sides of the space. A pattern that any
+    probe tells apart (one whose match crosses a space, say) is matched on whole texts.
+    """
+    for left in ("", *KINDS, "s.", "a7", "'s", ".a", "中a", "7."):
+        for space in " \n":
+            for right in (*KINDS, *(a + b for a in KINDS for b in "a7.' \n")):
+                if find(left + space + right) != find(left) + find(space + right):
+                    return False
+    return True
+
+
 class Tokenizer:
     """Encodes whole texts: pattern matches, each by PrefixEncoder, with bounded tables."""
 
@@ -165,6 +183,7 @@ class Tokenizer:
         import regex
 
         self.v, self.find = Vocabulary(lines), regex.compile(pattern).findall
+        self.cuts = cuts_at_spaces(self.find)
         self.matches: dict[str, tuple[int, ...]] = {}
         self.chunks: dict[str, tuple[int, ...] | None] = {}
 
@@ -194,11 +213,11 @@ class Tokenizer:
     def encode(self, text: str) -> list[int]:
         """Ids of a whole text.
 
-        The pattern never matches across a single space or newline between words but for taking
-        the space as its first character, so chunks cut before them are encoded apart. A text with longer
-        runs of white space is matched as a whole.
+        A pattern that never matches across a single space or newline between words, but for taking it
+        as its first character (see cuts_at_spaces), has chunks cut before them encoded apart. A text
+        with longer runs of white space, and any text of another pattern, is matched as a whole.
         """
-        if "\0" not in text:
+        if self.cuts and "\0" not in text:
             chunks = text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
             try:
                 try:
@@ -270,5 +289,9 @@ def _tokenizer(vocabulary, pattern: str) -> Tokenizer:
 
 
 def encoding_report(docs: DataFrame, lines: bytes, pattern: str, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """key, n_tokens, ids_sha256, decoded_sha256 for each row of docs; repeated rows each get theirs."""
+    """key, n_tokens, ids_sha256, decoded_sha256 for each row of docs.
+
+    Null and empty texts have no token. Repeated rows, and rows with a null key, each get theirs; an
+    empty table gives no row. Columns but the key and the text are not read.
+    """
     return docs.select(F.col(key), round_trip(F.col(text), lines, pattern).alias("r")).select(key, "r.*")

@@ -479,6 +479,13 @@ def test_bpe_against_the_library(spark, sf, odd, none):
     back = odd.select("text", bpe_prefix.decode(bpe_prefix.encode(F.col("text"), lines, public_tokenizers.PATTERN), lines, public_tokenizers.PATTERN).alias("b")).collect()
     assert all(bytes(r["b"]).decode() == (r["text"] or "") for r in back)
     assert bpe_prefix.encoding_report(none, lines, public_tokenizers.PATTERN).count() == 0
+    # A pattern whose matches cross white space is matched on whole texts.
+    assert t.cuts
+    for pattern in (r"\.\n|[^\n]+|\n", r"\w+ \w+|\s|\w+|[^\w\s]+", r"\p{L}+\s?|[^\p{L}]"):
+        other = bpe_prefix.Tokenizer(lines, pattern)
+        again = tiktoken.Encoding("own2", pat_str=pattern, mergeable_ranks=t.v.rank, special_tokens={})
+        for text in ("one. two\nthree.\nfour five", "a b c d", " x  y\n\nz "):
+            assert not other.cuts and other.encode(text) == again.encode_ordinary(text)
     rng = np.random.default_rng(5)
     for _ in range(200):
         s = bytes(rng.choice(list(b"abcdefghij the"), 120).tolist())
