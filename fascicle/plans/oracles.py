@@ -156,7 +156,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT chunk_id, heading, CAST("pageNumber" AS BIGINT) AS chunk_index, CAST("pageNumber" + 2 AS BIGINT) AS chunk_total, CASE WHEN length(f) <= 220 THEN f ELSE trim(substr(f, 1, 220)) || '…' END AS excerpt FROM c""",
         "q18_word_count": f"WITH {_CHUNKS} SELECT chunk_id, CAST(len(list_filter(string_split({flat}, ' '), lambda x: x <> '')) AS BIGINT) AS n_words FROM chunks",
         "q19_section_counts": f"WITH {_ARTICLES} SELECT section, count(*) AS count FROM articles GROUP BY section",
-        "q20_article_page": f"""WITH {_ARTICLES}, found AS (SELECT * FROM articles WHERE regexp_matches(title, '^[a-m][^\\n]*th|_2', 'i') OR regexp_matches(summary, '^[a-m][^\\n]*th|_2', 'i') OR len(list_filter(tags, lambda x: regexp_matches(x, '^[a-m][^\\n]*th|_2', 'i'))) > 0)
+        "q20_article_page": f"""WITH {_ARTICLES}, found AS (SELECT * FROM articles WHERE regexp_matches(title, '^[a-m][^\\n]*th|src2$', 'i') OR regexp_matches(summary, '^[a-m][^\\n]*th|src2$', 'i') OR len(list_filter(tags, lambda x: regexp_matches(x, '^[a-m][^\\n]*th|src2$', 'i'))) > 0)
             SELECT id, section, "examRelevance", "pageNumber", created, ordinal, total FROM (SELECT *, row_number() OVER (ORDER BY "examRelevance" DESC, "pageNumber", created DESC, id) - 1 AS ordinal, count(*) OVER () AS total FROM found) WHERE ordinal BETWEEN 5 AND 24""",
         "q21_sessions": rf"""WITH m AS (SELECT conv_id, role, text, turn FROM conversations WHERE role <> 'system'), t AS (SELECT conv_id, {_COLLAPSE.format("coalesce(arg_min(text, turn) FILTER (role = 'user'), '')")} AS q, {_COLLAPSE.format("arg_max(text, turn)")} AS p, count(*) AS n, max(turn) AS last FROM m GROUP BY conv_id)
             SELECT conv_id AS "sessionId", 'u' || (conv_id % 7) AS "userId", CASE WHEN q = '' THEN 'New chat' WHEN length(q) > 60 THEN substr(q, 1, 57) || '…' ELSE q END AS title, CAST(least(length(p), 200) AS BIGINT) AS preview_chars, n AS "messageCount", 1767225600 + conv_id * 3600 + last * 60 AS last_at FROM t""",
@@ -208,4 +208,21 @@ def oracle_sql() -> dict[str, str]:
         "q15_pack_sentences": f"""WITH RECURSIVE {_CHUNKS}, {_pack_sentences(200, 20)}, p AS (SELECT chunk_id, unnest(pieces) AS piece, generate_subscripts(pieces, 1) - 1 AS place FROM packed)
             SELECT chunk_id, CAST(place AS INTEGER) AS "at", CAST(len(string_split(piece, ' ')) AS INTEGER) AS n_words, sha256(piece) AS digest FROM p""",
         "q34_line_segments": f"""WITH {_PAGE_LINES} SELECT CAST(page_id + 1 AS INTEGER) AS "pageNumber", CAST(line_no AS INTEGER) AS line_no, text, CAST(col AS INTEGER) AS col FROM lines""",
+        "q55_built_filters": f"""WITH {_CHUNKS} SELECT 0 AS filter, chunk_id, date, "pageNumber", section FROM chunks WHERE "dateInt" BETWEEN 20260108 AND 20260120 AND section IN ('sport', 'SPORT', 'Sport', 'sports', 'SPORTS', 'Sports')
+            UNION ALL SELECT 1, chunk_id, date, "pageNumber", section FROM chunks WHERE date = '2026-01-11' UNION ALL SELECT 2, chunk_id, date, "pageNumber", section FROM chunks WHERE date = '2026-01-09' AND "pageNumber" = 5
+            UNION ALL SELECT 3, chunk_id, date, "pageNumber", section FROM chunks WHERE "dateInt" <= 20260102""",
+        "q56_hybrid_fallbacks": f"WITH {_hybrid([(0, 'the of and into'), (1, 'thanea onthe reporting')], 8)} SELECT CAST(topic_id AS INTEGER) AS topic_id, chunk_id, round(score, 6) AS score, sem_rank, lex_rank, rank FROM fused",
+        "q57_stored_chunks": f"""WITH RECURSIVE {_CHUNKS}, {_pack_sentences(200, 20)}, own AS (SELECT chunk_id, CASE WHEN trim(page_content) = '' THEN [heading || ' ' || chunk_id] ELSE pieces END AS pieces FROM chunks LEFT JOIN packed USING (chunk_id)),
+            p AS (SELECT chunk_id, unnest(pieces) AS piece, generate_subscripts(pieces, 1) AS i, len(pieces) AS n FROM own),
+            t AS (SELECT p.*, c.date, c."dateInt", c."pageNumber", c.section, c.heading || ' ' || c.chunk_id AS h FROM p JOIN chunks AS c USING (chunk_id)),
+            b AS (SELECT *, CASE WHEN piece = h THEN '' WHEN starts_with(piece, h || chr(10)) OR starts_with(piece, h || ' ') THEN trim(substr(piece, length(h) + 1)) ELSE piece END AS body FROM t),
+            w AS (SELECT *, 'date - ' || date || chr(10) || 'heading - ' || h || chr(10) || 'chunk ' || i || '/' || n || CASE WHEN body = '' THEN '' ELSE chr(10) || chr(10) || body END AS content FROM b)
+            SELECT sha256(concat_ws('|', date, 'issue', "pageNumber", h, i, content)) AS chunk_id, date, "dateInt", "pageNumber", "pageNumber" AS "pageStart", section, substr(h, 1, 350) AS heading, i AS "chunkIndex", n AS "chunkTotal", sha256(content) AS content FROM w""",
+        "q58_console_lines": """SELECT event_id, CASE event_type WHEN 'view' THEN 'page/' || user_id WHEN 'error' THEN 'server' WHEN 'click' THEN 'rag' ELSE 'console' END AS source, 'In an another ' || event_type || ' Next' AS joined FROM events""",
+        "q59_public_users": """SELECT CAST(user_id AS VARCHAR) AS id, CAST(NULL AS VARCHAR) AS email, false AS "emailVerified", max(event_type) FILTER (event_type = 'signup') AS name, CAST(NULL AS VARCHAR) AS picture, 'google' AS provider, count(*) AS "loginCount", epoch_us(max(ts)) AS last_at FROM events GROUP BY user_id""",
+        "q60_articles_by_source": f"""WITH {_ARTICLES} SELECT source, id, row_number() OVER (PARTITION BY source ORDER BY "pageNumber", created, id) AS ordinal FROM (SELECT *, tags[2] || '.pdf' AS source FROM articles)""",
+        "q61_marked_progress": f"""WITH {_PROGRESS}, p AS (SELECT date, status, next_page, "vectorCount", "totalPages", date = DATE '2026-01-07' AS own FROM progress)
+            SELECT 'mark' AS after, CAST(date AS VARCHAR) AS date, CASE WHEN own THEN 'complete' ELSE status END AS status, CAST(CASE WHEN own THEN 17 ELSE next_page END AS BIGINT) AS next_page, CAST(CASE WHEN own THEN 99 ELSE "vectorCount" END AS BIGINT) AS "vectorCount", CAST("totalPages" AS BIGINT) AS "totalPages" FROM p
+            UNION ALL SELECT 'reset', CAST(date AS VARCHAR), CASE WHEN status = 'missing' THEN status ELSE 'pending' END, CASE WHEN status = 'missing' THEN next_page ELSE 1 END, CASE WHEN status = 'missing' THEN "vectorCount" ELSE 0 END, CASE WHEN status = 'missing' THEN "totalPages" END FROM p""",
+        "q62_recurated_pages": f"""WITH {_ARTICLES} SELECT id, tags[2] || '.pdf' AS source, "pageNumber" FROM articles WHERE NOT (tags[2] = 'src3' AND "pageNumber" >= 9)""",
     }

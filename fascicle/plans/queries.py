@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fascicle.functions import dates, text
-from fascicle.functions.filters import SECTIONS, coerce_columns, compile_filter
+from fascicle.functions.filters import build_filter, coerce_columns, coerce_filters, compile_filter
 from fascicle.operators import calendar, chunking, curation, layout, lexical, retrieval, stores
 from fascicle.sources import corpus
 from fascicle.sources.tables import health, shared_folder, spread
@@ -142,7 +142,7 @@ def q19_section_counts(spark, d):
 
 def q20_article_page(spark, d):
     """Page two of a search over titles, whole summaries and tags, with ordinals and the total."""
-    found = curation.search(corpus.curated(spark, d), q="^[a-m][^\\n]*th|_2", limit=20, skip=5)
+    found = curation.search(corpus.curated(spark, d), q="^[a-m][^\\n]*th|src2$", limit=20, skip=5)
     return found.select("id", "section", "examRelevance", "pageNumber", F.unix_seconds("createdAt").alias("created"), "ordinal", "total")
 
 
@@ -415,6 +415,66 @@ def q54_public_articles(spark, d):
     return out.select("id", "title", "section", F.length("summary").cast("long").alias("chars"), F.size("examTags").cast("long").alias("tags"), F.col("wordCount").cast("long").alias("wordCount"), F.unix_seconds("createdAt").alias("created"))
 
 
+def q55_built_filters(spark, d):
+    """Chunks under filters that are built from a model's raw answers: ranges, one day, page and section."""
+    c = corpus.chunks(spark, d)
+    raw = [{"dateFrom": "2026-01-20", "dateTo": "2026-01-08", "section": " Sports "}, {"date": "2026-01-11", "section": "gossip"}, {"dateFrom": "2026-01-09", "dateTo": "2026-01-09", "pageNumber": "5"}, {"dateTo": "2026-01-02", "pageNumber": 2.5}]
+    found = [c.where(compile_filter(build_filter(coerce_filters(r)), c)).select(F.lit(k).alias("filter"), "chunk_id", "date", "pageNumber", "section") for k, r in enumerate(raw)]
+    return found[0].unionByName(found[1]).unionByName(found[2]).unionByName(found[3])
+
+
+def q56_hybrid_fallbacks(spark, d):
+    """A topic whose gate is shut falls back to its semantic rows; another one beside it does not."""
+    _, out = _hybrid(spark, d, [(0, "the of and into"), (1, "thanea onthe reporting")], 8)
+    return out.select("topic_id", "chunk_id", F.round("score", 6).alias("score"), F.col("sem_rank").cast("long").alias("sem_rank"), F.col("lex_rank").cast("long").alias("lex_rank"), F.col("rank").cast("long").alias("rank"))
+
+
+def q57_stored_chunks(spark, d):
+    """Stored chunks of every document as an article: ids, places and texts."""
+    c = corpus.chunks(spark, d)
+    articles = c.select(F.lit("issue").alias("source"), F.col("date").cast("date").alias("date"), "pageNumber", "section", F.concat("heading", F.lit(" "), F.col("chunk_id").cast("string")).alias("heading"), F.col("page_content").alias("body"))
+    out = chunking.chunk_articles(articles)
+    return out.select("chunk_id", F.col("date").cast("string").alias("date"), "dateInt", "pageNumber", "pageStart", "section", "heading", F.col("chunkIndex").cast("long").alias("chunkIndex"), F.col("chunkTotal").cast("long").alias("chunkTotal"), F.sha2("page_content", 256).alias("content"))
+
+
+def q58_console_lines(spark, d):
+    """Sources of log lines, and pieces of texts joined over cut words."""
+    e = corpus.read(spark, d, "events")
+    line = F.when(F.col("event_type") == "view", F.concat(F.lit("[page/"), F.col("user_id").cast("string"), F.lit("] opened"))).when(F.col("event_type") == "error", F.lit("api listening on 80")).when(F.col("event_type") == "click", F.lit("RAG ready")).otherwise(F.col("event_type"))
+    pieces = F.array(F.lit(" In  an an"), F.concat(F.lit("other "), F.col("event_type")), F.lit(""), F.lit("Next"))
+    return e.select("event_id", text.console_source(line).alias("source"), text.join_pieces(pieces).alias("joined"))
+
+
+def q59_public_users(spark, d):
+    """Accounts as their owners see them, from every event as a sign-in."""
+    e = corpus.read(spark, d, "events").select(F.col("user_id").cast("string").alias("googleId"), F.lit("").alias("email"), F.when(F.col("event_type") == "signup", F.col("event_type")).alias("name"), F.lit(None).cast("string").alias("picture"), F.col("ts").cast("timestamp").alias("at"))
+    none = spark.createDataFrame([], "googleId string, email string, name string, picture string, lastLoginAt timestamp, loginCount long")
+    return stores.public_users(stores.upsert_users(none, e)).select("id", "email", "emailVerified", "name", "picture", "provider", "loginCount", F.unix_micros("lastLoginAt").alias("last_at"))
+
+
+def q60_articles_by_source(spark, d):
+    """Every source's articles in page order, oldest first on a page."""
+    from pyspark.sql import Window as W
+
+    a = curation.by_source(corpus.curated(spark, d))
+    order = W.partitionBy("source").orderBy("pageNumber", "createdAt", "id")
+    return a.select("source", "id", F.row_number().over(order).cast("long").alias("ordinal"))
+
+
+def q61_marked_progress(spark, d):
+    """Progress after one date is marked complete, and after all present files start over."""
+    p = _progress(spark, d)
+    done = calendar.mark(p, "2026-01-07", status="complete", nextPage=17, vectorCount=99)
+    both = done.withColumn("after", F.lit("mark")).unionByName(calendar.reset(p).withColumn("after", F.lit("reset")))
+    return both.select("after", F.col("date").cast("string").alias("date"), "status", F.col("nextPage").cast("long").alias("next_page"), "vectorCount", F.col("totalPages").cast("long").alias("totalPages"))
+
+
+def q62_recurated_pages(spark, d):
+    """What stays of all articles when one source is curated again from page 9 on."""
+    _, left = curation.resume(corpus.curated(spark, d), "src3.pdf", {"nextPage": 9})
+    return left.select("id", "source", "pageNumber")
+
+
 def queries():
     return {name: f for name, f in globals().items() if name[0] == "q" and name[1:3].isdigit()}
 

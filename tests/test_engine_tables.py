@@ -223,3 +223,24 @@ def test_answers_stream_and_passages_are_cleaned(spark, sf):
     assert [e["text"] for e in events if e["type"] == "token"] == ["two ", "words"]
     engine.ask("thanea?", on_event=events.append)
     assert asked[-1] == (0.2, 1024) and sum(e["type"] == "token" for e in events) == 2
+
+
+def test_issues_arrive_as_a_stream(spark, tmp_path):
+    """Pages of two issues, then a corrected one: its date is replaced, the other stays."""
+    from fascicle.operators.chunking import chunk_articles
+    from fascicle.streaming.logs import ingest_stream
+
+    def arrive(rows):
+        spark.createDataFrame(rows, layout.ITEM_SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        items = spark.readStream.schema(layout.ITEM_SCHEMA).parquet(str(tmp_path / "in"))
+        ingest_stream(items, str(tmp_path / "out"), str(tmp_path / "ck"), to_chunks).awaitTermination()
+
+    def to_chunks(batch):
+        return chunk_articles(layout.articles_of(batch).withColumn("date", F.to_date(F.regexp_extract("source", r"(\d{4}-\d{2}-\d{2})", 1))))
+
+    page = lambda day, words: (f"x-{day}.pdf", 1, 600.0, 0, words, 40.0, 800.0, 9.0, 200.0)
+    arrive([page("2026-01-01", "first issue text here"), page("2026-01-02", "second issue text here")])
+    arrive([page("2026-01-02", "corrected text of the second issue")])
+    arrive([page("2026-01-03", "a third issue with text")])
+    got = {str(r["date"]): r["page_content"].rsplit("\n", 1)[1] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {"2026-01-01": "first issue text here", "2026-01-02": "corrected text of the second issue", "2026-01-03": "a third issue with text"}
