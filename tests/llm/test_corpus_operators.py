@@ -462,6 +462,9 @@ def test_chat_round_trip(spark):
     text = "".join(f"{role or ''}\n{t or ''}\n" for _, _, role, t in rows[:8])
     assert digest["turns_sha256"] == hashlib.sha256(text.encode()).hexdigest() and digest["n_turns"] == 8
     assert chat_format.digest(chat_format.format_conversations(turns.where("false"))).count() == 0
+    long = spark.createDataFrame([(1, 0, "user", "[INST]" * 40_000, "x", 1), (1, 1, "assistant", "\\" * 100_000, "y", 2)], "conv_id long, turn long, role string, text string, formatted string, blocks int")
+    got = chat_format.digest(chat_format.format_conversations(long)).first()
+    assert got["loss_chars"] == 100_000 and got["loss_sha256"] == hashlib.sha256(b"\\" * 100_000).hexdigest() and got["formatted_chars"] == 40_000 * 7 + 200_000 + 21 + 26
 
 
 def test_bpe_against_the_library(spark, sf, odd, none):
@@ -629,6 +632,18 @@ def test_similar_pairs_among_shared_boilerplate(spark):
         assert got <= set(want) and len(got) >= 0.95 * len(want)
 
 
+def test_stages_on_odd_and_empty_tables(spark, sf, odd, none):
+    import corpus_pipeline as c
+
+    for name, stage in c.STAGES:
+        out = stage(spark, odd, sf)
+        if name == "packing":
+            assert out.count() >= odd.count() and out.where("doc_id is null").count() == 1
+        else:
+            assert out.columns == odd.columns and out.count() <= odd.count()
+        assert stage(spark, none, sf).count() == 0
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as c
 
