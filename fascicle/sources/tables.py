@@ -37,7 +37,7 @@ def shared_folder(spark: SparkSession) -> str:
     """
     import tempfile
 
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
@@ -48,6 +48,14 @@ def shared_folder(spark: SparkSession) -> str:
     return _FOLDERS[app]
 
 
+def durable(df: DataFrame) -> DataFrame:
+    """df cut from its lineage by a reliable checkpoint in the shared folder."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint(eager=True)
+
+
 def list_files(spark: SparkSession, folder: str, pattern: str = "*.pdf") -> DataFrame:
     """path, modificationTime, length of the files of a folder or bucket; contents are not read."""
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder).select("path", "modificationTime", "length")

@@ -27,7 +27,7 @@ def sf(request):
 
 
 def table_views(con, sf_dir):
-    for name in "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split():
+    for name in "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations clicks sales sale_lines clients client_changes vendors items stamps".split():
         con.sql(f"create view {name} as select * from '{sf_dir}/{name}.parquet'")
 
 
