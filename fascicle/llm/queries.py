@@ -7,7 +7,7 @@ from math import ceil
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fascicle.llm import bestfit_pack, bpe_prefix, chat_format, embed_pstable, langid_bloom, license_join, quality_cascade, simhash_vptree, toxicity_nbsvm, url_reputation
+from fascicle.llm import bestfit_pack, bpe_prefix, chat_format, cohort_retention, embed_pstable, langid_bloom, license_join, mix_sources, oracles, quality_cascade, simhash_vptree, spelling_groups, toxicity_nbsvm, url_reputation
 from fascicle.llm.common import fold, read
 
 
@@ -73,6 +73,18 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bestfit_pack.pack(read(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json").decode())
 
 
+def op11_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cohort_retention.retention(read(spark, sf_dir, "clicks"), read(spark, sf_dir, "clients"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_groups.spelling_groups(read(spark, sf_dir, "documents"))
+
+
+def op13_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def _license_sql() -> str:
     """Brute force: the block at every word of every text that holds enough tokens, against every template."""
     templates = ", ".join(f"({k}, '{label}', {sorted(set(t.split()))}, {ceil(license_join.THRESHOLD * len(set(t.split())) - 1e-9)})" for k, (label, t) in enumerate(license_join.TEMPLATES))
@@ -152,7 +164,7 @@ FROM e GROUP BY conv_id"""
 
 
 def queries():
-    return {f.__name__: f for f in (op1_simhash, op2_toxicity, op3_licenses, op4_language, op5_embeddings, op6_urls, op7_quality, op8_chat, op9_bpe, op10_packing)} | {"pipeline": pipeline}
+    return {f.__name__: f for f in (op1_simhash, op2_toxicity, op3_licenses, op4_language, op5_embeddings, op6_urls, op7_quality, op8_chat, op9_bpe, op10_packing, op11_retention, op12_spelling, op13_mix)} | {"pipeline": pipeline}
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,4 +174,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_licenses": _license_sql(), "op6_urls": _url_sql(), "op7_quality": QUALITY_SQL, "op8_chat": CHAT_SQL}
+    return {"op3_licenses": _license_sql(), "op6_urls": _url_sql(), "op7_quality": QUALITY_SQL, "op8_chat": CHAT_SQL, "op11_retention": oracles.retention_sql(), "op12_spelling": oracles.spelling_sql(), "op13_mix": oracles.mix_sql()}
