@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from fascicle.functions.filters import compile_filter
 from fascicle.functions.text import gate_tokens, lexical_text, lexical_tokens, tokens
-from fascicle.sources.tables import spread
+from fascicle.sources.tables import _hadoop, durable, spread
 
 K1, B = 1.2, 0.75
 RARE_RATIO = 0.01
@@ -44,43 +44,54 @@ def _runs(sorted_tokens: Column) -> Column:
     return F.get(F.transform(F.array(sorted_tokens), of), F.lit(0))
 
 
+def chunk_runs(chunks: DataFrame, strip_header: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """chunk_id, the columns `keep`, length, and runs: array<struct<token, tf>> (null without a token).
+
+    chunks: chunk_id, page_content, heading. Counting happens inside the row, so it needs no shuffle.
+    """
+    t = F.array_sort(tokens(lexical_text(F.col("page_content"), F.col("heading"), strip_header)))
+    rows = spread(chunks.select("chunk_id", *keep, "page_content", "heading")).select("chunk_id", *keep, t.alias("t"))
+    return rows.select("chunk_id", *keep, F.size("t").alias("length"), _runs(F.col("t")).alias("runs"))
+
+
+def exploded(runs: DataFrame, *keep: str) -> DataFrame:
+    """token, chunk_id, the columns `keep`, tf, length: one row a run."""
+    one = runs.select("chunk_id", *keep, "length", F.explode("runs").alias("run"))
+    return one.select("run.token", "chunk_id", *keep, "run.tf", "length")
+
+
 def term_frequencies(chunks: DataFrame, strip_header: bool = False) -> DataFrame:
     """chunk_id, token, tf, length, first (true for one token of a chunk). chunks: chunk_id, page_content, heading.
 
-    Counting happens inside the row, so term frequencies need no shuffle. A chunk without a token
-    has one row with a null token.
+    A chunk without a token has one row with a null token.
     """
-    t = F.array_sort(tokens(lexical_text(F.col("page_content"), F.col("heading"), strip_header)))
-    rows = spread(chunks.select("chunk_id", "page_content", "heading")).select("chunk_id", t.alias("t"))
-    runs = rows.select("chunk_id", F.size("t").alias("length"), F.posexplode_outer(_runs(F.col("t"))).alias("at", "run"))
+    runs = chunk_runs(chunks, strip_header).select("chunk_id", "length", F.posexplode_outer("runs").alias("at", "run"))
     return runs.select("chunk_id", "run.token", "run.tf", "length", (F.coalesce("at", F.lit(0)) == 0).alias("first"))
 
 
+def index_stats(spark: SparkSession, n: int, lengths: int, rare_ratio: float | None) -> DataFrame:
+    """One row: version, n, avg_length, rare_ratio."""
+    row = (INDEX_VERSION, n, lengths / n if n else 1.0, None if rare_ratio is None else float(rare_ratio))
+    return spark.createDataFrame([row], "version int, n long, avg_length double, rare_ratio double")
+
+
 def build_index(chunks: DataFrame, rare_ratio: float | None = RARE_RATIO, strip_header: bool = False) -> LexicalIndex:
     """Index of chunks. rare_ratio prunes tokens whose df / n is not below it (None keeps all).
 
-    A token is common if more than rare_ratio * n chunks hold it, so there are at most (mean
-    distinct tokens of a chunk) / rare_ratio of them, whatever the corpus: they are counted and
-    broadcast while under COMMON_ROWS, and joined by a shuffle beyond.
+    Texts are tokenised once: the runs of each chunk are cut to the shared folder, and everything
+    else derives from them. A token is common if rare_ratio * n chunks or more hold it, so there are
+    at most (mean distinct tokens of a chunk) / rare_ratio of them, whatever the corpus: they are
+    counted and broadcast while under COMMON_ROWS, and joined by a shuffle beyond.
     """
-    tf = term_frequencies(chunks, strip_header)
-    sums = tf.groupBy("token").agg(F.count("token").alias("df"), F.sum(F.when(F.col("first"), F.greatest("length", F.lit(1)))).alias("lengths"), F.count_if("first").alias("chunks"))
-    stats = sums.agg(F.coalesce(F.sum("chunks"), F.lit(0)).alias("n"), F.coalesce(F.sum("lengths") / F.sum("chunks"), F.lit(1.0)).alias("avg_length"))
-    stats = stats.select(F.lit(INDEX_VERSION).alias("version"), "n", "avg_length", F.lit(rare_ratio).cast("double").alias("rare_ratio"))
-    docs = tf.where("first").select("chunk_id", "length")
-    known = tf.where("token is not null").select("token", "chunk_id", "tf", "length")
-    df = sums.where("token is not null").select("token", "df")
+    runs = durable(chunk_runs(chunks, strip_header))
+    row = runs.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.greatest("length", F.lit(1)).cast("long")), F.lit(0)).alias("lengths")).first()
+    known = exploded(runs)
     if rare_ratio is not None:
-        n = chunks.count()  # from file footers where chunks is a table
-        common = df.where(F.col("df") >= rare_ratio * max(n, 1)).select("token").collect() if n else []
-        if len(common) <= COMMON_ROWS:
-            common = F.broadcast(chunks.sparkSession.createDataFrame(common, "token string"))
-        else:
-            common = df.where(F.col("df") >= rare_ratio * n).select("token")
-        known = known.join(common, "token", "left_anti")
+        common = durable(known.groupBy("token").agg(F.count("*").alias("df")).where(F.col("df") >= rare_ratio * max(row["n"], 1)).select("token"))
+        known = known.join(F.broadcast(common) if common.count() <= COMMON_ROWS else common, "token", "left_anti")
     # Rows of a token meet once, for its frequency and for the sorted table.
     postings = known.select("token", "chunk_id", "tf", F.count("*").over(Window.partitionBy("token")).alias("df"), "length")
-    return LexicalIndex(docs, postings, stats)
+    return LexicalIndex(runs.select("chunk_id", "length"), postings, index_stats(chunks.sparkSession, row["n"], row["lengths"], rare_ratio))
 
 
 def save_index(index: LexicalIndex, path: str, collection: str, day=None, start=None, end=None) -> None:
@@ -91,20 +102,28 @@ def save_index(index: LexicalIndex, path: str, collection: str, day=None, start=
     index.stats.select("*", *(F.lit(v).cast("string").alias(k) for k, v in named.items()), F.current_timestamp().alias("built_at")).write.mode("overwrite").parquet(f"{path}/lex_stats")
 
 
-#: Loaded indexes of this process, by application, path and collection.
-_LOADED: dict[tuple[str, str, str], LexicalIndex] = {}
+#: Loaded indexes of this process and when they were saved, by application, path and collection.
+_LOADED: dict[tuple[str, str, str], tuple[int, LexicalIndex]] = {}
+
+
+def saved_at(spark: SparkSession, path: str) -> int:
+    """When the index at path was completed (its statistics are written last); 0 where there is none."""
+    fs, at = _hadoop(spark, f"{path}/lex_stats/_SUCCESS")
+    return fs.getFileStatus(at).getModificationTime() if fs.exists(at) else 0
 
 
 def load_index(spark: SparkSession, path: str, collection: str, fresh: bool = False) -> LexicalIndex | None:
     """The saved index; None where there is none, or its version or collection is another one.
 
-    A process validates an index once; `fresh` does so again, as after a new save.
+    A process validates an index once for each time it is saved; `fresh` does so again.
     """
     key = (spark.sparkContext.applicationId, path, collection)
-    if fresh:
+    when = saved_at(spark, path)
+    if fresh or _LOADED.get(key, (0,))[0] != when:
         _LOADED.pop(key, None)
     if key not in _LOADED:
         try:
+            spark.catalog.refreshByPath(path)
             stats = spark.read.parquet(f"{path}/lex_stats")
             row = stats.first()
         except AnalysisException as e:
@@ -113,8 +132,8 @@ def load_index(spark: SparkSession, path: str, collection: str, fresh: bool = Fa
             raise
         if row is None or row["version"] != INDEX_VERSION or row["collection"] != collection:
             return None
-        _LOADED[key] = LexicalIndex(spark.read.parquet(f"{path}/lex_docs"), spark.read.parquet(f"{path}/lex_postings"), stats)
-    return _LOADED[key]
+        _LOADED[key] = when, LexicalIndex(spark.read.parquet(f"{path}/lex_docs"), spark.read.parquet(f"{path}/lex_postings"), stats)
+    return _LOADED[key][1]
 
 
 def forget_indexes() -> None:

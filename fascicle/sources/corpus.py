@@ -27,8 +27,13 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return messages_of(read(spark, sf_dir, "conversations"))
+
+
+def messages_of(conversations: DataFrame) -> DataFrame:
+    """Messages of a table or stream of conversations. A stored chat has two roles, so system rows are none."""
     at = F.timestamp_seconds(F.lit(1767225600) + F.col("conv_id") * 3600 + F.col("turn") * 60)
-    return read(spark, sf_dir, "conversations").where("role <> 'system'").select(
+    return conversations.where("role <> 'system'").select(
         F.col("conv_id").alias("sessionId"), F.concat(F.lit("u"), (F.col("conv_id") % 7).cast("string")).alias("userId"), "role", F.col("text").alias("content"), at.alias("createdAt"), (F.col("conv_id") * 1000 + F.col("turn")).alias("messageId")
     )
 

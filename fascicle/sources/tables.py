@@ -95,6 +95,25 @@ def write_chunks(chunks: DataFrame, path: str) -> None:
     dealt.sortWithinPartitions("date", "pageNumber", "chunkIndex").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(path)
 
 
+def merge_pages(chunks: DataFrame, path: str) -> list[str]:
+    """Write chunks over those of the same source and page, and keep all others of their dates.
+
+    An issue may so arrive in any number of parts, and a part that comes again changes nothing. Only
+    the dates in chunks are read and written again; they are returned (a date is an issue, so a
+    batch has few). A page that a new edition lacks is not known here: drop_dates() first.
+    """
+    spark = chunks.sparkSession
+    new = durable(chunks)
+    dates = sorted(r[0] for r in new.select(F.col("date").cast("string")).distinct().collect() if r[0] is not None)
+    fs, at = _hadoop(spark, path)
+    if fs.exists(at) and dates:
+        old = spark.read.schema(new.schema).parquet(path).where(F.col("date").cast("string").isin(dates))
+        page = ["date", "source", "pageNumber"]
+        new = durable(new.unionByName(old.join(new.select(*page).distinct(), page, "left_anti").select(*new.columns)))
+    write_chunks(new, path)
+    return dates
+
+
 def embed_chunks(chunks: DataFrame, embed, batch: int = 24, attempts: int = 12, wait: float = 8.0, pause: float = 0.0) -> DataFrame:
     """chunk_id, embedding by an injected embed(list of texts) -> list of vectors.
 

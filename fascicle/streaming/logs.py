@@ -38,8 +38,19 @@ def level_counts(lines: DataFrame, window: str = "1 day") -> DataFrame:
     return lines.withWatermark("createdAt", f"{LOG_DAYS} days").groupBy(F.window("createdAt", window), "level").agg(F.count("*").alias("n"))
 
 
-def ingest_stream(items: DataFrame, path: str, checkpoint: str, to_chunks):
-    """Issues as they arrive: each micro-batch becomes chunks, written by date over what was there."""
-    from fascicle.sources.tables import write_chunks
-
-    return items.writeStream.foreachBatch(lambda batch, _: write_chunks(to_chunks(batch), path)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def ingest_stream(items: DataFrame, path: str, checkpoint: str, to_chunks, index: str | None = None):
+    """Issues as they arrive: each micro-batch becomes chunks that take the place of their pages.
+
+    A date may come in several batches, and a repeated batch changes nothing. index: a folder of
+    index segments in which the dates of a batch are replaced, so that no other date is tokenised.
+    """
+    from fascicle.operators.segments import replace_dates
+    from fascicle.sources.tables import merge_pages
+
+    def write(batch: DataFrame, _: int) -> None:
+        dates = merge_pages(to_chunks(batch), path)
+        if index and dates:
+            table = batch.sparkSession.read.parquet(path)
+            replace_dates(table.where(F.col("date").cast("string").isin(dates)), index, dates)
+
+    return items.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
