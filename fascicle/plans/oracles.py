@@ -85,6 +85,7 @@ def _section_case(raw: str, otherwise: str = "'National'") -> str:
 
 
 _COLLAPSE = r"trim(regexp_replace({}, '\s+', ' ', 'g'))"
+_clip = lambda t, n: f"CASE WHEN length({t}) > {n} THEN trim(substr({t}, 1, {n})) || '…' ELSE {t} END"
 _SENTENCES = "list_filter(list_transform(regexp_extract_all(" + _COLLAPSE.format("page_content") + """, '[^.!?]+(?:[.!?]+(?:["”'']+)?\\s*|$)'), lambda x: trim(x)), lambda x: x <> '')"""
 
 
@@ -190,6 +191,13 @@ def oracle_sql() -> dict[str, str]:
             SELECT chunk_id, sha256(regexp_replace(regexp_replace(regexp_replace(lower(page_content), '[^a-z\s]', ' ', 'g'), '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g')) AS normal, sha256(regexp_replace(regexp_replace(regexp_replace(fenced, '[ \t]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')) AS passage,
             '‘A title’' AS heading, sha256('date ' || date || ' | page ' || "pageNumber" || ' | section ' || section || chr(10) || page_content) AS context, sha256('Page 3 other text' || CASE WHEN own = '' THEN '' ELSE chr(10) || own END) AS lexical FROM t""",
         "q44_filtered_bm25": f"""WITH {_INDEX}, {_asked(TOPICS)}, {_bm25(10).replace("postings JOIN lexical USING (token)", 'postings JOIN lexical USING (token) JOIN chunks USING (chunk_id)').replace("WHERE TRUE", 'WHERE "pageNumber" <= 6')} SELECT CAST(topic_id AS INTEGER) AS topic_id, chunk_id, round(bm25, 6) AS bm25, rank FROM lex""",
+        "q63_segment_tokens": f"WITH {_INDEX} SELECT token, df FROM rare",
+        "q64_segment_bm25": f"""WITH {_INDEX}, {_asked(TOPICS)}, {_bm25(10)} SELECT CAST(topic_id AS INTEGER) AS topic_id, chunk_id, round(bm25, 6) AS bm25, rank FROM lex""",
+        "q65_summary_stream": f"""WITH m AS (SELECT conv_id, turn, role, {_COLLAPSE.format("coalesce(text, '')")} AS t, lag(role) OVER w AS before, {_COLLAPSE.format("coalesce(lag(text) OVER w, '')")} AS q FROM conversations WHERE role IN ('user', 'assistant') WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+            h AS (SELECT conv_id, turn, {_clip("q", 40)} || ' / ' || {_clip("t", 40)} AS head FROM m WHERE role = 'assistant' AND before = 'user' AND q <> ''),
+            s AS (SELECT conv_id, {_COLLAPSE.format("string_agg(head, ' | ' ORDER BY turn DESC)")} AS s FROM h GROUP BY conv_id), n AS (SELECT conv_id, count(*) AS n FROM conversations WHERE role <> 'system' GROUP BY conv_id)
+            SELECT conv_id AS "sessionId", {_clip("s", 1600)} AS summary, n AS "summaryAtCount" FROM s JOIN n USING (conv_id)""",
+        "q66_cell_search": """SELECT topic_id, chunk_id, round(cosine, 5) AS cosine, rank FROM (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY cosine DESC, chunk_id) AS rank FROM (SELECT CAST(q.vec_id AS INTEGER) AS topic_id, v.vec_id AS chunk_id, list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS cosine FROM embeddings AS v, embeddings AS q WHERE q.vec_id < 3 AND v.label IN (0, 1, 2, 3, 4))) WHERE rank <= 20""",
         "q45_topic_weights": f"""WITH {_INDEX}, {_asked(TOPICS)}, {_WEIGHTS}, first AS (SELECT topic_id, arg_min(token, (df, ord, token)) AS token, min(df) AS df FROM gated GROUP BY topic_id) SELECT CAST(topic_id AS INTEGER) AS topic_id, token, df, open, round(w_sem, 6) AS w_sem, round(1 - w_sem, 6) AS w_lex FROM weights LEFT JOIN first USING (topic_id)""",
         "q46_get_by_ids": f"WITH {_CHUNKS} SELECT chunk_id, date, section FROM chunks WHERE chunk_id IN (SELECT item_id * 3 FROM benchmark WHERE item_id > 0)",
         "q47_discover_files": f"""WITH {_CHUNKS}, f AS (SELECT DISTINCT chunk_id % 4 AS k, date, "dateInt" AS seen, CASE chunk_id % 4 WHEN 0 THEN 'in/x-' || strftime(CAST(date AS DATE), '%d-%m-%Y') || '.pdf' WHEN 1 THEN 'in/' || date || '.PDF' END AS path FROM chunks)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fascicle.functions import dates, text
 from fascicle.functions.filters import build_filter, coerce_columns, coerce_filters, compile_filter
-from fascicle.operators import calendar, chunking, curation, layout, lexical, retrieval, stores
+from fascicle.operators import calendar, cells, chunking, curation, layout, lexical, retrieval, segments, stores
 from fascicle.sources import corpus
 from fascicle.sources.tables import health, shared_folder, spread
 
@@ -274,7 +274,8 @@ def q35_log_stream_equals_batch(spark, d):
     source = corpus.read(spark, d, "events")
     lines = spark.readStream.schema(source.schema).parquet(d + "/events.parquet*").select(F.col("ts").cast("timestamp").alias("createdAt"), F.col("event_type").alias("level"))
     name = f"counts_{uuid.uuid4().hex}"
-    level_counts(lines).writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
+    kept = f"{shared_folder(spark)}/{name}"
+    level_counts(lines).writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", kept).trigger(availableNow=True).start().awaitTermination()
     return spark.table(name).select(F.col("window.start").cast("date").cast("string").alias("day"), "level", "n")
 
 
@@ -475,6 +476,71 @@ def q62_recurated_pages(spark, d):
     return left.select("id", "source", "pageNumber")
 
 
+def _segmented(spark, d):
+    """A folder of index segments with a history: headings alone first, then whole texts in three
+    replacements of dates, one of which comes twice, and a compaction between them."""
+    path = f"{shared_folder(spark)}/segments-{spark.sparkContext.applicationId}-{hashlib.md5(d.encode()).hexdigest()}"
+    if segments.manifest(spark, path):
+        return path
+    c = corpus.chunks(spark, d)
+    early, middle, late = F.col("date") < "2026-01-11", F.col("date").between("2026-01-11", "2026-01-20"), F.col("date") > "2026-01-20"
+    segments.replace_dates(c.withColumn("page_content", F.when(early, F.col("page_content")).otherwise(F.col("heading"))), path)
+    segments.replace_dates(c.where(late).withColumn("page_content", F.reverse("page_content")), path)
+    segments.replace_dates(c.where(late), path)
+    segments.compact(spark, path, 2)
+    segments.replace_dates(c.where(middle), path)
+    return path
+
+
+def q63_segment_tokens(spark, d):
+    """Rare tokens of an index whose dates were replaced: those of an index built anew."""
+    return segments.rare_tokens(spark, _segmented(spark, d))
+
+
+def q64_segment_bm25(spark, d):
+    """BM25 of three topics over the live segments."""
+    out = lexical.bm25_topk(segments.open_segments(spark, _segmented(spark, d)), _topics(spark), 10)
+    return out.select("topic_id", "chunk_id", F.round("bm25", 6).alias("bm25"), F.col("rank").cast("long").alias("rank"))
+
+
+def q65_summary_stream(spark, d):
+    """Every chat's rolling summary, from the table read as a stream of files in any order."""
+    import uuid
+
+    from fascicle.streaming import summaries
+
+    own = f"{shared_folder(spark)}/summaries-{uuid.uuid4().hex}"
+    # A table has no order of arrival: its whole span of time is the delay within which messages may come.
+    span = corpus.messages(spark, d).agg(F.unix_seconds(F.max("createdAt")) - F.unix_seconds(F.min("createdAt"))).first()[0] or 0
+    schema = corpus.read(spark, d, "conversations").schema
+    provider, before = "spark.sql.streaming.stateStore.providerClass", spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set(provider, summaries.ROCKSDB)
+    try:
+        lines = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(d + "/conversations.parquet*")
+        writes = summaries.refreshes(corpus.messages_of(lines), delay=f"{span} seconds")
+        summaries.store_refreshes(writes, f"{own}/writes", f"{own}/checkpoint").awaitTermination()
+    finally:
+        spark.conf.set(provider, before)
+    stored = spark.read.schema(summaries.WRITES).parquet(f"{own}/writes")
+    return summaries.current(stored).select(F.col("sessionId").cast("long").alias("sessionId"), "summary", F.col("summaryAtCount").cast("long").alias("summaryAtCount"))
+
+
+def _cells(spark, d):
+    """The vectors in cells, indexed by the first query of an application that asks for them."""
+    path = f"{shared_folder(spark)}/cells-{spark.sparkContext.applicationId}-{hashlib.md5(d.encode()).hexdigest()}"
+    try:
+        return cells.Cells(spark, path)
+    except LookupError:
+        cells.write_cells(corpus.vectors(spark, d), path, 32)
+        return cells.Cells(spark, path)
+
+
+def q66_cell_search(spark, d):
+    """Three exact cosine searches under a filter that skip cells by triangle bounds."""
+    found = _cells(spark, d).search(_query_vectors(spark, d, 3), 20, {"label": {"$in": [0, 1, 2, 3, 4]}})
+    return found.rows.select("topic_id", "chunk_id", F.round("cosine", 5).alias("cosine"), F.col("rank").cast("long").alias("rank"))
+
+
 def queries():
     return {name: f for name, f in globals().items() if name[0] == "q" and name[1:3].isdigit()}
 
