@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fascicle.functions.text import collapse, strip, text_or_empty, title_from_question
+from fascicle.operators.grams import narrowed_rows
 
 LOG_DAYS = 14
 # What stands for an absent answer and title.
@@ -146,13 +147,15 @@ def is_publisher(email: Column, allowed: list[str]) -> Column:
     return F.lower(strip(text_or_empty(email))).isin([a.strip().lower() for a in allowed if a.strip()])
 
 
-def search_logs(logs: DataFrame, source=None, level=None, request=None, q=None, limit: int = 80) -> DataFrame:
-    """Newest log rows that match; q is a regular expression over the message without regard to case."""
+def search_logs(logs: DataFrame, source=None, level=None, request=None, q=None, limit: int = 80, grams: str | None = None) -> DataFrame:
+    """Newest log rows that match; q is a regular expression over the message without regard to case.
+    grams: the folder of a trigram index of all messages."""
     c = F.lit(True)
     for name, v in (("source", source), ("level", level), ("requestId", request)):
         c = c & (F.col(name) == v) if v else c
     if q:
         c = c & F.col("message").rlike(f"(?i){q}")
+        logs = narrowed_rows(logs, grams, q)
     return logs.where(c).orderBy(F.desc("createdAt"), F.desc("id")).limit(min(max(int(limit or 80), 1), 300))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fascicle.functions import dates, text
 from fascicle.functions.filters import build_filter, coerce_columns, coerce_filters, compile_filter
-from fascicle.operators import calendar, cells, chunking, curation, layout, lexical, retrieval, segments, stores
+from fascicle.operators import calendar, cells, chunking, curation, grams, layout, lexical, retrieval, segments, stores
 from fascicle.sources import corpus
 from fascicle.sources.tables import health, shared_folder, spread
 
@@ -541,6 +541,22 @@ def q66_cell_search(spark, d):
     return found.rows.select("topic_id", "chunk_id", F.round("cosine", 5).alias("cosine"), F.col("rank").cast("long").alias("rank"))
 
 
+#: Expressions with needed trigrams in a row, in alternatives, around repeats, and without any.
+EXPRESSIONS = ("thanea.*onthe", "(erthe|ingth)[a-z]+ andre", "fr article 1[0-9]?$", "^..$", "src2|erst(ion)?he", "repo(rt)+ing", "ab|zz", "qqqq?x")
+
+
+def q67_regex_search(spark, d):
+    """Articles that regular expressions find through trigram postings."""
+    a = corpus.curated(spark, d)
+    path = f"{shared_folder(spark)}/grams-{spark.sparkContext.applicationId}-{hashlib.md5(d.encode()).hexdigest()}"
+    grams.write_grams(a, path, curation.searched_texts())
+    found = [curation.matching(a, q=x, grams=path).select(F.lit(k).alias("expression"), "id", "section") for k, x in enumerate(EXPRESSIONS)]
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out
+
+
 def queries():
     return {name: f for name, f in globals().items() if name[0] == "q" and name[1:3].isdigit()}
 
