@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from fascicle.functions.text import strip, text_or_empty, word_count
 from fascicle.operators.grams import narrowed_rows
+from fascicle.operators.positions import page, positions
 
 # The sections an article may end in, in their order.
 SECTIONS = ("Front Page", "National", "Regional", "Edit", "Op-Ed", "Business", "Foreign", "Sports", "Science")
@@ -226,22 +227,38 @@ def matching(articles: DataFrame, section: str | None = None, relevance: str | N
     return articles.where(c)
 
 
-def search(articles: DataFrame, section: str | None = None, relevance: str | None = None, q: str | None = None, limit: int = 50, skip: int = 0, rank_relevance: bool = False) -> DataFrame:
+#: Pages that end beyond this place are found by places instead of a sort that keeps all rows before them.
+DEEP = 10_000
+
+
+def search(articles: DataFrame, section: str | None = None, relevance: str | None = None, q: str | None = None, limit: int = 50, skip: int = 0, rank_relevance: bool = False, grams: str | None = None, deep: int = DEEP) -> DataFrame:
     """A page of matching articles in list order, each with its ordinal in the whole list (from 0) and
-    the list's total. An empty page has no row; total() still counts."""
+    the list's total. An empty page has no row; total() still counts.
+
+    A page that ends beyond place `deep` is cut out of the places of all matches (ids and sort keys
+    only, ids must be unique); its articles are then read by their ids.
+    """
     from pyspark.sql import Window as W
 
-    found, skip = matching(articles, section, relevance, q), max(int(skip or 0), 0)
+    found, skip, limit = matching(articles, section, relevance, q, grams), max(int(skip or 0), 0), min(max(int(limit or 50), 1), 100)
+    if skip + limit > deep:
+        placed = positions(found.select("id", "examRelevance", "pageNumber", "createdAt"), listing(rank_relevance))
+        count = placed.agg(F.count("*").alias("total")).first()["total"]
+        own = page(placed, limit, skip).select("id", F.col("position").alias("ordinal")).collect()
+        ids = [r["id"] for r in own]
+        own = articles.sparkSession.createDataFrame(own, placed.select("id", F.col("position").alias("ordinal")).schema)
+        rows = articles.where(F.col("id").isin(ids) if ids else F.lit(False)).join(F.broadcast(own), "id")
+        return rows.select(*articles.columns, "ordinal", F.lit(count).cast("long").alias("total")).orderBy("ordinal")
     order = listing(rank_relevance)
-    page = found.orderBy(*order).offset(skip).limit(min(max(int(limit or 50), 1), 100))
+    found_page = found.orderBy(*order).offset(skip).limit(limit)
     # 100 rows at most, numbered in one task; the total is one row.
-    page = page.withColumn("ordinal", (F.row_number().over(W.orderBy(*order)) - 1 + skip).cast("long"))
-    return page.crossJoin(F.broadcast(total(articles, section, relevance, q))).orderBy("ordinal")
+    found_page = found_page.withColumn("ordinal", (F.row_number().over(W.orderBy(*order)) - 1 + skip).cast("long"))
+    return found_page.crossJoin(F.broadcast(total(articles, section, relevance, q, grams))).orderBy("ordinal")
 
 
-def total(articles: DataFrame, section: str | None = None, relevance: str | None = None, q: str | None = None) -> DataFrame:
+def total(articles: DataFrame, section: str | None = None, relevance: str | None = None, q: str | None = None, grams: str | None = None) -> DataFrame:
     """One row: total, the number of matching articles."""
-    return matching(articles, section, relevance, q).agg(F.count("*").alias("total"))
+    return matching(articles, section, relevance, q, grams).agg(F.count("*").alias("total"))
 
 
 def discover_section(articles: DataFrame, section: str) -> DataFrame:
@@ -251,9 +268,14 @@ def discover_section(articles: DataFrame, section: str) -> DataFrame:
     return matching(articles, section).orderBy(*listing())
 
 
+def page_order() -> list[Column]:
+    """Order of a source's articles: page, oldest first, id."""
+    return [F.asc("pageNumber"), F.asc("createdAt"), F.asc("id")]
+
+
 def by_source(articles: DataFrame, source: str | None = None) -> DataFrame:
     found = articles.where(F.col("source") == source) if source else articles
-    return found.orderBy("pageNumber", "createdAt", "id")
+    return found.orderBy(*page_order())
 
 
 def public_articles(articles: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from fascicle.functions.filters import compile_filter
 from fascicle.operators.lexical import LexicalIndex, bm25_topk, gate, rank_topk, topic_weights
+from fascicle.operators.positions import positions
 
 POOL = 20
 RRF_K = 10
@@ -108,17 +109,13 @@ def layout_order(df: DataFrame) -> list[Column]:
 def layout_positions(chunks: DataFrame) -> DataFrame:
     """chunks with `position`, their place (from 0) in layout order over the whole table.
 
-    Rows are numbered within their date, and dates are offset by the rows before them, so no
-    task holds more than an issue; the offsets are one row a date.
+    Places come from a range sort with prefix counts, so an issue may be of any size. The rows are
+    materialised: give the columns that the order and the result need, not the texts.
     """
-    from pyspark.sql import Window as W
-
-    day = layout_order(chunks)[0].alias("__day")
-    dates = chunks.groupBy(day).agg(F.count("*").alias("__n"))
-    dates = dates.select("__day", (F.sum("__n").over(W.orderBy("__day")) - F.col("__n")).alias("__before"))
-    within = F.row_number().over(W.partitionBy(layout_order(chunks)[0]).orderBy(*layout_order(chunks)[1:])) - 1
-    placed = chunks.withColumns({"__within": within, "__day": layout_order(chunks)[0]}).join(dates, "__day")
-    return placed.withColumn("position", F.col("__before") + F.col("__within")).drop("__day", "__within", "__before")
+    keys = layout_order(chunks)
+    named = chunks.withColumns({f"__key{k}": c for k, c in enumerate(keys)})
+    placed = positions(named, [F.col(f"__key{k}").asc() for k in range(len(keys))])
+    return placed.select(*chunks.columns, "position")
 
 
 def get_by_filter(chunks: DataFrame, filter) -> DataFrame:

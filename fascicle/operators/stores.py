@@ -20,6 +20,8 @@ LOG_DAYS = 14
 # What stands for an absent answer and title.
 NO_ANSWER = "(No answer)"
 NEW_CHAT = "New chat"
+# Sources that an answer keeps, and characters of their excerpts.
+MOST_SOURCES, EXCERPT = 20, 400
 # Metadata keys that are redacted, without regard to case.
 SECRET_KEYS = ("authorization", "idtoken", "accesstoken", "refreshtoken", "password", "secret", "cookie", "jwt", "credential")
 
@@ -72,8 +74,8 @@ def append_turn(messages: DataFrame, user: str, question: str, answer: str | Non
 def short_sources(sources: list[dict] | None) -> list[dict]:
     """compact_sources() for one answer's sources on the driver."""
     return [
-        {"id": s.get("id"), "heading": s.get("heading") or "", "pageNumber": s.get("pageNumber"), "date": s.get("date"), "section": s.get("section") or "", "excerpt": str(s.get("excerpt") or "")[:400]}
-        for s in (sources or [])[:20]
+        {"id": s.get("id"), "heading": s.get("heading") or "", "pageNumber": s.get("pageNumber"), "date": s.get("date"), "section": s.get("section") or "", "excerpt": str(s.get("excerpt") or "")[:EXCERPT]}
+        for s in (sources or [])[:MOST_SOURCES]
     ]
 
 
@@ -131,8 +133,8 @@ def delete_session(all_sessions: DataFrame, messages: DataFrame, session) -> tup
 
 def compact_sources(sources: Column) -> Column:
     """The first 20 sources with excerpts of 400 characters at most; absent headings are empty."""
-    short = lambda s: F.struct(s["chunk_id"].alias("id"), text_or_empty(s["heading"]).alias("heading"), s["pageNumber"].alias("pageNumber"), s["date"].alias("date"), text_or_empty(s["section"]).alias("section"), F.substring(text_or_empty(s["excerpt"]), 1, 400).alias("excerpt"))
-    return F.transform(F.slice(sources, 1, 20), short)
+    short = lambda s: F.struct(s["chunk_id"].alias("id"), text_or_empty(s["heading"]).alias("heading"), s["pageNumber"].alias("pageNumber"), s["date"].alias("date"), text_or_empty(s["section"]).alias("section"), F.substring(text_or_empty(s["excerpt"]), 1, EXCERPT).alias("excerpt"))
+    return F.transform(F.slice(sources, 1, MOST_SOURCES), short)
 
 
 def upsert_users(users: DataFrame, sign_ins: DataFrame) -> DataFrame:

@@ -199,6 +199,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT conv_id AS "sessionId", {_clip("s", 1600)} AS summary, n AS "summaryAtCount" FROM s JOIN n USING (conv_id)""",
         "q66_cell_search": """SELECT topic_id, chunk_id, round(cosine, 5) AS cosine, rank FROM (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY cosine DESC, chunk_id) AS rank FROM (SELECT CAST(q.vec_id AS INTEGER) AS topic_id, v.vec_id AS chunk_id, list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS cosine FROM embeddings AS v, embeddings AS q WHERE q.vec_id < 3 AND v.label IN (0, 1, 2, 3, 4))) WHERE rank <= 20""",
         "q67_regex_search": f"WITH {_ARTICLES}, x(expression, e) AS (VALUES {', '.join(f"({k}, '{e}')" for k, e in enumerate(EXPRESSIONS))}) SELECT CAST(expression AS INTEGER) AS expression, id, section FROM articles, x WHERE regexp_matches(title, e, 'i') OR regexp_matches(summary, e, 'i') OR len(list_filter(tags, lambda t: regexp_matches(t, e, 'i'))) > 0",
+        "q68_deep_page": f"""WITH {_ARTICLES} SELECT id, section, "examRelevance", "pageNumber", created, ordinal, total FROM (SELECT *, row_number() OVER (ORDER BY "examRelevance" DESC, "pageNumber", created DESC, id) - 1 AS ordinal, count(*) OVER () AS total FROM articles) WHERE ordinal BETWEEN 150 AND 249""",
         "q45_topic_weights": f"""WITH {_INDEX}, {_asked(TOPICS)}, {_WEIGHTS}, first AS (SELECT topic_id, arg_min(token, (df, ord, token)) AS token, min(df) AS df FROM gated GROUP BY topic_id) SELECT CAST(topic_id AS INTEGER) AS topic_id, token, df, open, round(w_sem, 6) AS w_sem, round(1 - w_sem, 6) AS w_lex FROM weights LEFT JOIN first USING (topic_id)""",
         "q46_get_by_ids": f"WITH {_CHUNKS} SELECT chunk_id, date, section FROM chunks WHERE chunk_id IN (SELECT item_id * 3 FROM benchmark WHERE item_id > 0)",
         "q47_discover_files": f"""WITH {_CHUNKS}, f AS (SELECT DISTINCT chunk_id % 4 AS k, date, "dateInt" AS seen, CASE chunk_id % 4 WHEN 0 THEN 'in/x-' || strftime(CAST(date AS DATE), '%d-%m-%Y') || '.pdf' WHEN 1 THEN 'in/' || date || '.PDF' END AS path FROM chunks)

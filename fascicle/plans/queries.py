@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fascicle.functions import dates, text
 from fascicle.functions.filters import build_filter, coerce_columns, coerce_filters, compile_filter
 from fascicle.operators import calendar, cells, chunking, curation, grams, layout, lexical, retrieval, segments, stores
+from fascicle.operators.positions import positions
 from fascicle.sources import corpus
 from fascicle.sources.tables import health, shared_folder, spread
 
@@ -46,7 +47,8 @@ def q03_date_parts(spark, d):
 
 def q04_layout_order(spark, d):
     """The whole table in layout order; the order is the column `position`."""
-    return retrieval.layout_positions(corpus.chunks(spark, d)).select("chunk_id", "dateInt", "pageNumber", "heading", F.col("position").cast("long").alias("position"))
+    c = corpus.chunks(spark, d).select("chunk_id", "dateInt", "pageNumber", "heading", "chunkIndex")
+    return retrieval.layout_positions(c).select("chunk_id", "dateInt", "pageNumber", "heading", "position")
 
 
 def q05_filtered_get(spark, d):
@@ -281,15 +283,12 @@ def q35_log_stream_equals_batch(spark, d):
 
 def q36_front_page(spark, d):
     """Both routes over all articles: the front page, and its fallback where no article is on one."""
-    from pyspark.sql import Window as W
-
     a = corpus.curated(spark, d)
     none = a.withColumn("section", F.when(F.col("section") == "Front Page", "National").otherwise(F.col("section")))
     route = lambda df, name: curation.front_page(df).select("id", "examRelevance", "pageNumber", "createdAt", F.lit(name).alias("route"))
     both = route(a, "own").unionByName(route(none, "fallback"))
-    # One list a route: what a landing page shows.
-    order = W.partitionBy("route").orderBy(*curation.listing())
-    return both.select("route", "id", "examRelevance", "pageNumber", F.row_number().over(order).cast("long").alias("ordinal"))
+    # One list a route: what a landing page shows, with places from 1.
+    return positions(both, curation.listing(), ["route"]).select("route", "id", "examRelevance", "pageNumber", (F.col("position") + 1).alias("ordinal"))
 
 
 def q37_discover_counts(spark, d):
@@ -396,8 +395,11 @@ def q51_public_sessions(spark, d):
 def q52_compact_sources(spark, d):
     """The first sources of an answer that drew on every chunk of a page, with short excerpts."""
     c = corpus.chunks(spark, d)
+    # An answer keeps its first sources and the heads of their texts: nothing else is gathered.
+    place = F.row_number().over(Window.partitionBy("date", "pageNumber").orderBy("chunk_id"))
+    c = c.withColumn("page_content", F.substring("page_content", 1, stores.EXCERPT)).withColumn("place", place).where(F.col("place") <= stores.MOST_SOURCES)
     one = F.struct("chunk_id", F.when(F.col("chunk_id") % 2 == 0, F.col("heading")).alias("heading"), "pageNumber", "date", "section", F.col("page_content").alias("excerpt"))
-    pages = c.groupBy("date", "pageNumber").agg(F.slice(F.array_sort(F.collect_list(one)), 1, 40).alias("sources"))
+    pages = c.groupBy("date", "pageNumber").agg(F.array_sort(F.collect_list(one)).alias("sources"))
     out = pages.select("date", "pageNumber", F.posexplode(stores.compact_sources(F.col("sources"))).alias("at", "s"))
     return out.select("date", "pageNumber", F.col("at").cast("long").alias("at"), "s.id", "s.heading", F.length("s.excerpt").cast("long").alias("chars"))
 
@@ -455,11 +457,8 @@ def q59_public_users(spark, d):
 
 def q60_articles_by_source(spark, d):
     """Every source's articles in page order, oldest first on a page."""
-    from pyspark.sql import Window as W
-
-    a = curation.by_source(corpus.curated(spark, d))
-    order = W.partitionBy("source").orderBy("pageNumber", "createdAt", "id")
-    return a.select("source", "id", F.row_number().over(order).cast("long").alias("ordinal"))
+    a = corpus.curated(spark, d).select("source", "id", "pageNumber", "createdAt")
+    return positions(a, curation.page_order(), ["source"]).select("source", "id", (F.col("position") + 1).alias("ordinal"))
 
 
 def q61_marked_progress(spark, d):
@@ -557,6 +556,12 @@ def q67_regex_search(spark, d):
     return out
 
 
+def q68_deep_page(spark, d):
+    """A page of all articles so deep that places find it, not a sort of all before it."""
+    found = curation.search(corpus.curated(spark, d), limit=100, skip=150, deep=100)
+    return found.select("id", "section", "examRelevance", "pageNumber", F.unix_seconds("createdAt").alias("created"), "ordinal", "total")
+
+
 def queries():
     return {name: f for name, f in globals().items() if name[0] == "q" and name[1:3].isdigit()}
 
