@@ -132,7 +132,7 @@ spans AS (SELECT page_id, list_filter(list_transform(range(1, len(e)), lambda k:
 lines AS (SELECT own.*, coalesce(list_position(list_transform(spans, lambda v: (40 + x1) / 2 >= v[1] AND (40 + x1) / 2 < v[2]), true), len(spans)) - 1 AS col FROM own JOIN spans USING (page_id))"""
 
 
-def _layout() -> str:
+def _layout(page: str = "page_id + 1") -> str:
     """Articles of the test pages. All lines there start at one edge, 24 points apart, so neighbouring
     headings are one, and a body line belongs to the nearest heading above it."""
     quoted = lambda words: ", ".join(f"'{w}'" for w in words)
@@ -149,7 +149,7 @@ body AS (SELECT m.page_id, m.item, m.text FROM marked AS m ANTI JOIN kickers AS
 owned AS (SELECT b.page_id, coalesce(h.top, -1) AS top, b.item, b.text, lead(b.text) OVER (PARTITION BY b.page_id, coalesce(h.top, -1) ORDER BY b.item) AS next FROM body AS b ASOF LEFT JOIN heads AS h ON h.page_id = b.page_id AND h.top <= b.item),
 texts AS (SELECT page_id, top, string_agg(CASE WHEN ends_with(text, '-') AND regexp_matches(next, '^[a-zA-Z]') THEN left(text, -1) WHEN next IS NULL THEN text ELSE text || ' ' END, '' ORDER BY item) AS body FROM owned GROUP BY ALL),
 titled AS (SELECT h.page_id, h.top, coalesce(k.text || ': ', '') || title AS title FROM heads AS h LEFT JOIN kickers AS k ON k.page_id = h.page_id AND k.item = h.top - 1
-  UNION ALL SELECT page_id, -1, 'Page ' || (page_id + 1) || ' other text' FROM texts WHERE top = -1),
+  UNION ALL SELECT page_id, -1, 'Page ' || ({page}) || ' other text' FROM texts WHERE top = -1),
 tidy AS (SELECT page_id, top, {_COLLAPSE.format(r"regexp_replace(" + _COLLAPSE.format(r"regexp_replace(title, '\b\d{5,}\b', ' ', 'g')").replace("trim(", "(") + r", '([''’])\s+[a-z][a-z''-]*\.\s+[A-Z].*$', '\1', 'g')")} AS heading FROM titled),
 articles AS (SELECT page_id, top, heading, coalesce(body, '') AS body FROM tidy LEFT JOIN texts USING (page_id, top) WHERE heading <> '' AND (length(heading) + CASE WHEN coalesce(body, '') <> '' THEN 2 + length(body) ELSE 0 END >= 16 OR len(string_split(heading, ' ')) >= 3))"""
 
@@ -223,6 +223,7 @@ def oracle_sql() -> dict[str, str]:
         "q67_regex_search": f"WITH {_ARTICLES}, x(expression, e) AS (VALUES {', '.join(f"({k}, '{e}')" for k, e in enumerate(EXPRESSIONS))}) SELECT CAST(expression AS INTEGER) AS expression, id, section FROM articles, x WHERE regexp_matches(title, e, 'i') OR regexp_matches(summary, e, 'i') OR len(list_filter(tags, lambda t: regexp_matches(t, e, 'i'))) > 0",
         "q68_deep_page": f"""WITH {_ARTICLES} SELECT id, section, "examRelevance", "pageNumber", created, ordinal, total FROM (SELECT *, row_number() OVER (ORDER BY "examRelevance" DESC, "pageNumber", created DESC, id) - 1 AS ordinal, count(*) OVER () AS total FROM articles) WHERE ordinal BETWEEN 150 AND 249""",
         "q33_layout_articles": f"""WITH {_layout()} SELECT 'pages' AS source, CAST(page_id + 1 AS INTEGER) AS "pageNumber", row_number() OVER (PARTITION BY page_id ORDER BY top < 0, top) - 1 AS article_no, heading, length(body) AS body_chars FROM articles""",
+        "q69_issue_source": f"""WITH {_layout("page_id % 100 + 1")} SELECT 'Issue-' || strftime(DATE '2026-01-01' + CAST(page_id // 100 AS INTEGER), '%d-%m-%Y') || '.pdf' AS source, CAST(page_id % 100 + 1 AS INTEGER) AS "pageNumber", row_number() OVER (PARTITION BY page_id ORDER BY top < 0, top) - 1 AS article_no, heading, length(body) AS body_chars FROM articles WHERE page_id % 100 >= 1""",
         "q45_topic_weights": f"""WITH {_INDEX}, {_asked(TOPICS)}, {_WEIGHTS}, first AS (SELECT topic_id, arg_min(token, (df, ord, token)) AS token, min(df) AS df FROM gated GROUP BY topic_id) SELECT CAST(topic_id AS INTEGER) AS topic_id, token, df, open, round(w_sem, 6) AS w_sem, round(1 - w_sem, 6) AS w_lex FROM weights LEFT JOIN first USING (topic_id)""",
         "q46_get_by_ids": f"WITH {_CHUNKS} SELECT chunk_id, date, section FROM chunks WHERE chunk_id IN (SELECT item_id * 3 FROM benchmark WHERE item_id > 0)",
         "q47_discover_files": f"""WITH {_CHUNKS}, f AS (SELECT DISTINCT chunk_id % 4 AS k, date, "dateInt" AS seen, CASE chunk_id % 4 WHEN 0 THEN 'in/x-' || strftime(CAST(date AS DATE), '%d-%m-%Y') || '.pdf' WHEN 1 THEN 'in/' || date || '.PDF' END AS path FROM chunks)

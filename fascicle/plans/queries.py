@@ -562,6 +562,23 @@ def q68_deep_page(spark, d):
     return found.select("id", "section", "examRelevance", "pageNumber", F.unix_seconds("createdAt").alias("created"), "ordinal", "total")
 
 
+def q69_issue_source(spark, d):
+    """Articles of issue files behind a data source, with dates and pages pushed into it.
+
+    The files are made of all test pages, a hundred an issue; the folder is read back from page 2 on.
+    """
+    import uuid
+
+    from fascicle.sources import issues
+
+    folder = f"{shared_folder(spark)}/issues-{uuid.uuid4().hex}"
+    page = F.col("pageNumber") - 1
+    items = _items(spark, d).withColumn("date", F.date_add(F.lit("2026-01-01").cast("date"), F.floor(page / 100).cast("int"))).withColumn("pageNumber", (page % 100 + 1).cast("int"))
+    issues.write_line_issues(items, folder)
+    found = issues.read_issues(spark, folder, issues.LineIssue).where("pageNumber >= 2")
+    return layout.articles_of(found).select("source", "pageNumber", "article_no", "heading", F.length("body").alias("body_chars"))
+
+
 def queries():
     return {name: f for name, f in globals().items() if name[0] == "q" and name[1:3].isdigit()}
 
