@@ -579,6 +579,20 @@ def q69_issue_source(spark, d):
     return layout.articles_of(found).select("source", "pageNumber", "article_no", "heading", F.length("body").alias("body_chars"))
 
 
+def q70_closed_windows(spark, d):
+    """Daily counts of log lines from a source that delivers each line twice, for the days that are over."""
+    import uuid
+
+    from fascicle.streaming import logs
+
+    own = f"{shared_folder(spark)}/windows-{uuid.uuid4().hex}"
+    schema = corpus.read(spark, d, "events").schema
+    lines = lambda: spark.readStream.schema(schema).parquet(d + "/events.parquet*").select(F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("createdAt"), F.col("event_type").alias("level"))
+    logs.store_windows(logs.closed_windows(lines().unionByName(lines())), f"{own}/out", f"{own}/checkpoint").awaitTermination()
+    out = spark.read.schema("start timestamp, level string, n long").parquet(f"{own}/out")
+    return out.select(F.to_date("start").cast("string").alias("day"), "level", "n")
+
+
 def queries():
     return {name: f for name, f in globals().items() if name[0] == "q" and name[1:3].isdigit()}
 

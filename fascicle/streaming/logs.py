@@ -34,10 +34,32 @@ def store_stream(lines: DataFrame, path: str, checkpoint: str):
 
 
 def level_counts(lines: DataFrame, window: str = "1 day") -> DataFrame:
-    """Counts by level and window; state is bounded by the retention period."""
+    """Counts by level and window. In append or update mode windows leave the state after the
+    retention period; complete mode keeps every window."""
     return lines.withWatermark("createdAt", f"{LOG_DAYS} days").groupBy(F.window("createdAt", window), "level").agg(F.count("*").alias("n"))
 
 
+def once(lines: DataFrame, delay: str = "1 hour", key: str = "id", event_time: str = "createdAt") -> DataFrame:
+    """Each line once, though its source delivers at least once: copies that come within `delay` of
+    each other are dropped. State holds the keys of that time only. Lines without a key or time go."""
+    return lines.where(F.col(key).isNotNull() & F.col(event_time).isNotNull()).withWatermark(event_time, delay).dropDuplicatesWithinWatermark([key])
+
+
+def closed_windows(lines: DataFrame, window: str = "1 day", delay: str = "1 hour", key: str = "id") -> DataFrame:
+    """day, level, n: counts of each line once, by window and level, for append mode.
+
+    A window is written when the watermark has passed its end, once and for good, and then leaves the
+    state, so a stream of any length holds the windows and keys within `delay` and one window.
+    """
+    counts = once(lines, delay, key).groupBy(F.window("createdAt", window), "level").agg(F.count("*").alias("n"))
+    return counts.select(F.col("window.start").alias("start"), "level", "n")
+
+
+def store_windows(counts: DataFrame, path: str, checkpoint: str):
+    """Append closed windows; files of a batch that is run again are not counted twice."""
+    return counts.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+
+
 def ingest_stream(items: DataFrame, path: str, checkpoint: str, to_chunks, index: str | None = None):
     """Issues as they arrive: each micro-batch becomes chunks that take the place of their pages.
 
