@@ -593,6 +593,24 @@ def q70_closed_windows(spark, d):
     return out.select(F.to_date("start").cast("string").alias("day"), "level", "n")
 
 
+def q71_live_counts(spark, d):
+    """Kept articles by section, counted by a stream: all at first under wrong sections, then curated
+    again, source by source, in two more batches, the second from page 1 and page 9 on."""
+    import uuid
+
+    from fascicle.streaming import counts
+
+    own = f"{shared_folder(spark)}/counts-{uuid.uuid4().hex}"
+    a = corpus.curated(spark, d).select("source", "pageNumber", "section", F.lit(True).alias("kept"), F.lit(1).alias("fromPage"))
+    early = F.col("pageNumber") < 9
+    wrong = a.withColumn("section", F.when(early & (F.col("source") >= "src3"), F.col("section")).otherwise(F.lit("Sports")))
+    for part in (wrong, a.where("source < 'src3'"), a.where("source >= 'src3'").where(~early).withColumn("fromPage", F.lit(9))):
+        part.write.mode("append").parquet(f"{own}/in")
+        verdicts = spark.readStream.schema(counts.VERDICTS).parquet(f"{own}/in")
+        counts.count_stream(verdicts, f"{own}/changes", f"{own}/checkpoint").awaitTermination()
+    return counts.section_counts(spark, f"{own}/changes")
+
+
 def queries():
     return {name: f for name, f in globals().items() if name[0] == "q" and name[1:3].isdigit()}
 
