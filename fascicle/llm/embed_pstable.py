@@ -246,18 +246,19 @@ def embedding_groups(vectors: DataFrame, threshold: float = THRESHOLD, split: in
 
     A vector that is null, empty, zero, or holds a null or non-finite component links with nothing
     and is kept. Vectors of different lengths never link. Repeated rows count as copies of each
-    other; an id identifies a vector, so rows of one id share a component. A row with a null id
-    links like any other and is kept; a component without any id is null. An empty table gives no
-    row. Other columns are not read.
+    other. Vectors are what links; ids only name components, so different vectors under one id
+    have their own links (and may lie in components of one name). A row with a null id links like any
+    other and is kept; a component without any id is null. An empty table gives no row. Other
+    columns are not read.
     """
     single = dict(vectors.dtypes)["embedding"] == "array<float>"
     e = F.col("embedding")
     good = F.coalesce(~F.exists(e, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(e, lambda x: x != 0), F.lit(False))
     rows = vectors.select("vec_id", "embedding", good.alias("good"), F.xxhash64(e).alias("k1"), F.xxhash64(F.lit(17), e).alias("k2"))
     rows = rows.withColumn("k1", F.when(F.col("good"), F.col("k1"))).withColumn("k2", F.when(F.col("good"), F.col("k2")))
-    kinds = durable(rows.where("good").groupBy("k1", "k2").agg(F.min("vec_id").alias("first"), F.count("*").alias("n"), F.any_value("embedding").alias("embedding")))
-    # A vector that no row gives an id takes part under a node of its own and never names a component.
-    kinds = kinds.withColumn("node", F.coalesce("first", F.xxhash64("k1", "k2")))
+    kinds = rows.where("good").groupBy("k1", "k2").agg(F.min("vec_id").alias("first"), F.count("*").alias("n"), F.any_value("embedding").alias("embedding"))
+    # Each distinct vector has a number of its own, fixed by the cut.
+    kinds = durable(kinds.withColumn("node", F.monotonically_increasing_id()))
     k, tables = shape(kinds.count(), threshold)
 
     def dealt(rows, make, schema):
@@ -273,10 +274,10 @@ def embedding_groups(vectors: DataFrame, threshold: float = THRESHOLD, split: in
     found = durable(found.mapInArrow(_compare(k, tables, threshold, np.float32 if single else np.float64), "a long, b long, links long"))
     links = found.where("links is not null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     roots = connected_components(found.where("b is not null").select("a", "b")).select(F.col("id").alias("node"), "root")
-    names = roots.join(kinds.select("node", "first"), "node").groupBy("root").agg(F.min("first").alias("name"))
-    names = durable(names.where("name is null or name <> root").withColumn("renamed", F.lit(True)))
+    # Cut here, so that the join below has plain shuffles: one component may hold a third of all vectors.
+    names = durable(roots.join(kinds.select("node", "first"), "node").groupBy("root").agg(F.min("first").alias("name")))
     named = kinds.select("k1", "k2", "node", "first", "n").join(links, "node", "left").join(roots, "node", "left").join(names, "root", "left")
-    component = F.when(F.col("renamed"), F.col("name")).otherwise(F.coalesce("root", "first"))
+    component = F.when(F.col("root").isNotNull(), F.col("name")).otherwise(F.col("first"))
     named = named.select("k1", "k2", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), component.alias("component_id"))
     out = rows.select("vec_id", "k1", "k2").join(named, ["k1", "k2"], "left")
     component = F.coalesce("component_id", "vec_id")

@@ -242,3 +242,14 @@ def test_mix_hot_source_of_one_size(spark):
         taken[s] += n
         target[s] = t
     assert all(abs(taken[s] - target[s]) <= 100 for s in taken)
+
+
+def test_embeddings_with_repeated_ids_count_their_own_links(spark):
+    """Two different vectors under one id: links are the vectors', the id only names components."""
+    from fascicle.llm import embed_pstable
+
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (3, [0.01, 1.0]), (4, [0.02, 1.0]), (None, [-1.0, 0.0]), (None, [-1.0, 0.0]), (9, [0.7, -0.7])]
+    out = embed_pstable.embedding_groups(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    got = sorted((r["vec_id"] or 0, r["n_links"], r["component_id"], r["kept"]) for r in out.collect())
+    assert [g[:2] for g in got] == [(0, 1), (0, 1), (1, 1), (1, 2), (2, 1), (3, 2), (4, 2), (9, 0)]
+    assert {g[2] for g in got if g[0] in (1, 2, 3, 4)} == {1} and {g[2] for g in got if g[0] == 0} == {None} and (9, 0, 9, True) in got
