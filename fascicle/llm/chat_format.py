@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from fascicle.llm.common import let
 
 OPEN, NEXT, CLOSE, NEWLINE = "<|turn|>", "<|next|>", "<|end|>\n", "<|nl|>"
+#: Texts whose offsets are summed together, and characters of a page of a block.
+RUN, PAGE = 512, 65_536
 CONTROL = ("<|", "</s>", "<s>", "[INST]", "[/INST]")
 
 
@@ -34,6 +36,34 @@ def unescape(c: Column) -> Column:
     return F.regexp_replace(c, r"(?s)\\(.)", "$1")
 
 
+def _sums(sizes: Column, first: Column) -> Column:
+    """first, first + sizes[0], ...: as many as there are sizes. It copies what it has for each one: for short arrays."""
+    zero = F.struct(first.alias("at"), F.array().cast("array<int>").alias("out"))
+    return F.aggregate(sizes, zero, lambda a, n: F.struct((a["at"] + n).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"])
+
+
+def starts_of(sizes: Column, first: Column) -> Column:
+    """Where texts of these sizes begin, NEXT between them: sums within parts of RUN, and over the parts' totals."""
+    whole = F.transform(sizes, lambda n: n + len(NEXT))
+    parts = let(whole, lambda w: F.transform(F.sequence(F.lit(0), F.floor((F.size(w) - 1) / RUN).cast("int")), lambda k: F.slice(w, k * RUN + 1, RUN)))
+    total = lambda p: F.aggregate(p, F.lit(0), lambda a, n: a + n)
+    return let(parts, lambda p: F.flatten(F.zip_with(p, _sums(F.transform(p, total), first), lambda own, at: _sums(own, at))))
+
+
+def cut(block: Column, spans: Column) -> Column:
+    """The texts of spans(start, length) of a block. A span is looked for in the pages that hold it,
+    as counting characters from the block's start for each one would take the square of its length."""
+    pages = F.transform(F.sequence(F.lit(0), F.floor(F.length(block) / PAGE).cast("int")), lambda k: F.substring(block, k * PAGE + 1, F.lit(PAGE)))
+
+    def one(p: Column, s: Column) -> Column:
+        first = F.floor(s["start"] / PAGE).cast("int")
+        last = F.floor((s["start"] + F.greatest(s["length"], F.lit(1)) - 1) / PAGE).cast("int")
+        return F.substring(F.array_join(F.slice(p, first + 1, last - first + 1), ""), s["start"] - first * PAGE + 1, s["length"])
+
+    few = F.transform(spans, lambda s: F.substring(block, s["start"] + 1, s["length"]))
+    return F.when(F.size(spans) <= 2, few).otherwise(let(pages, lambda p: F.transform(spans, lambda s: one(p, s))))
+
+
 def format_conversations(turns: DataFrame) -> DataFrame:
     """conv_id, formatted string, loss_mask array<array<struct<start, length>>> (one array a block).
 
@@ -53,14 +83,12 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     blocks = grouped.select("conv_id", let(F.col("turns"), merge).alias("blocks"))
     head = lambda b: F.concat(F.lit(OPEN), F.replace(escape(b["role"]), F.lit("\n"), F.lit(NEWLINE)), F.lit("\n"))
     write = lambda b: F.concat(head(b), F.array_join(b["texts"], NEXT), F.lit(CLOSE))
-    span = lambda at, x: F.struct(at.alias("start"), F.length(x).alias("length"))
 
     def spans(b: Column) -> Column:
-        zero = F.struct(F.length(head(b)).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("out"))
-        step = lambda a, x: F.struct((a["at"] + F.length(x) + len(NEXT)).alias("at"), F.concat(a["out"], F.array(span(a["at"], x))).alias("out"))
-        one = F.array(span(F.length(head(b)), F.get(b["texts"], F.lit(0))))
-        many = F.aggregate(b["texts"], zero, step, lambda a: a["out"])
-        return F.when(b["role"] != "assistant", F.array().cast("array<struct<start:int,length:int>>")).when(F.size(b["texts"]) == 1, one).otherwise(many)
+        none = F.array().cast("array<struct<start:int,length:int>>")
+        sizes = F.transform(b["texts"], lambda x: F.length(x))
+        many = let(sizes, lambda n: F.zip_with(starts_of(n, F.length(head(b))), n, lambda at, x: F.struct(at.alias("start"), x.alias("length"))))
+        return F.when(b["role"] != "assistant", none).otherwise(many)
 
     return blocks.select("conv_id", F.array_join(F.transform("blocks", write), "").alias("formatted"), F.transform("blocks", spans).alias("loss_mask"))
 
@@ -78,14 +106,14 @@ def read_turns(formatted: Column) -> Column:
         cut = F.instr(body, "\n")  # the first one: a newline in a role is written as NEWLINE
         role = unescape(F.replace(F.substring(body, F.lit(1), cut - 1), F.lit(NEWLINE), F.lit("\n")))
         texts = F.split(F.substring(body, cut + 1, F.length(body)), NEXT.replace("|", r"\|"))
-        return F.transform(texts, lambda x: F.struct(role.alias("role"), unescape(x).alias("text")))
+        return let(role, lambda r: F.transform(texts, lambda x: F.struct(r.alias("role"), unescape(x).alias("text"))))
 
     return F.flatten(F.transform(_blocks(formatted), turns))
 
 
 def read_loss(formatted: Column, mask: Column) -> Column:
     """Texts under the loss mask, unescaped, in order."""
-    under = F.zip_with(_blocks(formatted), mask, lambda b, m: F.transform(m, lambda s: unescape(F.substring(b, s["start"] + 1, s["length"]))))
+    under = F.zip_with(_blocks(formatted), mask, lambda b, m: F.transform(cut(b, m), unescape))
     return F.flatten(under)
 
 

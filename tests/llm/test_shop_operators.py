@@ -253,3 +253,21 @@ def test_embeddings_with_repeated_ids_count_their_own_links(spark):
     got = sorted((r["vec_id"] or 0, r["n_links"], r["component_id"], r["kept"]) for r in out.collect())
     assert [g[:2] for g in got] == [(0, 1), (0, 1), (1, 1), (1, 2), (2, 1), (3, 2), (4, 2), (9, 0)]
     assert {g[2] for g in got if g[0] in (1, 2, 3, 4)} == {1} and {g[2] for g in got if g[0] == 0} == {None} and (9, 0, 9, True) in got
+
+
+def test_chat_of_very_many_turns(spark):
+    """One role's run of 30 000 turns, some longer than a page: offsets and texts are exact and the work stays linear."""
+    import hashlib
+    import time
+
+    from fascicle.llm import chat_format
+
+    rows = [(1, k, "assistant", f"turn {k} é😀 [INST]" if k % 5000 else "y" * 70_000 + f"<|{k}") for k in range(30_000)] + [(1, 30_000, "user", "end")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    began = time.perf_counter()
+    got = chat_format.digest(chat_format.format_conversations(df)).first()
+    assert time.perf_counter() - began < 120
+    said = "".join(r[3] for r in rows[:-1])
+    assert (got["n_turns"], got["loss_chars"], got["loss_sha256"]) == (30_001, len(said), hashlib.sha256(said.encode()).hexdigest())
+    whole = "".join(f"{r[2]}\n{r[3]}\n" for r in rows)
+    assert got["turns_sha256"] == hashlib.sha256(whole.encode()).hexdigest()
