@@ -13,9 +13,13 @@ only leaves whose summed bound is within the slice's radius; every other branch
 such leaves only the one with smaller distances visits the other, so that each pair meets once a
 tree. Inside a shard, pairs are checked exactly on all 64 bits.
 
+As windows hold two bits and vantage points are fixed, a leaf is in effect the slice's bits and a
+visit goes to a leaf one bit away: vantage points drawn from the fingerprints, with median splits,
+would compare and hold far more (figures in the README).
+
 Scale. Trees grow with the corpus: a leaf holds about LEAF fingerprints until the slice's bits are
-used up (2**21 leaves a tree), so compared pairs for each fingerprint stay flat up to some 10**9 of them and a
-fingerprint is in 3 to 35 shards. Exact copies collapse to one fingerprint before the join. A shard
+used up (2**21 leaves a tree), so compared pairs for each fingerprint stay flat up to 3.4 * 10**7 of
+them and grow in proportion beyond (477 a leaf at 10**9). A fingerprint is in 3 to 35 shards. Exact copies collapse to one fingerprint before the join. A shard
 beyond SPLIT is dealt out to pairs of parts, so no task holds more than two parts however skewed
 the fingerprints are. A shard returns a spanning forest of its links, so large groups of near
 copies cost no quadratic output. Components come from distributed star contraction; nothing that
