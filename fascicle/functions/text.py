@@ -7,6 +7,7 @@ Lengths count code points.
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -23,6 +24,8 @@ STOPWORDS = (
 # A word or number of the lexical index, and a sentence.
 TOKEN = r"(?i)(?:₹|rs\.?|inr|\$)\s*\d{1,3}(?:,\d{2,3})+(?:\.\d+)?|\d{1,3}(?:,\d{2,3})+(?:\.\d+)?%?|\d+(?:\.\d+)?%|\w+"
 SENTENCE = "[^.!?]+(?:[.!?]+(?:[\"”']+)?\\s*|$)"
+# How a token with a currency begins.
+CURRENCY = ("₹", "rs", "inr", "$")
 # Fixed value: how often a heading counts.
 HEADING_REPEAT = 2
 
@@ -32,7 +35,8 @@ def text_or_empty(c: Column) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    """Without white space (ASCII) at both ends."""
+    return F.btrim(c, F.lit(" \t\n\x0b\f\r"))
 
 
 def collapse(c: Column) -> Column:
@@ -64,8 +68,10 @@ def normalize(c: Column) -> Column:
 def tokens(c: Column) -> Column:
     """Words and numbers; grouped numbers keep commas and percent signs, currency marks go."""
     found = F.regexp_extract_all(text_or_empty(c), F.lit(TOKEN), F.lit(0))
-    clean = lambda x: F.regexp_replace(F.lower(x), r"₹|\brs\.?|\binr\b|\$|\s+", "")
-    return F.filter(F.transform(found, clean), lambda x: x != "")
+    bare = lambda x: F.regexp_replace(x, r"₹|\brs\.?|\binr\b|\$|\s+", "")
+    # What is taken away stands at a token's beginning, so few tokens meet the expression.
+    clean = lambda x: F.when(reduce(lambda a, b: a | b, (x.startswith(m) for m in CURRENCY)), bare(x)).otherwise(x)
+    return F.filter(F.transform(F.transform(found, F.lower), clean), lambda x: x != "")
 
 
 def is_year(c: Column) -> Column:
@@ -98,8 +104,10 @@ def is_weak_heading(h: Column) -> Column:
 def _after_header(content: Column, has_date: bool) -> tuple[Column, Column, Column]:
     """(heading line, chunk line, body) of a stored text; absent lines are empty."""
     date = r"(?:date - [^\n]*\n)?" if has_date else ""
-    m = rf"(?s)^{date}(heading - [^\n]*(?:\n|$))?((?i:chunk)\s+\d+\s*/\s*\d+[^\S\n]*(?:\n|$))?\n*(.*)$"
-    return F.regexp_extract(content, m, 1), F.regexp_extract(content, m, 2), strip(F.regexp_extract(content, m, 3))
+    # Everything is optional, so the expression ends where the header does and never looks at the body.
+    m = rf"^{date}(heading - [^\n]*(?:\n|$))?((?i:chunk)\s+\d+\s*/\s*\d+[^\S\n]*(?:\n|$))?\n*"
+    body = F.substring(content, F.length(F.regexp_extract(content, m, 0)) + 1, F.length(content))
+    return F.regexp_extract(content, m, 1), F.regexp_extract(content, m, 2), strip(body)
 
 
 def lexical_text(content: Column, heading: Column, strip_header: bool = False) -> Column:
@@ -111,7 +119,7 @@ def lexical_text(content: Column, heading: Column, strip_header: bool = False) -
     line, _, body = _after_header(text_or_empty(content), strip_header)
     own = strip(F.regexp_replace(line, "^heading - ", ""))
     h = F.when(own != "", own).otherwise(strip(text_or_empty(heading)))
-    body = F.when(body == "", F.lit(None)).otherwise(body)
+    body = F.nullif(body, F.lit(""))
     times = F.when(h == "", 0).when(is_weak_heading(h), 1).otherwise(HEADING_REPEAT)
     return F.array_join(F.array_compact(F.concat(F.array_repeat(h, times), F.array(body))), "\n")
 

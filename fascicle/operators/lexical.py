@@ -49,7 +49,7 @@ def chunk_runs(chunks: DataFrame, strip_header: bool = False, keep: tuple[str, .
 
     chunks: chunk_id, page_content, heading. Counting happens inside the row, so it needs no shuffle.
     """
-    t = F.array_sort(tokens(lexical_text(F.col("page_content"), F.col("heading"), strip_header)))
+    t = F.sort_array(tokens(lexical_text(F.col("page_content"), F.col("heading"), strip_header)))
     rows = spread(chunks.select("chunk_id", *keep, "page_content", "heading")).select("chunk_id", *keep, t.alias("t"))
     return rows.select("chunk_id", *keep, F.size("t").alias("length"), _runs(F.col("t")).alias("runs"))
 
