@@ -129,3 +129,22 @@ def resolve(asked: DataFrame, progress: DataFrame, base: str, latest: str, prefi
         F.col("asked").alias("date"), (blank | F.col("__day").isNotNull()).alias("valid"), name.alias("filename"), F.when(name.isNotNull(), manual_path(F.col("__day"))).alias("url"),
         public_url(base, name).alias("remoteUrl"), F.when(has, F.col("totalPages")).alias("totalPages"), F.when(has, F.col("sizeBytes")).alias("sizeBytes"),
     )
+
+
+def health_report(vectors: DataFrame, progress: DataFrame, collection: str) -> DataFrame:
+    """One row on the state of an archive: ok, indexReady, vectorCount, collection, error, ingestComplete, and
+    while not every present file is complete: date, nextPage, totalPages of the first file in
+    progress, pending and missing files.
+
+    A collection without vectors is not ok, and nothing is said of its ingest then.
+    """
+    n = vectors.agg(F.count("*").alias("vectorCount"))
+    at = F.when(F.col("status") == "in_progress", F.struct("date", "nextPage", "totalPages"))
+    there, whole = F.count_if(F.col("status") != "missing"), F.count_if(F.col("status") == "complete")
+    p = progress.agg(((there > 0) & (there == whole)).alias("whole"), F.min(at).alias("at"), F.count_if(F.col("status") == "pending").alias("pending"), F.count_if(F.col("status") == "missing").alias("missing"))
+    ok = F.col("vectorCount") > 0
+    open_ = lambda c: F.when(ok & ~F.col("whole"), c)
+    return n.crossJoin(p).select(
+        ok.alias("ok"), ok.alias("indexReady"), "vectorCount", F.lit(collection).alias("collection"), F.when(~ok, F.lit(f'Collection "{collection}" is empty')).alias("error"), F.when(ok, F.col("whole")).alias("ingestComplete"),
+        open_(F.col("at.date")).alias("date"), open_(F.col("at.nextPage")).alias("nextPage"), open_(F.col("at.totalPages")).alias("totalPages"), open_(F.col("pending")).alias("pending"), open_(F.col("missing")).alias("missing"),
+    )

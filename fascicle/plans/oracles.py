@@ -226,6 +226,10 @@ def oracle_sql() -> dict[str, str]:
         "q69_issue_source": f"""WITH {_layout("page_id % 100 + 1")} SELECT 'Issue-' || strftime(DATE '2026-01-01' + CAST(page_id // 100 AS INTEGER), '%d-%m-%Y') || '.pdf' AS source, CAST(page_id % 100 + 1 AS INTEGER) AS "pageNumber", row_number() OVER (PARTITION BY page_id ORDER BY top < 0, top) - 1 AS article_no, heading, length(body) AS body_chars FROM articles WHERE page_id % 100 >= 1""",
         "q70_closed_windows": "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_type AS level, count(*) AS n FROM (SELECT DISTINCT event_id, ts, event_type FROM events) WHERE CAST(ts AS DATE) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR GROUP BY ALL",
         "q71_live_counts": f"WITH {_ARTICLES} SELECT section, count(*) AS count FROM articles GROUP BY section",
+        "q72_health_report": f"""WITH {_PROGRESS}, p AS (SELECT count(*) FILTER (status <> 'missing') AS there, count(*) FILTER (status = 'complete') AS done, count(*) FILTER (status = 'pending') AS pending, count(*) FILTER (status = 'missing') AS missing FROM progress),
+            n AS (SELECT 'news' AS collection, count(*) AS v FROM embeddings UNION ALL SELECT 'none', 0), f AS (SELECT date, next_page, "totalPages" FROM progress WHERE status = 'in_progress' ORDER BY date LIMIT 1), s AS (SELECT *, v > 0 AS ok, there > 0 AND there = done AS whole FROM n, p)
+            SELECT ok, ok AS "indexReady", v AS "vectorCount", collection, CASE WHEN NOT ok THEN 'Collection "' || collection || '" is empty' END AS error, CASE WHEN ok THEN whole END AS "ingestComplete", CASE WHEN ok AND NOT whole THEN CAST(date AS VARCHAR) END AS date,
+            CASE WHEN ok AND NOT whole THEN CAST(next_page AS BIGINT) END AS "nextPage", CASE WHEN ok AND NOT whole THEN CAST("totalPages" AS BIGINT) END AS "totalPages", CASE WHEN ok AND NOT whole THEN pending END AS pending, CASE WHEN ok AND NOT whole THEN missing END AS missing FROM s LEFT JOIN f ON true""",
         "q45_topic_weights": f"""WITH {_INDEX}, {_asked(TOPICS)}, {_WEIGHTS}, first AS (SELECT topic_id, arg_min(token, (df, ord, token)) AS token, min(df) AS df FROM gated GROUP BY topic_id) SELECT CAST(topic_id AS INTEGER) AS topic_id, token, df, open, round(w_sem, 6) AS w_sem, round(1 - w_sem, 6) AS w_lex FROM weights LEFT JOIN first USING (topic_id)""",
         "q46_get_by_ids": f"WITH {_CHUNKS} SELECT chunk_id, date, section FROM chunks WHERE chunk_id IN (SELECT item_id * 3 FROM benchmark WHERE item_id > 0)",
         "q47_discover_files": f"""WITH {_CHUNKS}, f AS (SELECT DISTINCT chunk_id % 4 AS k, date, "dateInt" AS seen, CASE chunk_id % 4 WHEN 0 THEN 'in/x-' || strftime(CAST(date AS DATE), '%d-%m-%Y') || '.pdf' WHEN 1 THEN 'in/' || date || '.PDF' END AS path FROM chunks)

@@ -611,6 +611,13 @@ def q71_live_counts(spark, d):
     return counts.section_counts(spark, f"{own}/changes")
 
 
+def q72_health_report(spark, d):
+    """What the archive says of itself while files are still to be read, and for a collection without vectors."""
+    v, p = corpus.vectors(spark, d), _progress(spark, d)
+    both = calendar.health_report(v, p, "news").unionByName(calendar.health_report(v.where("label > 99"), p, "none"))
+    return both.withColumns({"date": F.col("date").cast("string"), "nextPage": F.col("nextPage").cast("long"), "totalPages": F.col("totalPages").cast("long")})
+
+
 def queries():
     return {name: f for name, f in globals().items() if name[0] == "q" and name[1:3].isdigit()}
 

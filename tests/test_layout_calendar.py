@@ -57,6 +57,19 @@ def test_progress_states(spark):
     assert calendar.resume_page({"status": "in_progress", "nextPage": 4}) == (4, False) and calendar.resume_page({"status": "stale", "nextPage": 4}) == (1, True)
 
 
+def test_health_report(spark):
+    rows = [(date(2026, 1, d), "f", 1.0, 1, s, 5, 3, 2) for d, s in enumerate(("complete", "missing", "in_progress", "in_progress", "pending"), 1)]
+    vectors = spark.range(3)
+    said = lambda v, r: calendar.health_report(v, spark.createDataFrame(r, calendar.PROGRESS_SCHEMA), "news").first().asDict()
+    busy = said(vectors, rows)
+    assert (busy["ok"], busy["vectorCount"], busy["ingestComplete"], busy["date"], busy["pending"], busy["missing"], busy["error"]) == (True, 3, False, date(2026, 1, 3), 1, 1, None)
+    done = said(vectors, rows[:2])
+    assert done["ingestComplete"] is True and done["date"] is None and done["pending"] is None
+    empty = said(vectors.where("false"), rows)
+    assert not empty["ok"] and not empty["indexReady"] and empty["error"] == 'Collection "news" is empty' and empty["ingestComplete"] is None
+    assert said(vectors, [])["ingestComplete"] is False
+
+
 def test_empty_progress_is_not_complete(spark):
     empty = spark.createDataFrame([], calendar.PROGRESS_SCHEMA)
     assert calendar.summary(empty).first()["complete"] is False
