@@ -7,6 +7,8 @@ columns; texts are independent, and nothing is shuffled.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -28,21 +30,39 @@ def split_sentences(text: str) -> list[str]:
     return [s for s in (p.strip(" ") for p in _SENTENCE.findall(flat) or [flat]) if s]
 
 
-def _size(sentence: str) -> int:
-    return len(sentence.split(" "))
-
-
-def overlap(sentences: list[str], words: int) -> list[str]:
-    """Last complete sentences (any, if none is complete) until `words` words are reached."""
+def tail(numbers: list[int], sizes: list[int], complete: list[bool], words: int) -> list[int]:
+    """The shortest end of numbers' complete sentences (of all, if none is complete) that has `words` words."""
     if words <= 0:
         return []
-    source, out, have = [s for s in sentences if _COMPLETE.search(s)] or sentences, [], 0
-    for s in reversed(source):
-        if out and have >= words:
-            break
-        out.append(s)
-        have += _size(s)
-    return out[::-1]
+    source = [k for k in numbers if complete[k]] or numbers
+    sums = accumulate(sizes[k] for k in reversed(source))
+    return source[-next((n for n, have in enumerate(sums, 1) if have >= words), len(source)) :]
+
+
+def chunk_numbers(sizes: list[int], complete: list[bool], most: int, again: int) -> tuple[list[list[int]], list[int]]:
+    """Numbers of the sentences in each full chunk, and in what is left at the end.
+
+    A chunk is what it carries from the one before and then a run of sentences, whose end is found in
+    the sums of words. It is cut after its last complete sentence.
+    """
+    sums, out, carried, start = [0, *accumulate(sizes)], [], [], 0
+    while start < len(sizes) or carried:
+        room = most - sum(sizes[k] for k in carried)
+        stop = max(start, bisect_right(sums, sums[start] + room) - 1)
+        chunk = [*carried, *range(start, stop)]
+        if stop == len(sizes):
+            return out, chunk
+        if not chunk:  # one sentence that no chunk can hold
+            out.append([stop])
+            carried, start = tail([stop], sizes, complete, again) if complete[stop] else [], stop + 1
+            continue
+        end = max((n for n, k in enumerate(chunk, 1) if complete[k]), default=1)
+        out.append(chunk[:end])
+        carried = tail(chunk[:end], sizes, complete, again) + chunk[end:]
+        if sum(sizes[k] for k in carried) + sizes[stop] > most:
+            carried = []
+        carried, start = [*carried, stop], stop + 1
+    return out, []
 
 
 def pack_sentences(text: str, max_words: int = MAX_WORDS, overlap_words: int = OVERLAP_WORDS) -> list[str]:
@@ -53,26 +73,12 @@ def pack_sentences(text: str, max_words: int = MAX_WORDS, overlap_words: int = O
     complete one wait for the next chunk and go where that one cannot hold them.
     """
     parts = split_sentences(text)
-    if sum(map(_size, parts)) <= max_words:
+    sizes = [len(s.split(" ")) for s in parts]
+    if sum(sizes) <= max_words:
         return [" ".join(parts)] if parts else []
-    out: list[str] = []
-    held: list[str] = []
-    for s in parts:
-        n = _size(s)
-        if n > max_words and not held:
-            out.append(s)
-            held = overlap([s], overlap_words) if _COMPLETE.search(s) else []
-            continue
-        if held and sum(map(_size, held)) + n > max_words:
-            end = next((k for k in range(len(held), 1, -1) if _COMPLETE.search(held[k - 1])), 1)
-            out.append(" ".join(held[:end]))
-            held = overlap(held[:end], overlap_words) + held[end:]
-            if sum(map(_size, held)) + n > max_words:
-                held = []
-        held.append(s)
-    if held and (not out or " ".join(held) != out[-1]):
-        out.append(" ".join(held))
-    return out
+    full, left = chunk_numbers(sizes, [bool(_COMPLETE.search(s)) for s in parts], max_words, overlap_words)
+    *out, last = (" ".join(parts[k] for k in chunk) for chunk in (*full, left))
+    return [*out, last] if left and out[-1:] != [last] else out
 
 
 def packed(text: Column, max_words: int = MAX_WORDS, overlap_words: int = OVERLAP_WORDS) -> Column:
