@@ -10,7 +10,8 @@ parser is injected: open_issue(bytes) returns an object with `pages` (their numb
 
 Batch. Comparisons on date and pageNumber are pushed into the source: files of other dates are not
 opened and other pages not parsed (the session needs spark.sql.python.filterPushdown.enabled, which
-`read_issues` sets). A file is `shares` tasks, each of which parses every shares-th page.
+`read_issues` sets). A file is `shares` tasks, each of which parses every shares-th page; with one
+share, small files are read together.
 
 Stream. The offset is the time and path of the last file, so a restarted stream goes on where it
 stopped; files of one time are taken in order of their paths. Files must appear with a time that is
@@ -24,7 +25,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from datetime import date
 from typing import Protocol
 
@@ -57,12 +58,17 @@ def file_date(path: str) -> date | None:
     return None
 
 
+#: Small files are read together in one task up to so many bytes; rows of a batch.
+PART_BYTES, BATCH = 16 * 1024 * 1024, 8192
+
+
 @dataclass(frozen=True, order=True)
 class File:
     """Time in nanoseconds and path: the order of a stream."""
 
     at: int
     path: str
+    size: int = field(default=0, compare=False)
 
 
 def _storage(folder: str):
@@ -80,28 +86,56 @@ def listed(folder: str, pattern: str) -> list[File]:
 
     store, at, _ = _storage(folder)
     found = store.get_file_info(fs.FileSelector(at, recursive=True, allow_not_found=True))
-    return sorted(File(f.mtime_ns or 0, f.path) for f in found if f.is_file and re.search(pattern, f.base_name, re.I) and file_date(f.path))
+    return sorted(File(f.mtime_ns or 0, f.path, f.size or 0) for f in found if f.is_file and re.search(pattern, f.base_name, re.I) and file_date(f.path))
 
 
 class Share(InputPartition):
-    """Every `step`-th page from `first` of one file, where a range of pages is wanted."""
+    """Every `step`-th page from `first` of some files, where a range of pages is wanted."""
+
+    def __init__(self, paths: list[str], first: int, step: int, low: int, high: int | None) -> None:
+        self.paths, self.first, self.step, self.low, self.high = paths, first, step, low, high
+
+
+def shared_out(files: Iterable[File], shares: int, low: int, high: int | None) -> list[Share]:
+    """Tasks: `shares` a file, or where that is one, small files together."""
+    if shares > 1:
+        return [Share([f.path], k, shares, low, high) for f in files for k in range(shares)]
+    out, size = [], PART_BYTES
+    for f in files:
+        if size + f.size > PART_BYTES:
+            out.append(Share([], 0, 1, low, high))
+            size = 0
+        out[-1].paths.append(f.path)
+        size += f.size
+    return out
 
-    def __init__(self, path: str, first: int, step: int, low: int, high: int | None) -> None:
-        self.path, self.first, self.step, self.low, self.high = path, first, step, low, high
 
+def rows_of(folder: str, part: Share | None, opener: Opener) -> Iterator:
+    """Arrow batches of a share's items; a folder without issues has one task without a share."""
+    import pyarrow as pa
 
-def rows_of(folder: str, part: Share | None, opener: Opener) -> Iterator[tuple]:
-    """Items of a share; a folder without issues has one task without a share."""
     if part is None:
         return
     store, _, _ = _storage(folder)
-    with store.open_input_stream(part.path) as f:
-        issue = opener(f.read())
-    name, day = part.path.rsplit("/", 1)[-1], file_date(part.path)
-    for page in range(1, min(issue.pages, part.high if part.high is not None else issue.pages) + 1):
-        if page >= part.low and (page - 1) % part.step == part.first:
-            for k, (width, text, x, y, size, w) in enumerate(issue.items(page)):
-                yield name, day, page, width, k, text, x, y, size, w
+    kinds = {"string": pa.string(), "date": pa.date32(), "int": pa.int32(), "double": pa.float64()}
+    schema = pa.schema([(n, kinds[k]) for n, k in (c.split() for c in ISSUE_SCHEMA.split(", "))])
+    held: list[tuple] = []
+
+    def batch():
+        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*held), schema.types)], schema=schema)
+
+    for path in part.paths:
+        with store.open_input_stream(path) as f:
+            issue = opener(f.read())
+        name, day = path.rsplit("/", 1)[-1], file_date(path)
+        for page in range(1, min(issue.pages, part.high if part.high is not None else issue.pages) + 1):
+            if page >= part.low and (page - 1) % part.step == part.first:
+                held += [(name, day, page, width, k, text, x, y, size, w) for k, (width, text, x, y, size, w) in enumerate(issue.items(page))]
+                if len(held) >= BATCH:
+                    yield batch()
+                    held.clear()
+    if held:
+        yield batch()
 
 
 class Wanted:
@@ -149,9 +183,9 @@ def issue_source(opener: Opener, name: str = "issues") -> type[DataSource]:
 
         def partitions(self) -> list[Share]:
             files = [f for f in listed(self.folder, self.pattern) if self.wanted.has(file_date(f.path))]
-            return [Share(f.path, k, self.shares, self.wanted.low, self.wanted.high) for f in files for k in range(self.shares)]
+            return shared_out(files, self.shares, self.wanted.low, self.wanted.high)
 
-        def read(self, partition: Share) -> Iterator[tuple]:
+        def read(self, partition: Share) -> Iterator:
             return rows_of(self.folder, partition, opener)
 
     class StreamReader(DataSourceStreamReader):
@@ -168,9 +202,9 @@ def issue_source(opener: Opener, name: str = "issues") -> type[DataSource]:
 
         def partitions(self, start: dict, end: dict) -> list[Share]:
             new = (f for f in listed(self.folder, self.pattern) if File(**start) < f <= File(**end))
-            return [Share(f.path, k, self.shares, self.start_page, None) for f in new for k in range(self.shares)]
+            return shared_out(new, self.shares, self.start_page, None)
 
-        def read(self, partition: Share) -> Iterator[tuple]:
+        def read(self, partition: Share) -> Iterator:
             return rows_of(self.folder, partition, opener)
 
         def commit(self, end: dict) -> None:
