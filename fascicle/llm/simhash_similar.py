@@ -2,14 +2,17 @@
 
 Copies whose sets of word shingles agree by 0.8 differ in about 15 of 100 SimHash bits: far more
 than the few bits within which the vantage-point forest of simhash_vptree prunes. Here a text has
-a print of WORDS * 64 bits over its distinct shingles, and each tree takes some bits of the print. A
-level asks for the distance (0 or 1) from its vantage point on one bit; no boundary shard is
-visited, as one step of reach costs half as many copies of a row as there are levels, and more
-trees find more. Levels follow from the number of distinct prints, so that a shard holds about LEAF
-of them at any size, and trees from the levels, so that a pair of similarity SIMILARITY shares a
-shard of some tree with probability 1 - MISS (one of 0.9 with 0.9999).
-
-Inside a shard, pairs within REACH of the first 128 bits are candidates; a spanning forest of them
+a print of WORDS * 64 bits over its distinct shingles, and each tree has a vantage point of its own,
+a print drawn from the table. A level measures the distance from it in a window of one bit; by the
+triangle inequality the difference of two prints' distances there is a lower bound of their
+distance in the window, and the bounds of a path add up, as windows do not overlap. A print lives
+in the shard of its own distances and visits every boundary shard whose summed bound is at most 1;
+of two such shards only the print with the smaller distance visits the other, so each pair meets
+once a tree. Levels follow from the number of distinct prints, so that about LEAF of them live in a
+shard at any size, and trees from the levels, so that a pair of similarity SIMILARITY meets in
+some tree with probability 1 - MISS (one of 0.9 with 0.9999).
+
+Inside a shard, pairs of a resident and any other within REACH of the first 128 bits are candidates; a spanning forest of them
 goes on, closest pairs first, so a dense group costs no quadratic output. A shard beyond SPLIT
 rows is dealt out to pairs of parts, so no task holds more than two. Each candidate is then decided by the
 exact Jaccard similarity of the two whole texts' shingle sets (64-bit hashes of shingles).
@@ -20,7 +23,7 @@ are dealt to their shards once more, those within REACH of another group with th
 and there every pair of different groups is decided exactly before it may join them. What is
 found therefore does not depend on which edges a forest took.
 
-A print is replicated once a tree (32 bytes each; 34 trees at 10**5 prints, 182 at 10**8).
+A print is in 1 + levels / 2 shards a tree (33 bytes each; 42 in all at 10**5 prints, 319 at 10**8).
 """
 
 from __future__ import annotations
@@ -38,8 +41,8 @@ from fascicle.llm.simhash_vptree import shingle_hashes
 SHINGLE = 5
 SIMILARITY = 0.8
 WORDS = 9
-#: Prints in a shard on average, and the chance to miss a pair at the similarity.
-LEAF, MISS = 16, 0.015
+#: Prints that live in a shard on average, and the chance to miss a pair at the similarity.
+LEAF, MISS = 128, 0.005
 #: Share of bits in which prints of texts at the similarity differ.
 DIFFER = 0.1515
 #: Bits of the first 128 in which a candidate pair may differ (0.8: 19.4 on average, deviation 4.1).
@@ -52,7 +55,9 @@ MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 def shape(rows: int) -> tuple[int, int]:
     """(levels, trees) for so many distinct prints."""
     levels = max(8, ceil(log2(max(rows, 1) / LEAF)))
-    return levels, ceil(log(MISS) / log(1 - (1 - DIFFER) ** levels))
+    # A pair meets in a tree if it differs in none of the levels' bits, or in one.
+    meet = (1 - DIFFER) ** levels + levels * DIFFER * (1 - DIFFER) ** (levels - 1)
+    return levels, ceil(log(MISS) / log(1 - meet))
 
 
 def tree_bits(levels: int, trees: int) -> np.ndarray:
@@ -106,28 +111,52 @@ def _similarity(a: str, b: str) -> Column:
     return of(a, b)
 
 
-def _replicate(levels: int, trees: int):
+def vantage_points(prints: DataFrame, trees: int) -> list[bytes]:
+    """A print of prints(sig, node) for each tree (again from the first where there are not enough)."""
+    drawn = [bytes(r["sig"]) for r in prints.select("sig", "node").orderBy("node").limit(trees).collect()]
+    return [drawn[k % len(drawn)] for k in range(trees)] if drawn else [bytes(WORDS * 8)] * trees
+
+
+def tree_shards(bits: np.ndarray, vantage: np.ndarray, tree: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, shard) of every shard that each print lives in (first) or visits in one tree.
+
+    bits, vantage: bits of the prints and of the tree's vantage point at the tree's levels.
+    """
+    levels = bits.shape[1]
+    distance, weights = (bits ^ vantage).astype(np.int64), 1 << np.arange(levels, dtype=np.int64)
+    home = distance @ weights + (tree << levels)
+    # One window may differ by one bit and the others by none: the nearer side visits the farther one.
+    row, level = np.nonzero(distance == 0)
+    return np.concatenate((np.arange(len(bits)), row)), np.concatenate((home, home[row] + weights[level]))
+
+
+def _replicate(levels: int, trees: int, vantage: list[bytes]):
     def run(batches):
-        pick, weights = tree_bits(levels, trees), 1 << np.arange(levels, dtype=np.int64)
+        pick = tree_bits(levels, trees)
+        points = np.unpackbits(np.frombuffer(b"".join(vantage), np.uint8).reshape(-1, WORDS * 8), axis=1, bitorder="little")
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
                 sig = np.frombuffer(b"".join(part.column("sig").to_pylist()), np.uint8).reshape(-1, WORDS * 8)
                 bits = np.unpackbits(sig, axis=1, bitorder="little")
-                shards = np.stack([bits[:, p] @ weights for p in pick], axis=1) + (np.arange(trees, dtype=np.int64) << levels)
                 first = np.ascontiguousarray(sig[:, :16]).view("<i8")
-                at_row = np.repeat(np.arange(len(sig)), trees)
                 more = [n for n in b.schema.names if n not in ("sig", "node")]
-                out = [pa.array(shards.ravel()), part.column("node").take(pa.array(at_row)), pa.array(first[at_row, 0]), pa.array(first[at_row, 1])]
-                yield pa.RecordBatch.from_arrays(out + [part.column(n).take(pa.array(at_row)) for n in more], ["shard", "node", "p0", "p1", *more])
+                for tree, p in enumerate(pick):
+                    row, shard = tree_shards(bits[:, p], points[tree, p], tree)
+                    home, take = np.arange(len(row)) < len(sig), pa.array(row)
+                    out = [pa.array(shard), part.column("node").take(take), pa.array(first[row, 0]), pa.array(first[row, 1]), pa.array(home)]
+                    yield pa.RecordBatch.from_arrays(out + [part.column(n).take(take) for n in more], ["shard", "node", "p0", "p1", "home", *more])
 
     return run
 
 
-def close_pairs(p0: np.ndarray, p1: np.ndarray, cuts: np.ndarray, part: np.ndarray, cross: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(i, j, bits) of all pairs within REACH of rows of one run (from cut to cut), of different parts where cross."""
+def close_pairs(p0: np.ndarray, p1: np.ndarray, cuts: np.ndarray, part: np.ndarray, cross: np.ndarray, home: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, bits) of all pairs within REACH of rows of one run (from cut to cut), of different parts where cross.
+
+    home: where given, one of a pair is a resident; residents come first in each run.
+    """
     end = np.repeat(cuts[1:], np.diff(cuts))
-    out, k, i = [], 1, np.arange(len(p0))
+    out, k, i = [], 1, np.arange(len(p0)) if home is None else np.flatnonzero(home)
     while len(i := i[i + k < end[i]]):
         d = np.bitwise_count(p0[i] ^ p0[i + k]) + np.bitwise_count(p1[i] ^ p1[i + k])
         near = np.flatnonzero((d <= REACH) & ~(cross[i] & (part[i] == part[i + k])))
@@ -142,8 +171,8 @@ def _pairs(batches):
     """(table, cuts, i, j, bits) of sorted rows, whole shards (or pairs of parts) at a time."""
     for t, cuts in runs(batches, ["shard", "i", "j"]):
         p0, p1 = (t.column(c).to_numpy().view(np.uint64) for c in ("p0", "p1"))
-        part, a, b = (t.column(c).to_numpy() for c in ("part", "i", "j"))
-        yield t, cuts, *close_pairs(p0, p1, cuts, part, a != b)
+        part, a, b, home = (t.column(c).to_numpy() for c in ("part", "i", "j", "home"))
+        yield t, cuts, *close_pairs(p0, p1, cuts, part, a != b, home)
 
 
 def _walk(batches):
@@ -220,11 +249,11 @@ def _join_groups(batches):
             yield pa.RecordBatch.from_arrays([a, b], ["a", "b"])
 
 
-def _dealt(prints: DataFrame, levels: int, trees: int, split: int, more: str = "") -> DataFrame:
-    """prints(sig, node, ...) in their shards, sorted by shard and parts."""
-    make, schema = _replicate(levels, trees), f"shard long, node long, p0 long, p1 long{more}"
+def _dealt(prints: DataFrame, levels: int, trees: int, vantage: list[bytes], split: int, more: str = "") -> DataFrame:
+    """prints(sig, node, ...) in their shards, sorted by shard and parts, residents first."""
+    make, schema = _replicate(levels, trees, vantage), f"shard long, node long, p0 long, p1 long, home boolean{more}"
     rows = deal(prints.mapInArrow(make, schema), sampled(prints, "node").mapInArrow(make, schema).select("shard"), "shard", "node", split)
-    return rows.repartition("shard", "i", "j").sortWithinPartitions("shard", "i", "j")
+    return rows.repartition("shard", "i", "j").sortWithinPartitions("shard", "i", "j", F.desc("home"))
 
 
 def _rejoined(prints: DataFrame, judged: DataFrame, sets: DataFrame, roots: DataFrame, shards) -> DataFrame:
@@ -256,7 +285,8 @@ def similar_roots(docs: DataFrame, size: int = SHINGLE, text: str = "text", key:
     prints = rows.select("key", "r0", "r1", _of_text(F.col("text"), long_print, size).alias("sig")).groupBy("sig").agg(first.alias("first"))
     prints = durable(prints.withColumn("node", F.xxhash64("sig")))
     levels, trees = shape(prints.count())
-    shards = lambda some, more="": _dealt(some, levels, trees, split, more)
+    vantage = vantage_points(prints, trees)
+    shards = lambda some, more="": _dealt(some, levels, trees, vantage, split, more)
     links = shards(prints.select("sig", "node")).mapInArrow(_walk, "a long, b long")
     links = durable(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     # Sets are made of one text for each linked print only.

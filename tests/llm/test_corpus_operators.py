@@ -603,6 +603,18 @@ def test_candidates_and_their_forest():
     assert components(len(p), list(zip(i[k].tolist(), j[k].tolist()))) == want and len(k) == len(p) - len(set(want))
 
 
+def test_similar_trees_visit_boundary_shards():
+    """Every pair whose summed triangle bound is 0 or 1 meets once, as a resident and another; no other pair does."""
+    rng = np.random.default_rng(8)
+    bits, vantage = rng.integers(0, 2, (60, 6), dtype=np.uint8), rng.integers(0, 2, 6, dtype=np.uint8)
+    row, shard = simhash_similar.tree_shards(bits, vantage, 3)
+    met = Counter(tuple(sorted((int(a), int(b)))) for a, s in zip(row[:60], shard[:60]) for b in row[shard == s] if a != b)
+    bound = np.abs((bits ^ vantage)[:, None].astype(int) - (bits ^ vantage)).sum(2)
+    # Two residents of one shard see each other from both sides.
+    assert met == {(i, j): 2 if bound[i, j] == 0 else 1 for i in range(60) for j in range(i + 1, 60) if bound[i, j] <= 1}
+    assert set(shard >> 6) == {3}
+
+
 def test_forest_drops_every_link_inside_a_component():
     rng = np.random.default_rng(6)
     a, b = rng.integers(0, 500, (2, 60_000))
