@@ -23,6 +23,15 @@ _COMPARE = {"$eq": lambda c, v: c == F.lit(v), "$in": lambda c, v: c.isin(list(v
 _KINDS = {"string": str, "int": (int, float), "bigint": (int, float), "smallint": (int, float), "double": (int, float), "float": (int, float), "boolean": bool, "date": (str, date)}
 
 
+#: Values of one IN that a Parquet scan compares one by one; more of them prune by their least and largest only.
+IN_VALUES = 10
+
+
+def among(c: Column, values: list) -> Column:
+    """c is one of values (false for none), in parts that prune a scan value by value."""
+    return reduce(lambda a, b: a | b, (c.isin(values[k : k + IN_VALUES]) for k in range(0, len(values), IN_VALUES))) if values else F.lit(False)
+
+
 def compile_filter(tree: Mapping | None, df: DataFrame) -> Column:
     """Predicate on df for a filter tree; null never passes.
 

@@ -1,10 +1,10 @@
 """The rare-token inverted index and BM25 over it.
 
-The index is three tables: lex_docs(chunk_id, length), lex_postings(token, chunk_id, tf, df, length)
-and lex_stats (one row). Terms are counted inside the row. Document frequencies are the only
-aggregate over all tokens, and it is combined before the shuffle. Tokens too common for the index
-are dropped by a broadcast before postings move, so no key of that shuffle holds more than the
-rare share of all chunks. Saved postings are sorted by token, so a question's tokens prune the scan.
+The index is four tables: lex_docs(chunk_id, length), lex_postings(token, chunk_id, tf, length),
+lex_df(token, df) and lex_stats (one row). Terms are counted inside the row. Document frequencies are
+the only aggregate over all tokens, and it is combined before the shuffle. Tokens too common for the
+index are dropped by a broadcast. A saved index moves no postings: each task sorts its own by token
+and writes them as a file, so a question's tokens prune every file to a few pages.
 """
 
 from __future__ import annotations
@@ -15,15 +15,15 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fascicle.functions.filters import compile_filter
+from fascicle.functions.filters import among, compile_filter
 from fascicle.functions.text import gate_tokens, lexical_text, lexical_tokens, tokens
-from fascicle.sources.tables import _hadoop, durable, spread
+from fascicle.sources.tables import _hadoop, cut, spread
 
 K1, B = 1.2, 0.75
 RARE_RATIO = 0.01
 #: Common tokens up to so many are broadcast (about 100 tokens a kilobyte).
 COMMON_ROWS = 200_000
-INDEX_VERSION = 3
+INDEX_VERSION = 4
 
 
 @dataclass
@@ -31,6 +31,9 @@ class LexicalIndex:
     docs: DataFrame
     postings: DataFrame
     stats: DataFrame
+    #: What postings are made of where the index was built: rows without df, and df by token.
+    rows: DataFrame | None = None
+    df: DataFrame | None = None
 
 
 def _runs(sorted_tokens: Column) -> Column:
@@ -78,26 +81,31 @@ def index_stats(spark: SparkSession, n: int, lengths: int, rare_ratio: float | N
 def build_index(chunks: DataFrame, rare_ratio: float | None = RARE_RATIO, strip_header: bool = False) -> LexicalIndex:
     """Index of chunks. rare_ratio prunes tokens whose df / n is not below it (None keeps all).
 
-    Texts are tokenised once: the runs of each chunk are cut to the shared folder, and everything
+    Texts are tokenised once: the runs of each chunk are cut to the shared folder as Parquet, and everything
     else derives from them. A token is common if rare_ratio * n chunks or more hold it, so there are
     at most (mean distinct tokens of a chunk) / rare_ratio of them, whatever the corpus: they are
     counted and broadcast while under COMMON_ROWS, and joined by a shuffle beyond.
     """
-    runs = durable(chunk_runs(chunks, strip_header))
+    runs = cut(chunk_runs(chunks, strip_header))
     row = runs.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.greatest("length", F.lit(1)).cast("long")), F.lit(0)).alias("lengths")).first()
     known = exploded(runs)
+    df = cut(known.groupBy("token").agg(F.count("*").alias("df")))
     if rare_ratio is not None:
-        common = durable(known.groupBy("token").agg(F.count("*").alias("df")).where(F.col("df") >= rare_ratio * max(row["n"], 1)).select("token"))
+        top = F.col("df") >= rare_ratio * max(row["n"], 1)
+        common, df = df.where(top).select("token"), df.where(~top)
         known = known.join(F.broadcast(common) if common.count() <= COMMON_ROWS else common, "token", "left_anti")
     # Rows of a token meet once, for its frequency and for the sorted table.
     postings = known.select("token", "chunk_id", "tf", F.count("*").over(Window.partitionBy("token")).alias("df"), "length")
-    return LexicalIndex(runs.select("chunk_id", "length"), postings, index_stats(chunks.sparkSession, row["n"], row["lengths"], rare_ratio))
+    return LexicalIndex(runs.select("chunk_id", "length"), postings, index_stats(chunks.sparkSession, row["n"], row["lengths"], rare_ratio), known, df)
 
 
 def save_index(index: LexicalIndex, path: str, collection: str, day=None, start=None, end=None) -> None:
-    """Three Parquet tables under path; the stats row says what the index covers and is written last."""
+    """Four Parquet tables under path; the stats row says what the index covers and is written last."""
     index.docs.write.mode("overwrite").parquet(f"{path}/lex_docs")
-    index.postings.repartitionByRange("token").sortWithinPartitions("token").write.mode("overwrite").parquet(f"{path}/lex_postings")
+    rows = index.postings.drop("df") if index.rows is None else index.rows
+    df = index.postings.select("token", "df").distinct() if index.df is None else index.df
+    rows.sortWithinPartitions("token", "chunk_id").write.mode("overwrite").parquet(f"{path}/lex_postings")
+    df.repartitionByRange("token").sortWithinPartitions("token").write.mode("overwrite").parquet(f"{path}/lex_df")
     named = {"collection": collection, "date": day, "date_from": start, "date_to": end}
     index.stats.select("*", *(F.lit(v).cast("string").alias(k) for k, v in named.items()), F.current_timestamp().alias("built_at")).write.mode("overwrite").parquet(f"{path}/lex_stats")
 
@@ -132,7 +140,9 @@ def load_index(spark: SparkSession, path: str, collection: str, fresh: bool = Fa
             raise
         if row is None or row["version"] != INDEX_VERSION or row["collection"] != collection:
             return None
-        _LOADED[key] = when, LexicalIndex(spark.read.parquet(f"{path}/lex_docs"), spark.read.parquet(f"{path}/lex_postings"), stats)
+        rows, df = (spark.read.parquet(f"{path}/{t}") for t in ("lex_postings", "lex_df"))
+        postings = rows.join(df, "token").select("token", "chunk_id", "tf", "df", "length")
+        _LOADED[key] = when, LexicalIndex(spark.read.parquet(f"{path}/lex_docs"), postings, stats, rows, df)
     return _LOADED[key][1]
 
 
@@ -153,7 +163,7 @@ def bm25(tf: Column, df: Column, length: Column, n: Column, avg_length: Column)
 def of_tokens(index: LexicalIndex, asked: DataFrame) -> DataFrame:
     """Postings of the tokens of asked(token, ...): a handful, so they are literals that reach the scan."""
     found = sorted({r["token"] for r in asked.select("token").distinct().collect()})
-    return index.postings.where(F.col("token").isin(found) if found else F.lit(False))
+    return index.postings.where(among(F.col("token"), found))
 
 
 def bm25_topk(index: LexicalIndex, topics: DataFrame, k: int, filter=None, metadata: DataFrame | None = None) -> DataFrame:

@@ -14,15 +14,20 @@ TEXT_COLUMNS = ("chunk_id", "page_content", "source", "date", "dateInt", "pageNu
 
 #: Tables estimated below this are dealt over all cores before heavy row work.
 SMALL_BYTES = 256 * 1024 * 1024
+#: What a task gets of a larger table whose files are beyond SMALL_BYTES each.
+TASK_BYTES = 64 * 1024 * 1024
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df over all cores if it is small: a small file has few row groups and would keep one core busy.
+    """df over all cores if it is small or in few large files: a row group is read by one task, and would keep one core busy.
 
-    The size is the optimizer's estimate; larger tables have enough splits and are left alone.
+    The size is the optimizer's estimate; tables of many files have enough splits and are left alone.
     """
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= SMALL_BYTES else df
+    size, cores = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())), df.sparkSession.sparkContext.defaultParallelism
+    if size <= SMALL_BYTES:
+        return df.repartition(cores)
+    files = len(df.inputFiles())
+    return df.repartition(max(cores, size // TASK_BYTES)) if files and size > files * SMALL_BYTES else df
 
 
 #: Folders that stand in for a shared one, by application.
@@ -56,6 +61,15 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """df cut from its lineage as Parquet in the shared folder: for rows of arrays and texts, which a checkpoint holds uncompressed."""
+    import uuid
+
+    path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def list_files(spark: SparkSession, folder: str, pattern: str = "*.pdf") -> DataFrame:
     """path, modificationTime, length of the files of a folder or bucket; contents are not read."""
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder).select("path", "modificationTime", "length")

@@ -4,8 +4,10 @@ import random
 
 from pyspark.sql import functions as F
 
+from fascicle.functions.filters import among
 from fascicle.operators import segments
 from fascicle.operators.lexical import bm25_topk, build_index, load_index, save_index
+from fascicle.sources import tables
 from fascicle.streaming.logs import ingest_stream
 
 CHUNK = "chunk_id string, page_content string, heading string, date string, source string, pageNumber int, chunkIndex int"
@@ -105,3 +107,27 @@ def test_a_saved_index_is_never_served_stale(spark, tmp_path):
     save_index(build_index(spark.createDataFrame(made(rng, "2026-01-01", 30), CHUNK)), path, "c")
     assert load_index(spark, path, "c").docs.count() == 30 and load_index(spark, path, "c").stats.first()["n"] == 30
     assert load_index(spark, path, "other") is None and load_index(spark, str(tmp_path / "none"), "c") is None
+
+
+def test_a_saved_index_moves_no_postings(spark, tmp_path):
+    """Each task sorts what it has; the saved rows and frequencies are those of the index built in memory."""
+    rng, path = random.Random(8), str(tmp_path / "saved")
+    index = build_index(spark.createDataFrame(made(rng, "2026-01-01", 40), CHUNK), 0.5)
+    plan = index.rows.sortWithinPartitions("token", "chunk_id")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "rangepartitioning" not in plan
+    save_index(index, path, "c")
+    got = load_index(spark, path, "c", fresh=True).postings
+    assert sorted(map(tuple, got.select(index.postings.columns).collect())) == sorted(map(tuple, index.postings.collect())) and got.count()
+    pruned = got.where(among(F.col("token"), [f"only{k}" for k in range(25)]))._jdf.queryExecution().executedPlan().toString()
+    assert pruned.count("only24") >= 2 and got.where(among(F.col("token"), [f"only{k}" for k in range(25)])).count() == 25 and not got.where(among(F.col("token"), [])).count()
+
+
+def test_one_large_file_is_dealt_over_all_cores(spark, tmp_path, monkeypatch):
+    """A row group is one task's; beyond SMALL_BYTES a single file was left as it was."""
+    spark.range(1000).coalesce(1).write.parquet(str(tmp_path / "one"))
+    spark.range(1000).repartition(6).write.parquet(str(tmp_path / "six"))
+    one, six = (spark.read.parquet(str(tmp_path / n)) for n in ("one", "six"))
+    monkeypatch.setattr(tables, "SMALL_BYTES", 3000)
+    monkeypatch.setattr(tables, "TASK_BYTES", 1000)
+    assert tables.spread(one).rdd.getNumPartitions() >= 4 and tables.spread(one).count() == 1000
+    assert tables.spread(six).rdd.getNumPartitions() == six.rdd.getNumPartitions()
