@@ -18,6 +18,8 @@ from fascicle.functions.text import format_chunk, strip
 from fascicle.sources.tables import spread
 
 MAX_WORDS, OVERLAP_WORDS = 200, 20
+#: Texts that are Python objects at a time.
+PART = 64
 _SENTENCE = re.compile("[^.!?]+(?:[.!?]+(?:[\"”']+)?[ ]*|$)")
 _COMPLETE = re.compile("[.!?][\"”']?$")
 
@@ -81,12 +83,18 @@ def pack_sentences(text: str, max_words: int = MAX_WORDS, overlap_words: int = O
     return [*out, last] if left and out[-1:] != [last] else out
 
 
+def packed_texts(a: pa.Array, max_words: int = MAX_WORDS, overlap_words: int = OVERLAP_WORDS) -> pa.Array:
+    """Chunks of each text; only PART texts are Python objects at a time, whatever the size of the batch."""
+    part = lambda k: pa.array([pack_sentences(x or "", max_words, overlap_words) for x in a.slice(k, PART).to_pylist()], pa.list_(pa.string()))
+    return pa.concat_arrays([part(k) for k in range(0, max(len(a), 1), PART)])
+
+
 def packed(text: Column, max_words: int = MAX_WORDS, overlap_words: int = OVERLAP_WORDS) -> Column:
     """array<string> of the chunks of each text; null counts as empty."""
 
     @F.arrow_udf("array<string>")
     def of(a: pa.Array) -> pa.Array:
-        return pa.array([pack_sentences(x or "", max_words, overlap_words) for x in a.to_pylist()], pa.list_(pa.string()))
+        return packed_texts(a, max_words, overlap_words)
 
     return of(text)
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from fascicle.functions import dates, text
 from fascicle.functions.filters import build_filter, coerce_filters, compile_filter, section_filter
+from fascicle.operators import chunking
 from fascicle.operators.chunking import chunk_articles, pack_sentences, packed, split_sentences
 from fascicle.plans.ask import Engine, answer_mode, decompose, hash_embedder, json_object, resolve
 
@@ -109,3 +110,21 @@ def test_chunk_table_is_idempotent(spark, tmp_path):
         write_chunks(chunks, str(tmp_path / "t"))
     back = spark.read.parquet(str(tmp_path / "t"))
     assert back.count() == 3 and back.select("chunk_id").distinct().count() == 3
+
+
+def test_packing_holds_few_texts_at_a_time():
+    """A batch is taken in slices: never more of it than PART texts are Python objects."""
+    import pyarrow as pa
+
+    texts, asked = pa.array([f"One {k}. " * (k % 300) for k in range(150)] + [None]), []
+
+    class Batch:
+        def __len__(self):
+            return len(texts)
+
+        def slice(self, at, n):
+            asked.append(n)
+            return texts.slice(at, n)
+
+    assert chunking.packed_texts(Batch()).to_pylist() == [chunking.pack_sentences(x or "") for x in texts.to_pylist()]
+    assert len(asked) == 3 and max(asked) <= chunking.PART and chunking.packed_texts(texts.slice(0, 0)).to_pylist() == []
