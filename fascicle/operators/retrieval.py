@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fascicle.functions.filters import compile_filter
+from fascicle.functions.filters import among, compile_filter
 from fascicle.operators.lexical import LexicalIndex, bm25_topk, gate, rank_topk, topic_weights
 from fascicle.operators.positions import positions
 
@@ -66,7 +66,7 @@ def fill_content(ranked: DataFrame, chunks: DataFrame, columns=("page_content",)
     """
     rows = ranked.collect()
     ids = sorted({r["chunk_id"] for r in rows if r["chunk_id"] is not None})
-    found = chunks.where(F.col("chunk_id").isin(ids) if ids else F.lit(False)).select("chunk_id", *columns)
+    found = chunks.where(among(F.col("chunk_id"), ids)).select("chunk_id", *columns)
     return found.join(F.broadcast(chunks.sparkSession.createDataFrame(rows, ranked.schema)), "chunk_id", "right")
 
 
