@@ -6,7 +6,7 @@ expression that needs none (or uses syntax that engines read differently) needs
 (trigram, id) then give the candidate rows, and only these are matched with the expression itself,
 so the result equals a scan's.
 
-Scale. Postings are sorted by trigram, and a query's trigrams are literals that prune the scan; of a
+Scale. Each file of postings is sorted by trigram, and a query's trigrams are literals that prune the scan; of a
 conjunction only the rarest trigrams are read. Trigrams that more than MOST_SHARE of a batch's rows
 hold filter nothing and are left out (there are at most (mean distinct trigrams of a row) /
 MOST_SHARE of them). Up to LITERALS candidates reach the scan of the rows as literals; more are
@@ -25,7 +25,8 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fascicle.sources.tables import _hadoop, durable
+from fascicle.functions.filters import among
+from fascicle.sources.tables import _hadoop, cut, durable, spread
 
 MOST_SHARE = 0.25
 #: Trigrams read for one conjunction; alternatives spelled out; candidates that become literals.
@@ -105,6 +106,8 @@ def _sequence(items) -> tuple[set[str] | None, Need]:
             else:  # once at its beginning and once at its end
                 spell(texts)
                 end(texts if len(texts) <= SPELLED else {""})
+        elif name == "IN" and len(value) <= SPELLED and all(str(kind) == "LITERAL" for kind, _ in value):
+            spell({chr(c).lower() if c < 128 else chr(c) for _, c in value})
         else:
             end({""})
     if whole:
@@ -160,13 +163,15 @@ def text_grams(texts: list[Column]) -> Column:
 def write_grams(rows: DataFrame, path: str, texts: list[Column], key: str = "id", append: bool = False) -> None:
     """Index the texts (string columns) of rows under path; append adds a batch of further rows."""
     mode = "append" if append else "overwrite"
-    own = durable(rows.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), text_grams(texts).alias("grams")))
+    named = rows.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), *(t.alias(f"t{k}") for k, t in enumerate(texts)))
+    own = cut(spread(named).select("id", text_grams([F.col(f"t{k}") for k in range(len(texts))]).alias("grams")))
     flat = own.select(F.explode("grams").alias("gram"), "id")
     df = durable(flat.groupBy("gram").agg(F.count("*").alias("n")))
     top = F.col("n") > MOST_SHARE * own.count()
     common = df.where(top).select("gram")
     flat = flat.join(F.broadcast(common), "gram", "left_anti")
-    flat.repartitionByRange("gram", "id").sortWithinPartitions("gram", "id").write.mode(mode).parquet(f"{path}/grams")
+    # Each task sorts its own postings: nothing moves, and a query's trigrams prune each file to a few pages.
+    flat.sortWithinPartitions("gram", "id").write.mode(mode).parquet(f"{path}/grams")
     df.where(~top).repartitionByRange("gram").sortWithinPartitions("gram").write.mode(mode).parquet(f"{path}/df")
     common.write.mode(mode).parquet(f"{path}/dropped")
 
@@ -177,7 +182,7 @@ def candidates(spark: SparkSession, path: str, pattern: str) -> DataFrame | None
     asked = sorted(grams_of(need))
     if not asked:
         return None
-    read = lambda t: spark.read.parquet(f"{path}/{t}").where(F.col("gram").isin(asked))
+    read = lambda t: spark.read.parquet(f"{path}/{t}").where(among(F.col("gram"), asked))
     dropped = {r["gram"] for r in read("dropped").collect()}
     df = {r["gram"]: r["n"] for r in read("df").groupBy("gram").agg(F.sum("n").alias("n")).collect()}
     need = narrowed(need, df, dropped)
@@ -189,7 +194,7 @@ def candidates(spark: SparkSession, path: str, pattern: str) -> DataFrame | None
     bit = lambda g: F.expr(f"shiftleft(1L, {place[g] % 63})")
     word = lambda k: F.expr(f"bit_or(CASE {' '.join(f'WHEN gram = {_quoted(g)} THEN shiftleft(1L, {place[g] % 63})' for g in asked if place[g] // 63 == k)} ELSE 0L END)")
     words = (len(asked) + 62) // 63
-    held = read("grams").where(F.col("gram").isin(asked)).groupBy("id").agg(*(word(k).alias(f"w{k}") for k in range(words)))
+    held = read("grams").where(among(F.col("gram"), asked)).groupBy("id").agg(*(word(k).alias(f"w{k}") for k in range(words)))
 
     def holds(n: Need) -> Column:
         if n is True:
@@ -214,7 +219,7 @@ def narrowed_rows(rows: DataFrame, path: str | None, pattern: str, key: str = "i
     found = durable(found)
     if found.count() <= LITERALS:
         ids = [r["id"] for r in found.collect()]
-        return rows.where(F.col(key).isin(ids) if ids else F.lit(False))
+        return rows.where(among(F.col(key), ids))
     return rows.join(found.withColumnRenamed("id", key), key, "left_semi")
 
 
