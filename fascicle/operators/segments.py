@@ -1,6 +1,6 @@
 """A lexical index in segments: a date is replaced without tokenising any other.
 
-Each write makes one segment: documents, postings of all tokens (sorted by token) and document
+Each write makes one segment: documents, postings of all tokens (each file sorted by token) and document
 frequencies by date. A small manifest says which segment holds each date, so replacing a date is a
 new segment and one changed line: the old segment's rows of that date are dead from then on
 (tombstone), and its frequencies no longer count. A reader takes the live (segment, date) pairs,
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from fascicle.operators.lexical import RARE_RATIO, LexicalIndex, chunk_runs, exploded, index_stats
 from fascicle.sources.progress import load_json, save_json
-from fascicle.sources.tables import _hadoop, durable
+from fascicle.sources.tables import _hadoop, cut
 
 TABLES = ("docs", "postings", "df")
 FANOUT = 4
@@ -46,8 +46,8 @@ def _write(docs: DataFrame, postings: DataFrame, df: DataFrame, path: str) -> st
     """A new segment of the three tables; no reader sees it before the manifest names it."""
     name = f"s{uuid.uuid4().hex}"  # never read as a number
     docs.write.parquet(f"{path}/docs/segment={name}")
-    # Ranges of token and chunk, so a token that most chunks hold takes many files.
-    postings.repartitionByRange("token", "chunk_id").sortWithinPartitions("token", "chunk_id").write.parquet(f"{path}/postings/segment={name}")
+    # Each task sorts its own postings: nothing moves, and a question's tokens prune each file to a few pages.
+    postings.sortWithinPartitions("token", "chunk_id").write.parquet(f"{path}/postings/segment={name}")
     df.repartitionByRange("token", "date").sortWithinPartitions("token", "date").write.parquet(f"{path}/df/segment={name}")
     return name
 
@@ -60,7 +60,7 @@ def replace_dates(chunks: DataFrame, path: str, dates: list[str] | None = None,
     """
     spark = chunks.sparkSession
     dated = chunks.withColumn("date", F.coalesce(F.col("date").cast("string"), F.lit("")))
-    runs = durable(chunk_runs(dated, strip_header, ("date",)))
+    runs = cut(chunk_runs(dated, strip_header, ("date",)))
     found = runs.groupBy("date").agg(F.count("*").alias("chunks"), F.sum(F.greatest("length", F.lit(1)).cast("long")).alias("lengths")).collect()
     live = manifest(spark, path)
     for d in dates or ():
