@@ -6,7 +6,7 @@ import sys
 import tempfile
 from types import ModuleType
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -61,23 +61,52 @@ def sampled(rows: DataFrame, member: str) -> DataFrame:
     return rows.where(F.pmod(F.xxhash64(F.col(member), F.lit(11)), F.lit(SAMPLE_RATE)) == 0)
 
 
-def deal(rows: DataFrame, sample: DataFrame, key: str, member: str, split: int) -> DataFrame:
+def hot_keys(sample: DataFrame, split: int, *key: str) -> DataFrame:
+    """(key..., parts) of keys that hold more than `split` rows by their sampled() members; about `split` of them a part."""
+    n = F.col("count") * SAMPLE_RATE
+    return durable(sample.groupBy(*key).count().where(n > split).select(*key, F.ceil(n / split).cast("int").alias("parts")))
+
+
+def joined_hot(rows: DataFrame, hot: DataFrame, n_hot: int, *key: str) -> DataFrame:
+    return rows.join(F.broadcast(hot) if n_hot <= BROADCAST_ROWS else hot, list(key), "left")
+
+
+def deal(rows: DataFrame, sample: DataFrame, key: str, member: str, split: int, group: str | None = None) -> DataFrame:
     """rows with part, i and j: members of a key beyond `split` rows are dealt to pairs (i, j) of parts.
 
     A part holds about `split` members of the key, and a task works on one key, i and j: all pairs of
     part i where i = j, else the pairs between parts i and j. So any two members of a key meet once,
     and no task holds more than about two parts, however hot the key. `sample` is what rows is made
     of sampled() members; it only decides how a key is dealt, never which members meet.
+
+    group: where given, members of one group need not meet. A group beyond `split` rows in a key has
+    parts of its own, which are not dealt to each other, so its rows grow with its size, not with its square.
     """
-    n = F.col("count") * SAMPLE_RATE
-    hot = durable(sample.groupBy(key).count().where(n > split).select(key, F.ceil(n / split).cast("int").alias("parts")))
+    hot = hot_keys(sample, split, key)
     n_hot = hot.count()
     if not n_hot:
         return rows.withColumns({c: F.lit(0) for c in ("part", "i", "j")})
-    dealt = rows.join(F.broadcast(hot) if n_hot <= BROADCAST_ROWS else hot, key, "left")
-    part = F.pmod(F.xxhash64(F.col(member), F.lit(13)), F.coalesce("parts", F.lit(1)))
-    dealt = dealt.withColumn("part", part.cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
-    return dealt.withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")}).drop("other", "parts")
+    own = hot_keys(sample, split, key, group) if group else None
+    n_own = own.count() if group else 0
+    if n_own:
+        # Parts of the other members come first, then those of each large group.
+        own = own.join(hot.withColumnRenamed("parts", "all"), key)
+        large = F.sum("parts").over(Window.partitionBy(key))
+        own = own.withColumn("rest", F.greatest(F.col("all") - large, F.lit(1)))
+        before = F.sum("parts").over(Window.partitionBy(key).orderBy(group).rowsBetween(Window.unboundedPreceding, -1))
+        own = durable(own.select(key, group, F.col("parts").alias("own"), "rest", (F.col("rest") + F.coalesce(before, F.lit(0))).alias("from"), (F.col("rest") + large).alias("whole")))
+        more = own.groupBy(key).agg(F.any_value("rest").alias("rest"), F.any_value("whole").alias("whole"))
+        hot = durable(hot.join(more, key, "left").select(key, F.coalesce("rest", "parts").alias("rest"), F.coalesce("whole", "parts").alias("parts")))
+    dealt, seen = joined_hot(rows, hot, n_hot, key), F.xxhash64(F.col(member), F.lit(13))
+    whole = F.coalesce("parts", F.lit(1))
+    if n_own:
+        dealt = joined_hot(dealt, own.select(key, group, "own", "from"), n_own, key, group)
+        part = F.coalesce(F.col("from") + F.pmod(seen, F.col("own")), F.pmod(seen, F.coalesce("rest", F.lit(1))))
+        others = F.filter(F.sequence(F.lit(0), whole.cast("int") - 1), lambda x: F.col("own").isNull() | (x < F.col("from")) | (x >= F.col("from") + F.col("own")))
+    else:
+        part, others = F.pmod(seen, whole), F.sequence(F.lit(0), whole - 1)
+    dealt = dealt.withColumn("part", part.cast("int")).withColumn("other", F.explode(others))
+    return dealt.withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")}).drop("other", "parts", "rest", "own", "from")
 
 
 def runs(batches, keys: list[str]):

@@ -12,16 +12,19 @@ once a tree. Levels follow from the number of distinct prints, so that about LEA
 shard at any size, and trees from the levels, so that a pair of similarity SIMILARITY meets in
 some tree with probability 1 - MISS (one of 0.9 with 0.9999).
 
-Inside a shard, pairs of a resident and any other within REACH of the first 128 bits are candidates; a spanning forest of them
-goes on, closest pairs first, so a dense group costs no quadratic output. A shard beyond SPLIT
-rows is dealt out to pairs of parts, so no task holds more than two. Each candidate is then decided by the
-exact Jaccard similarity of the two whole texts' shingle sets (64-bit hashes of shingles).
-
-A forest whose edges fail that test may have stood in for a pair that meets it. Such a pair joins
-two groups, and each of them has a rejected edge that leaves it. So the members of those groups
+Inside a shard, pairs of a resident and any other within REACH of the first 128 bits are candidates; links that
+span them go on. First come hubs: in the home shards of HUB_TREES trees (cut into parts of about SPLIT rows) a row
+with DENSE candidates or more links to the one that has most. What these links connect is a cluster. Then all shards
+pass on a spanning forest of the candidates of different clusters, closest pairs first. So a group of m near copies
+makes about HUB_TREES * m links, however many shards its members share. A shard beyond SPLIT rows is dealt out to
+pairs of parts, so no task holds more than two; parts of one cluster are not dealt to each other. Each link is then
+decided by the exact Jaccard similarity of the two whole texts' shingle sets (64-bit hashes of shingles).
+
+Links that fail that test may have stood in for a pair that meets it. Such a pair joins
+two groups, and each of them has a rejected link that leaves it. So the members of those groups
 are dealt to their shards once more, those within REACH of another group with their shingle sets,
 and there every pair of different groups is decided exactly before it may join them. What is
-found therefore does not depend on which edges a forest took.
+found therefore does not depend on which links stood in. Members of one group are not compared there.
 
 A print is in 1 + levels / 2 shards a tree (33 bytes each; 42 in all at 10**5 prints, 319 at 10**8).
 """
@@ -35,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fascicle.llm.common import connected_components, deal, durable, forest, runs, sampled
+from fascicle.llm.common import connected_components, deal, durable, forest, hot_keys, joined_hot, runs, sampled
 from fascicle.llm.simhash_vptree import shingle_hashes
 
 SHINGLE = 5
@@ -48,6 +51,8 @@ DIFFER = 0.1515
 #: Bits of the first 128 in which a candidate pair may differ (0.8: 19.4 on average, deviation 4.1).
 REACH = 32
 SPLIT = 2048
+#: Trees whose home shards give hubs, and candidates in a shard from which a row links to its hub.
+HUB_TREES, DENSE = 4, 32
 SEED = 5
 MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
@@ -130,7 +135,9 @@ def tree_shards(bits: np.ndarray, vantage: np.ndarray, tree: int) -> tuple[np.nd
     return np.concatenate((np.arange(len(bits)), row)), np.concatenate((home, home[row] + weights[level]))
 
 
-def _replicate(levels: int, trees: int, vantage: list[bytes]):
+def _replicate(levels: int, trees: int, vantage: list[bytes], most: int | None = None):
+    """most: where given, only the home shards of so many trees."""
+
     def run(batches):
         pick = tree_bits(levels, trees)
         points = np.unpackbits(np.frombuffer(b"".join(vantage), np.uint8).reshape(-1, WORDS * 8), axis=1, bitorder="little")
@@ -141,8 +148,9 @@ def _replicate(levels: int, trees: int, vantage: list[bytes]):
                 bits = np.unpackbits(sig, axis=1, bitorder="little")
                 first = np.ascontiguousarray(sig[:, :16]).view("<i8")
                 more = [n for n in b.schema.names if n not in ("sig", "node")]
-                for tree, p in enumerate(pick):
+                for tree, p in enumerate(pick[:most]):
                     row, shard = tree_shards(bits[:, p], points[tree, p], tree)
+                    row, shard = (row, shard) if most is None else (row[: len(sig)], shard[: len(sig)])
                     home, take = np.arange(len(row)) < len(sig), pa.array(row)
                     out = [pa.array(shard), part.column("node").take(take), pa.array(first[row, 0]), pa.array(first[row, 1]), pa.array(home)]
                     yield pa.RecordBatch.from_arrays(out + [part.column(n).take(take) for n in more], ["shard", "node", "p0", "p1", "home", *more])
@@ -176,16 +184,52 @@ def _pairs(batches):
 
 
 def _walk(batches):
-    """A spanning forest of the candidates of each shard, closest pairs first."""
-    for t, _, i, j, bits in _pairs(batches):
+    """A spanning forest of the candidates of each shard that are of different roots, closest pairs first."""
+    for t, cuts, i, j, bits in _pairs(batches):
+        root = t.column("root").to_numpy()
+        apart = root[i] != root[j]
+        i, j, bits = i[apart], j[apart], bits[apart]
         order = np.argsort(bits, kind="stable")
         i, j = i[order], j[order]
-        k = forest(i, j, t.num_rows)
+        # Rows of one root in one shard are one end of links.
+        run = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
+        by = np.lexsort((root, run))
+        new = np.concatenate(([False], (np.diff(run[by]) != 0) | (np.diff(root[by]) != 0)))
+        end = np.empty(len(by), np.int64)
+        end[by] = np.cumsum(new)
+        k = forest(end[i], end[j], t.num_rows)
         if len(k):
             node = t.column("node").combine_chunks()
             yield pa.RecordBatch.from_arrays([node.take(pa.array(i[k])), node.take(pa.array(j[k]))], ["a", "b"])
 
 
+def hubs(p0: np.ndarray, p1: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hub): of each row with DENSE others within REACH, the one that has most (the larger node of equals)."""
+    near = lambda at: np.bitwise_count(p0[at : at + 256, None] ^ p0) + np.bitwise_count(p1[at : at + 256, None] ^ p1) <= REACH
+    blocks = range(0, len(node), 256)
+    degree = np.concatenate([near(at).sum(1) - 1 for at in blocks])
+    if degree.max() < DENSE:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    rank = np.empty(len(node), np.int64)
+    rank[np.lexsort((node, degree))] = np.arange(len(node))
+    # A row is near itself, so the row of the highest rank is its own hub and gives no link.
+    hub = np.concatenate([np.where(near(at), rank, -1).argmax(1) for at in blocks])
+    row = np.flatnonzero((degree >= DENSE) & (hub != np.arange(len(node))))
+    return row, hub[row]
+
+
+def _hubs(batches):
+    """Links of rows to their hubs; rows come sorted by shard and part."""
+    for t, cuts in runs(batches, ["shard", "part"]):
+        p0, p1 = (t.column(c).to_numpy().view(np.uint64) for c in ("p0", "p1"))
+        node = t.column("node").to_numpy()
+        some = [(lo, *hubs(p0[lo:hi], p1[lo:hi], node[lo:hi])) for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()) if hi - lo > DENSE]
+        if some:
+            a, b = (np.concatenate([x[0] + x[k] for x in some]) for k in (1, 2))
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], ["a", "b"])
+
+
 def _contested(batches):
     """Rows within REACH of a row of another group in their shard."""
     for t, _, i, j, _ in _pairs(batches):
@@ -199,8 +243,13 @@ def _contested(batches):
 def joining(sets: list[np.ndarray], group: np.ndarray) -> list[tuple[int, int]]:
     """Pairs of rows that span all pairs of similar sets of different groups, each decided exactly.
 
-    A row's common shingles with all later rows are counted at once, from the rows of each shingle.
+    A row's common shingles with all later rows are counted at once: shingles that many rows hold by
+    products of a matrix, the others from the rows of each shingle. The rows of the largest group come
+    last and are never counted from.
     """
+    largest = group == np.bincount(group).argmax()
+    order, n_from = np.argsort(largest, kind="stable"), int((~largest).sum())
+    sets, group = [sets[k] for k in order], group[order]
     parent = list(range(int(group.max()) + 1))
 
     def root(x):
@@ -212,24 +261,32 @@ def joining(sets: list[np.ndarray], group: np.ndarray) -> list[tuple[int, int]]:
     n, size = len(sets), np.array([len(s) for s in sets])
     row = np.repeat(np.arange(n), size)
     code = np.unique(np.concatenate(sets), return_inverse=True)[1]
-    holders = row[np.argsort(code, kind="stable")]
-    end = np.cumsum(np.bincount(code)) if len(code) else code
-    at, parts, out = np.concatenate(([0], np.cumsum(size))), len(set(group.tolist())), []
+    held = np.bincount(code)
+    common = np.zeros((n_from, n), np.float32)
+    number = np.cumsum(held * 16 > n) - 1
+    wide, step = (held * 16 > n)[code], max(1, (1 << 22) // n)
+    for lo in range(0, int(number[-1]) + 1 if len(number) else 0, step):
+        some = np.flatnonzero(wide & (number[code] >= lo) & (number[code] < lo + step))
+        m = np.zeros((n, step), np.float32)
+        m[row[some], number[code[some]] - lo] = 1
+        common += m[:n_from] @ m.T
     # Rows of a shingle ascend, and the rows before i have been passed: `first` is where the others begin.
+    row, code = row[~wide], code[~wide]
+    holders = row[np.argsort(code, kind="stable")]
+    end = np.cumsum(np.bincount(code, minlength=len(held)))
+    at, parts, out = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=n)))), len(set(group.tolist())), []
     first = np.concatenate(([0], end[:-1])) if len(end) else end
-    for i in range(n):
+    for i in range(n_from):
         own = code[at[i] : at[i + 1]]
         first[own] += 1
         left = end[own] - first[own]
-        if not left.sum():
-            continue
-        where = np.repeat(first[own] - np.concatenate(([0], np.cumsum(left)[:-1])), left) + np.arange(left.sum())
-        both = np.bincount(holders[where], minlength=n)
-        for j in np.flatnonzero(both / np.maximum(size[i] + size - both, 1) >= SIMILARITY).tolist():
+        where = np.repeat(first[own] - np.concatenate(([0], np.cumsum(left)[:-1]))[: len(own)], left) + np.arange(left.sum())
+        both = common[i, i + 1 :] + np.bincount(holders[where], minlength=n)[i + 1 :]
+        for j in (i + 1 + np.flatnonzero((both > 0) & (both / np.maximum(size[i] + size[i + 1 :] - both, 1) >= SIMILARITY))).tolist():
             x, y = root(int(group[i])), root(int(group[j]))
             if x != y:
                 parent[max(x, y)] = min(x, y)
-                out.append((i, j))
+                out.append((int(order[i]), int(order[j])))
                 parts -= 1
         if parts == 1:
             break
@@ -249,22 +306,34 @@ def _join_groups(batches):
             yield pa.RecordBatch.from_arrays([a, b], ["a", "b"])
 
 
-def _dealt(prints: DataFrame, levels: int, trees: int, vantage: list[bytes], split: int, more: str = "") -> DataFrame:
-    """prints(sig, node, ...) in their shards, sorted by shard and parts, residents first."""
-    make, schema = _replicate(levels, trees, vantage), f"shard long, node long, p0 long, p1 long, home boolean{more}"
-    rows = deal(prints.mapInArrow(make, schema), sampled(prints, "node").mapInArrow(make, schema).select("shard"), "shard", "node", split)
+PLACED = "shard long, node long, p0 long, p1 long, home boolean"
+
+
+def _hub_links(prints: DataFrame, levels: int, trees: int, vantage: list[bytes], split: int) -> DataFrame:
+    """Links (a, b) of prints(sig, node) to their hubs; a shard beyond split rows is cut into parts, anew in each tree."""
+    make = _replicate(levels, trees, vantage, HUB_TREES)
+    rows, hot = prints.mapInArrow(make, PLACED), hot_keys(sampled(prints, "node").mapInArrow(make, PLACED), split, "shard")
+    rows = joined_hot(rows, hot, hot.count(), "shard")
+    part = F.pmod(F.xxhash64("node", "shard"), F.coalesce("parts", F.lit(1))).cast("int")
+    rows = rows.select("shard", part.alias("part"), "node", "p0", "p1").repartition("shard", "part").sortWithinPartitions("shard", "part")
+    return rows.mapInArrow(_hubs, "a long, b long")
+
+
+def _dealt(prints: DataFrame, levels: int, trees: int, vantage: list[bytes], split: int) -> DataFrame:
+    """prints(sig, node, root) in their shards, sorted by shard and parts, residents first."""
+    make, schema = _replicate(levels, trees, vantage), f"{PLACED}, root long"
+    rows = deal(prints.mapInArrow(make, schema), sampled(prints, "node").mapInArrow(make, schema).select("shard", "root"), "shard", "node", split, "root")
     return rows.repartition("shard", "i", "j").sortWithinPartitions("shard", "i", "j", F.desc("home"))
 
 
 def _rejoined(prints: DataFrame, judged: DataFrame, sets: DataFrame, roots: DataFrame, shards) -> DataFrame:
-    """roots of all nodes in judged(a, b, same), where similar pairs that the forests hid are joined too."""
-    ids = judged.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    nodes = durable(ids.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root")))
+    """roots of all nodes in judged(a, b, same), where similar pairs that other links hid are joined too."""
+    nodes = durable(sets.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root")))
     end = lambda c: nodes.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
     apart = judged.where("not same").join(end("a"), "a").join(end("b"), "b").where("ra <> rb")
     apart = durable(apart.select(F.explode(F.array("ra", "rb")).alias("root")).distinct())
     rows = prints.join(nodes.join(apart, "root", "left_semi"), "node").select("sig", "node", "root")
-    near = shards(rows, ", root long").mapInArrow(_contested, "shard long, i int, j int, node long, root long").join(sets, "node").select("shard", "i", "j", "root", "s")
+    near = shards(rows).mapInArrow(_contested, "shard long, i int, j int, node long, root long").join(sets, "node").select("shard", "i", "j", "root", "s")
     links = near.repartition("shard", "i", "j").sortWithinPartitions("shard", "i", "j").mapInArrow(_join_groups, "a long, b long")
     merged = connected_components(durable(links.distinct())).select(F.col("id").alias("root"), F.col("root").alias("__root"))
     return durable(nodes.join(merged, "root", "left").select("node", F.coalesce("__root", "root").alias("root")))
@@ -286,9 +355,12 @@ def similar_roots(docs: DataFrame, size: int = SHINGLE, text: str = "text", key:
     prints = durable(prints.withColumn("node", F.xxhash64("sig")))
     levels, trees = shape(prints.count())
     vantage = vantage_points(prints, trees)
-    shards = lambda some, more="": _dealt(some, levels, trees, vantage, split, more)
-    links = shards(prints.select("sig", "node")).mapInArrow(_walk, "a long, b long")
-    links = durable(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    shards = lambda some: _dealt(some, levels, trees, vantage, split)
+    once = lambda some: some.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    dense = durable(once(_hub_links(prints.select("sig", "node"), levels, trees, vantage, split)))
+    clusters = connected_components(dense).withColumnRenamed("id", "node")
+    rooted = prints.join(clusters, "node", "left").select("sig", "node", F.coalesce("root", "node").alias("root"))
+    links = durable(once(shards(rooted).mapInArrow(_walk, "a long, b long")).unionByName(dense))
     # Sets are made of one text for each linked print only.
     linked = prints.join(links.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi")
     texts = rows.select("r0", "r1", "text").join(linked.select("node", "first.r0", "first.r1"), ["r0", "r1"])

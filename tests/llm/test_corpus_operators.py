@@ -644,6 +644,76 @@ def test_similar_pairs_among_shared_boilerplate(spark):
         assert got <= set(want) and len(got) >= 0.95 * len(want)
 
 
+def test_links_of_a_near_copy_group_grow_with_its_size(spark, monkeypatch):
+    """Copies of one text in which 0 to 8 % of the words are replaced: links for each text stay few."""
+    from fascicle.llm import common
+
+    rng, links = np.random.default_rng(3), []
+    base, texts = [f"w{x}" for x in rng.integers(0, 1 << 40, 150)], {}
+    for k in range(600):
+        changed, new = rng.random(150) < rng.random() * 0.08, rng.integers(0, 1 << 40, 150)
+        texts[k] = " ".join(f"v{x}" if c else w for w, c, x in zip(base, changed, new))
+
+    def durable(df):
+        out = common.durable(df)
+        if "same" in df.columns:
+            links.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash_similar, "durable", durable)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    kept = {r["doc_id"] for r in simhash_similar.keep_first(docs, split=100).collect()}
+    want = {k for k, c in enumerate(components(len(texts), similar_pairs(texts))) if c == k}
+    assert len(kept - want) <= 0.01 * len(texts) and want <= kept
+    assert links[0] < 8 * len(texts)
+
+
+def test_dealing_leaves_out_pairs_of_a_large_group(spark):
+    from fascicle.llm.common import deal, sampled
+
+    # Key 0: groups of 6000 and 3000 rows and 900 rows of their own; key 1: 3000 such rows; key 2: 50.
+    rows = spark.range(12_950).selectExpr("id", "int(case when id < 9900 then 0 when id < 12900 then 1 else 2 end) as key", "case when id < 6000 then -1 when id < 9000 then -2 else id end as root")
+    out = deal(rows, sampled(rows, "id"), "key", "id", 1000, "root").toPandas()
+    assert out.groupby("key").size()[2] == 50 and out.groupby(["key", "i", "j"]).size().max() < 2 * 1300
+    met = Counter()
+    for (key, i, j), run in out.groupby(["key", "i", "j"]):
+        a, b = run[run.part == i], run[run.part == j]
+        assert len(a) + (len(b) if i != j else 0) == len(run)
+        for x, m in a.groupby(a.root.clip(upper=0)):
+            for y, n in b.groupby(b.root.clip(upper=0)):
+                met[key, *sorted((int(x), int(y)))] += len(m) * (len(m) - 1) // 2 if i == j and x == y else 0 if i == j and x > y else len(m) * len(n)
+    assert {k: v for k, v in met.items() if v} == {(0, -2, -1): 6000 * 3000, (0, -1, 0): 6000 * 900, (0, -2, 0): 3000 * 900, (0, 0, 0): 900 * 899 // 2, (1, 0, 0): 3000 * 2999 // 2, (2, 0, 0): 50 * 49 // 2}
+
+
+def test_rows_with_many_candidates_link_to_hubs():
+    rng = np.random.default_rng(7)
+    near, far = np.zeros((300, 2), np.uint64), rng.integers(0, 1 << 63, (20, 2), dtype=np.uint64)
+    for k in range(24):  # bits of the base that a copy may have turned
+        near[rng.random(300) < 0.5] ^= np.uint64(1) << np.uint64(k)
+    p = np.concatenate([near, far, far[:5]])[rng.permutation(325)]
+    row, hub = simhash_similar.hubs(p[:, 0].copy(), p[:, 1].copy(), np.arange(325))
+    d = np.bitwise_count(p[:, None] ^ p).sum(2)
+    assert len(row) == 299 and len(set(row.tolist())) == 299 and (d[row, hub] <= simhash_similar.REACH).all()
+    assert len(set(components(325, list(zip(row.tolist(), hub.tolist()))))) == 325 - 299
+    assert len(simhash_similar.hubs(far[:, 0].copy(), far[:, 1].copy(), np.arange(20))[0]) == 0
+
+
+def test_common_shingles_by_products_and_by_holders():
+    """Rows of the largest group are never counted from; what joins groups is the same as by brute force."""
+    rng = np.random.default_rng(9)
+    for n in (1, 2, 40, 90):
+        base, sets = rng.integers(0, 1 << 60, 120).astype(np.uint64), []
+        for _ in range(n):
+            own = np.where(rng.random(120) < rng.random() * 0.25, rng.integers(0, 1 << 60, 120).astype(np.uint64), base)
+            sets.append(np.unique(own if rng.random() < 0.8 else own[:0]))
+        group = np.unique(np.where(rng.random(n) < 0.4, 0, rng.integers(0, n, n)), return_inverse=True)[1]
+        similar = [(i, j) for i in range(n) for j in range(i) if simhash_similar.jaccard(sets[i].tobytes(), sets[j].tobytes()) >= 0.8]
+        same = [(i, int(np.flatnonzero(group == group[i])[0])) for i in range(n)]
+        got = simhash_similar.joining(sets, group)
+        assert components(n, same + got) == components(n, same + similar)
+        assert all(group[i] != group[j] and simhash_similar.jaccard(sets[i].tobytes(), sets[j].tobytes()) >= 0.8 for i, j in got)
+
+
 def test_stages_on_odd_and_empty_tables(spark, sf, odd, none):
     import corpus_pipeline as c
 
